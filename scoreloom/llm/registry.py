@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import chat, media, mixing, sentencepiece_codec, toxicity
+from scoreloom.llm import bagminhash, chat, html_text, knn_join, media, mixing, sentencepiece_codec, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": chat.op1_chat,
         "op2_mixing": mixing.op2_mixing,
+        "op4_html": html_text.op4_html,
+        "op5_bagminhash": bagminhash.op5_bagminhash,
         "op6_media": media.op6_media,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_knn": knn_join.op8_knn,
         "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.mixing_sql()}
+    return {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.mixing_sql(), "op8_knn": knn_join.KNN_SQL}
