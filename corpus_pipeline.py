@@ -7,32 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import common, mixing, sentencepiece_codec, toxicity
+from scoreloom.llm import bagminhash, common, line_dedup, mixing, sentencepiece_codec, toxicity
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be toxic go."""
-    model = toxicity.fit(common.table(spark, sf_dir, "labels"), common.table(spark, sf_dir, "documents"))
+    model = toxicity.fit(common.table(spark, sf_dir, "labels"), docs)
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier one go, and documents that lose all that they say."""
+    return line_dedup.dedup(docs).where(~F.coalesce(line_dedup.emptied(), F.lit(False))).select(docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return bagminhash.survivors(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays as often as the mix takes it."""
-    taken = mixing.mix(docs)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    return taken.where(times > 0).withColumn("_n", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
+    """A document is there as often as the mix takes it; one without words, which costs nothing, stays once."""
+    times = F.when(F.col("size") > 0, F.floor(F.try_divide(F.col("taken"), F.col("size")))).otherwise(1).cast("int")
+    return mixing.mix(docs).withColumn("_n", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and decoded text."""
     return sentencepiece_codec.digests(sentencepiece_codec.encode_decode(docs, sentencepiece_codec.default_model_path()))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxic),
+    ("line dedup", without_repeated_lines),
+    ("near-duplicates", without_near_duplicates),
     ("mixing", mixed),
     ("sentencepiece", encoded),
 ]
-ORACLE_SQL = None  # learning weights and hashing word pieces have no SQL form
+ORACLE_SQL = None  # learning weights and segmenting words have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "h", "left").select("doc_id", "h", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("keep", "h").alias("keep"))
 
 
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the text of its smallest doc_id, once; rows that are like nothing."""
+    found = near_duplicates(docs)
+    stay = found.where((F.col("h") == F.col("keep")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    stay = written(stay.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows")).withColumnsRenamed({"doc_id": "_id", "h": "_h"}))
+    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h"))
+    once = keyed.join(stay.where("rows = 1"), match, "left_semi")
+    more = keyed.join(stay.where("rows > 1"), match, "left_semi").dropDuplicates(["doc_id", "_key"])  # repeated rows
+    return once.union(more).select(docs.columns)
+
+
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id")

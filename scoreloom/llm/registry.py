@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import bagminhash, chat, html_text, knn_join, media, mixing, sentencepiece_codec, toxicity
+from scoreloom.llm import bagminhash, chat, html_text, knn_join, line_dedup, media, mixing, sentencepiece_codec, surrogates, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": chat.op1_chat,
         "op2_mixing": mixing.op2_mixing,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_html": html_text.op4_html,
         "op5_bagminhash": bagminhash.op5_bagminhash,
         "op6_media": media.op6_media,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_knn": knn_join.op8_knn,
+        "op9_surrogates": surrogates.op9_surrogates,
         "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
     }
 
