@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scoreloom.functions.numbers import exact_rounding
+from scoreloom.plans import business
+
+PARTS = [business]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for part in PARTS for name, f in part.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: exact_rounding(sql) for part in PARTS for name, sql in part.SQL.items()}

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions.numbers import rounded
 from scoreloom.functions.vocabulary import FEATURES
 from scoreloom.plans.rules import Category, Gate, Rule, RuleError, Signal
 
@@ -92,7 +93,7 @@ def signal_struct(s: Signal, nominal: float, wide: Wide) -> Column:
     options = [F.struct(rule_score(x, t.rule).alias("score"), F.lit(-k).alias("place"), F.lit(t.feature).alias("feature"), _empty(x, FEATURES[t.feature]).alias("empty")) for k, (t, x) in enumerate(terms)]
     best = F.array_max(F.filter(F.array(*options), lambda o: o["score"].isNotNull())) if options else F.lit(None).cast("struct<score:double,place:int,feature:string,empty:boolean>")
     found = best.isNotNull()
-    score = F.when(found, F.bround(best["score"], 4)).when(F.lit(s.missing == "zero"), 0.0)
+    score = F.when(found, rounded(best["score"], 4)).when(F.lit(s.missing == "zero"), 0.0)
     return F.struct(
         F.lit(s.id).alias("signal"), F.lit(s.subscore).alias("subscore"), dec(score).alias("score"), dec(s.weight).alias("weight"), found.alias("found"),
         (found | F.lit(s.missing == "zero")).alias("counted"), F.coalesce(best["empty"], F.lit(True)).alias("empty"), best["feature"].alias("feature"), F.lit(nominal).alias("nominal"),
@@ -114,11 +115,11 @@ def scored(features: DataFrame, category: Category, names: dict[str, str]) -> Da
     subs = {}
     for sub in category.subscores:
         mean = _weighted([(F.col(f"_{s.id}.score"), F.col(f"_{s.id}.weight")) for s in category.of(sub)])
-        subs[f"sub_{sub}"] = F.bround(mean * 100, 1)
+        subs[f"sub_{sub}"] = rounded(mean * 100, 1)
     out = out.withColumns(subs)
-    overall = F.coalesce(F.bround(_weighted([(dec(F.col(f"sub_{k}")), dec(w)) for k, w in category.subscores.items()]), 1), F.lit(0.0))
+    overall = F.coalesce(rounded(_weighted([(dec(F.col(f"sub_{k}")), dec(w)) for k, w in category.subscores.items()]), 1), F.lit(0.0))
     known = reduce(lambda a, b: a + b, [F.when(F.col(f"_{s.id}.found") & ~F.col(f"_{s.id}.empty"), dec(category.nominal(s), 8)).otherwise(dec(0.0, 8)) for s in category.signals])
-    out = out.withColumns({"score": overall, "confidence": F.bround(known.cast("double"), 2), "signals": F.array(*[F.col(f"_{s.id}") for s in category.signals])})
+    out = out.withColumns({"score": overall, "confidence": rounded(known.cast("double"), 2), "signals": F.array(*[F.col(f"_{s.id}") for s in category.signals])})
     return out.drop(*[f"_{s.id}" for s in category.signals])
 
 
@@ -208,7 +209,7 @@ def suggestions(scores: DataFrame, category: Category, names: dict[str, str], ke
         own = F.col("signals")[k]
         found = own["found"]
         now = F.when(found, own["score"].cast("double")).otherwise(0.0)
-        points = F.bround(F.greatest(F.lit(0.0), F.lit(g.target) - now) * own["nominal"] * 100, 1)
+        points = rounded(F.greatest(F.lit(0.0), F.lit(g.target) - now) * own["nominal"] * 100, 1)
         silent = ~found & F.lit(s.missing == "exclude" and not g.text_missing)
         if g.only_if:
             silent = silent | (wide[g.only_if].isNull() if g.only_if in wide else F.lit(True))
@@ -224,7 +225,7 @@ def suggestions(scores: DataFrame, category: Category, names: dict[str, str], ke
 def blend(strength: Column, fit: Column, ats: Column) -> Column:
     """The overall score, where there is a fit."""
     total = dec(strength) * dec(BLEND["strength"]) + dec(fit) * dec(BLEND["fit"]) + dec(ats) * dec(BLEND["ats"])
-    return F.when(fit.isNotNull(), F.bround(total.cast("double"), 1))
+    return F.when(fit.isNotNull(), rounded(total.cast("double"), 1))
 
 
 # --- rules as tables -------------------------------------------------------------------
@@ -270,12 +271,12 @@ def scored_by_tables(features: DataFrame, docs: DataFrame, categories: list[Cate
     best = hits.select("doc_id", "category", "signal", F.struct(table_score().alias("score"), (-F.col("term")).alias("place"), empty.alias("empty")).alias("b"))
     best = best.where("b.score is not null").groupBy("doc_id", "category", "signal").agg(F.max("b").alias("b"))
     every = asked.join(F.broadcast(signals), "category").join(best, ["doc_id", "category", "signal"], "left")
-    score = F.when(F.col("b").isNotNull(), F.bround("b.score", 4)).when(F.col("missing") == "zero", 0.0)
+    score = F.when(F.col("b").isNotNull(), rounded("b.score", 4)).when(F.col("missing") == "zero", 0.0)
     every = every.withColumn("score", dec(score))
     mean = F.try_divide(F.sum(F.col("score") * dec(F.col("weight"))).cast("double"), F.nullif(F.sum(F.when(F.col("score").isNotNull(), dec(F.col("weight")))).cast("double"), F.lit(0.0)))
     known = F.sum(F.when(F.col("b").isNotNull() & ~F.col("b.empty"), dec(F.col("nominal"), 8)))
-    per = every.groupBy("doc_id", "category", "subscore").agg(F.bround(mean * 100, 1).alias("sub"), known.alias("known"))
+    per = every.groupBy("doc_id", "category", "subscore").agg(rounded(mean * 100, 1).alias("sub"), known.alias("known"))
     per = per.join(F.broadcast(subs), ["category", "subscore"])
     w = dec(F.col("sub_weight"))
     overall = F.try_divide(F.sum(dec(F.col("sub")) * w).cast("double"), F.sum(F.when(F.col("sub").isNotNull(), w)).cast("double"))
-    return per.groupBy("doc_id", "category").agg(F.coalesce(F.bround(overall, 1), F.lit(0.0)).alias("score"), F.coalesce(F.bround(F.sum("known").cast("double"), 2), F.lit(0.0)).alias("confidence"))
+    return per.groupBy("doc_id", "category").agg(F.coalesce(rounded(overall, 1), F.lit(0.0)).alias("score"), F.coalesce(rounded(F.sum("known").cast("double"), 2), F.lit(0.0)).alias("confidence"))
