@@ -98,11 +98,13 @@ Q: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None):
+def query(name: str, sql: str | None, into: dict | None = None, sqls: dict | None = None):
+    """Registers a query and, where there is one, its SQL."""
+
     def keep(f):
-        Q[name] = f
+        (Q if into is None else into)[name] = f
         if sql:
-            SQL[name] = sql
+            (SQL if sqls is None else sqls)[name] = sql
         return f
 
     return keep
