@@ -9,10 +9,12 @@ documents agree there with a probability equal to their weighted Jaccard similar
 its latest component is settled.
 
 ``BANDS`` bands of ``ROWS`` components make buckets. Two documents of similarity 0.8 share none with probability
-(1 - 0.8**ROWS)**BANDS, under 3e-5. Within a bucket every document is compared with the bucket's smallest member first,
-by exact multiset overlap of the whole texts; only pairs whose members are then still in different components are compared as
-well, unless the triangle inequality for the Jaccard distance to that smallest member already rules them out. So a
-group of n copies costs n comparisons and yet no link between components is lost. Exact copies are one vertex.
+(1 - 0.8**ROWS)**BANDS, under 3e-5. Buckets are worked off in rounds: the member that shares buckets with most others, usually
+the original of a group of copies, is compared with the bucket's other members by exact multiset overlap of the whole texts, and
+what is then in its component leaves. A group of n copies costs about n comparisons per round. Pairs of one bucket that are in
+different components after ``ROUNDS`` rounds are compared as well, if a second signature of ``SKETCH`` components, one bit of each, lets
+them: at similarity 0.8 a tenth of its bits differ, and pairs with over ``SKETCH_MOST`` differing bits (five standard
+deviations more) are left out. Exact copies are one vertex.
 
 A null or empty text (no words) is like nothing, not even another one: each such row is a class of its own. A class
 has the smallest doc_id of its members as class_id (null only if all are). Repeated rows are exact copies.
@@ -30,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import materialised, table, written
+from scoreloom.llm.common import lean_shuffles, materialised, table, written
 from scoreloom.llm.components import components
 
 WORDS = 5
 SIMILAR = 0.8
 ROWS, BANDS = 4, 20
 SIZE = ROWS * BANDS
+ROUNDS = 2
+SKETCH, SKETCH_MOST = 512, 85
 _WORD = re.compile(r"\w+")
 _STEP = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 
@@ -76,11 +80,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / max(1, int(a[1].sum() + b[1].sum()) - common)
 
 
-def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> np.ndarray:
     """For each multiset, per component a hash that names its earliest point; an empty multiset has zeros."""
     doc = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
     if not len(doc):
-        return np.zeros((len(bags), SIZE), np.uint64)
+        return np.zeros((len(bags), size), np.uint64)
     key, weight = np.concatenate([h for h, _ in bags]), np.concatenate([w for _, w in bags])
     parts = []
     for level in range(int(weight.max()).bit_length() + 1):  # intervals [0,1), [1,2), [2,4), ...
@@ -92,7 +96,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         parts.append((doc[use], _mixed(key[use] ^ _STEP[1] + np.uint64(level)), np.full(len(use), float(width)), np.minimum(1.0, (weight[use] - low) / width)))
     at, seed, rate, share = (np.concatenate(x) for x in zip(*parts, strict=True))
     time = np.zeros(len(at))
-    first, name = np.full(len(bags) * SIZE, np.inf), np.zeros(len(bags) * SIZE, np.uint64)
+    first, name = np.full(len(bags) * size, np.inf), np.zeros(len(bags) * size, np.uint64)
     while len(at):
         seed = seed + _STEP[0]
         point = _mixed(seed)
@@ -100,15 +104,15 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         second = _mixed(point + _STEP[2])
         place = (second >> np.uint64(32)) / float(1 << 32)
         ok = place < share
-        slot = at * SIZE + ((second & np.uint64(0xFFFFFFFF)) % np.uint64(SIZE)).astype(np.int64)
+        slot = at * size + ((second & np.uint64(0xFFFFFFFF)) % np.uint64(size)).astype(np.int64)
         s, t = slot[ok], time[ok]
         np.minimum.at(first, s, t)
         won = t == first[s]
         name[s[won]] = point[ok][won]
-        latest = first.reshape(-1, SIZE).max(axis=1)
+        latest = first.reshape(-1, size).max(axis=1)
         go = time < latest[at]
         at, seed, rate, share, time = at[go], seed[go], rate[go], share[go], time[go]
-    return name.reshape(-1, SIZE)
+    return name.reshape(-1, size)
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
@@ -163,30 +167,66 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, sim double"))
 
 
+def sketched(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(h, sketch) for the text hashes (h): one bit of each of SKETCH components, as longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
+                bits = signatures([shingles(x, hashes) for x in b.column("text").to_pylist()], SKETCH) & np.uint64(1)
+                packed = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, packed.shape[1], dtype=np.int32)), pa.array(packed.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("h"), lists], names=["h", "sketch"])
+
+    texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("h"), "text").join(wanted, "h", "left_semi")
+    return written(texts.groupBy("h").agg(F.first("text").alias("text")).mapInArrow(run, "h binary, sketch array<long>"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, h, class_id, keep): class_id is the class's smallest doc_id, keep the text hash of the one text that stays for it."""
+    with lean_shuffles(docs.sparkSession):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(signed(docs))
     texts = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     entries = written(texts.select("h", F.explode("bands").alias("key")))
-    heads = entries.groupBy("key").agg(F.min("h").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    shared = written(entries.join(heads, "key"))
-    first = verified(shared.where("head <> h").select(F.col("head").alias("a"), F.col("h").alias("b")).distinct(), docs)
-    good = first.where(F.col("sim") >= SIMILAR).select("a", "b")
-    labels = components(good)
-    # What is in one bucket but not yet in one component: compared too, unless the distances to the head differ by more than 1 - SIMILAR.
-    dist = first.select(F.col("a").alias("head"), F.col("b").alias("h"), (1 - F.col("sim")).alias("d"))
-    open_ = shared.join(dist, ["head", "h"], "left").join(labels.withColumnRenamed("v", "h"), "h", "left")
-    open_ = open_.select("key", "h", F.coalesce("label", "h").alias("label"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    mixed = open_.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    open_ = written(open_.where("d > 0").join(mixed, "key", "left_semi"))  # the head itself has been compared with all
-    x = open_.select("key", F.col("h").alias("a"), F.col("label").alias("la"), F.col("d").alias("da"))
-    y = open_.select("key", F.col("h").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"))
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("da") - F.col("db")) <= 1 - SIMILAR + 1e-9))
-    second = verified(materialised(rest.select("a", "b").distinct()), docs)
-    labels = components(good.union(second.where(F.col("sim") >= SIMILAR).select("a", "b")))
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = written(entries.join(sizes, "key"))
+    shared = written(shared.select("key", "h").join(shared.groupBy("h").agg(F.sum("members").alias("known")), "h"))
+    good, labels, pending = None, None, shared
+
+    def labelled(part: DataFrame) -> DataFrame:
+        return part.withColumn("label", F.col("h")) if labels is None else part.join(labels.withColumnRenamed("v", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
+
+    for _ in range(ROUNDS):
+        own = labelled(pending)
+        heads = own.groupBy("key").agg(F.max_by(F.struct("h", "label"), F.struct("known", "h")).alias("head"))
+        met = own.join(heads, "key").where(F.col("label") != F.col("head.label"))
+        pairs = met.select(F.least("h", "head.h").alias("a"), F.greatest("h", "head.h").alias("b")).distinct()
+        found = verified(materialised(pairs), docs).where(F.col("sim") >= SIMILAR).select("a", "b")
+        good = found if good is None else good.union(found)
+        labels = components(good)
+        now = labelled(pending).join(heads.select("key", F.col("head.h").alias("hh")), "key").join(labels.select(F.col("v").alias("hh"), F.col("label").alias("hl")), "hh", "left")
+        pending = written(now.where(F.col("label") != F.coalesce("hl", "hh")).select("key", "h", "known"))
+    every = labelled(shared)
+    open_ = every.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    open_ = written(every.join(open_, "key", "left_semi").select("key", "h", "label"))
+    sketch = sketched(open_.select("h").distinct(), docs)
+    open_ = open_.join(sketch, "h").select("key", "h", "label", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH // 64)])
+    open_ = written(open_)
+    x, y = open_.alias("x"), open_.alias("y")
+    differing = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, SKETCH // 64)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & (differing <= SKETCH_MOST))
+    rest = materialised(rest.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct())
+    if not rest.isEmpty():
+        labels = components(good.union(verified(rest, docs).where(F.col("sim") >= SIMILAR).select("a", "b")))
     named = texts.select("h", "least").join(labels.withColumnRenamed("v", "h"), "h", "left").select("h", "least", F.coalesce("label", "h").alias("label"))
     classes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "h"))["h"].alias("keep"))
-    named = named.join(classes, "label").select("h", "class_id", "keep")
+    named = written(named.join(classes, "label").select("h", "class_id", "keep"))
     return rows.join(named, "h", "left").select("doc_id", "h", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("keep", "h").alias("keep"))
 
 
