@@ -11,8 +11,9 @@ a Jaccard similarity of ``SIMILAR`` or more with it; equal sets have 1. Lines of
 3. Two sets with similarity t share a word among the first ``n - ceil(t n) + 1`` of each, so these prefixes meet by word.
    The sizes may differ by the factor t at most; the positions of a shared word bound the overlap still possible, and a parity
    sketch of 64 bits bounds the symmetric difference from below. What passes is compared word by word.
+   The words are worked off in ``SLICES`` parts, so that only a part of the prefixes is in a shuffle at a time.
 4. First every word's sets meet only its earliest one: nearly all of a group of near copies is decided there, so a group
-   makes as many rows as it has lines. Then the pairs with at least one undecided set meet.
+   makes as many rows as it has lines. Then undecided sets meet those that aren't later.
 
 Rows equal in doc_id and text are decided alike. A document that loses all its lines goes, one that had no lines to lose (null or empty
 text) stays; n_chars, if there, follows the text. Null doc_ids come last. An empty table gives an empty one.
@@ -21,20 +22,24 @@ text) stays; n_chars, if there, follows the text. Null doc_ids come last. An emp
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import lean_shuffles, table, written
+from scoreloom.llm.common import discard, lean_shuffles, table, written
 
 SIMILAR = 0.8
 LEAST = 5
 CLASSES = 1 << 16
+SLICES = 4
 BLANKS = r"[ \t\n\x0B\f\r]+"
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(F.lower(line), BLANKS)), lambda w: w != "")
+    """64-bit hashes of the distinct lower-case words of a line, between blanks."""
+    plain = F.when(line.rlike("[\t\x0B\f\r]"), F.regexp_replace(line, BLANKS, " ")).otherwise(line)
+    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(plain), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _class_table(docs: DataFrame) -> bytes:
@@ -73,62 +78,82 @@ def _passes(x, y) -> Column:
     )
 
 
+def _keyed_text(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """One row per distinct word set: id, at (its earliest line), line, n, sketch and prefix."""
+    """One row per distinct word set: id, at (its earliest line), n, sketch and prefix."""
     classes = _class_table(docs)
-    h = F.unhex(F.md5(F.col("text").cast("binary")))
-    lines = docs.where(F.length("text") > 0).select("doc_id", h.alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    keys = F.sort_array(F.transform(words_of(F.col("line")), lambda w: _key(F.xxhash64(w), classes)))
-    keyed = lines.withColumn("keys", keys).where(F.size("keys") >= LEAST)
+    lines = docs.where(F.length("text") > 0).select("doc_id", _keyed_text().alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    keyed = lines.withColumn("keys", F.sort_array(F.transform(words_of(F.col("line")), lambda w: _key(w, classes)))).where(F.size("keys") >= LEAST)
     n = F.size("keys")
     keyed = keyed.select(
         F.xxhash64("keys").alias("i"), F.xxhash64(F.lit(1), "keys").alias("j"),
-        F.struct(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "line_no").alias("at"), "line", n.alias("n"), _sketch(F.col("keys")).alias("sketch"),
+        F.struct(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "line_no").alias("at"), n.alias("n"), _sketch(F.col("keys")).alias("sketch"),
                  F.slice("keys", F.lit(1), n - F.ceil(n * SIMILAR - 1e-9).cast("int") + 1).alias("prefix")).alias("s"),
     )
     return written(keyed.groupBy("i", "j").agg(F.min("s").alias("s")).select(F.monotonically_increasing_id().alias("id"), "s.*"))
 
 
-def _later(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _later(parts: list[DataFrame], sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of set ids, compared word by word, the ids of the later ones of those that are similar."""
-    pairs = written(pairs.distinct())
+    pairs = written(reduce(DataFrame.union, parts).distinct())
+    discard(*parts)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    lines = written(sets.select("id", "at", "line").join(wanted, "id", "left_semi"))
-    two = pairs.join(lines.select(F.col("id").alias("a"), F.col("at").alias("ta"), F.col("line").alias("la")), "a")
-    two = two.join(lines.select(F.col("id").alias("b"), F.col("at").alias("tb"), F.col("line").alias("lb")), "b")
-    two = two.withColumns({"wa": words_of(F.col("la")), "wb": words_of(F.col("lb"))})
+    places = written(sets.select("id", "at").join(wanted, "id"))
+    by_text = places.groupBy(F.col("at.doc_id").alias("d"), F.col("at.h").alias("h")).agg(F.collect_list(F.struct("id", "at")).alias("all"))
+    read = docs.select("doc_id", "text", _keyed_text().alias("_key")).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_key") == F.col("h")))
+    split = F.split("text", "\n")
+    lines = read.select(F.explode(F.transform("all", lambda x: F.struct(x["id"].alias("id"), x["at"].alias("at"), F.get(split, x["at"]["line_no"]).alias("line")))).alias("x"))
+    lines = written(lines.select("x.id", "x.at", words_of(F.col("x.line")).alias("words")))
+    two = pairs.join(lines.select(F.col("id").alias("a"), F.col("at").alias("ta"), F.col("words").alias("wa")), "a")
+    two = two.join(lines.select(F.col("id").alias("b"), F.col("at").alias("tb"), F.col("words").alias("wb")), "b")
     two = two.where(F.size(F.array_intersect("wa", "wb")) >= _least_overlap(F.size("wa"), F.size("wb")))
-    return written(two.select(F.when(F.col("ta") < F.col("tb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    out = written(two.select(F.when(F.col("ta") < F.col("tb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    discard(pairs, places, lines)
+    return out
 
 
 def earliest(docs: DataFrame) -> DataFrame:
     """(doc_id, h, line_no) of the lines with enough words that stay; h is the text's MD5."""
     sets = _sets(docs)
+    slices = [F.pmod("key", F.lit(SLICES)) == k for k in range(SLICES)]
     doc = F.when(F.col("at.z"), (1 << 63) - 1).otherwise(F.col("at.doc_id"))
-    columns = ["id", doc.alias("doc"), "n", "sketch", F.posexplode("prefix").alias("pos", "key")]
+    entries = sets.select("id", doc.alias("doc"), "n", "sketch", F.posexplode("prefix").alias("pos", "key"))
     by_word = Window.partitionBy("key").orderBy("doc", "id")
     head = F.first(F.struct("id", "n", "pos", "sketch")).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = sets.select(*columns).withColumn("head", head).where(F.col("id") != F.col("head.id"))
-    near = near.where(_passes(F.col, lambda c: F.col(f"head.{c}")))
-    gone = _later(near.select(F.col("head.id").alias("a"), F.col("id").alias("b")), sets)
-    flagged = sets.join(gone.withColumn("decided", F.lit(True)), "id", "left").select("id", "n", "sketch", F.col("decided").isNotNull().alias("decided"), F.posexplode("prefix").alias("pos", "key"))
-    x, y = flagged.alias("x"), flagged.alias("y")
-    of = lambda t: lambda c: F.col(f"{t}.{c}")
-    open_ = (F.col("x.id") < F.col("y.id")) & ~(F.col("x.decided") & F.col("y.decided"))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & open_ & _passes(of("x"), of("y")))
-    more = _later(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), sets)
-    stay = sets.select("id", "at").join(gone, "id", "left_anti").join(more, "id", "left_anti")
-    return stay.select("at.doc_id", "at.h", "at.line_no")
+    parts = []
+    for part in slices:
+        near = entries.where(part).withColumn("head", head).where(F.col("id") != F.col("head.id"))
+        near = near.where(_passes(F.col, lambda c: F.col(f"head.{c}")))
+        parts.append(written(near.select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()))
+    gone = _later(parts, sets, docs)
+    flags = written(sets.select("id", doc.alias("doc"), "n", "sketch", "prefix").join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.col("decided").isNotNull()))
+    parts = []
+    for part in slices:
+        flagged = flags.select("id", "doc", "n", "sketch", "decided", F.posexplode("prefix").alias("pos", "key")).where(part)
+        x, y = flagged.alias("x"), flagged.alias("y")
+        of = lambda t: lambda c: F.col(f"{t}.{c}")
+        open_ = (F.col("x.id") < F.col("y.id")) & ((~F.col("x.decided") & (F.col("y.doc") <= F.col("x.doc"))) | (~F.col("y.decided") & (F.col("x.doc") <= F.col("y.doc"))))
+        rest = x.join(y, (F.col("x.key") == F.col("y.key")) & open_ & _passes(of("x"), of("y")))
+        parts.append(written(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
+    discard(flags)
+    more = _later(parts, sets, docs)
+    stay = written(sets.select("id", "at").join(gone, "id", "left_anti").join(more, "id", "left_anti").select("at.doc_id", "at.h", "at.line_no"))
+    discard(sets, gone, more)
+    return stay
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with later matches removed from their texts; adds n_lines and n_removed."""
     with lean_shuffles(docs.sparkSession):
-        kept = earliest(docs.select("doc_id", "text")).groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("_kept"))
+        stay = earliest(docs.select("doc_id", "text"))
+        kept = stay.groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("_kept"))
         kept = written(kept.withColumnsRenamed({"doc_id": "_id", "h": "_h"}))
+        discard(stay)
     keep = docs.drop("n_lines", "n_removed")
-    h = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    all_ = keep.withColumn("_key", h).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left")
+    all_ = keep.withColumn("_key", _keyed_text()).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left")
     lines = F.split("text", "\n")
     stays = F.filter(lines, lambda line, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i) | (F.size(words_of(line)) < LEAST))
     all_ = all_.withColumn("_stays", F.when(F.length("text") > 0, stays))
