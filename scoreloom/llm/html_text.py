@@ -208,6 +208,9 @@ class Renderer:
                     self.ordered(kid, pre, depth)
                 else:
                     self.render(kid, pre or tag == "pre", inner, depth)
+                if tag == "pre" and (rest := "".join(self.line)).strip():
+                    self.line = []
+                    self.put(rest)
                 self.flush()
                 self.indent -= step
                 self.marker = "" if tag == "li" else self.marker
