@@ -13,6 +13,7 @@ from scoreloom.functions.vocabulary import FEATURES
 from scoreloom.operators import checks, evaluate, extract, match, segment
 from scoreloom.operators import text as tx
 from scoreloom.plans import rules, scoring
+from scoreloom.plans.scratch import saved
 
 
 class Engine:
@@ -22,19 +23,19 @@ class Engine:
         self.lexicon = lexicon if lexicon is not None else lexicons.lexicon(spark)
 
     def lines(self, docs: DataFrame) -> DataFrame:
-        """Sectioned lines of plain texts (doc_id, text)."""
+        """Sectioned lines of plain texts (doc_id, text), computed once: a dozen extractors read them."""
         t = tx.lines(docs).withColumns({"size": F.lit(None).cast("double"), "bold": F.lit(False), "style": F.lit("")})
-        return segment.sections(t)
+        return saved(segment.sections(t))
 
     def entries(self, lines: DataFrame) -> DataFrame:
         e = segment.entries(lines.where("not is_heading"), self.today)
         keys = lines.groupBy("doc_id", "section_no").agg(F.first("section_key").alias("section_key"))
         return e.join(keys, ["doc_id", "section_no"])
 
-    def features(self, docs: DataFrame, statements: DataFrame | None = None) -> DataFrame:
+    def features(self, docs: DataFrame, statements: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
         """Long features of every document, derived ones included."""
-        lines = self.lines(docs)
-        entries = self.entries(lines)
+        lines = self.lines(docs) if lines is None else lines
+        entries = saved(self.entries(lines))
         found = match.mentions(docs, self.lexicon.drop("category"), ["doc_id"])
         parts = [
             extract.education(lines), extract.coursework(lines), extract.coding(lines), extract.gate_exam(lines), extract.exam_stages(lines), extract.faculty(lines), extract.spoken(lines), extract.personal(lines),
@@ -45,7 +46,7 @@ class Engine:
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
-        return extract.derived_features(every, self.today)
+        return extract.derived_features(saved(every), self.today)
 
     def wide(self, features: DataFrame, names: list[str] | None = None) -> DataFrame:
         """One row per document with a typed column per feature; null means not stated."""
@@ -69,10 +70,10 @@ class Engine:
     def suggestions(self, scores: DataFrame, category: str) -> DataFrame:
         return scoring.suggestions(scores, rules.lookup(self.categories, category), {n: n for n in FEATURES}, "doc_id")
 
-    def checks(self, docs: DataFrame, category: str | None = None) -> DataFrame:
+    def checks(self, docs: DataFrame, category: str | None = None, lines: DataFrame | None = None) -> DataFrame:
         """(doc_id, ats, checks): the documents' readability."""
         e = checks.evidence_of(docs)
-        found = segment.section_map(self.lines(docs))
+        found = segment.section_map(self.lines(docs) if lines is None else lines)
         e = e.join(found, "doc_id", "left")
         expected = rules.lookup(self.categories, category).sections if category else ("education", "experience", "skills")
         e = e.withColumns({
@@ -83,10 +84,10 @@ class Engine:
         total = evaluate.rolled_up(rows, "doc_id", "grp", "weight", "score", checks.group_weight(F.col("grp"))).withColumnRenamed("score", "ats")
         return total.join(rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("check", "status", "score"))).alias("checks")), "doc_id")
 
-    def fit(self, docs: DataFrame, jds: DataFrame, embed=match.hashed_embedding) -> DataFrame:
+    def fit(self, docs: DataFrame, jds: DataFrame, embed=match.hashed_embedding, lines: DataFrame | None = None) -> DataFrame:
         """(doc_id, jd_id, fit): every document against the description it names in jd_id."""
         reqs = match.requirements(jds).withColumn("vector", embed(F.col("requirement")))
-        pieces = match.chunks(self.lines(docs)).join(docs.select("doc_id", "jd_id"), "doc_id").withColumn("vector", embed(F.col("text")))
+        pieces = match.chunks(self.lines(docs) if lines is None else lines).join(docs.select("doc_id", "jd_id"), "doc_id").withColumn("vector", embed(F.col("text")))
         pairs = docs.select("doc_id", "jd_id").join(reqs, "jd_id")
         best = match.best_chunks(pairs.select("doc_id", "jd_id", "req_no", "vector"), pieces.select("doc_id", "jd_id", "chunk_no", "vector"), ["doc_id", "jd_id"], "req_no", "chunk_no")
         m = pairs.select("doc_id", "jd_id", "req_no", "importance").join(best, ["doc_id", "jd_id", "req_no"]).withColumn("score", rounded(match.calibrated(F.col("similarity")), 3))
@@ -94,9 +95,10 @@ class Engine:
 
     def analyze(self, docs: DataFrame, category: str, jds: DataFrame | None = None, statements: DataFrame | None = None) -> DataFrame:
         """One row per document: score, confidence, eligible, ats, fit, overall and their levels."""
-        s = self.score(self.features(docs, statements), category).select("doc_id", "score", "confidence", "eligible")
-        out = docs.select("doc_id").join(s, "doc_id", "left").join(self.checks(docs, category).select("doc_id", "ats"), "doc_id", "left")
-        out = out.join(self.fit(docs, jds).drop("jd_id"), "doc_id", "left") if jds is not None else out.withColumn("fit", F.lit(None).cast("double"))
+        lines = self.lines(docs)
+        s = self.score(self.features(docs, statements, lines), category).select("doc_id", "score", "confidence", "eligible")
+        out = docs.select("doc_id").join(s, "doc_id", "left").join(self.checks(docs, category, lines).select("doc_id", "ats"), "doc_id", "left")
+        out = out.join(self.fit(docs, jds, lines=lines).drop("jd_id"), "doc_id", "left") if jds is not None else out.withColumn("fit", F.lit(None).cast("double"))
         return out.withColumns({"overall": scoring.blend(F.col("score"), F.col("fit"), F.col("ats")), "level": scoring.level(F.col("score"))})
 
     @staticmethod

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from scoreloom.operators import text as tx
 
 IMAGES = ("jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp")
+#: Windows-1252 differs from ISO-8859-1 in these 32 places, five of which it leaves open.
+C1 = "".join(map(chr, range(0x80, 0xA0)))
+WINDOWS = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0))
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -19,7 +22,7 @@ def decoded(content: Column) -> Column:
     """UTF-16 with a byte order mark, UTF-8 with or without one, else Windows-1252; null if there are NUL characters."""
     mark = F.hex(F.substring(content, 1, 2))
     utf8 = F.try_validate_utf8(content.cast("string"))
-    body = F.when(mark == "FFFE", F.decode(F.substring(content, F.lit(3), F.length(content)), "UTF-16LE")).when(mark == "FEFF", F.decode(F.substring(content, F.lit(3), F.length(content)), "UTF-16BE")).otherwise(F.coalesce(utf8, F.decode(content, "windows-1252")))
+    body = F.when(mark == "FFFE", F.decode(F.substring(content, F.lit(3), F.length(content)), "UTF-16LE")).when(mark == "FEFF", F.decode(F.substring(content, F.lit(3), F.length(content)), "UTF-16BE")).otherwise(F.coalesce(utf8, F.translate(F.decode(content, "ISO-8859-1"), C1, WINDOWS)))
     body = F.regexp_replace(body, "^﻿", "")
     return F.when(~F.contains(body, F.lit("\x00")), body)
 
