@@ -1,13 +1,15 @@
 """Line dedup by an exact set-similarity join of lines, with DataFrame functions only.
 
 A line is the set of its lower-case words. A line goes if an earlier one (by doc_id, then text, then line number) has
-a Jaccard similarity of ``SIMILAR`` or more with it; equal sets have 1. Lines of fewer than ``LEAST`` words always stay.
+a Jaccard similarity of ``SIMILAR`` or more with it; equal sets have 1. Every line that isn't blank takes part, whatever its
+length; blank lines always stay. A line without blanks is one word.
 
 1. Words are counted over all lines, in ``CLASSES`` hash buckets. That fixed-size table gives every word a rarity class
    of 7 bits, the leading bits of a 64-bit key whose rest is the word's hash; sorting a line's keys orders its words from
    rare to frequent, the same way in every line. Words that share a bucket share a class, which changes only the
    order's quality, not the result.
-2. Lines of equal sets (128 bits of hash) are one set with its earliest line; copies cost nothing further on.
+2. Lines of equal sets (128 bits of hash) are one set with its earliest line; copies cost nothing further on. Sets of fewer
+   than ``JOINED`` words are similar to none but their equals, so they need no more; four words and those with one more have 0.8.
 3. Two sets with similarity t share a word among the first ``n - ceil(t n) + 1`` of each, so these prefixes meet by word.
    The sizes may differ by the factor t at most; the positions of a shared word bound the overlap still possible, and a parity
    sketch of 64 bits bounds the symmetric difference from below. What passes is compared word by word.
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from scoreloom.llm.common import discard, lean_shuffles, table, written
 
 SIMILAR = 0.8
-LEAST = 5
+LEAST = 1
+JOINED = math.ceil(SIMILAR / (1 - SIMILAR) - 1e-9)
 CLASSES = 1 << 16
 SLICES = 4
 BLANKS = r"[ \t\n\x0B\f\r]+"
@@ -42,6 +45,10 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(plain), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
+def is_blank(line: Column) -> Column:
+    return ~line.rlike(r"[^ \t\n\x0B\f\r]")
+
+
 def _class_table(docs: DataFrame) -> bytes:
     """For each hash bucket 1 + the rounded logarithm of its words' count; 64 KB whatever the input's size."""
     words = docs.select(F.explode(F.split(F.lower("text"), BLANKS)).alias("w"))
@@ -91,7 +98,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     keyed = keyed.select(
         F.xxhash64("keys").alias("i"), F.xxhash64(F.lit(1), "keys").alias("j"),
         F.struct(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "line_no").alias("at"), n.alias("n"), _sketch(F.col("keys")).alias("sketch"),
-                 F.slice("keys", F.lit(1), n - F.ceil(n * SIMILAR - 1e-9).cast("int") + 1).alias("prefix")).alias("s"),
+                 F.slice("keys", F.lit(1), F.when(n >= JOINED, n - F.ceil(n * SIMILAR - 1e-9).cast("int") + 1).otherwise(0)).alias("prefix")).alias("s"),
     )
     return written(keyed.groupBy("i", "j").agg(F.min("s").alias("s")).select(F.monotonically_increasing_id().alias("id"), "s.*"))
 
@@ -116,7 +123,7 @@ def _later(parts: list[DataFrame], sets: DataFrame, docs: DataFrame) -> DataFram
 
 
 def earliest(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, line_no) of the lines with enough words that stay; h is the text's MD5."""
+    """(doc_id, h, line_no) of the lines with words that stay; h is the text's MD5."""
     sets = _sets(docs)
     slices = [F.pmod("key", F.lit(SLICES)) == k for k in range(SLICES)]
     doc = F.when(F.col("at.z"), (1 << 63) - 1).otherwise(F.col("at.doc_id"))
@@ -155,7 +162,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     keep = docs.drop("n_lines", "n_removed")
     all_ = keep.withColumn("_key", _keyed_text()).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left")
     lines = F.split("text", "\n")
-    stays = F.filter(lines, lambda line, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i) | (F.size(words_of(line)) < LEAST))
+    stays = F.filter(lines, lambda line, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i) | is_blank(line))
     all_ = all_.withColumn("_stays", F.when(F.length("text") > 0, stays))
     left = F.when(F.size("_stays") == F.size(lines), F.col("text")).otherwise(F.array_join("_stays", "\n"))
     out = all_.withColumns({

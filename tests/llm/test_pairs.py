@@ -58,6 +58,13 @@ def test_line_dedup_is_exact(spark):
     assert sum(r.n_removed for r in got) > 50
 
 
+def test_line_dedup_takes_lines_of_any_length(spark):
+    dull = "never again " * 40
+    rows = [(1, f"{dull}\nTo be\n東京は日本の首都です\none two three four\n\none two three"), (2, f"new\nto  BE\n{dull}\n東京は日本の首都です\n\n \t"), (3, "four three two one zero\nto be or"), (4, "new")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("new\n\n \t", 3), 3: ("to be or", 1), 4: ("", 1)}
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
