@@ -3,7 +3,8 @@
 Pivots (at most ``PIVOTS`` query vectors, by hash of vec_id) split the queries into cells. Of every cell the driver gets
 a summary: number of queries and radius r, the largest distance of a query from its pivot p. For any query q of the cell
 and any vector v, ``p.v - r|v| <= q.v <= p.v + r|v|``. One pass over the data takes, per cell, the k+1 highest lower
-bounds (one may be the query itself); the last of them is a score that k vectors are certain to reach. A second pass sends v to
+bounds of different vec_ids (one may be the query's own, however often it is there); the last of them is a score that k
+vectors of other ids are certain to reach. A second pass sends v to
 a cell only if its upper bound reaches that score. Cells are then solved locally, split into blocks of at most about
 ``BLOCK`` vectors and ``QUERIES`` queries by hash of vec_id, so neither a hot cell nor copies of one vector end in one task, and
 the blocks' best k are merged per query. Exact for any data; where cells are wide (as for unclustered vectors) more is sent.
@@ -100,14 +101,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return _bounded(x @ centre.T + (reach if up else -reach), up)
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.empty((0, len(own)))
+        best = [(np.empty(0, np.int64), np.empty(0)) for _ in own]
         for b in batches:
-            best = np.sort(np.concatenate([best, bounds(_matrix(b.column("v"), dim), False)]), axis=0)[-(k + 1) :]
-        if len(best):
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(own, len(best)).astype(np.int32)), pa.array(best.ravel())], names=["cell", "low"])
+            ids, low = b.column("vec_id").to_numpy(), bounds(_matrix(b.column("v"), dim), False)
+            order = np.argsort(ids, kind="stable")
+            ids, first = np.unique(ids[order], return_index=True)
+            low = np.maximum.reduceat(low[order], first) if len(ids) else low
+            for c, (known, reached) in enumerate(best):
+                i, x = np.concatenate([known, ids]), np.concatenate([reached, low[:, c]])
+                at = np.argsort(-x, kind="stable")[: 2 * (k + 1)]  # an id is there twice at most
+                at = at[np.sort(np.unique(i[at], return_index=True)[1])][: k + 1]
+                best[c] = (i[at], x[at])
+        cell = np.repeat(own, [len(i) for i, _ in best]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([x for _, x in best]))], names=["cell", "vec_id", "low"])
 
     by_cell = Window.partitionBy("cell").orderBy(F.col("low").desc())
-    low = vectors.select("v").mapInArrow(lowest, "cell int, low double").withColumn("at", F.row_number().over(by_cell)).where(F.col("at") == k + 1)
+    low = vectors.select("vec_id", "v").mapInArrow(lowest, "cell int, vec_id long, low double").groupBy("cell", "vec_id").agg(F.max("low").alias("low"))
+    low = low.withColumn("at", F.row_number().over(by_cell)).where(F.col("at") == k + 1)
     sure = {r.cell: r.low for r in low.select("cell", "low").collect()}
     least = np.array([sure.get(c, -np.inf) for c in own])
     blocks = max(1, math.ceil(n / BLOCK))

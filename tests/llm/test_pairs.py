@@ -148,6 +148,21 @@ def test_knn_with_copies_and_bad_rows(spark, monkeypatch):
     assert knn_join.top_k(none, none).count() == 0
 
 
+def test_knn_with_repeated_rows_of_a_query(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, (rng.normal(size=4) / 4).tolist()) for k in range(250)]
+    rows[0], rows[100] = (0, [1.0, 1.0, 0.0, 0.0]), (100, [0.0, 0.0, 1.0, 1.0])
+    rows += [rows[0]] + [rows[100]] * 14 + [(7, rows[0][1])] * 3 + [(200, [0.25, 0.0, 0.25, 0.0])]
+    v = knn_join.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = collections.defaultdict(list)
+    for r in knn_join.top_k(v, v.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ints = [(i, np.floor(np.array(x) * 1024).astype(np.int64)) for i, x in rows]
+    for q in (0, 100, 200):
+        want = sorted(((i, int(y @ x)) for y in {tuple(x) for i, x in ints if i == q} for i, x in ints if i != q), key=lambda s: (-s[1], s[0]))[:10]
+        assert got[q] == want
+
+
 @pytest.mark.parametrize("text", ["", None])
 def test_no_shingles(text):
     assert len(bag.shingles(text, bag.WordHashes())[0]) == 0
