@@ -1,7 +1,9 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 One pattern finds e-mail addresses, telephone and card numbers (with a valid check digit), IP addresses, social security
-numbers, access keys, assigned passwords and tokens, and names after a title. Every distinct entity (kind and normal
+numbers, access keys, assigned passwords and tokens, and names after a title. A run of digits that is no card as a whole is searched
+for cards between its blanks and hyphens; a name found in a text is replaced there without its title too, whole or by one of
+its words, if it begins with a capital. Every distinct entity (kind and normal
 form) gets one replacement, derived from a key by SHA-256: digits become digits and letters letters in the same case and
 places, a number keeps its country code or first digit and its valid check digit, an address stays an address, a hexadecimal value
 hexadecimal, and a name is made in its title's gender and its own script. So equal entities stay equal in all documents and
@@ -41,7 +43,10 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
+# Groups of digits with one blank or hyphen between, 13 digits or more in all, up to where another kind of number begins. Nothing here recurs or backtracks by length.
+GROUP = r"\d++(?!\w|-(?!\d++(?!\w)))"
+CARD = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}}){GROUP}(?:[ -](?!{PHONE}|{IP}|{SSN}){GROUP})*+"
+CARD_SHAPE = "^(?:1[3-9]|4-4-4-[1-4]|4-4-4-4-[1-3]|4-6-[45])$"
 ACCESS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,}"
 NAME = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
@@ -60,16 +65,83 @@ def _luhn(digits: Column, odd: int) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + v)
 
 
+def _is_card(digits: Column) -> Column:
+    return F.when(F.length(digits).between(13, 19), (_luhn(digits, 1) % 10 == 0) & (digits.cast("decimal(20,0)") > 0)).otherwise(False)
+
+
 def kind_of(found: Column) -> Column:
     """The kind of a match, null for a number whose check digit is wrong."""
     whole = lambda p: found.rlike(f"^(?:{p})$")
-    digits = _digits_of(found)
     return (
         F.when(whole(EMAIL), "email").when(whole(ACCESS), "access").when(whole(SECRET), "secret").when(whole(PHONE), "phone").when(whole(IP), "ip").when(whole(SSN), "ssn")
-        .when(whole(r"\d(?:[ -]?\d){12,18}"), F.when((_luhn(digits, 1) % 10 == 0) & (digits.cast("decimal(20,0)") > 0), "card")).when(whole(NAME), "name")
+        .when(whole(r"\d(?:[ -]?\d){12,18}"), F.when(_is_card(_digits_of(found)), "card")).when(whole(NAME), "name")
     )
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once also for use in inner functions."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def pieces(found: Column) -> Column:
+    """A match as its pieces in order: itself, or, for a run of digits that is nothing as a whole, the cards in it and what stands between.
+
+    From left to right a card in a usual shape goes first, then the longest one in which no card of a usual shape begins."""
+
+    def spans(groups: Column) -> Column:
+        digits = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
+        shape = lambda i, n: F.array_join(F.transform(F.slice(groups, i + 1, n), lambda g: F.length(g).cast("string")), "-")
+        valid = lambda i: F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i)), lambda n: _is_card(digits(i, n)))
+        longest = lambda lengths: F.coalesce(F.array_max(lengths), F.lit(0))
+        at = lambda i: _let(valid(i), lambda v: F.struct(longest(F.filter(v, lambda n: shape(i, n).rlike(CARD_SHAPE))).alias("usual"), longest(v).alias("any")))
+        return F.transform(F.sequence(F.lit(0), F.size(groups) - 1), at)
+
+    def chosen(span: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            x = F.get(span, i)
+            free = ~F.exists(F.slice(span, i + 2, F.greatest(x["any"] - 1, F.lit(0))), lambda y: y["usual"] > 0)
+            n = F.when(i < s["free"], 0).when(x["usual"] > 0, x["usual"]).when((x["any"] > 0) & free, x["any"]).otherwise(0)
+            return _let(n, lambda n: F.when(n > 0, F.struct((i + n).alias("free"), F.concat(s["out"], F.array(F.struct(i.alias("a"), n.alias("n")))).alias("out"))).otherwise(s))
+
+        none = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<a:int,n:int>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(span) - 1), none, step)["out"]
+
+    def cut(tokens: Column, cards: Column) -> Column:
+        """``tokens``: the groups and, between them, their separators."""
+        after = lambda k: F.when(k > 0, F.get(cards, k - 1)["a"] + F.get(cards, k - 1)["n"]).otherwise(0)
+        first = lambda p: F.when(p > 0, 2 * p - 1).otherwise(0)
+        part = lambda lo, n: F.array_join(F.slice(tokens, lo + 1, n), "")
+        both = F.flatten(F.transform(cards, lambda x, k: F.array(part(first(after(k)), 2 * x["a"] - first(after(k))), part(2 * x["a"], 2 * x["n"] - 1))))
+        rest = first(after(F.size(cards)))
+        return F.filter(F.concat(both, F.array(part(rest, F.size(tokens) - rest))), lambda x: x != "")
+
+    searched = _let(F.split(found, "(?<=[ -])|(?=[ -])"), lambda tokens: _let(_let(_let(F.split(found, "[ -]"), spans), chosen), lambda cards: cut(tokens, cards)))
+    return F.when(found.rlike("^[0-9][0-9 -]{12,}$") & kind_of(found).isNull(), searched).otherwise(F.array(found))
+
+
+def name_forms(pos: Column, norm: Column, surrogate: Column) -> Column:
+    """How a name may be said without its title: whole, then by one of its words; each with what takes its place."""
+    words, puts = F.split(F.substring(norm, 3, 1 << 30), " "), F.split(surrogate, " ")
+    whole = F.array(F.struct(F.lit(0).alias("part"), pos.alias("pos"), F.substring(norm, 3, 1 << 30).alias("said"), surrogate.alias("put")))
+    single = F.transform(words, lambda w, i: F.struct(F.lit(1).alias("part"), pos.alias("pos"), w.alias("said"), F.coalesce(F.get(puts, i), surrogate).alias("put")))
+    return F.when(F.size(words) > 1, F.concat(whole, single)).otherwise(whole)
+
+
+def _mention(names: Column) -> Column:
+    """A pattern of the names (letters, hyphens, apostrophes and blanks only), longer ones first, that begin with a capital."""
+    by_length = F.array_sort(F.transform(F.array_distinct(F.transform(names, lambda x: x["said"])), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    return F.concat(F.lit(r"(?<![\p{L}\p{M}])(?=\p{Lu})(?iu:"), F.array_join(F.transform(by_length, lambda x: x["w"]), "|"), F.lit(r")(?![\p{L}\p{M}])"))
+
+
+def _without_names(part: Column, pattern: Column, names: Column) -> Column:
+    def put(said: Column) -> Column:
+        to = F.get(F.filter(names, lambda x: x["said"] == F.lower(said)), 0)["put"]
+        return F.coalesce(F.when(F.upper(said) == said, F.upper(to)).otherwise(to), said, F.lit(""))
+
+    said = F.regexp_extract_all(part, pattern, F.lit(0))
+    return F.array_join(F.transform(F.split(part, pattern, -1), lambda s, i: F.concat(s, put(F.get(said, i)))), "")
+
+
 def normal_form(kind: Column, found: Column) -> Column:
     name = F.regexp_replace(found, HEAD_NAME, "")
     gender = F.when(found.rlike(rf"^(?:{FEMALE})\b"), "f").otherwise("m")
@@ -164,13 +236,21 @@ def anonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     has = F.coalesce(F.col(text).rlike(ALL), F.lit(False))
     h = F.unhex(F.md5(F.col(text).cast("binary")))
     found = keep.where(has).select(h.alias("h"), F.regexp_extract_all(text, F.lit(ALL), 0).alias("all")).groupBy("h").agg(F.first("all").alias("all"))
-    found = found.select("h", F.posexplode("all").alias("pos", "found")).withColumn("kind", kind_of(F.col("found")))
+    found = found.select("h", F.posexplode("all").alias("pos", "run")).select("h", "pos", F.posexplode(pieces(F.col("run"))).alias("sub", "found")).withColumn("kind", kind_of(F.col("found")))
     found = written(found.withColumn("norm", normal_form(F.col("kind"), F.col("found"))))
     named = assigned(materialised(found.where("kind is not null").select("kind", "norm").distinct()), key)
-    put = found.join(named, ["kind", "norm"], "left").select("h", "pos", "kind", F.when(F.col("surrogate").isNull(), F.col("found")).otherwise(written_as(F.col("kind"), F.col("found"), F.col("surrogate"))).alias("put"))
-    put = put.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("pos", "put"))).alias("_put"), F.count("kind").alias("n_entities")).withColumnRenamed("h", "_h")
-    parts = F.transform(F.split(text, ALL, -1), lambda s, i: F.concat(s, F.coalesce(F.get("_put", i)["put"], F.lit(""))))
-    changed = keep.where(has).withColumn("_key", h).join(put, F.col("_key") == F.col("_h")).withColumn("_text", F.array_join(parts, ""))
+    put = found.join(named, ["kind", "norm"], "left").select(
+        "h", "pos", "sub", "kind", F.when(F.col("surrogate").isNull(), F.col("found")).otherwise(written_as(F.col("kind"), F.col("found"), F.col("surrogate"))).alias("put"),
+        F.when(F.col("kind") == "name", name_forms(F.col("pos"), F.col("norm"), F.col("surrogate"))).alias("forms"),
+    )
+    put = put.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "put"))).alias("_put"), F.array_sort(F.flatten(F.collect_list("forms"))).alias("_names"), F.count("kind").alias("_n")).withColumnRenamed("h", "_h")
+    changed = keep.where(has).withColumn("_key", h).join(put, F.col("_key") == F.col("_h"))
+    changed = changed.withColumn("_parts", F.split(text, ALL, -1)).withColumn("_mention", F.when(F.size("_names") > 0, _mention(F.col("_names"))))
+    said = F.aggregate("_parts", F.lit(0).cast("long"), lambda n, s: n + F.regexp_count(s, F.col("_mention")))
+    changed = changed.withColumn("n_entities", F.col("_n") + F.coalesce(said, F.lit(0)))
+    changed = changed.withColumn("_parts", F.when(F.col("_mention").isNull(), F.col("_parts")).otherwise(F.transform("_parts", lambda s: _without_names(s, F.col("_mention"), F.col("_names")))))
+    pairs = F.transform("_put", lambda x: F.concat(F.when(x["sub"] == 0, F.get("_parts", x["pos"])).otherwise(""), x["put"]))
+    changed = changed.withColumn("_text", F.concat(F.array_join(pairs, ""), F.element_at("_parts", -1)))
     changed = changed.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in keep.columns], "n_entities")
     return changed.union(keep.where(~has).withColumn("n_entities", F.lit(0).cast("long")))
 

@@ -56,6 +56,29 @@ def test_surrogates(spark):
     assert surrogates.anonymised(df.limit(0), "k").count() == 0
 
 
+def test_surrogates_find_cards_among_other_digits(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [
+        f"card {card} 12/27", f"{card} 123.", "4111111111111111 12 apples", f"1234 {card}", f"{card} 5500 0000 0000 0004 12", f"{card}-123", f"{card} 123-45-6789",
+        "12345 123-45-6789 0000", f"no 77 {amex} 9 10.2.3.4", "1234567890123 4567", "0" * 30_000, "1 " * 3_000, "1111 1111 1111 12ab",
+    ]
+    got = {r.doc_id: r for r in surrogates.anonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    to = got[0].text[5:24]
+    assert to != card and [got[k].text for k in (0, 1, 3, 5)] == [f"card {to} 12/27", f"{to} 123.", f"1234 {to}", f"{to}-123"] and got[2].text == to.replace(" ", "") + " 12 apples"
+    assert got[4].text.startswith(to + " 5") and got[4].text.endswith(" 12") and "5500 0000 0000 0004" not in got[4].text and got[4].n_entities == 2
+    assert got[6].text.startswith(to + " ") and got[6].n_entities == 2 and "123-45-6789" not in got[6].text + got[7].text and got[7].n_entities == 1
+    assert re.fullmatch(r"no 77 3\d{3} \d{6} \d{5} 9 [\d.]+", got[8].text) and amex not in got[8].text and got[8].n_entities == 2
+    assert all(got[k].text == texts[k] for k in (9, 10, 12)) and len(got[11].text) == len(texts[11])
+
+
+def test_surrogates_of_names_without_title(spark):
+    texts = ["Max Müller kam. Herr Max Müller und Frau Schmidt; dann MAX MÜLLER, Müller, Max und Schmidts Hund bei Schmidt. Maxime, max.", "Max Müller"]
+    got = {r.doc_id: r for r in surrogates.anonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    first, last, other = re.search(r"Herr (\w+) (\w+) und Frau (\w+);", got[0].text).groups()
+    assert len({first, last, other, "Max", "Müller", "Schmidt"}) == 6 and got[0].n_entities == 7 and got[1].text == texts[1]
+    assert got[0].text == f"{first} {last} kam. Herr {first} {last} und Frau {other}; dann {first.upper()} {last.upper()}, {last}, {first} und Schmidts Hund bei {other}. Maxime, max."
+
+
 def test_surrogates_are_distinct(spark):
     rows = [("ip", f"10.0.{k // 250}.{k % 250}") for k in range(2000)] + [("name", f"m:{chr(97 + k // 26)}{chr(97 + k % 26)}x") for k in range(600)]
     got = surrogates.assigned(spark.createDataFrame(rows, "kind string, norm string"), "k").collect()
