@@ -3,7 +3,8 @@
 A tokenizer feeds a tree builder that closes elements whose end tags are implied (paragraphs before blocks, list items,
 definition terms, rows, cells, options) and ignores end tags that match nothing open. Elements are invisible by kind
 (script, style, head and the like), by attribute (hidden, closed dialogs, hidden inputs), by inline style and by simple selectors
-(tag, .class, #id) of the page's own style sheets that set ``display: none`` or ``visibility: hidden``. The renderer emits
+(tag, .class, #id) of the page's own style sheets that set ``display: none`` or ``visibility: hidden`` on a screen of ``SCREEN``
+pixels, where a later or more specific one of them doesn't undo it. The renderer emits
 all visible text: white space collapsed outside ``pre``, blocks on lines of their own with a blank line around
 paragraphs, headings, lists and tables, list items with their marker and indent, and table cells padded to their
 column's width. Elements nested deeper than ``DEPTH`` are attached at that depth, as browsers do, so no page exhausts the stack.
@@ -26,8 +27,10 @@ from pyspark.sql import types as T
 from scoreloom.llm.common import table
 
 DEPTH = 200
+SCREEN = (1280, 800)
 # Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+HEAD = set("title meta link base basefont bgsound style script noscript noframes template".split())
 UNSEEN = set("head script style template noscript title meta link datalist object audio video canvas iframe svg map".split())
 BLOCK = set("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr caption thead tbody tfoot".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
@@ -48,7 +51,9 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_CSS = re.compile(r"""[^"'\\{};]+|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|\\.?|[{};]""", re.S)
+_WIDTH = re.compile(r"(-?\d*\.?\d+)(px|em|rem|pt|cm|mm|in)?$")
+_PX = {None: 1, "px": 1, "em": 16, "rem": 16, "pt": 96 / 72, "cm": 96 / 2.54, "mm": 96 / 25.4, "in": 96}
 _SIMPLE = re.compile(r"([a-z][\w-]*)?([.#][\w-]+)?$", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -82,7 +87,7 @@ class Builder(HTMLParser):
             self._end_open(*IMPLIED[tag])
         if tag in CLOSES_P:
             self._end_open({"p"}, {"table", "td", "th", "li", "button", "caption"})
-        if tag in BLOCK and self.open[-1].tag == "head" and tag != "html":
+        if self.open[-1].tag == "head" and tag not in HEAD and tag not in ("html", "head"):
             self.open.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[min(len(self.open), DEPTH) - 1].kids.append(node)
@@ -108,25 +113,129 @@ class Builder(HTMLParser):
 
     def handle_data(self, data):
         top = self.open[-1]
-        if top.tag == "style":
+        if top.tag == "style" and on_screen(top.attrs.get("media", "")):
             self.css.append(data)
+        if top.tag == "head" and data.strip(" \t\n\r\f"):
+            self.open.pop()
         self.open[min(len(self.open), DEPTH) - 1].kids.append(data)
 
 
-def hiding(css: list[str]) -> set[tuple[str, str]]:
-    """(tag, .class or #id) pairs that a style sheet hides; either may be empty."""
-    found = set()
-    for heads, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", "\n".join(css), flags=re.S)):
-        if _GONE.search(body):
-            for head in heads.split(","):
-                m = _SIMPLE.match(head.strip())
-                if m and m[0]:
-                    found.add(((m[1] or "").lower(), m[2] or ""))
+def _pixels(value: str) -> float | None:
+    m = _WIDTH.match(value.strip())
+    return float(m[1]) * _PX[m[2]] if m else None
+
+
+def _feature(text: str) -> bool | None:
+    """Whether one media feature holds on the screen; None if it isn't known."""
+    size = {"width": SCREEN[0], "height": SCREEN[1], "device-width": SCREEN[0], "device-height": SCREEN[1]}
+    fixed = {"orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "enabled"}
+    name, colon, value = (x.strip() for x in text.partition(":"))
+    if colon:
+        side, plain = (name[:3], name[4:]) if name[:4] in ("min-", "max-") else ("", name)
+        if plain in size:
+            n = _pixels(value)
+            return None if n is None else size[plain] >= n if side == "min" else size[plain] <= n if side == "max" else size[plain] == n
+        return fixed[name] == value if name in fixed else None
+    terms = re.split(r"(<=|>=|<|>|=)", text)
+    if len(terms) in (3, 5):
+        n = [size.get(x.strip(), _pixels(x)) for x in terms[::2]]
+        holds = {"<=": float.__le__, ">=": float.__ge__, "<": float.__lt__, ">": float.__gt__, "=": float.__eq__}
+        return None if None in n else all(holds[op](float(x), float(y)) for x, op, y in zip(n, terms[1::2], n[1:]))
+    return True if name in size or name in fixed or name == "color" else None
+
+
+def _condition(text: str, types: bool = True) -> bool | None:
+    """A media query without commas: types and bracketed features, joined by not, and, or. What isn't known stays so."""
+    text, depth, cut, parts = text.strip(), 0, 0, []
+    if text.count("(") + text.count("not") > DEPTH:
+        return None
+    for k, c in enumerate(text):  # at depth 0: words and brackets
+        if c == "(":
+            if not depth:
+                parts += text[cut:k].split()
+                cut = k + 1
+            depth += 1
+        elif c == ")" and depth:
+            depth -= 1
+            if not depth:
+                parts.append("(" + text[cut:k])
+                cut = k + 1
+    parts += text[cut:].split() if not depth else ["?"]
+    if parts[:1] == ["only"]:
+        parts = parts[1:]
+    if parts[:1] == ["not"]:
+        rest = _condition(" ".join(f"{x})" if x[0] == "(" else x for x in parts[1:]), types)
+        return None if rest is None else not rest
+    found = [x for x in parts if x not in ("and", "or")]
+    values = []
+    for x in found:
+        if x[0] == "(":
+            inner = x[1:].strip()
+            values.append(_condition(inner, False) if inner.startswith(("(", "not ", "not(")) else _feature(inner))
+        else:
+            values.append(x in ("all", "screen") if types and x in ("all", "screen", "print", "speech", "tty", "tv", "projection", "handheld", "braille", "embossed", "aural") else None)
+    if "or" in parts:
+        return True if True in values else None if None in values else False
+    return False if False in values else None if None in values else True
+
+
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on a screen; an empty one does."""
+    media = media.strip().lower()
+    return not media or any(q.strip() and _condition(q) is True for q in media.split(","))
+
+
+def hiding(css: list[str]) -> dict[tuple[str, str], dict[str, tuple[bool, int, bool]]]:
+    """Per simple selector (tag, .class or #id; either may be empty) and property: whether important, place, whether it hides."""
+    found: dict[tuple[str, str], dict[str, tuple[bool, int, bool]]] = {}
+    place = 0
+
+    def declare(said: str, keys: list[tuple[str, str]]) -> None:
+        nonlocal place
+        name, _, value = said.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if name in ("display", "visibility") and value:
+            important = value.endswith("important")
+            value = value.partition("!")[0].strip()
+            place += 1
+            for key in keys:
+                known = found.setdefault(key, {})
+                known[name] = max(known.get(name, (False, 0, False)), (important, place, value == "none" if name == "display" else value in ("hidden", "collapse")))
+
+    for sheet in css:
+        text = re.sub(r"/\*.*?(?:\*/|$)|<!--|-->", " ", sheet, flags=re.S)
+        # Open blocks: (whether it holds, selectors that its declarations are for)
+        open_: list[tuple[bool, list[tuple[str, str]]]] = [(True, [])]
+        said = ""
+        for token in _CSS.findall(text):
+            live, keys = open_[-1]
+            if token == "{":
+                head = said.strip()
+                word = re.match(r"@([\w-]+)", head)
+                if word:
+                    name, rest = word[1].lower(), head[word.end() :]
+                    holds = on_screen(rest) if name == "media" else name == "layer" or (name == "supports" and "not" not in re.findall(r"[\w-]+", rest.lower()))
+                    open_.append((live and holds, keys))
+                else:
+                    simple = [_SIMPLE.match(x.strip()) for x in head.split(",")] if not keys else []  # nested rules are for compound selectors
+                    own = [((m[1] or "").lower(), m[2] or "") for m in simple if m and m[0]]
+                    open_.append((live and bool(own), own))
+                said = ""
+            elif token in (";", "}"):
+                if live and keys and said.strip():
+                    declare(said, keys)
+                said = ""
+                if token == "}" and len(open_) > 1:
+                    open_.pop()
+            else:
+                said += token
+        if open_[-1][0] and open_[-1][1]:
+            declare(said, open_[-1][1])  # the end of the sheet ends what is open
     return found
 
 
 class Renderer:
-    def __init__(self, hidden: set[tuple[str, str]]):
+    def __init__(self, hidden: dict[tuple[str, str], dict[str, tuple[bool, int, bool]]]):
         self.hidden, self.lines, self.line, self.gap, self.indent, self.marker = hidden, [], [], False, 0, ""
 
     def seen(self, n: Node) -> bool:
@@ -137,7 +246,11 @@ class Renderer:
             return False
         if self.hidden:
             marks = ["", *(f".{c}" for c in a.get("class", "").split()), *([f"#{a['id']}"] if a.get("id") else [])]
-            return not any((tag, m) in self.hidden for tag in ("", n.tag) for m in marks if tag or m)
+            rules = [((m[:1] == "#", m[:1] == ".", tag != ""), self.hidden[tag, m]) for tag in ("", n.tag) for m in marks if (tag, m) in self.hidden]
+            for name in ("display", "visibility") if rules else ():
+                last = max(((known[name][0], weight, *known[name][1:]) for weight, known in rules if name in known), default=None)
+                if last and last[-1]:
+                    return False
         return True
 
     def flush(self) -> None:

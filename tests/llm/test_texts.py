@@ -28,6 +28,28 @@ def test_html():
     assert html_text.text_of("<b><p>x</b>y</p></table></td><td>z") == "xy\n\nz" or "z" in html_text.text_of("<b><p>x</b>y</p></table></td><td>z")
 
 
+def test_html_hides_what_a_screen_hides():
+    of = lambda css, media="": html_text.text_of(f"<style{media}>{css}</style><p class=x>x<p class=y>y<nav>n</nav>")
+    everything = "x\n\ny\n\nn"
+    for css in (
+        "@media print { nav, .x {display:none} }", "@media (max-width: 600px) {.x{display:none}}", "@media print{@media all{.x{display:none}}}", "@keyframes a { from {display:none} }", "@media not screen{.x{display:none}}",
+        "@supports not (display:grid){.x{display:none}}", "@media (width < 40em), print {.x{display:none}}", ".x{@media print{display:none}}", ".x{display:none} @media screen{.x{display:block}}", ".x:hover{display:none}", "p{--display:none}", '.z{content:"}.x{display:none"}',
+    ):
+        assert of(css) == everything, css
+    assert of(".x{display:none}", " media=print") == everything and of("p{display:none} p.x, .y{display:block}") == everything
+    for css in (
+        ".x{display:none}", "@media screen and (min-width: 600px) {.x{color:red;display:none}}", "@import url(a.css);.x{display:none}", "@media print{nav{color:red}} .x{visibility:hidden}", "@media (not print){nav{display:none}} @media not print {.x{display:none!important} .x{display:block}}",
+        "@layer a{@media only screen{.x{display:none}}}", "@media (600px <= width < 1400px){.x{display:none}}", ".x{color:red;@media all{display:none}}", '@charset "a"; /* } */ .x{display:none', ".y p{display:none} .x{display:none}", "<!-- .x{display:none} -->",
+    ):
+        assert of(css) == "y\n\nn", css
+
+
+def test_html_head_ends_at_content():
+    for page in ("<head><title>t</title>Hello <a>x</a>", "<head><meta><a>Hello<p>x", "<head><title>t</title><font>Hello <div>x</div>", "<html><head>\n <style>p{}</style>\n Hello x</head><body>"):
+        assert html_text.text_of(page).split() == ["Hello", "x"], page
+    assert html_text.text_of("<head>\n<title>t</title> <noscript><img alt=n></noscript><script>s</script>\n</head>b") == "b"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "clash"), (2, None, "c"), (1, "<p>a", "clash")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract(df).collect()) == [(1, "a"), (1, "a"), (2, "")]
