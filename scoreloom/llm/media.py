@@ -3,7 +3,8 @@
 One pass of an Aho-Corasick automaton over a value's bytes gives every place where a known magic number stands. The
 format's validator then walks the structure from there (chunk lengths and check sums, box sizes, block chains) and gives
 its length, or rejects the place. A confirmed hit at offset 0 that spans the value gives the value's type and corrects the declared one;
-the other confirmed hits, none inside another, are carved as embedded media with offset and length. Automaton, validators and memory are
+the other confirmed hits are carved as embedded media with offset, length and depth, the number of media they lie in. What is read back
+from a value is looked through in the same way. Automaton, validators and memory are
 per value: nothing grows with the table.
 
 A null value has no type, no correction and no embedded media; an empty value is ``application/octet-stream``.
@@ -11,9 +12,12 @@ A null value has no type, no correction and no embedded media; an empty value is
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +31,12 @@ RATE = 8000
 UNIT = 192
 
 
+@lru_cache(maxsize=4)
+def _places(b: bytes, mark: bytes) -> list[int]:
+    """Where a mark stands; kept, as every hit of a value asks for the same."""
+    return [m.start() for m in re.finditer(re.escape(mark), b)]
+
+
 def _png(b: bytes, at: int) -> int:
     pos, first = at + 8, True
     while pos + 12 <= len(b):
@@ -118,13 +128,30 @@ def _bmp(b: bytes, at: int) -> int:
 def _pdf(b: bytes, at: int) -> int:
     if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
         return 0
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+    # Its own trailers are those whose startxref leads to a cross-reference table or stream, counted from its own beginning.
+    ends = _places(b, b"%%EOF")
+    ends, last = ends[bisect_left(ends, at) :], 0
+    for end in ends:
+        ref = b.rfind(b"startxref", max(at, end - 64), end)
+        said = b[ref + 9 : end].split() if ref >= 0 else []
+        if len(said) == 1 and said[0].isdigit() and at < (to := at + int(said[0])) < ref and (b.startswith(b"xref", to) or _OBJECT.match(b, to)):
+            last = end + 5 - at
+    if last:
+        return last
+    # Where no offset holds: the first end that isn't that of a PDF within.
+    ref, inner = b.find(b"startxref", at), _places(b, b"%PDF-")
+    ends = ends[bisect_left(ends, ref) :] if ref >= 0 else []
+    begun = bisect_left(inner, at + 1)
+    own = next((end for k, end in enumerate(ends) if bisect_left(inner, end) - begun <= k), ends[0] if ends else None)
+    return 0 if own is None else own + 5 - at
+
+
+_OBJECT = re.compile(rb"\d{1,10}\s+\d{1,5}\s+obj")
 
 
 def _zip(b: bytes, at: int) -> int:
-    end = at
-    while (end := b.find(b"PK\x05\x06", end + 1)) >= 0:
+    ends = _places(b, b"PK\x05\x06")
+    for end in ends[bisect_left(ends, at + 1) :]:
         if end + 22 <= len(b):
             n, size, offset, comment = struct.unpack_from("<HIIH", b, end + 10)
             if at + offset + size == end and end + 22 + comment <= len(b) and (not n or b[at + offset : at + offset + 4] == b"PK\x01\x02"):
@@ -132,17 +159,29 @@ def _zip(b: bytes, at: int) -> int:
     return 0
 
 
-def _ogg(b: bytes, at: int) -> int:
-    pos = at
+def _pages(b: bytes, at: int) -> list[tuple[int, int]]:
+    """Begin and end of the Ogg pages up to the end of all streams begun; nothing if the last is cut off."""
+    pos, open_, out = at, set(), []
     while pos + 27 <= len(b) and b[pos : pos + 5] == b"OggS\x00":
         n = b[pos + 26]
         end = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
         if end > len(b):
-            return 0
-        last, pos = b[pos + 5] & 4, end
-        if last:
+            return []
+        flags, stream = b[pos + 5], b[pos + 14 : pos + 18]
+        if flags & 2 or not out:
+            open_.add(stream)
+        if flags & 4:
+            open_.discard(stream)
+        out.append((pos, end))
+        pos = end
+        if not open_:
             break
-    return pos - at
+    return out
+
+
+def _ogg(b: bytes, at: int) -> int:
+    pages = _pages(b, at)
+    return pages[-1][1] - at if pages else 0
 
 
 def _mp4(b: bytes, at: int) -> int:
@@ -151,7 +190,7 @@ def _mp4(b: bytes, at: int) -> int:
         n, kind = struct.unpack_from(">I", b, pos)[0], b[pos + 4 : pos + 8]
         if n == 1 and pos + 16 <= len(b):
             (n,) = struct.unpack_from(">Q", b, pos + 8)
-        if n < 8 or pos + n > len(b) or not kind.isalnum():
+        if n < 8 or pos + n > len(b) or not kind.isalnum() or (kind in (b"ftyp", b"moov") and kind in kinds):  # a second one is another file's
             break
         kinds.append(kind)
         pos += n
@@ -184,21 +223,39 @@ def automaton():
     return found
 
 
-def sniff(found, value: bytes) -> list[tuple[int, int, str]]:
-    """Offset, length and type of every confirmed medium that is not inside another one, in order of offset."""
+def sniff(found, value: bytes) -> list[tuple[int, int, str, int]]:
+    """Offset, length, type and depth (how many others it begins in) of every confirmed medium, in order of offset."""
     hits: list[tuple[int, int, str]] = []
-    busy = 0
+    pages: set[int] = set()
     for last, magic in found.iter(value.decode("latin-1")):
         at = last + 1 - len(magic)
+        if at in pages:
+            continue  # a later page of a stream that is known
         for own, kind, before, check in FORMATS:
-            if own == magic and at - before >= busy and (n := check(value, at)):
+            if own == magic and (n := check(value, at)):
                 hits.append((at - before, n, kind))
-                busy = at - before + n
+                if kind == "audio/ogg":
+                    pages.update(p for p, _ in _pages(value, at))
                 break
-    return hits
+    out, ends = [], []
+    for at, n, kind in sorted(hits, key=lambda h: (h[0], -h[1])):
+        ends = [e for e in ends if e > at]
+        out.append((at, n, kind, len(ends)))
+        ends.append(at + n)
+    return out
+
 
+def looked(found, value: bytes | None) -> tuple[str | None, list[dict] | None]:
+    """Type of a value and what is embedded in it."""
+    if value is None:
+        return None, None
+    hits = sniff(found, value)
+    top = hits[0] if hits and hits[0][:2] == (0, len(value)) else None
+    return top[2] if top else UNKNOWN, [{"offset": o, "length": n, "kind": k, "bytes": value[o : o + n], "depth": d} for o, n, k, d in hits if (o, n, k, d) != top]
 
-EMBEDDED = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("bytes", T.BinaryType())]))
+
+EMBEDDED = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("bytes", T.BinaryType()), T.StructField("depth", T.IntegerType())]))
+_CARVED = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("bytes", pa.binary()), ("depth", pa.int32())]))
 
 
 def inspect(media: DataFrame, content: str = "content", declared: str = "declared") -> DataFrame:
@@ -213,13 +270,11 @@ def inspect(media: DataFrame, content: str = "content", declared: str = "declare
                 b = whole.slice(at, 500)
                 kinds, wrong, carved = [], [], []
                 for value, said in zip(b.column(content), b.column(declared).to_pylist(), strict=True):
-                    value = value.as_py()
-                    hits = sniff(found, value) if value is not None else []
-                    top = hits[0] if hits and hits[0][0] == 0 and hits[0][1] == len(value) else None
-                    kinds.append(None if value is None else top[2] if top else UNKNOWN)
-                    wrong.append(None if value is None else kinds[-1] != said)
-                    carved.append(None if value is None else [{"offset": o, "length": n, "kind": k, "bytes": value[o : o + n]} for o, n, k in hits if (o, n, k) != top])
-                extra = pa.array(carved, pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("bytes", pa.binary())])))
+                    kind, inside = looked(found, value.as_py())
+                    kinds.append(kind)
+                    wrong.append(None if kind is None else kind != said)
+                    carved.append(inside)
+                extra = pa.array(carved, _CARVED)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.string()), pa.array(wrong, pa.bool_()), extra], names=schema.names)
 
     return keep.mapInArrow(run, schema)
@@ -257,15 +312,23 @@ def stored(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_back(media: DataFrame, content: str = "content") -> DataFrame:
-    """Adds payload: the samples of the values that were found to be WAV files; of others null."""
-    schema = T.StructType([*media.drop("payload").schema.fields, T.StructField("payload", T.BinaryType())])
+    """Adds payload: the samples of the values that were found to be WAV files, of others null; and what those are and hold themselves
+    (payload_detected, payload_embedded), without the padding if there is n_bytes."""
+    keep = media.drop("payload", "payload_detected", "payload_embedded")
+    sized = "n_bytes" in keep.columns
+    schema = T.StructType([*keep.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("payload_detected", T.StringType()), T.StructField("payload_embedded", EMBEDDED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [samples_of(v) if k == "audio/wav" else None for v, k in zip(b.column(content).to_pylist(), b.column("detected").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=schema.names)
+        found = automaton()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                out = [samples_of(v.as_py()) if k == "audio/wav" else None for v, k in zip(b.column(content), b.column("detected").to_pylist(), strict=True)]
+                sizes = b.column("n_bytes").to_pylist() if sized else [None] * len(out)
+                kinds, carved = zip(*[looked(found, p if p is None or n is None else p[:n]) for p, n in zip(out, sizes, strict=True)], strict=True)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary()), pa.array(kinds, pa.string()), pa.array(carved, _CARVED)], names=schema.names)
 
-    return media.drop("payload").mapInArrow(run, schema)
+    return keep.mapInArrow(run, schema)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,5 +345,5 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(tail).alias("tail_crc32"),
         F.length("content").cast("long").alias("media_bytes"),
         F.sha2("content", 256).alias("media_sha256"),
-        F.concat_ws(";", F.col("detected"), F.when(F.col("corrected"), "corrected").otherwise("as declared"), F.concat(F.lit("embedded="), kinds)).alias("feature"),
+        F.concat_ws(";", F.col("detected"), F.when(F.col("corrected"), "corrected").otherwise("as declared"), F.concat(F.lit("embedded="), kinds), F.concat(F.lit("payload="), F.col("payload_detected"))).alias("feature"),
     )

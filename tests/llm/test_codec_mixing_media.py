@@ -81,6 +81,45 @@ def test_media_sniffs_corrects_and_carves(spark):
     assert got["broken"].detected == media.UNKNOWN and got["empty"].detected == media.UNKNOWN and got["none"].detected is None
 
 
+def _pdf(body: bytes = b"", sound: bool = True) -> bytes:
+    head = b"%PDF-1.4\n1 0 obj\n" + body + b"\nendobj\n"
+    return head + b"xref\n0 1\ntrailer <<>>\nstartxref\n" + (str(len(head)) if sound else "0").encode() + b"\n%%EOF"
+
+
+def _ogg() -> bytes:
+    return b"".join(b"OggS\0" + bytes([flags]) + bytes(8) + b"abcd" + bytes(8) + b"\1\4data" for flags in (2, 0, 4))
+
+
+def test_media_within_media(spark):
+    import io
+    import zipfile
+
+    png, ogg = _png(), _ogg()
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.png", png)
+        z.writestr("b.ogg", ogg)
+    packed = held.getvalue()
+    update = lambda p: p + b"\n2 0 obj\nendobj\n" + b"xref\nstartxref\n" + str(len(p) + 16).encode() + b"\n%%EOF"
+    two = update(_pdf(png))
+    values = {"zip": packed, "pdf": _pdf(png), "row": two + png + _pdf(), "loose": _pdf(sound=False) + png + _pdf(sound=False), "nest": _pdf(_pdf(png, False), False), "ogg": ogg, "wav": media.wav_of(packed)}
+    got = {r.k: r for r in media.inspect(spark.createDataFrame([(k, v, "x") for k, v in values.items()], "k string, content binary, declared string")).collect()}
+    said = lambda k: [(e.kind.split("/")[1], e.depth, len(e.bytes)) for e in got[k].embedded]
+    assert got["zip"].detected == "application/zip" and said("zip") == [("png", 1, len(png)), ("ogg", 1, len(ogg))]
+    assert got["pdf"].detected == "application/pdf" and said("pdf") == [("png", 1, len(png))]
+    assert said("row") == [("pdf", 0, len(two)), ("png", 1, len(png)), ("png", 0, len(png)), ("pdf", 0, len(_pdf()))]
+    assert said("loose") == [("pdf", 0, len(_pdf(sound=False))), ("png", 0, len(png)), ("pdf", 0, len(_pdf(sound=False)))]
+    assert got["nest"].detected == "application/pdf" and said("nest") == [("pdf", 1, len(_pdf(png, False))), ("png", 2, len(png))]
+    assert got["ogg"].detected == "audio/ogg" and said("ogg") == []
+    assert said("wav") == [("zip", 1, len(packed)), ("png", 2, len(png)), ("ogg", 2, len(ogg))]
+
+
+def test_media_read_back_is_looked_through(spark):
+    text = _pdf(b"RIFF").decode()
+    (r,) = media.read_back(media.inspect(media.stored(spark.createDataFrame([(1, text)], "doc_id long, text string")))).collect()
+    assert r.detected == "audio/wav" and [(e.kind, e.depth) for e in r.embedded] == [("application/pdf", 1)] and r.payload_detected == "application/pdf" and r.payload_embedded == []
+
+
 def test_media_digests(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     for r in media.op6_media(spark, sf).collect():
