@@ -74,3 +74,12 @@ def test_order_similarity(spark):
     words = " ".join(f"word{k}" for k in range(40))
     df = spark.createDataFrame([(words, words), (words, "few")], "a string, b string")
     assert [r.similarity for r in match.order_similarity(df, "a", "b").collect()] == [1.0, None]
+
+
+def test_word_order_similarity_reads_whole_texts(spark, tmp_path):
+    from scoreloom.plans import textual
+
+    first = " ".join(f"word{k}" for k in range(1500))
+    rows = [(1, first + " " + " ".join(f"left{k}" for k in range(1500))), (2, first + " " + " ".join(f"right{k}" for k in range(1500)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.similarity for r in textual.word_order_similarity(spark, str(tmp_path)).collect()] == [0.5]
