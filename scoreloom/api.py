@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.functions import lexicons
+from scoreloom.functions import fixed, lexicons
 from scoreloom.functions.numbers import rounded
 from scoreloom.functions.vocabulary import FEATURES
 from scoreloom.operators import checks, evaluate, extract, match, segment
@@ -39,7 +39,7 @@ class Engine:
         found = match.mentions(docs, self.lexicon.drop("category"), ["doc_id"])
         parts = [
             extract.education(lines), extract.coursework(lines), extract.coding(lines), extract.gate_exam(lines), extract.exam_stages(lines), extract.faculty(lines), extract.spoken(lines), extract.personal(lines),
-            extract.entry_features(entries, lexicons.PRODUCT, lexicons.CORE, lexicons.ISSUERS), extract.skills(found, self.lexicon),
+            extract.entry_features(entries, fixed.PRODUCT, fixed.CORE, fixed.ISSUERS), extract.skills(found, self.lexicon),
         ]
         if statements is not None:
             parts.append(extract.statement(statements))

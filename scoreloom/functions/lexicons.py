@@ -1,48 +1,35 @@
-"""Default word lists. Fixed values, by category and in order; all are parameters of the operators that use them."""
+"""The lexicon of skills as a table."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-SKILLS = {
-    "languages": "Python|Java|C++|C|C#|JavaScript|TypeScript|Go|Rust|Kotlin|Swift|Scala|Ruby|PHP|R|MATLAB|SQL|Bash|Dart|Solidity|Verilog|VHDL|Assembly",
-    "web": "HTML|CSS|React|Next.js|Angular|Vue.js|Node.js|Express.js|Django|Flask|FastAPI|Spring Boot|Spring|ASP.NET|.NET|Tailwind CSS|Bootstrap|Redux|REST APIs|GraphQL|gRPC|WebSockets|Microservices",
-    "mobile": "Android|iOS|React Native|Flutter|Jetpack Compose|SwiftUI",
-    "databases": "MySQL|PostgreSQL|MongoDB|Redis|SQLite|Oracle Database|SQL Server|Cassandra|DynamoDB|Elasticsearch|Firebase|NoSQL",
-    "cloud_devops": "AWS|Azure|GCP|Docker|Kubernetes|Terraform|Ansible|Jenkins|GitHub Actions|CI/CD|Linux|Nginx|Kafka|RabbitMQ|Serverless",
-    "data_ml": "Machine Learning|Deep Learning|Artificial Intelligence|NLP|Computer Vision|Generative AI|TensorFlow|PyTorch|Keras|scikit-learn|Pandas|NumPy|OpenCV|Hugging Face|Spark|Hadoop|Data Analysis|Statistics|Tableau|Power BI|Data Visualization|Jupyter",
-    "cs_fundamentals": "Data Structures|Algorithms|Operating Systems|DBMS|Computer Networks|OOP|System Design|Design Patterns|Theory of Computation|Compiler Design|Computer Architecture|Discrete Mathematics",
-    "tools": "Git|GitHub|GitLab|Jira|Postman|VS Code|Figma|Agile",
-    "testing": "Unit Testing|JUnit|pytest|Selenium|Jest",
-    "security": "Cybersecurity|Penetration Testing|Cryptography|OWASP",
-    "office": "MS Office|Excel|Word|PowerPoint|Tally|Typing|Data Entry|CCC|Computer Fundamentals",
-    "core_engineering": "AutoCAD|SolidWorks|CATIA|ANSYS|Creo|Fusion 360|Simulink|LabVIEW|PLC|SCADA|Arduino|Raspberry Pi|Embedded Systems|IoT|PCB Design|STAAD Pro|ETABS|Revit|Finite Element Analysis|CFD|Power Systems|Control Systems|Thermodynamics|Six Sigma",
-}
-OTHER_NAMES = {
-    "Python": "Python3", "Go": "Golang", "JavaScript": "JS", "C++": "CPP", "React": "React.js|ReactJS", "Node.js": "NodeJS", "PostgreSQL": "Postgres", "MongoDB": "Mongo", "Kubernetes": "K8s",
-    "Machine Learning": "ML", "Artificial Intelligence": "AI", "NLP": "Natural Language Processing", "DBMS": "Database Management Systems", "Operating Systems": "OS", "Computer Networks": "Networking", "OOP": "Object Oriented Programming|OOPS",
-    "Data Structures": "DSA|Data Structures and Algorithms", "scikit-learn": "sklearn", "MS Office": "Microsoft Office", "GCP": "Google Cloud", "AWS": "Amazon Web Services",
-}
-LIST_ONLY = {"C", "Go", "R", "Assembly", "Spring", "Word"}
-EXACT_CASE = {"Rust", "Swift", "SQL", "AI", "ML", "OS", "JS", "PLC", "Excel", "Creo", "Git", "Spark", "Jest", "Tally"}
-
-PRODUCT = "Microsoft|Amazon|Google|Google Summer of Code|GSoC|LFX Mentorship|Meta|Facebook|Apple|Netflix|Adobe|Atlassian|Salesforce|Oracle|SAP Labs|VMware|Nvidia|Intel|Qualcomm|Texas Instruments|Cisco|IBM Research|ServiceNow|Intuit|LinkedIn|Uber|Airbnb|Flipkart|Myntra|Meesho|Swiggy|Zomato|Ola|Paytm|PhonePe|Razorpay|CRED|Zerodha|Groww|Juspay|Postman|BrowserStack|Freshworks|Zoho|Zoho Corporation|Sprinklr|InMobi|Dream11|PharmEasy|Rubrik|Nutanix|Samsung R&D|Sony|Walmart Global Tech|Goldman Sachs|Morgan Stanley|JP Morgan|JPMorgan|American Express|Visa|Mastercard|D. E. Shaw|Tower Research|Arcesium|Optiver|Jane Street".split("|")
-CORE = "ONGC|Oil and Natural Gas Corporation|Indian Oil|IOCL|NTPC|BHEL|GAIL|BPCL|Bharat Petroleum|HPCL|Hindustan Petroleum|Power Grid|PGCIL|Power Grid Corporation of India|SAIL|Steel Authority of India|Coal India|NHPC|NLC India|DRDO|ISRO|BEL|Bharat Electronics|HAL|Hindustan Aeronautics|BARC|NPCIL|Haldia Petrochemicals|Indian Railways|RITES|Larsen & Toubro|L&T|Tata Steel|Tata Motors|Tata Power|Mahindra|Maruti Suzuki|Bajaj Auto|Hero MotoCorp|Ashok Leyland|TVS Motor|Bharat Forge|Thermax|Cummins|Kirloskar|Siemens|ABB|Schneider Electric|Honeywell|Bosch|Reliance Industries|JSW Steel|Hindalco|Vedanta|Adani|KSEB|MSEDCL|TANGEDCO|UPPCL|state electricity board".split("|")
-ISSUERS = "AWS|Amazon Web Services|Microsoft|Azure|Google|GCP|Google Cloud|Oracle|Cisco|CCNA|CompTIA|Red Hat|RHCSA|CKA|CKAD|CNCF|Kubernetes|Salesforce|NPTEL|IBM|Meta|HashiCorp|Databricks|NVIDIA|SAS|PMP|Six Sigma|NIELIT".split("|")
-
-
-def lexicon(spark: SparkSession, skills: dict[str, str] | None = None, others: dict[str, str] | None = None) -> DataFrame:
-    """(form, skill, category, name, order, exact_case, list_only); a form that two skills share is an error."""
-    import re
-
-    rows, seen = [], {}
-    for category, names in (skills or SKILLS).items():
-        for skill in names.split("|"):
-            for name in [skill, *((others if others is not None else OTHER_NAMES).get(skill, "").split("|"))]:
-                if not name:
-                    continue
-                form = " ".join(re.findall(r"[\w+#]+(?:\.[\w+#]+)*", name.lower()))
-                if seen.setdefault(form, skill) != skill:
-                    raise ValueError(f"{name!r} names both {seen[form]} and {skill}")
-                rows.append((form, skill, category, name, len(rows), name in EXACT_CASE, name in LIST_ONLY))
-    return spark.createDataFrame(rows, "form string, skill string, category string, name string, `order` int, exact_case boolean, list_only boolean")
+from scoreloom.functions import fixed
+
+TOKEN = r"[\w+#]+(?:\.[\w+#]+)*"
+
+
+def form_of(name: str) -> str:
+    """A name as the tokens that texts are cut into, in lower case."""
+    return " ".join(re.findall(TOKEN, name.lower()))
+
+
+def lexicon(spark: SparkSession, skills: dict[str, list[str]] | None = None, others: dict[str, list[str]] | None = None, exact_case: list[str] | None = None, list_only: list[str] | None = None) -> DataFrame:
+    """(form, skill, category, name, order, exact_case, list_only); a form that two skills share is an error.
+
+    A name in ``exact_case`` counts only as it is written, one in ``list_only`` in a list as well. A name that begins with a full stop
+    counts in its own case, as the stop isn't part of a token.
+    """
+    own = skills is None
+    skills, others = skills or fixed.SKILLS, others if others is not None else fixed.OTHER_NAMES if own else {}
+    exact, listed = set(exact_case if exact_case is not None else fixed.EXACT_CASE), set(list_only if list_only is not None else fixed.LIST_ONLY)
+    rows: dict[str, tuple] = {}
+    for category, names in skills.items():
+        for skill in names:
+            for name in [skill, *others.get(skill, [])]:
+                form, written = form_of(name), name.lstrip(".")
+                if rows.setdefault(form, (form, skill, category, written, len(rows), name in exact or written != name, name in listed))[1] != skill:
+                    raise ValueError(f"{name!r} names both {rows[form][1]} and {skill}")
+    return spark.createDataFrame(list(rows.values()), "form string, skill string, category string, name string, `order` int, exact_case boolean, list_only boolean")

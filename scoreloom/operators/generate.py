@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions import fixed
+
 LINES_PER_PAGE = 46
-FALLBACK = "summary education experience internships research projects coding_profiles exams skills publications achievements certifications activities coursework languages interests personal declaration".split()
 
 
 def compact(items: Column) -> Column:
@@ -34,8 +35,8 @@ def ordered(sections: DataFrame, key: str, name: str, order: list[str], ties: li
 
 
 def fallback_place(name: Column) -> Column:
-    at = F.array_position(F.array(*[F.lit(s) for s in FALLBACK]), name)
-    return F.when(at > 0, at).otherwise(len(FALLBACK) + 1)
+    at = F.array_position(F.array(*[F.lit(s) for s in fixed.FALLBACK]), name)
+    return F.when(at > 0, at).otherwise(len(fixed.FALLBACK) + 1)
 
 
 def pages(lines: Column, per_page: int = LINES_PER_PAGE) -> Column:

@@ -74,7 +74,7 @@ def date_styles(spark, d):
     return docs(spark, d).select("doc_id", F.size(tx.date_styles(F.col("text"))).alias("styles"))
 
 
-@query("percent_numbers", r"""WITH p AS (SELECT doc_id, regexp_extract(text, '(\d{1,3}(?:\.\d{1,2})?)\s*%', 1) AS a, regexp_extract(text, '(?i)\b(?:percentage|aggregate|marks|scored)\b\s*[:\-–]?\s*(\d{1,3}(?:\.\d{1,2})?)\b', 1) AS b FROM documents),
+@query("percent_numbers", r"""WITH p AS (SELECT doc_id, regexp_extract(text, '(\d{1,3}(?:\.\d{1,2})?)\s*%', 1) AS a, regexp_extract(text, '(?i)\b(?:percentage|aggregate|marks|scored)\s*(?:[:–-]|of\b)?\s*(\d{1,3}(?:\.\d+)?)', 1) AS b FROM documents),
 v AS (SELECT doc_id, CAST(coalesce(nullif(a, ''), nullif(b, '')) AS DOUBLE) AS v FROM p) SELECT doc_id, CASE WHEN v > 0 AND v <= 100 THEN v END AS percent FROM v""")
 def percent_numbers(spark, d):
     return docs(spark, d).select("doc_id", tx.percent(F.col("text")).alias("percent"))
