@@ -12,12 +12,14 @@ its latest component is settled.
 (1 - 0.8**ROWS)**BANDS, under 3e-5. Buckets are worked off in rounds: the member that shares buckets with most others, usually
 the original of a group of copies, is compared with the bucket's other members by exact multiset overlap of the whole texts, and
 what is then in its component leaves. A group of n copies costs about n comparisons per round. Pairs of one bucket that are in
-different components after ``ROUNDS`` rounds are compared as well, if a second signature of ``SKETCH`` components, one bit of each, lets
-them: at similarity 0.8 a tenth of its bits differ, and pairs with over ``SKETCH_MOST`` differing bits (five standard
-deviations more) are left out. Exact copies are one vertex.
+different components after ``ROUNDS`` rounds are compared as well, unless a parity sketch proves them to be less similar: every occurrence of
+a shingle flips one of ``SKETCH`` bits, so each bit in which two sketches differ is an occurrence that only one of the two has. That bound
+leaves out no pair that is similar; it is sharp up to some thousand shingles and lets longer texts pass. Exact copies are one vertex.
 
 A null or empty text (no words) is like nothing, not even another one: each such row is a class of its own. A class
-has the smallest doc_id of its members as class_id (null only if all are). Repeated rows are exact copies.
+has the smallest doc_id of its members as class_id (null only if all are). Repeated rows are exact copies. Texts are read whole, however
+long; one batch holds at most 256 of them. Columns besides doc_id and text play no part, and stay in what ``survivors`` returns, whatever
+their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import lean_shuffles, materialised, table, written
+from scoreloom.llm.common import lean_shuffles, materialised, scratch, spare, table, written
 from scoreloom.llm.components import components
 
 WORDS = 5
@@ -40,7 +43,7 @@ SIMILAR = 0.8
 ROWS, BANDS = 4, 20
 SIZE = ROWS * BANDS
 ROUNDS = 2
-SKETCH, SKETCH_MOST = 512, 85
+SKETCH = 2048
 _WORD = re.compile(r"\w+")
 _STEP = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 
@@ -167,27 +170,43 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, sim double"))
 
 
+def parity(bag: tuple[np.ndarray, np.ndarray], size: int = SKETCH) -> np.ndarray:
+    """``size`` bits as longs; each occurrence of a shingle flips one."""
+    keys, times = bag
+    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    places = _mixed(np.repeat(keys, times) + nth.astype(np.uint64) * _STEP[4]) % np.uint64(size)
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketched(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(h, sketch) for the text hashes (h): one bit of each of SKETCH components, as longs."""
+    """(h, size, sketch) for the text hashes (h): number of shingles and parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 b = whole.slice(at, 128)
-                bits = signatures([shingles(x, hashes) for x in b.column("text").to_pylist()], SKETCH) & np.uint64(1)
-                packed = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, packed.shape[1], dtype=np.int32)), pa.array(packed.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("h"), lists], names=["h", "sketch"])
+                bags = [shingles(x, hashes) for x in b.column("text").to_pylist()]
+                packed = np.concatenate([parity(bag) for bag in bags]) if bags else np.empty(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(packed) + 1, SKETCH // 64, dtype=np.int32)), pa.array(packed))
+                yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([int(w.sum()) for _, w in bags], pa.int64()), lists], names=["h", "size", "sketch"])
 
     texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("h"), "text").join(wanted, "h", "left_semi")
-    return written(texts.groupBy("h").agg(F.first("text").alias("text")).mapInArrow(run, "h binary, sketch array<long>"))
+    return written(texts.groupBy("h").agg(F.first("text").alias("text")).mapInArrow(run, "h binary, size long, sketch array<long>"))
+
+
+def _may_be_similar(x: str, y: str) -> Column:
+    """Whether sizes and sketches of two texts allow a similarity of SIMILAR: a first part of the sketch, then all of it."""
+    n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
+    most = n + m - 2 * F.ceil((n + m) * (SIMILAR / (1 + SIMILAR)) - 1e-9)
+    bits = lambda ks: reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in ks])
+    return (F.least(n, m) >= F.greatest(n, m) * SIMILAR - 1e-9) & (bits(range(8)) <= most) & (bits(range(SKETCH // 64)) <= most)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, h, class_id, keep): class_id is the class's smallest doc_id, keep the text hash of the one text that stays for it."""
-    with lean_shuffles(docs.sparkSession):
-        return _near_duplicates(docs)
+    with lean_shuffles(docs.sparkSession), scratch() as keep:
+        return keep(written(_near_duplicates(docs)))
 
 
 def _near_duplicates(docs: DataFrame) -> DataFrame:
@@ -216,11 +235,9 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = every.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     open_ = written(every.join(open_, "key", "left_semi").select("key", "h", "label"))
     sketch = sketched(open_.select("h").distinct(), docs)
-    open_ = open_.join(sketch, "h").select("key", "h", "label", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH // 64)])
-    open_ = written(open_)
+    open_ = written(open_.join(sketch, "h").select("key", "h", "label", "size", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH // 64)]))
     x, y = open_.alias("x"), open_.alias("y")
-    differing = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, SKETCH // 64)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & (differing <= SKETCH_MOST))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & _may_be_similar("x", "y"))
     rest = materialised(rest.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct())
     if not rest.isEmpty():
         labels = components(good.union(verified(rest, docs).where(F.col("sim") >= SIMILAR).select("a", "b")))
@@ -232,14 +249,17 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the text of its smallest doc_id, once; rows that are like nothing."""
+    id_, h, key, rows, row = spare(docs, "id", "h", "key", "rows", "row")
     found = near_duplicates(docs)
     stay = found.where((F.col("h") == F.col("keep")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stay = written(stay.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows")).withColumnsRenamed({"doc_id": "_id", "h": "_h"}))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h"))
-    once = keyed.join(stay.where("rows = 1"), match, "left_semi")
-    more = keyed.join(stay.where("rows > 1"), match, "left_semi").dropDuplicates(["doc_id", "_key"])  # repeated rows
-    return once.union(more).select(docs.columns)
+    stay = written(stay.groupBy(F.col("doc_id").alias(id_), F.col("h").alias(h)).agg(F.count(F.lit(1)).alias(rows)))
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    match = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(h))
+    once = keyed.join(stay.where(F.col(rows) == 1), match, "left_semi").select(docs.columns)
+    # Rows equal in doc_id and text: the one whose other columns have the smallest hash.
+    hashed = F.xxhash64(*[F.col(c).cast("string") if t.startswith("map") else F.col(c) for c, t in docs.dtypes])
+    more = keyed.join(stay.where(F.col(rows) > 1), match, "left_semi").groupBy("doc_id", key).agg(F.min_by(F.struct(*docs.columns), hashed).alias(row))
+    return once.union(more.select(f"{row}.*"))
 
 
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

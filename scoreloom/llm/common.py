@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,11 +40,38 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).deleteOnExit(at)  # at the latest; discard and scratch are earlier
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what ``written`` wrote within, but for tables given to the function that it yields."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        own = _scopes.pop()
+        discard(*[t for t in own if not any(t is k for k in kept)])
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what ``written`` wrote, once nothing reads it any more."""
     for df in tables:
@@ -53,6 +80,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for an operator's own columns that no column of ``df`` has, whatever its case."""
+    taken, lead = {c.lower() for c in df.columns}, "_"
+    while any(f"{lead}{n}".lower() in taken for n in names):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
+
+
 @contextlib.contextmanager
 def lean_shuffles(spark: SparkSession) -> Iterator[None]:
     """Within, the shuffle files of a finished execution are removed at once instead of when the driver collects its garbage."""

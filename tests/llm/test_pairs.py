@@ -42,7 +42,12 @@ def brute_lines(rows):
     return keep
 
 
-def test_line_dedup_is_exact(spark):
+@pytest.mark.parametrize("hot", [lines.HOT, 1])
+def test_line_dedup_is_exact(spark, monkeypatch, hot):
+    """Also if every word counts as frequent and every line as long."""
+    if hot == 1:
+        monkeypatch.setattr(lines, "HOT", hot)
+        monkeypatch.setattr(lines, "LONG", 2)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "clash", len(t or "")) for i, t in rows], "doc_id long, text string, h string, n_chars long")
     want = brute_lines(rows)
@@ -65,6 +70,19 @@ def test_line_dedup_takes_lines_of_any_length(spark):
     assert got == {1: (rows[0][1], 0), 2: ("new\n\n \t", 3), 3: ("to be or", 1), 4: ("", 1)}
 
 
+def test_line_dedup_of_ties_long_lines_and_clashing_columns(spark):
+    rnd = random.Random(4)
+    long_ = [f"w{k}" for k in range(3000)]
+    near = [x if rnd.random() < 0.93 else x + "q" for x in long_]
+    far = [x if rnd.random() < 0.75 else x + "q" for x in long_]
+    rows = [(1, " ".join(long_), 1), (2, " ".join(near), 2), (3, " ".join(far) + "\nsame\nsame", 3), (3, " ".join(far) + "\nsame\nsame", 4), (None, "same", 5), (None, None, 6), (None, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key int").selectExpr("*", "'x' as _kept", "1 as _h", "2 as _id", "3 as n_lines", "4 as _stays", "5 as _text")
+    got = {r._key: r for r in lines.dedup(df).collect()}
+    texts = {k: r.text for k, r in got.items()}
+    assert texts == {1: rows[0][1], 2: "", 3: " ".join(far) + "\nsame", 4: " ".join(far) + "\nsame", 5: "", 6: None, 7: ""}
+    assert all((r._kept, r._h, r._id, r._stays, r._text) == ("x", 1, 2, 4, 5) for r in got.values()) and got[3].n_lines == 3 and got[7].n_lines == 0
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -81,6 +99,24 @@ def brute_classes(rows):
     return label
 
 
+def test_near_duplicates_of_a_large_loose_group(spark):
+    """Many texts around 0.8 similar to one another and to none in particular: what the rounds leave is compared as well."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(150)]
+    rows = []
+    for k in range(60):
+        text = list(base)
+        for at in rnd.sample(range(150), k % 7):
+            text[at] = word()
+        rows.append((k, " ".join(text[k // 10 :])))
+    got = {r.doc_id: r.class_id for r in bag.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    label, first = brute_classes(rows), {}
+    for (i, _), x in zip(rows, label, strict=True):
+        first.setdefault(x, i)
+    assert got == {i: first[x] for (i, _), x in zip(rows, label, strict=True)}
+
+
 def test_near_duplicates_are_those_of_brute_force(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
@@ -109,6 +145,26 @@ def test_one_of_each_class_survives(spark):
     assert bag.survivors(df.limit(0)).count() == 0
 
 
+def test_parity_never_exceeds_what_differs():
+    rng = np.random.default_rng(6)
+    for n in (1, 50, 900, 6000):
+        keys = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+        wa = rng.integers(1, 5, len(keys))
+        wb = np.maximum(0, wa + rng.integers(-1, 2, len(keys)))
+        a, b = (keys, wa), (keys[wb > 0], wb[wb > 0])
+        apart = sum(int(x).bit_count() for x in (bag.parity(a) ^ bag.parity(b)).view(np.uint64))
+        assert apart <= np.abs(wa - wb).sum() and (n > 900 or apart >= 0.6 * np.abs(wa - wb).sum())
+
+
+def test_survivors_keep_other_columns(spark):
+    rows = [(1, "a b c d e f", 5), (1, "a b c d e f", 4), (2, "a b c d e f", 3), (3, None, 2), (3, None, 1), (None, "x y", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key int").selectExpr("*", "_key + 1 as _h", "1 as _id", "2 as _rows", "3 as _row", "4 as keep", "5 as class_id")
+    kept = bag.survivors(df).collect()
+    assert bag.survivors(df).columns == df.columns and sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "x y"), (1, "a b c d e f"), (3, "")]
+    assert all(r._h == r._key + 1 and (r._id, r._rows, r._row, r.keep, r.class_id) == (1, 2, 3, 4, 5) for r in kept)
+    assert {r._key for r in kept} == {r._key for r in bag.survivors(df.repartition(3)).collect()}
+
+
 def test_signature_is_unbiased():
     rng, miss = np.random.default_rng(1), []
     for _ in range(40):
