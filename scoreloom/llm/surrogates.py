@@ -6,12 +6,15 @@ for cards between its blanks and hyphens; a name found in a text is replaced the
 its words, if it begins with a capital. Every distinct entity (kind and normal
 form) gets one replacement, derived from a key by SHA-256: digits become digits and letters letters in the same case and
 places, a number keeps its country code or first digit and its valid check digit, an address stays an address, a hexadecimal value
-hexadecimal, and a name is made in its title's gender and its own script. So equal entities stay equal in all documents and
+hexadecimal, and a name is made in its title's gender and its own script. Given and family names are entities of their own, so a family
+name is replaced alike with and without the given name. So equal entities stay equal in all documents and
 spellings (coreference). Replacements that coincide with one another or with an entity that really occurs are drawn
 again until all are distinct; if a form has no room for that (after ``DRAWS`` draws), a digest takes its place.
 
-Entities are counted before the shuffle, and texts without one are passed through unmoved. A null text stays null; equal texts are rewritten
-alike; an empty table gives an empty one. All other columns stay.
+A cheap test for what every entity needs (an @, a run of digits, a title and the like) comes first; only texts that pass it are searched, once, and
+moved. A null text stays null; equal texts are rewritten alike, and so are repeated rows; texts of any length are read whole. Of two entities that draw
+the same replacement the one that sorts first keeps it. An empty table gives an empty one. All other columns stay, whatever their names, but for
+n_entities, which is set anew.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import materialised, table, written
+from scoreloom.llm.common import materialised, scratch, spare, table, written
 
 DRAWS = 16
 DEMO_KEY = "an example; give a secret of your own"
@@ -27,17 +30,27 @@ DEMO_KEY = "an example; give a secret of your own"
 # Titles by gender, given names by gender and script, and syllables by script.
 MALE = "Mr|Sir|Herr|Monsieur|Señor|Sr|Г-н|Господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Госпожа"
-MALE, FEMALE = f"{MALE}|{MALE.upper()}", f"{FEMALE}|{FEMALE.upper()}"
+MALE, FEMALE = f"{MALE}|{MALE.upper()}|Κος|Κύριος|κύριος", f"{FEMALE}|{FEMALE.upper()}|Κα|Κυρία|κυρία"
+# Titles in scripts without capitals.
+MALE_PLAIN, FEMALE_PLAIN = "السيد|מר|श्री", "السيدة|גברת|श्रीमती"
 GIVEN = {
     ("latin", "m"): "Adrian Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Kurt Leo Martin Nils Oskar Paul",
     ("latin", "f"): "Anna Berta Clara Diana Emma Flora Greta Helen Irene Julia Karla Laura Maria Nora Olga Paula",
     ("cyrillic", "m"): "Андрей Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Максим Никита Олег Павел Роман Семён",
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия Мария Нина Ольга Полина Раиса Софья",
+    ("greek", "m"): "Αλέξης Βασίλης Γιώργος Δημήτρης Ηλίας Θανάσης Ιωάννης Κώστας Λουκάς Μάριος Νίκος Ορέστης Πέτρος Σπύρος Στέφανος Φώτης",
+    ("greek", "f"): "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Θάλεια Ιωάννα Κατερίνα Λυδία Μαρία Νίκη Όλγα Ρένα Σοφία Φωτεινή",
 }
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ka ke la le lo ma me mo na ne no ra re ro sa se so ta te to va ve",
     "cyrillic": "ба бе бо да де до за зе ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то ва",
+    "greek": "βα βε βο γα γε γο δα δε δο κα κε κο λα λε λο μα με μο να νε νο πα πε ρα ρε ρο σα σε σο τα τε",
+    "arabic": "با بو بي تا تو تي دا دو دي را رو ري سا سو سي شا شو شي فا فو في كا كو كي لا لو لي ما مو مي نا نو",
+    "hebrew": "בא בו בי גא גו גי דא דו די זא זו זי חא חו חי טא טו טי כא כו כי לא לו לי מא מו מי נא נו ני רא רו",
+    "devanagari": "बा बी बो दा दी दो गा गी गो जा जी जो का की को ला ली लो मा मी मो ना नी नो पा पी पो रा री रो सा सी",
 }
+SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}", "hebrew": r"\p{IsHebrew}", "devanagari": r"\p{IsDevanagari}"}  # anything else is taken for Latin
+ENDINGS = {("cyrillic", "m"): "в", ("cyrillic", "f"): "ва", ("greek", "m"): "ς"}  # of family names
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)*(?<=\.[A-Za-z]{2,24})"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])"
@@ -49,10 +62,14 @@ CARD = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}}){GROUP}(?:[ -](?!{PHONE}|{IP}|{SSN})
 CARD_SHAPE = "^(?:1[3-9]|4-4-4-[1-4]|4-4-4-4-[1-3]|4-6-[45])$"
 ACCESS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,}"
-NAME = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+NAME = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?|(?<![\p{{L}}\p{{M}}])(?:{MALE_PLAIN}|{FEMALE_PLAIN}) \p{{Lo}}[\p{{L}}\p{{M}}'-]+"
 ALL = "|".join((EMAIL, ACCESS, SECRET, PHONE, IP, SSN, CARD, NAME))
+# What a match of ALL holds besides @ or AKIA: nine digits with little between, a digit after +, four numbers with dots, a value after = or :, or a title.
+NUMBERS, ASSIGNED = r"\+\d|\d(?:[^\w\n]{0,3}\d){8}", r"[=:] ?[\"']?[A-Za-z0-9+/_-]{8}"
+FOUR = r"\d\.\d{1,3}\.\d{1,3}\.\d"
+TITLE = rf"(?=[{''.join(sorted({w[0] for w in '|'.join((MALE, FEMALE, MALE_PLAIN, FEMALE_PLAIN)).split('|')}))}])(?:{MALE}|{FEMALE}|{MALE_PLAIN}|{FEMALE_PLAIN})\.? \p{{L}}"
 HEAD_SECRET = r"^[A-Za-z_-]+ ?[=:] ?[\"']?"
-HEAD_NAME = rf"^(?:{MALE}|{FEMALE})\.? "
+HEAD_NAME = rf"^(?:{MALE}|{FEMALE}|{MALE_PLAIN}|{FEMALE_PLAIN})\.? "
 
 
 def _digits_of(c: Column) -> Column:
@@ -144,13 +161,23 @@ def _without_names(part: Column, pattern: Column, names: Column) -> Column:
 
 def normal_form(kind: Column, found: Column) -> Column:
     name = F.regexp_replace(found, HEAD_NAME, "")
-    gender = F.when(found.rlike(rf"^(?:{FEMALE})\b"), "f").otherwise("m")
+    gender = F.when(found.rlike(rf"^(?:{FEMALE}|{FEMALE_PLAIN})\.? "), "f").otherwise("m")
     return (
         F.when(kind == "email", F.lower(found)).when(kind == "phone", F.regexp_replace(found, r"[^\d+]", "")).when(kind.isin("card", "ssn"), _digits_of(found))
         .when(kind == "secret", F.regexp_replace(found, HEAD_SECRET, "")).when(kind == "name", F.concat(gender, F.lit(":"), F.lower(name))).otherwise(found)
     )
 
 
+def entities_of(kind: Column, norm: Column) -> Column:
+    """What a match stands for: itself, or the given and the family name; the latter has no gender where its form shows none."""
+    gender, words = F.substring(norm, 1, 2), F.split(F.substring(norm, 3, 1 << 30), " ")
+    shows = norm.rlike("|".join(SCRIPTS[s] for s in {script for script, _ in ENDINGS}))
+    family = F.struct(F.lit(1).alias("part"), F.lit("family").alias("entity"), F.concat(F.when(shows, gender).otherwise("-:"), F.element_at(words, -1)).alias("form"))
+    given = F.struct(F.lit(0).alias("part"), F.lit("given").alias("entity"), F.concat(gender, F.get(words, 0)).alias("form"))
+    itself = F.struct(F.lit(0).alias("part"), kind.alias("entity"), norm.alias("form"))
+    return F.when(kind != "name", F.array(itself)).when(F.size(words) > 1, F.array(given, family)).otherwise(F.array(family))
+
+
 def _poured(form: Column, stream: Column, hexadecimal: Column) -> Column:
     """``form`` with its digits and ASCII letters replaced by those of ``stream`` (hexadecimal digits), in place and case."""
     digit, letter = F.translate(stream, "abcdef", "051627"), F.translate(stream, "0123456789", "ghkmnprtwz")
@@ -181,29 +208,40 @@ def draw(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     top = F.regexp_extract(norm, r"\.[a-z]+$", 0)
     email = F.concat(_poured(F.substring(norm, F.lit(1), F.length(norm) - F.length(top)), stream, F.lit(False)), top)
 
-    def name(script: str) -> Column:
-        syllables, given = F.array(*map(F.lit, SYLLABLES[script].split())), lambda g: F.array(*map(F.lit, GIVEN[script, g].split()))
-        family = F.initcap(F.concat(*[F.element_at(syllables, byte(k) % 32 + 1) for k in range(3 + min(attempt, 8))]))
-        if script == "cyrillic":
-            family = F.concat(family, F.when(norm.startswith("f:"), "ва").otherwise("в"))
-        first = F.when(norm.startswith("f:"), F.element_at(given("f"), byte(20) % 16 + 1)).otherwise(F.element_at(given("m"), byte(20) % 16 + 1))
-        return F.when(F.instr(norm, " ") > 0, F.concat(first, F.lit(" "), family)).otherwise(family)
+    def coined(script: str, syllables: int) -> Column:
+        known = F.array(*map(F.lit, SYLLABLES[script].split()))
+        return F.initcap(F.concat(*[F.element_at(known, byte(k) % 32 + 1) for k in range(syllables)]))
+
+    def family(script: str) -> Column:
+        return F.concat(coined(script, 3 + min(attempt, 8)), F.when(norm.startswith("f:"), ENDINGS.get((script, "f"), "")).when(norm.startswith("m:"), ENDINGS.get((script, "m"), "")).otherwise(""))
+
+    def given(script: str) -> Column:
+        if attempt > 1 or (script, "m") not in GIVEN:
+            return coined(script, 2 + min(attempt, 8))
+        pick = lambda k: F.when(norm.startswith("f:"), F.element_at(F.array(*map(F.lit, GIVEN[script, "f"].split())), byte(k) % 16 + 1)).otherwise(F.element_at(F.array(*map(F.lit, GIVEN[script, "m"].split())), byte(k) % 16 + 1))
+        return F.concat_ws("-", *[pick(20 + k) for k in range(1 + attempt)])
+
+    def by_script(of) -> Column:
+        out = F
+        for script, letters in SCRIPTS.items():
+            out = out.when(norm.rlike(letters), of(script))
+        return out.otherwise(of("latin"))
 
     return (
         F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
-        .when(kind == "name", F.when(norm.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin")))
+        .when(kind == "family", by_script(family)).when(kind == "given", by_script(given))
         .when(kind == "access", F.concat(F.lit("AKIA"), F.substring(_poured(norm, stream, F.lit(False)), 5, 64))).otherwise(_poured(norm, stream, is_hex))
     )
 
 
 def taken_form(kind: Column, surrogate: Column) -> Column:
     """A surrogate as a normal form, to compare it with what really occurs."""
-    return F.when(kind == "name", F.lower(surrogate)).otherwise(surrogate)
+    return F.when(kind.isin("given", "family"), F.lower(surrogate)).otherwise(surrogate)
 
 
 def assigned(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate) for distinct entities (kind, norm): no two of a kind get the same, none gets one that occurs."""
-    real = entities.select("kind", F.when(F.col("kind") == "name", F.substring("norm", 3, 1 << 30)).otherwise(F.col("norm")).alias("form"))
+    real = entities.select("kind", F.when(F.col("kind").isin("given", "family"), F.substring("norm", 3, 1 << 30)).otherwise(F.col("norm")).alias("form")).distinct()
     pending, done = entities, None
     for attempt in range(DRAWS):
         drawn = pending.withColumn("surrogate", draw(F.col("kind"), F.col("norm"), attempt, key)).withColumn("form", taken_form(F.col("kind"), F.col("surrogate")))
@@ -230,29 +268,45 @@ def written_as(kind: Column, found: Column, surrogate: Column) -> Column:
     )
 
 
+def may_hold(text: Column) -> Column:
+    """False only for texts in which ALL finds nothing."""
+    return F.coalesce(text.contains("@") | text.contains("AKIA") | text.rlike(NUMBERS) | text.rlike(FOUR) | text.rlike(ASSIGNED) | text.rlike(TITLE), F.lit(False))
+
+
 def anonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the entities of its texts replaced; adds n_entities."""
+    with scratch() as lasting:
+        return _anonymised(docs, key, text, lasting)
+
+
+def _anonymised(docs: DataFrame, key: str, text: str, lasting) -> DataFrame:
     keep = docs.drop("n_entities")
-    has = F.coalesce(F.col(text).rlike(ALL), F.lit(False))
+    own, h_, put_, names_, n_, parts_, mention_, text_ = spare(keep, "key", "h", "put", "names", "n", "parts", "mention", "text")
+    may = may_hold(F.col(text))
     h = F.unhex(F.md5(F.col(text).cast("binary")))
-    found = keep.where(has).select(h.alias("h"), F.regexp_extract_all(text, F.lit(ALL), 0).alias("all")).groupBy("h").agg(F.first("all").alias("all"))
+    found = keep.where(may).select(h.alias("h"), F.regexp_extract_all(text, F.lit(ALL), 0).alias("all")).where(F.size("all") > 0).groupBy("h").agg(F.first("all").alias("all"))
     found = found.select("h", F.posexplode("all").alias("pos", "run")).select("h", "pos", F.posexplode(pieces(F.col("run"))).alias("sub", "found")).withColumn("kind", kind_of(F.col("found")))
-    found = written(found.withColumn("norm", normal_form(F.col("kind"), F.col("found"))))
-    named = assigned(materialised(found.where("kind is not null").select("kind", "norm").distinct()), key)
-    put = found.join(named, ["kind", "norm"], "left").select(
-        "h", "pos", "sub", "kind", F.when(F.col("surrogate").isNull(), F.col("found")).otherwise(written_as(F.col("kind"), F.col("found"), F.col("surrogate"))).alias("put"),
+    found = found.withColumn("norm", normal_form(F.col("kind"), F.col("found"))).select("*", F.inline_outer(F.when(F.col("kind").isNotNull(), entities_of(F.col("kind"), F.col("norm")))))
+    found = written(found)
+    named = assigned(materialised(found.where("kind is not null").select(F.col("entity").alias("kind"), F.col("form").alias("norm")).distinct()), key)
+    named = named.select(F.col("kind").alias("entity"), F.col("norm").alias("form"), "surrogate")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("surrogate").isNotNull(), F.struct("part", "surrogate")))), lambda x: x["surrogate"]), " ")
+    put = found.join(named, ["entity", "form"], "left").groupBy("h", "pos", "sub", "found", "kind", "norm").agg(whole.alias("surrogate"))
+    put = put.select(
+        "h", "pos", "sub", "kind", F.when(F.col("kind").isNull(), F.col("found")).otherwise(written_as(F.col("kind"), F.col("found"), F.col("surrogate"))).alias("put"),
         F.when(F.col("kind") == "name", name_forms(F.col("pos"), F.col("norm"), F.col("surrogate"))).alias("forms"),
     )
-    put = put.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "put"))).alias("_put"), F.array_sort(F.flatten(F.collect_list("forms"))).alias("_names"), F.count("kind").alias("_n")).withColumnRenamed("h", "_h")
-    changed = keep.where(has).withColumn("_key", h).join(put, F.col("_key") == F.col("_h"))
-    changed = changed.withColumn("_parts", F.split(text, ALL, -1)).withColumn("_mention", F.when(F.size("_names") > 0, _mention(F.col("_names"))))
-    said = F.aggregate("_parts", F.lit(0).cast("long"), lambda n, s: n + F.regexp_count(s, F.col("_mention")))
-    changed = changed.withColumn("n_entities", F.col("_n") + F.coalesce(said, F.lit(0)))
-    changed = changed.withColumn("_parts", F.when(F.col("_mention").isNull(), F.col("_parts")).otherwise(F.transform("_parts", lambda s: _without_names(s, F.col("_mention"), F.col("_names")))))
-    pairs = F.transform("_put", lambda x: F.concat(F.when(x["sub"] == 0, F.get("_parts", x["pos"])).otherwise(""), x["put"]))
-    changed = changed.withColumn("_text", F.concat(F.array_join(pairs, ""), F.element_at("_parts", -1)))
-    changed = changed.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in keep.columns], "n_entities")
-    return changed.union(keep.where(~has).withColumn("n_entities", F.lit(0).cast("long")))
+    put = put.groupBy(F.col("h").alias(h_)).agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "put"))).alias(put_), F.array_sort(F.flatten(F.collect_list("forms"))).alias(names_), F.count("kind").alias(n_))
+    put = lasting(written(put))
+    changed = keep.where(may).withColumn(own, h).join(put, F.col(own) == F.col(h_), "left")
+    changed = changed.withColumn(parts_, F.when(F.col(h_).isNotNull(), F.split(text, ALL, -1))).withColumn(mention_, F.when(F.size(names_) > 0, _mention(F.col(names_))))
+    said = F.aggregate(parts_, F.lit(0).cast("long"), lambda n, s: n + F.regexp_count(s, F.col(mention_)))
+    changed = changed.withColumn("n_entities", F.coalesce(F.col(n_) + F.coalesce(said, F.lit(0)), F.lit(0)).cast("long"))
+    changed = changed.withColumn(parts_, F.when(F.col(mention_).isNull(), F.col(parts_)).otherwise(F.transform(parts_, lambda s: _without_names(s, F.col(mention_), F.col(names_)))))
+    pairs = F.transform(put_, lambda x: F.concat(F.when(x["sub"] == 0, F.get(parts_, x["pos"])).otherwise(""), x["put"]))
+    changed = changed.withColumn(text_, F.when(F.col(h_).isNull(), F.col(text)).otherwise(F.concat(F.array_join(pairs, ""), F.element_at(parts_, -1))))
+    changed = changed.select(*[F.col(text_).alias(c) if c == text else F.col(f"`{c}`") for c in keep.columns], "n_entities")
+    return changed.union(keep.where(~may).withColumn("n_entities", F.lit(0).cast("long")))
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
