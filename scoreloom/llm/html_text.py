@@ -4,18 +4,22 @@ A tokenizer feeds a tree builder that closes elements whose end tags are implied
 definition terms, rows, cells, options) and ignores end tags that match nothing open. Elements are invisible by kind
 (script, style, head and the like), by attribute (hidden, closed dialogs, hidden inputs), by inline style and by simple selectors
 (tag, .class, #id) of the page's own style sheets that set ``display: none`` or ``visibility: hidden`` on a screen of ``SCREEN``
-pixels, where a later or more specific one of them doesn't undo it. The renderer emits
+pixels, where a later or more specific one of them, or the element's own style, doesn't undo it; what is visible within something of hidden
+visibility is seen. The renderer emits
 all visible text: white space collapsed outside ``pre``, blocks on lines of their own with a blank line around
-paragraphs, headings, lists and tables, list items with their marker and indent, and table cells padded to their
+paragraphs, headings, lists and tables, list items with their marker and indent, and table cells with the lines of their blocks, padded to their
 column's width. Elements nested deeper than ``DEPTH`` are attached at that depth, as browsers do, so no page exhausts the stack.
 
-A null or empty page gives an empty text. All other columns of a row stay; repeated rows give repeated rows.
+A null or empty page gives an empty text; any other string gives what it says, well-formed or not. The time for a page grows with its length,
+however long and deep it is, and memory is that of one page. All other columns of a row stay, but for the one that takes the text;
+repeated rows give repeated rows, an empty table an empty one.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,7 +35,7 @@ SCREEN = (1280, 800)
 # Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEAD = set("title meta link base basefont bgsound style script noscript noframes template".split())
-UNSEEN = set("head script style template noscript title meta link datalist object audio video canvas iframe svg map".split())
+UNSEEN = set("head script style template noscript title meta link datalist object audio video canvas iframe map defs desc symbol metadata".split())
 BLOCK = set("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr caption thead tbody tfoot".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
 CLOSES_P = BLOCK - {"tr", "caption", "thead", "tbody", "tfoot", "li", "dd", "dt", "body", "html", "legend"}
@@ -50,7 +54,8 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, set()),
 }
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+_OWN = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([^;]*)", re.I)
+_WHOLE = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
 _CSS = re.compile(r"""[^"'\\{};]+|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|\\.?|[{};]""", re.S)
 _WIDTH = re.compile(r"(-?\d*\.?\d+)(px|em|rem|pt|cm|mm|in)?$")
 _PX = {None: 1, "px": 1, "em": 16, "rem": 16, "pt": 96 / 72, "cm": 96 / 2.54, "mm": 96 / 25.4, "in": 96}
@@ -65,22 +70,40 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+def whole(value: str | None) -> int | None:
+    """The whole number that an attribute begins with; none if there is none, or one of over nine digits."""
+    m = _WHOLE.match(value or "")
+    return int(m[1]) if m else None
+
+
 class Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open, self.css = [self.root], []
+        self.at: dict[str, list[int]] = {}  # where in ``open`` each tag stands, ascending
+
+    def _cut(self, k: int) -> None:
+        while len(self.open) > k:
+            tag = self.open.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.at["#block"].pop()
+
+    def _nearest(self, tags: set[str]) -> int:
+        return max((own[-1] for t in tags if (own := self.at.get(t))), default=0)
 
     def _end_open(self, tags: set[str], stops: set[str]) -> None:
         """Closes the outermost of the open elements in ``tags`` above the nearest of ``stops``."""
-        cut = 0
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in stops:
-                break
-            if self.open[k].tag in tags:
-                cut = k
-        if cut:
-            del self.open[cut:]
+        floor = self._nearest(stops)
+        found = [own[bisect_right(own, floor)] for t in tags if (own := self.at.get(t)) and own[-1] > floor]
+        if found:
+            self._cut(min(found))
+
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<![", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
 
     def handle_starttag(self, tag, attrs):
         if tag in IMPLIED:
@@ -88,10 +111,12 @@ class Builder(HTMLParser):
         if tag in CLOSES_P:
             self._end_open({"p"}, {"table", "td", "th", "li", "button", "caption"})
         if self.open[-1].tag == "head" and tag not in HEAD and tag not in ("html", "head"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[min(len(self.open), DEPTH) - 1].kids.append(node)
         if tag not in VOID:
+            for own in (tag, "#block") if tag in BLOCK else (tag,):
+                self.at.setdefault(own, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -101,22 +126,20 @@ class Builder(HTMLParser):
         if tag == "br":
             self.handle_starttag("br", [])
             return
-        if tag == "p" and not any(x.tag == "p" for x in self.open):
+        if tag == "p" and not self.at.get("p"):
             self.handle_starttag("p", [])
-        stops = set() if tag in ("table", "body", "html") else {"table", "td", "th"} - {tag}
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in stops and tag not in ("tr", "thead", "tbody", "tfoot", "td", "th"):
-                return
+        last = self._nearest({tag})
+        # An inline element isn't ended from within a block in it.
+        stops = set() if tag in ("table", "body", "html", "tr", "thead", "tbody", "tfoot", "td", "th") else {"table", "td", "th"} if tag in BLOCK or tag in HEAD or tag == "head" else {"td", "th", "#block"}
+        if last > self._nearest(stops):
+            self._cut(last)
 
     def handle_data(self, data):
         top = self.open[-1]
         if top.tag == "style" and on_screen(top.attrs.get("media", "")):
             self.css.append(data)
         if top.tag == "head" and data.strip(" \t\n\r\f"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self.open[min(len(self.open), DEPTH) - 1].kids.append(data)
 
 
@@ -238,20 +261,23 @@ class Renderer:
     def __init__(self, hidden: dict[tuple[str, str], dict[str, tuple[bool, int, bool]]]):
         self.hidden, self.lines, self.line, self.gap, self.indent, self.marker = hidden, [], [], False, 0, ""
 
-    def seen(self, n: Node) -> bool:
+    def look(self, n: Node) -> tuple[bool, bool | None]:
+        """Whether an element is displayed, and whether it is made visible or hidden (none: like what it is in)."""
         a = n.attrs
-        if n.tag in UNSEEN or "hidden" in a or (n.tag == "dialog" and "open" not in a) or (n.tag == "input" and a.get("type", "").lower() in ("hidden", "password", "checkbox", "radio", "file")):
-            return False
-        if _GONE.search(a.get("style", "")):
-            return False
+        if n.tag in UNSEEN or (n.tag == "dialog" and "open" not in a) or (n.tag == "input" and a.get("type", "").lower() in ("hidden", "password", "checkbox", "radio", "file")):
+            return False, None
+        known: dict[str, list[tuple]] = {"display": [], "visibility": []}
+        for k, (name, value) in enumerate(_OWN.findall(a.get("style", ""))):
+            value, _, important = value.lower().partition("!")
+            known[name.lower()].append((bool(important), True, (), k, value.strip() in ("none", "hidden", "collapse")))
         if self.hidden:
             marks = ["", *(f".{c}" for c in a.get("class", "").split()), *([f"#{a['id']}"] if a.get("id") else [])]
-            rules = [((m[:1] == "#", m[:1] == ".", tag != ""), self.hidden[tag, m]) for tag in ("", n.tag) for m in marks if (tag, m) in self.hidden]
-            for name in ("display", "visibility") if rules else ():
-                last = max(((known[name][0], weight, *known[name][1:]) for weight, known in rules if name in known), default=None)
-                if last and last[-1]:
-                    return False
-        return True
+            for tag in ("", n.tag):
+                for m in marks:
+                    for name, (important, place, hides) in self.hidden.get((tag, m), {}).items():
+                        known[name].append((important, False, (m[:1] == "#", m[:1] == ".", tag != ""), place, hides))
+        display, visibility = (max(known[name], default=None) for name in ("display", "visibility"))
+        return not (display[-1] if display else "hidden" in a), None if visibility is None else not visibility[-1]
 
     def flush(self) -> None:
         text = "".join(self.line).strip(" ")
@@ -283,44 +309,43 @@ class Renderer:
         if s:
             self.line.append(s)
 
-    def render(self, n: Node, pre: bool = False, kind: str = "", depth: int = 0) -> None:
-        number = 0
+    def render(self, n: Node, pre: bool = False, kind: str = "", seen: bool = True, first: int | None = None) -> None:
+        """``kind``: the list that ``n`` is; ``seen``: whether it is visible; ``first``: the number of its first item."""
+        number = (1 if first is None else first) - 1
         for kid in n.kids:
             if isinstance(kid, str):
-                self.text(kid, pre)
+                if seen:
+                    self.text(kid, pre)
                 continue
-            if not self.seen(kid):
+            displayed, visible = self.look(kid)
+            if not displayed:
                 continue
-            tag = kid.tag
+            tag, shown = kid.tag, seen if visible is None else visible
             if tag == "br":
                 done = "".join(self.line).strip(" ")
                 self.line = []
                 self.put(done) if done or pre else None
             elif tag in ("img", "input", "area"):
-                self.text(kid.attrs.get("alt" if tag != "input" else "value", ""), False)
+                if shown:
+                    self.text(kid.attrs.get("alt" if tag != "input" else "value", ""), False)
             elif tag == "table":
-                self.table(kid, depth)
+                self.table(kid, shown)
             elif tag in BLOCK:
                 self.flush()
                 self.gap |= tag in SPACED and not (tag in ("ul", "ol") and kind)
                 step = 0
                 if tag == "li":
+                    number += 1
                     if kind == "ol":
-                        number += 1
-                        if kid.attrs.get("value", "").isdigit():
-                            number = int(kid.attrs["value"])
-                        self.marker = f"{number}. "
-                    else:
-                        self.marker = "- "
+                        said = whole(kid.attrs.get("value"))
+                        number = number if said is None else said
+                    self.marker = "" if not shown else f"{number}. " if kind == "ol" else "- "
                     step = len(self.marker)
                 elif tag in ("dd", "blockquote"):
                     step = 2
                 self.indent += step
                 inner = tag if tag in ("ul", "ol") else kind if tag == "li" else ""
-                if tag == "ol" and kid.attrs.get("start", "").isdigit():
-                    self.ordered(kid, pre, depth)
-                else:
-                    self.render(kid, pre or tag == "pre", inner, depth)
+                self.render(kid, pre or tag == "pre", inner, shown, whole(kid.attrs.get("start")) if tag == "ol" else None)
                 if tag == "pre" and (rest := "".join(self.line)).strip():
                     self.line = []
                     self.put(rest)
@@ -329,60 +354,59 @@ class Renderer:
                 self.marker = "" if tag == "li" else self.marker
                 self.gap |= tag in SPACED and not (tag in ("ul", "ol") and kind)
             else:
-                self.render(kid, pre or tag == "textarea", kind, depth)
-
-    def ordered(self, n: Node, pre: bool, depth: int) -> None:
-        first = next((k for k in n.kids if isinstance(k, Node) and k.tag == "li"), None)
-        if first is not None:
-            first.attrs.setdefault("value", n.attrs["start"])
-        self.render(n, pre, "ol", depth)
+                self.render(kid, pre or tag == "textarea", kind, shown)
 
-    def table(self, n: Node, depth: int) -> None:
+    def table(self, n: Node, seen: bool) -> None:
         self.flush()
         self.gap = True
-        rows: list[list[tuple[str, int]]] = []
+        rows: list[list[tuple[list[str], int]]] = []
 
-        def walk(x: Node) -> None:
+        def walk(x: Node, seen: bool) -> None:
             cells = []
             for kid in x.kids:
                 if isinstance(kid, str):
-                    if kid.strip():
+                    if seen and kid.strip():
                         self.text(kid, False)  # text outside of cells stands before the table
-                elif not self.seen(kid):
                     continue
-                elif kid.tag in ("td", "th"):
+                displayed, visible = self.look(kid)
+                shown = seen if visible is None else visible
+                if not displayed:
+                    continue
+                if kid.tag in ("td", "th"):
                     own = Renderer(self.hidden)
-                    own.render(kid, depth=depth + 1)
+                    own.render(kid, seen=shown)
                     own.flush()
-                    span = kid.attrs.get("colspan", "1")
-                    cells.append((" ".join(" ".join(own.lines).split()), min(50, max(1, int(span))) if span.isdigit() else 1))
+                    cells.append((own.lines, min(50, max(1, whole(kid.attrs.get("colspan")) or 1))))
                 elif kid.tag in ("tr", "thead", "tbody", "tfoot"):
-                    walk(kid)
+                    walk(kid, shown)
                 else:
-                    self.render(_wrap(kid), False, "", depth)
+                    self.render(_wrap(kid), seen=seen)
                     self.flush()
             if cells:
                 rows.append(cells)
 
-        walk(n)
+        walk(n, seen)
         self.flush()
         widths: list[int] = []
         for cells in rows:
             at = 0
-            for text, span in cells:
+            for lines, span in cells:
                 widths += [0] * (at + span - len(widths))
                 if span == 1:
-                    widths[at] = max(widths[at], cell_width(text))
+                    widths[at] = max([widths[at], *map(cell_width, lines)])
                 at += span
         for cells in rows:
-            at, parts = 0, []
-            for text, span in cells:
-                room = sum(widths[at : at + span]) + 2 * (span - 1)
-                parts.append(text + " " * (room - cell_width(text)))
-                at += span
-            line = "  ".join(parts).rstrip(" ")
-            if line:
-                self.put(line)
+            high = max(len(lines) for lines, _ in cells)
+            for k in range(high):
+                at, parts = 0, []
+                for lines, span in cells:
+                    text = lines[k] if k < len(lines) else ""
+                    room = sum(widths[at : at + span]) + 2 * (span - 1)
+                    parts.append(text + " " * (room - cell_width(text)))
+                    at += span
+                line = "  ".join(parts).rstrip(" ")
+                if line or high > 1:
+                    self.put(line)
         self.gap = True
 
 
