@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.functions.numbers import exact_rounding
-from scoreloom.plans import business, textual
+from scoreloom.plans import business, resumes, textual
 
-PARTS = [business, textual]
+PARTS = [business, textual, resumes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
