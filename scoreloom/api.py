@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import fixed, lexicons
 from scoreloom.functions.numbers import rounded
 from scoreloom.functions.vocabulary import FEATURES
-from scoreloom.operators import checks, evaluate, extract, match, segment
+from scoreloom.operators import checks, evaluate, extract, match, report, segment
 from scoreloom.operators import text as tx
 from scoreloom.plans import rules, scoring
 from scoreloom.plans.scratch import saved
@@ -70,36 +70,81 @@ class Engine:
     def suggestions(self, scores: DataFrame, category: str) -> DataFrame:
         return scoring.suggestions(scores, rules.lookup(self.categories, category), {n: n for n in FEATURES}, "doc_id")
 
-    def checks(self, docs: DataFrame, category: str | None = None, lines: DataFrame | None = None) -> DataFrame:
-        """(doc_id, ats, checks): the documents' readability."""
-        e = checks.evidence_of(docs)
-        found = segment.section_map(self.lines(docs) if lines is None else lines)
-        e = e.join(found, "doc_id", "left")
-        expected = rules.lookup(self.categories, category).sections if category else ("education", "experience", "skills")
+    def keywords(self, docs: DataFrame, jds: DataFrame, lines: DataFrame) -> DataFrame:
+        """(doc_id, skill, importance, terms, found_terms, in_context, status, credit): what the description of each document (jd_id) names, against the document."""
+        own = match.mentions(lines.select("doc_id", F.col("line_no").alias("at"), "section_key", "text"), self.lexicon.drop("category"), ["doc_id", "at", "section_key"])
+        used = F.max(F.coalesce(F.col("section_key").isin(*match.CONTEXT), F.lit(False)))
+        present = own.groupBy("doc_id", "skill").agg(F.array_sort(F.collect_set("surface")).alias("terms"), used.alias("in_context"))
+        wanted = docs.select("doc_id", "jd_id").join(match.wanted_skills(jds, self.lexicon.drop("category")), "jd_id").drop("jd_id")
+        return match.coverage(wanted, present, ["doc_id"])
+
+    def checks(self, docs: DataFrame, category: str | None = None, lines: DataFrame | None = None, jds: DataFrame | None = None) -> DataFrame:
+        """(doc_id, ats, fatal, checks): the documents' readability, by the category's limits; keywords count where there are descriptions."""
+        lines = self.lines(docs) if lines is None else lines
+        c = rules.lookup(self.categories, category) if category else None
+        e = checks.evidence_of(docs).join(segment.section_map(lines), "doc_id", "left")
+        expected = c.sections if c else ("education", "experience", "skills")
         e = e.withColumns({
             "headings_found": F.coalesce(F.size("found"), F.lit(0)), "headings_odd": F.coalesce(F.size("nonstandard"), F.lit(0)), "sections_expected": F.lit(len(expected)),
             "sections_missing": sum((F.when(F.coalesce(segment.has_section(F.col("found"), k), F.lit(False)), 0).otherwise(1) for k in expected), F.lit(0)),
+            "max_pages": F.lit(c.max_pages if c else 2), "linkedin_expected": F.lit(c.linkedin_expected if c else True),
         })
-        rows = checks.checked(e)
+        if "filename" in docs.columns:
+            tokens = tx.filename_tokens(F.col("filename"))
+            e = e.join(extract.candidate_name(lines), "doc_id", "left")
+            e = e.withColumns({"filename_generic": F.size(tokens) == 0, "filename_draft": tx.stem(F.col("filename")).rlike(tx.DRAFT), "filename_named": F.col("name").isNull() | F.arrays_overlap(tokens, F.split(F.lower("name"), " "))})
+        if jds is not None:
+            hits = self.keywords(docs, jds, lines)
+            share = match.covered_share(hits, ["doc_id"]).join(hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("keyword_hits")), "doc_id")
+            e = e.join(share.withColumnRenamed("coverage", "keyword_coverage"), "doc_id", "left").withColumn("keyword_hits", F.coalesce("keyword_hits", F.lit(0)))
+        rows = saved(checks.checked(e))
         total = evaluate.rolled_up(rows, "doc_id", "grp", "weight", "score", checks.group_weight(F.col("grp"))).withColumnRenamed("score", "ats")
-        return total.join(rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("check", "status", "score"))).alias("checks")), "doc_id")
+        return total.join(rows.groupBy("doc_id").agg(F.max("fatal").alias("fatal"), F.array_sort(F.collect_list(F.struct("check", "status", "score"))).alias("checks")), "doc_id")
 
-    def fit(self, docs: DataFrame, jds: DataFrame, embed=match.hashed_embedding, lines: DataFrame | None = None) -> DataFrame:
-        """(doc_id, jd_id, fit): every document against the description it names in jd_id."""
-        reqs = match.requirements(jds).withColumn("vector", embed(F.col("requirement")))
-        pieces = match.chunks(self.lines(docs) if lines is None else lines).join(docs.select("doc_id", "jd_id"), "doc_id").withColumn("vector", embed(F.col("text")))
+    def matches(self, docs: DataFrame, jds: DataFrame, embed=match.hashed_embedding, lines: DataFrame | None = None) -> DataFrame:
+        """(doc_id, jd_id, req_no, requirement, importance, similarity, wanted, missing, score, status, evidence, rank) of every requirement that a document meets text for."""
+        lines = self.lines(docs) if lines is None else lines
+        reqs = saved(match.requirements(jds))
+        pieces = match.chunks(lines).join(docs.select("doc_id", "jd_id"), "doc_id").withColumn("vector", embed(F.col("text")))
         pairs = docs.select("doc_id", "jd_id").join(reqs, "jd_id")
-        best = match.best_chunks(pairs.select("doc_id", "jd_id", "req_no", "vector"), pieces.select("doc_id", "jd_id", "chunk_no", "vector"), ["doc_id", "jd_id"], "req_no", "chunk_no")
-        m = pairs.select("doc_id", "jd_id", "req_no", "importance").join(best, ["doc_id", "jd_id", "req_no"]).withColumn("score", rounded(match.calibrated(F.col("similarity")), 3))
-        return match.fit(m, ["doc_id", "jd_id"])
+        keys = ["doc_id", "jd_id"]
+        best = match.best_chunks(pairs.select(*keys, "req_no", embed(F.col("requirement")).alias("vector")), pieces.select(*keys, "chunk_no", "vector"), keys, "req_no", "chunk_no")
+        lex = self.lexicon.drop("category")
+        named = match.mentions(reqs, lex, ["jd_id", "req_no"], "requirement").groupBy("jd_id", "req_no").agg(F.array_sort(F.collect_set("skill")).alias("wanted"))
+        shown = match.mentions(docs.select("doc_id", "text"), lex, ["doc_id"]).groupBy("doc_id").agg(F.collect_set("skill").alias("shown"))
+        none = F.array().cast("array<string>")
+        m = pairs.join(best, [*keys, "req_no"]).join(named, ["jd_id", "req_no"], "left").join(shown, "doc_id", "left").withColumn("wanted", F.coalesce("wanted", none))
+        m = m.withColumn("missing", F.array_except("wanted", F.coalesce("shown", none)))
+        m = m.withColumn("score", rounded(match.requirement_score(F.col("similarity"), F.size("wanted"), F.size("missing")), 3)).withColumn("status", match.fit_status(F.col("score")))
+        said = match.chunks(lines).select("doc_id", F.col("chunk_no").alias("best"), F.col("text").alias("said"))
+        m = m.join(said, ["doc_id", "best"], "left").withColumn("evidence", F.when(F.col("score") >= match.PARTIAL, F.col("said")))
+        return match.ranked_matches(m, keys, "req_no").select(*keys, "req_no", "requirement", "importance", rounded("similarity", 3).alias("similarity"), "wanted", "missing", "score", "status", "evidence", "rank")
+
+    def fit(self, docs: DataFrame, jds: DataFrame, embed=match.hashed_embedding, lines: DataFrame | None = None) -> DataFrame:
+        """(doc_id, jd_id, fit, note): every document against the description it names in jd_id; 0 and a note where there is nothing to compare."""
+        lines = self.lines(docs) if lines is None else lines
+        if embed is None:
+            return docs.where("jd_id is not null").select("doc_id", "jd_id", F.lit(0.0).alias("fit"), match.fit_note(F.lit(1), F.lit(1), F.lit(False)).alias("note"))
+        got = match.fit(self.matches(docs, jds, embed, lines), ["doc_id", "jd_id"])
+        asked = match.requirements(jds).groupBy("jd_id").agg(F.count(F.lit(1)).alias("n"))
+        has = match.chunks(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
+        t = docs.where("jd_id is not null").select("doc_id", "jd_id").join(asked, "jd_id", "left").join(has, "doc_id", "left").join(got, ["doc_id", "jd_id"], "left")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        return t.select("doc_id", "jd_id", F.coalesce("fit", F.lit(0.0)).alias("fit"), match.fit_note(zero("n"), zero("m"), F.lit(True)).alias("note"))
 
     def analyze(self, docs: DataFrame, category: str, jds: DataFrame | None = None, statements: DataFrame | None = None) -> DataFrame:
-        """One row per document: score, confidence, eligible, ats, fit, overall and their levels."""
+        """One row per document: score, confidence, eligible, ats, fatal, fit, overall and their levels. Without a comparable description there is no overall score."""
         lines = self.lines(docs)
         s = self.score(self.features(docs, statements, lines), category).select("doc_id", "score", "confidence", "eligible")
-        out = docs.select("doc_id").join(s, "doc_id", "left").join(self.checks(docs, category, lines).select("doc_id", "ats"), "doc_id", "left")
-        out = out.join(self.fit(docs, jds, lines=lines).drop("jd_id"), "doc_id", "left") if jds is not None else out.withColumn("fit", F.lit(None).cast("double"))
-        return out.withColumns({"overall": scoring.blend(F.col("score"), F.col("fit"), F.col("ats")), "level": scoring.level(F.col("score"))})
+        out = docs.select("doc_id").join(s, "doc_id", "left").join(self.checks(docs, category, lines, jds).select("doc_id", "ats", "fatal"), "doc_id", "left")
+        none = lambda t: F.lit(None).cast(t)
+        out = out.join(self.fit(docs, jds, lines=lines).drop("jd_id"), "doc_id", "left") if jds is not None else out.withColumns({"fit": none("double"), "note": none("string")})
+        blended = scoring.blend(F.col("score"), F.when(F.col("note").isNull(), F.col("fit")), F.col("ats"))
+        return out.withColumns({"overall": blended, "level": scoring.level(F.col("score")), "low_confidence": report.low_confidence(F.col("confidence"))})
+
+    def report(self, results: DataFrame, features: DataFrame) -> DataFrame:
+        """(doc_id, json): what ``analyze`` gave, with cards and facts."""
+        return report.assembled(results.withColumnRenamed("score", "strength"), features)
 
     @staticmethod
     def as_json(result: DataFrame) -> DataFrame:

@@ -83,6 +83,13 @@ DEFAULTS = {
 }
 
 
+EVIDENCE = {*DEFAULTS, "word_count", "char_count", "keyword_coverage"}
+NAMES = (
+    "text_layer", "layout", "tables", "hidden_text", "graphics", "glyphs", "headings_found", "standard_headings", "expected_sections", "file_type", "length", "filename", "date_formats", "file_size",
+    "email", "phone", "linkedin", "keywords",
+)
+
+
 def with_defaults(docs: DataFrame) -> DataFrame:
     """Evidence that a source doesn't have as a column."""
     out = docs
@@ -94,14 +101,26 @@ def with_defaults(docs: DataFrame) -> DataFrame:
     return out
 
 
-def checked(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, check, grp, status, score, weight, fatal), after the override: a fatal failure makes every other check ``na``."""
-    c = F.col
-    every = F.array(text_layer(), layout(), *simple(), *contact(), keywords())
-    rows = with_defaults(docs).select(key, every.alias("all"))
-    fatal = F.exists("all", lambda x: x["fatal"])
-    over = F.transform("all", lambda x: F.struct(x["check"].alias("check"), x["grp"].alias("grp"), F.when(fatal & ~x["fatal"], "na").otherwise(x["status"]).alias("status"), F.when(~fatal, x["score"]).alias("score"), x["weight"].alias("weight"), x["fatal"].alias("fatal")))
-    return rows.select(key, F.explode(over).alias("x")).select(key, "x.*").withColumn("score", rounded(c("score"), 4))
+def checked(docs: DataFrame, key: str = "doc_id", only: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, check, grp, status, score, weight, fatal), after the override: a fatal failure makes every other check ``na``.
+
+    ``only`` names checks; the others are as if they weren't there, but for the one that can be fatal. The evidence is computed once.
+    """
+    known = with_defaults(docs)
+    evidence = F.struct(*[c for c in known.columns if c in EVIDENCE])
+
+    def all_of(e: Column) -> Column:
+        c = lambda name: e[name]
+        rows = dict(zip(NAMES, [text_layer(c), layout(c), *simple(c), *contact(c), keywords(c)], strict=True))
+        return F.array(*[row for name, row in rows.items() if only is None or name in only or name == "text_layer"])
+
+    def override(rows: Column) -> Column:
+        fatal = F.exists(rows, lambda x: x["fatal"])
+        return F.transform(rows, lambda x: F.struct(x["check"].alias("check"), x["grp"].alias("grp"), F.when(fatal & ~x["fatal"], "na").otherwise(x["status"]).alias("status"), rounded(F.when(~fatal, x["score"]), 4).alias("score"), x["weight"].alias("weight"), x["fatal"].alias("fatal")))
+
+    once = F.get(F.transform(F.transform(F.array(evidence), all_of), override), 0)
+    out = known.select(key, F.inline(once))
+    return out if only is None or "text_layer" in only else out.where("check <> 'text_layer'")
 
 
 def group_weight(g: Column) -> Column:

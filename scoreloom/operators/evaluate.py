@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.numbers import rounded
+from scoreloom.plans.scratch import saved
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str, values: list[str], tolerance: float = 2.0) -> DataFrame:
-    """(key, change, field, before, after): rows that are new or removed, and values that moved by more than the tolerance."""
-    o = old.select(F.col(key), F.lit(True).alias("_o"), *[F.col(v).alias(f"o_{v}") for v in values])
-    n = new.select(F.col(key), F.lit(True).alias("_n"), *[F.col(v).alias(f"n_{v}") for v in values])
-    both = o.join(n, key, "full_outer")
+def snapshot_diff(old: DataFrame, new: DataFrame, key: str, values: list[str], tolerance: float = 2.0, flags: list[str] | None = None) -> DataFrame:
+    """(key, change, field, before, after): rows that are new or removed, values that moved by more than the tolerance, flags (as 0 and 1) that flipped."""
+    flags = flags or []
+    side = lambda df, p: df.select(F.col(key), F.lit(True).alias(f"_{p}"), *[F.col(v).cast("double").alias(f"{p}_{v}") for v in [*values, *flags]])
+    both = side(old, "o").join(side(new, "n"), key, "full_outer")
     change = F.when(F.col("_o").isNull(), "new").when(F.col("_n").isNull(), "removed")
-    items = F.array(*[F.struct(F.lit(v).alias("field"), F.col(f"o_{v}").cast("double").alias("before"), F.col(f"n_{v}").cast("double").alias("after")) for v in values])
+    items = F.array(*[F.struct(F.lit(v).alias("field"), F.col(f"o_{v}").alias("before"), F.col(f"n_{v}").alias("after"), F.lit(v in flags).alias("flag")) for v in [*values, *flags]])
     rows = both.select(key, change.alias("change"), F.explode(items).alias("i")).select(key, "change", "i.*")
-    moved = F.abs(F.col("before") - F.col("after")) > tolerance
-    return rows.where(F.col("change").isNotNull() | moved).withColumn("change", F.coalesce("change", F.lit("moved")))
+    moved = F.when(F.col("flag"), ~F.col("before").eqNullSafe(F.col("after"))).otherwise(F.abs(F.col("before") - F.col("after")) > tolerance)
+    return rows.where((F.col("change").isNotNull() & ~F.col("flag")) | (F.col("change").isNull() & moved)).withColumn("change", F.coalesce("change", F.when(F.col("flag"), "flipped").otherwise("moved"))).drop("flag")
 
 
 def label_ok(kind: Column, expected: Column, got: Column, tolerance: float = 0.05) -> Column:
@@ -29,7 +32,9 @@ def label_ok(kind: Column, expected: Column, got: Column, tolerance: float = 0.0
 
 
 def accuracy(labels: DataFrame, features: DataFrame, kinds: DataFrame, group: str, counts_default_zero: bool = True) -> DataFrame:
-    """Share of labelled (doc_id, feature) pairs that agree, by group and over all (null group). Omitted counts and flags mean zero and false."""
+    """(group, fields, right, level): labelled or extracted (doc_id, feature) pairs and how many agree, by group (level 0) and over all (level 1, null group).
+
+    Omitted counts and flags mean zero and false."""
     value = F.struct("num", "bool", "items")
     e = labels.select("doc_id", group, "feature", value.alias("e"))
     g = features.select("doc_id", "feature", value.alias("g"))
@@ -39,15 +44,43 @@ def accuracy(labels: DataFrame, features: DataFrame, kinds: DataFrame, group: st
     expected = F.coalesce("e", default if counts_default_zero else blank)
     got = F.coalesce("g", blank)
     ok = every.withColumn("ok", label_ok(F.col("kind"), expected, got).cast("int"))
-    return ok.rollup(group).agg(F.count(F.lit(1)).alias("fields"), F.sum("ok").alias("right"))
+    return ok.rollup(group).agg(F.count(F.lit(1)).alias("fields"), F.sum("ok").alias("right"), F.grouping(group).cast("int").alias("level"))
+
+
+def tier_order(cases: DataFrame, group: str, tier: str, value: str, tiers: list[str]) -> DataFrame:
+    """(group, <tier>_max and <tier>_min of each tier, ordered): whether every case of a tier lies above all of the next; ``tiers`` from the best down."""
+    p = cases.groupBy(group).pivot(tier, tiers).agg(F.max(F.col(value).cast("double")).alias("max"), F.min(F.col(value).cast("double")).alias("min"))
+    above = [F.col(f"{b}_max") < F.col(f"{a}_min") for a, b in zip(tiers, tiers[1:], strict=False)]
+    return p.withColumn("ordered", reduce(lambda x, y: x & y, above))
+
+
+def outside_bands(cases: DataFrame, keys: list[str], tier: str, value: str, bands: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """(keys, cases, outside): how many values lie below the least or above the most that their tier may have."""
+    out = F.lit(False)
+    for name, (least, most) in bands.items():
+        bad = (F.lit(False) if least is None else F.col(value) < least) | (F.lit(False) if most is None else F.col(value) > most)
+        out = F.when(F.col(tier) == name, bad).otherwise(out)
+    return cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("cases"), F.count_if(out).alias("outside"))
 
 
 def index_quantile(values: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Per group the element of the sorted values at index floor(share * n), which is a value that occurs."""
+    """Per group the element of the sorted values at index floor(share * n), which is a value that occurs.
+
+    Values are dealt by range and sorted there; the counts of the ranges tell in which one an index lies, and only in those are rows numbered. So no task
+    gets a whole group.
+    """
+    dealt = saved(values.select(group, value).repartitionByRange(group, value).withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range and group in it
     by = Window.partitionBy(group)
-    ranked = values.select(group, value).withColumn("r", F.row_number().over(by.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(by))
-    at = {k: F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1) for k, q in shares.items()}
-    return ranked.groupBy(group).agg(*[F.max(F.when(F.col("r") == c, F.col(value))).alias(k) for k, c in at.items()])
+    upto = F.sum("_n").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = counts.withColumns({"_from": upto - F.col("_n"), "_all": F.sum("_n").over(by)})
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.least(F.floor(F.lit(q) * F.col("_all")), F.col("_all") - 1).alias("at")) for k, q in shares.items()]))
+    counts = counts.select(group, "_p", "_n", "_from", wanted.alias("w")).where((F.col("w.at") >= F.col("_from")) & (F.col("w.at") < F.col("_from") + F.col("_n")))
+    hits = counts.groupBy(group, "_p").agg(F.collect_list(F.struct(F.col("w.k").alias("k"), (F.col("w.at") - F.col("_from") + 1).alias("r"))).alias("_hits"))
+    hits = hits.withColumnsRenamed({group: "_g", "_p": "_q"})
+    ranked = dealt.join(hits, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q"))).withColumn("_r", F.row_number().over(Window.partitionBy(group, "_p").orderBy(value)))
+    found = ranked.select(group, F.col(value).alias("_v"), "_r", F.explode("_hits").alias("h")).where("_r = h.r")
+    return found.groupBy(group).agg(*[F.max(F.when(F.col("h.k") == k, F.col("_v"))).alias(k) for k in shares])
 
 
 def threshold_sweep(values: DataFrame, value: str, positive: str, thresholds: list[float]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed, patterns
@@ -83,10 +83,9 @@ def tidy_name(c: Column) -> Column:
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_no, text): the non-blank lines of every text, white space normalised, numbered from 0."""
-    rows = docs.select(key, F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("pos", "raw"))
-    rows = rows.withColumn("text", normal(F.col("raw"))).where("text <> ''")
-    return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).alias("line_no"), "text")
+    """(key, line_no, text): the non-blank lines of every text, white space normalised, numbered from 0; without a shuffle."""
+    said = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), normal), lambda x: x != "")
+    return docs.select(key, F.posexplode(said).alias("line_no", "text"))
 
 
 def garbled(c: Column, glyph: str = GLYPH) -> tuple[Column, Column]:
@@ -136,10 +135,14 @@ GENERIC = fixed.GENERIC_NAMES
 DRAFT = rf"(?:^|[\s_\-(])(?:{patterns.any_of(fixed.DRAFT_MARKS)}|[vV]\d+|\(\d+\))(?:$|[\s_\-).])"
 
 
+def stem(c: Column) -> Column:
+    """A file's name without folders and extension."""
+    return F.regexp_replace(F.regexp_replace(c, r"^.*[/\\]", ""), r"\.[A-Za-z0-9]{1,5}$", "")
+
+
 def filename_tokens(c: Column, generic: list[str] = GENERIC) -> Column:
     """Lower-case tokens of a file's stem that say something."""
-    stem = F.regexp_replace(F.regexp_replace(c, r"^.*[/\\]", ""), r"\.[A-Za-z0-9]{1,5}$", "")
-    tokens = F.filter(F.split(F.lower(stem), r"[^\p{L}]+"), lambda t: t != "")
+    tokens = F.filter(F.split(F.lower(stem(c)), r"[^\p{L}]+"), lambda t: t != "")
     return F.array_except(tokens, F.array(*[F.lit(g) for g in generic]))
 
 

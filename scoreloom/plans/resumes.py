@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import dates, fixed, lexicons
-from scoreloom.operators import evaluate, extract, match, segment
+from scoreloom.operators import evaluate, extract, layout, match, report, segment
 from scoreloom.operators import text as tx
 from scoreloom.plans.business import query as _query
 from scoreloom.plans.business import table
@@ -149,8 +149,7 @@ FILES = [
 @query("filename_flags", picked_sql(FILES, "tokens, draft"))
 def filename_flags(spark, d):
     t, name = picked(spark, d, FILES)
-    stem = F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"\.[A-Za-z0-9]{1,5}$", "")
-    return t.select("o_orderkey", F.array_join(F.array_sort(tx.filename_tokens(name)), " ").alias("tokens"), stem.rlike(tx.DRAFT).alias("draft"))
+    return t.select("o_orderkey", F.array_join(F.array_sort(tx.filename_tokens(name)), " ").alias("tokens"), tx.stem(name).rlike(tx.DRAFT).alias("draft"))
 
 
 STATEMENTS = [
@@ -392,4 +391,126 @@ def written_label_accuracy(spark, d):
     labels = table(spark, d, "customer").select(k.alias("doc_id"), F.when(k % 2 == 0, "even").otherwise("odd").alias("tier"), F.explode(values).alias("v")).select("doc_id", "tier", "v.*").withColumns(empty)
     kinds = spark.createDataFrame([(n, "int") for n in names], "feature string, kind string")
     features = entry_features(spark, d).where(F.col("feature").isin(*names))
-    return evaluate.accuracy(labels, features, kinds, "tier")
+    return evaluate.accuracy(labels, features, kinds, "tier").select("tier", "fields", "right")
+
+
+# --- layout ------------------------------------------------------------------------------
+
+
+def laid_out(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as lines of a page: an order is a block of a page of a thousand orders, its quantity says how far a line reaches."""
+    q, k = F.col("l_quantity"), F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 1000).alias("page"), F.col("l_orderkey").alias("block"), (k * 1_000_000 + F.col("l_partkey")).alias("line_no"), F.element_at(F.array(F.lit("body"), F.lit("table"), F.lit("header")), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("zone"),
+        F.concat(F.when(q % 7 == 0, "• ").otherwise(""), F.lit("w"), q.cast("int").cast("string"), F.when(k % 3 == 0, ".").otherwise("")).alias("text"), F.when(q % 5 == 0, 40.0).otherwise(50.0).alias("x0"), (k * 12.0 + F.when(q % 11 == 0, 30.0).otherwise(0.0)).alias("top"),
+        F.when(q > 20, 540.0 + q / 10).otherwise(300.0).alias("x1"), (k * 12.0 + 10.0 + F.when(q % 11 == 0, 30.0).otherwise(0.0)).alias("bottom"), F.lit(10.0).alias("size"), (F.col("l_partkey") % 4 == 0).alias("bold"),
+    )
+
+
+LAID = """g AS (SELECT l_orderkey // 1000 AS page, l_orderkey AS block, l_linenumber AS k, l_linenumber * 1000000 + l_partkey AS line_no, CAST(l_quantity AS INTEGER) AS q, l_suppkey % 3 AS z, l_partkey % 4 = 0 AS bold,
+  CASE WHEN q % 7 = 0 THEN '• ' ELSE '' END || 'w' || q || CASE WHEN k % 3 = 0 THEN '.' ELSE '' END AS text, CASE WHEN q % 5 = 0 THEN 40.0 ELSE 50.0 END AS x0, k * 12.0 + CASE WHEN q % 11 = 0 THEN 30.0 ELSE 0.0 END AS top, CASE WHEN q > 20 THEN 540.0 + q / 10.0 ELSE 300.0 END AS x1 FROM lineitem)"""
+
+
+@query("zone_filter", f"WITH {LAID} SELECT block, line_no FROM g WHERE z < 2")
+def zone_filter(spark, d):
+    return layout.read_by_parsers(laid_out(spark, d)).select("block", "line_no")
+
+
+@query("wrapped_lines", f"""WITH {LAID}, b AS (SELECT *, lag(top + 10) OVER w AS under, lag(x1) OVER w AS px1, lag(x0) OVER w AS px0, lag(text) OVER w AS ptext, lag(bold) OVER w AS pbold, max(x1) OVER (PARTITION BY page, block) AS edge FROM g WINDOW w AS (PARTITION BY page, block ORDER BY line_no)),
+s AS (SELECT page, gap, row_number() OVER (PARTITION BY page ORDER BY gap) AS r, count(*) OVER (PARTITION BY page) AS n FROM (SELECT page, round(top - under, 1) AS gap FROM b WHERE top - under BETWEEN -2 AND 40)), l AS (SELECT page, gap AS lead_gap FROM s WHERE r = greatest(1, floor(n * 0.1))),
+c AS (SELECT b.*, coalesce(px1 >= edge - 12 AND top - under <= coalesce(lead_gap, 0) * 1.4 + 0.6 AND x0 >= px0 - 1 AND bold = pbold AND q % 7 <> 0 AND NOT ends_with(ptext, '.'), false) AS on_ FROM b LEFT JOIN l USING (page)),
+f AS (SELECT *, sum((NOT on_)::INT) OVER (PARTITION BY page, block ORDER BY line_no) AS first FROM c) SELECT page, block, min(line_no) AS line_no, string_agg(text, ' ' ORDER BY line_no) AS text FROM f GROUP BY page, block, first""")
+def wrapped_lines(spark, d):
+    return layout.rejoined(laid_out(spark, d), ["page"], ["block"], "line_no").select("page", "block", "line_no", "text")
+
+
+# --- requirements and reports ------------------------------------------------------------
+
+
+def descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """(jd_id, text): a description per part."""
+    k = F.col("p_partkey")
+    text = F.concat_ws(
+        "\n", F.lit("Backend Engineer"), F.lit("About us"), F.lit("We build things for many people"), F.lit("Requirements:"), F.lit("- Write services in Python or Go"), F.concat(F.lit("- Know "), F.when(k % 2 == 0, "Docker and Kubernetes").otherwise("PostgreSQL and Redis"), F.lit(" in depth")),
+        F.when(k % 3 == 0, F.lit("- Short one")), F.lit("- We are looking for people who like to work"), F.lit("Nice to have"), F.lit("* Has seen Apache Kafka at work"), F.when(k % 5 == 0, F.lit("* Some years with Python behind them")),
+    )
+    return table(spark, d, "part").select(k.alias("jd_id"), text.alias("text"))
+
+
+@query("requirement_lines", """WITH p AS (SELECT p_partkey AS k FROM part), r AS (SELECT k AS jd_id, 1 AS req_no, 'Write services in Python or Go' AS requirement, 'required' AS importance FROM p
+UNION ALL SELECT k, 2, 'Know ' || CASE WHEN k % 2 = 0 THEN 'Docker and Kubernetes' ELSE 'PostgreSQL and Redis' END || ' in depth', 'required' FROM p UNION ALL SELECT k, 3, 'Has seen Apache Kafka at work', 'preferred' FROM p
+UNION ALL SELECT k, 4, 'Some years with Python behind them', 'preferred' FROM p WHERE k % 5 = 0) SELECT * FROM r""")
+def requirement_lines(spark, d):
+    return match.requirements(descriptions(spark, d))
+
+
+@query("wanted_keywords", """WITH p AS (SELECT p_partkey AS k FROM part), r AS (SELECT k AS jd_id, unnest(['Python', 'Go']) AS skill, 'required' AS importance FROM p UNION ALL SELECT k, unnest(['Docker', 'Kubernetes']), 'required' FROM p WHERE k % 2 = 0
+UNION ALL SELECT k, unnest(['PostgreSQL', 'Redis']), 'required' FROM p WHERE k % 2 = 1 UNION ALL SELECT k, 'Kafka', 'preferred' FROM p) SELECT jd_id, skill, importance, CASE skill WHEN 'Kafka' THEN 'Apache Kafka' ELSE skill END AS terms FROM r WHERE skill <> 'Go'""")
+def wanted_keywords(spark, d):
+    """Go counts in lists only, so the sentence that names it doesn't ask for it."""
+    w = match.wanted_skills(descriptions(spark, d), lexicons.lexicon(spark).drop("category"))
+    return w.select("jd_id", "skill", "importance", F.array_join("terms", ",").alias("terms"))
+
+
+@query("keyword_statuses", """WITH o AS (SELECT o_orderkey AS k FROM orders) SELECT k AS o_orderkey, CASE k % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'variant' ELSE 'exact' END AS status, CASE k % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.5 WHEN 2 THEN 0.85 ELSE 1.0 END AS credit FROM o""")
+def keyword_statuses(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    wanted = o.select("o_orderkey", F.lit("Kafka").alias("skill"), F.lit("required").alias("importance"), F.array(F.lit("Apache-Kafka")).alias("terms"))
+    present = o.where(k % 4 > 0).select("o_orderkey", F.lit("Kafka").alias("skill"), F.array(F.when(k % 4 == 1, "Kafka").otherwise("apache kafka")).alias("terms"), (k % 4 == 3).alias("in_context"))
+    return match.coverage(wanted, present, ["o_orderkey"]).select("o_orderkey", "status", F.col("credit").cast("double").alias("credit"))
+
+
+@query("requirement_scores", """WITH o AS (SELECT o_orderkey AS k, (o_orderkey % 40 + 45) / 100.0 AS sim, o_orderkey % 3 AS wanted, least(o_orderkey % 2, o_orderkey % 3) AS missing FROM orders), c AS (SELECT *, greatest(0.0, least(1.0, (sim - 0.5) / (0.72 - 0.5))) AS cal FROM o),
+s AS (SELECT *, round_even(CASE WHEN wanted > 0 THEN 0.5 * cal + 0.5 * (wanted - missing) / wanted ELSE cal END, 3) AS score, CASE WHEN k % 4 = 0 THEN 'preferred' ELSE 'required' END AS importance FROM c)
+SELECT k AS o_orderkey, score, CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.3 THEN 'partial' ELSE 'missing' END AS status, CAST(row_number() OVER (PARTITION BY k // 50 ORDER BY CASE importance WHEN 'required' THEN 0 ELSE 1 END, score, k) AS INTEGER) AS rank FROM s""")
+def requirement_scores(spark, d):
+    from scoreloom.functions.numbers import rounded
+
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", F.floor(k / 50).alias("g"), ((k % 40 + 45) / 100).alias("sim"), (k % 3).alias("wanted"), F.least(k % 2, k % 3).alias("missing"), F.when(k % 4 == 0, "preferred").otherwise("required").alias("importance"))
+    o = o.withColumn("score", rounded(match.requirement_score(F.col("sim"), F.col("wanted"), F.col("missing")), 3)).withColumn("status", match.fit_status(F.col("score")))
+    return match.ranked_matches(o, ["g"], "o_orderkey").select("o_orderkey", "score", "status", "rank")
+
+
+@query("order_similarity_rotated", "WITH p AS (SELECT p_partkey, p_size + 20 AS n, p_partkey % 15 AS k FROM part) SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN k = 0 THEN 1.0 ELSE round_even(greatest(k, n - k) / n, 3) END AS similarity FROM p")
+def order_similarity_rotated(spark, d):
+    """Texts of which the second begins with word k of the first and ends with what stood before; below 20 words there is no value."""
+    k, n = (F.col("p_partkey") % 15).cast("int"), F.when(F.col("p_partkey") % 11 == 0, 19).otherwise(F.col("p_size") + 20).cast("int")
+    words = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("word"), i.cast("string")))
+    t = table(spark, d, "part").select("p_partkey", words.alias("w"), k.alias("k"))
+    t = t.select("p_partkey", F.array_join("w", " ").alias("a"), F.array_join(F.concat(F.slice("w", F.col("k") + 1, F.size("w")), F.slice("w", F.lit(1), F.col("k"))), " ").alias("b"))
+    return match.order_similarity(t, "a", "b", most=None).select("p_partkey", "similarity")
+
+
+RESULTS = "r AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE (c_custkey * 7 % 100)::DOUBLE END AS overall, (c_custkey * 13 % 100)::DOUBLE AS strength, (c_custkey % 100)::DOUBLE AS ats, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE (c_custkey * 3 % 100)::DOUBLE END AS fit, c_custkey % 10 = 0 AS fatal, c_custkey % 100 / 100.0 AS confidence FROM customer)"
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    of = lambda n: F.when(k % 3 > 0, (k * n % 100).cast("double"))
+    return table(spark, d, "customer").select("c_custkey", of(7).alias("overall"), (k * 13 % 100).cast("double").alias("strength"), (k % 100).cast("double").alias("ats"), of(3).alias("fit"), (k % 10 == 0).alias("fatal"), (k % 100 / 100).alias("confidence"))
+
+
+BANDED = "CASE WHEN value >= 85 THEN 'Excellent' WHEN value >= 70 THEN 'Strong' WHEN value >= 55 THEN 'Fair' WHEN value >= 35 THEN 'Weak' ELSE 'Very weak' END"
+
+
+@query("score_cards", f"""WITH {RESULTS}, c AS (SELECT c_custkey, fatal, 0 AS o, 'overall' AS card, overall AS value FROM r UNION ALL SELECT c_custkey, fatal, 1, 'strength', strength FROM r UNION ALL SELECT c_custkey, fatal, 2, 'ats', ats FROM r UNION ALL SELECT c_custkey, fatal, 3, 'fit', fit FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o) - 1 AS place, count(*) OVER (PARTITION BY c_custkey) AS n FROM c WHERE value IS NOT NULL) SELECT c_custkey, CAST(place AS INTEGER) AS place, card, value, {BANDED} AS band, CASE WHEN fatal AND place = n - 1 THEN 'no text could be read, so only the file was checked' ELSE '' END AS note FROM n""")
+def score_cards(spark, d):
+    return report.cards(results(spark, d), "c_custkey")
+
+
+@query("low_confidence", f"WITH {RESULTS} SELECT c_custkey, confidence < 0.25 AS low FROM r")
+def low_confidence(spark, d):
+    return results(spark, d).select("c_custkey", report.low_confidence(F.col("confidence")).alias("low"))
+
+
+@query("facts_table", """WITH c AS (SELECT c_custkey, c_custkey AS k FROM customer), f AS (SELECT c_custkey, 0 AS place, 'academics.coursework' AS feature, CASE WHEN k % 2 = 0 THEN 'Compilers, Networks' ELSE 'none' END AS value FROM c UNION ALL SELECT c_custkey, 1, 'academics.ug_cgpa', CASE WHEN k % 10 = 0 THEN CAST(k // 10 % 10 AS VARCHAR) ELSE CAST(k % 100 / 10.0 AS VARCHAR) END FROM c
+UNION ALL SELECT c_custkey, 2, 'candidate.date_of_birth', '2001-05-12' FROM c UNION ALL SELECT c_custkey, 3, 'education.has_master', CASE WHEN k % 3 = 0 THEN 'True' ELSE 'False' END FROM c) SELECT * FROM f""")
+def facts_table(spark, d):
+    k, none = F.col("c_custkey"), lambda t: F.lit(None).cast(t)
+    row = lambda name, num=None, flag=None, items=None, said=None: F.struct(F.lit(name).alias("feature"), (none("double") if num is None else num.cast("double")).alias("num"), (none("boolean") if flag is None else flag).alias("bool"), (none("array<string>") if items is None else items).alias("items"), (none("string") if said is None else said).alias("str"), none("string").alias("evidence"))
+    both = F.array(F.lit("Compilers"), F.lit("Networks"))
+    rows = F.array(row("education.has_master", flag=k % 3 == 0), row("academics.ug_cgpa", num=k % 100 / 10), row("skills.list", items=both), row("candidate.date_of_birth", said=F.lit("2001-05-12")), row("academics.coursework", items=F.when(k % 2 == 0, both).otherwise(F.array().cast("array<string>"))))
+    f = table(spark, d, "customer").select(k.alias("doc_id"), F.explode(rows).alias("r")).select("doc_id", "r.*")
+    return report.facts(f).select(F.col("doc_id").alias("c_custkey"), "place", "feature", "value")

@@ -80,6 +80,7 @@ class Gate:
     adjust: tuple[Adjust, ...] = ()
     mode: str = "sum"
     message: str = ""
+    message_missing: str = ""
 
 
 @dataclass(frozen=True)
@@ -208,7 +209,7 @@ def _gate(raw: Mapping[str, Any], inputs: set[str], where: str) -> Gate:
     if level not in ("fail", "warn") or missing not in ("unknown", "warn", "fail", "skip") or mode not in ("sum", "largest"):
         raise RuleError(f"{where}: unknown level, when_missing or adjust_mode")
     number = lambda k: None if raw.get(k) is None else float(raw[k])
-    return Gate(raw["id"], raw.get("label", raw["id"]), _feature(raw.get("feature"), where), number("min"), number("max"), raw.get("equals"), level, missing, tuple(adjust), mode, raw.get("message", ""))
+    return Gate(raw["id"], raw.get("label", raw["id"]), _feature(raw.get("feature"), where), number("min"), number("max"), raw.get("equals"), level, missing, tuple(adjust), mode, raw.get("message", ""), raw.get("message_missing", ""))
 
 
 def category_of(raw: Mapping[str, Any], where: str = "category") -> Category:

@@ -141,7 +141,7 @@ def gate_delta(gate: Gate, inputs: dict[str, Column]) -> Column:
 
 
 def gate_struct(gate: Gate, wide: Wide, inputs: dict[str, Column]) -> Column:
-    """gate, status (null if skipped), value (as double), limit."""
+    """gate, status (null if skipped), value (as double), limit, message."""
     delta = gate_delta(gate, inputs)
     x = wide[gate.feature] if gate.feature in wide else F.lit(None).cast("double")
     limit = F.lit(gate.min if gate.min is not None else gate.max).cast("double") + delta
@@ -154,7 +154,10 @@ def gate_struct(gate: Gate, wide: Wide, inputs: dict[str, Column]) -> Column:
         ok = ok & (x == F.lit(gate.equals))
     missing = F.lit(None).cast("string") if gate.missing == "skip" else F.lit(gate.missing)
     status = F.when(x.isNull(), missing).when(ok, "pass").otherwise(gate.level)
-    return F.struct(F.lit(gate.id).alias("gate"), status.alias("status"), x.cast("double").alias("value"), limit.alias("limit"))
+    shown = as_text(x, FEATURES.get(gate.feature, "number"))
+    met = F.concat(shown, F.lit(" meets the requirement of "), as_text(limit), F.lit(".")) if gate.min is not None or gate.max is not None else F.lit("Requirement met.")
+    said = filled(F.when(x.isNull() & F.lit(bool(gate.message_missing)), gate.message_missing).otherwise(gate.message), value=F.coalesce(shown, F.lit("not stated")), limit=F.coalesce(as_text(limit), F.lit("")))
+    return F.struct(F.lit(gate.id).alias("gate"), status.alias("status"), x.cast("double").alias("value"), limit.alias("limit"), F.when(status == "pass", met).otherwise(said).alias("message"))
 
 
 def gated(features: DataFrame, category: Category, names: dict[str, str], inputs: dict[str, Column] | None = None) -> DataFrame:
@@ -194,9 +197,27 @@ def level(score: Column) -> Column:
     return out
 
 
-def as_text(x: Column) -> Column:
-    """A number without needless decimals."""
-    return F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", ""))
+def as_text(x: Column, kind: str = "number") -> Column:
+    """A value as advice shows it: a number without needless decimals, a list with commas or as none, a flag as True or False."""
+    if kind == "list":
+        return F.when(F.size(x) > 0, F.array_join(x, ", ")).when(x.isNotNull(), "none")
+    if kind == "bool":
+        return F.initcap(x.cast("string"))
+    if kind not in ("number", "int"):
+        return x.cast("string")
+    x = x.cast("double")
+    return F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).when(x.isNotNull(), F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", ""))
+
+
+def as_percent(x: Column, kind: str) -> Column:
+    return F.concat(F.when(x.isNotNull(), F.format_string("%d", rounded(x.cast("double") * 100, 0).cast("long"))), F.lit("%")) if kind in ("number", "int") else as_text(x, kind)
+
+
+def filled(template: Column, **values: Column) -> Column:
+    """A template with its {names} replaced."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit(f"{{{name}}}"), value)
+    return template
 
 
 def suggestions(scores: DataFrame, category: Category, names: dict[str, str], key: str) -> DataFrame:
@@ -213,8 +234,9 @@ def suggestions(scores: DataFrame, category: Category, names: dict[str, str], ke
         silent = ~found & F.lit(s.missing == "exclude" and not g.text_missing)
         if g.only_if:
             silent = silent | (wide[g.only_if].isNull() if g.only_if in wide else F.lit(True))
-        value = F.coalesce(*[as_text(wide[t.feature].cast("double")) for t in s.terms if t.feature in wide and FEATURES[t.feature] in ("number", "int")], F.lit("not stated"))
-        text = F.replace(F.when(found, g.text).otherwise(g.text_missing or g.text), F.lit("{value}"), value)
+        # The value of the term that scored best.
+        stated = lambda show: F.coalesce(*[F.when(found & (own["feature"] == t.feature), show(wide[t.feature], FEATURES[t.feature])) for t in s.terms if t.feature in wide], F.lit("not stated"))  # noqa: B023, E731
+        text = filled(F.when(found, g.text).otherwise(g.text_missing or g.text), value=stated(as_text), value_pct=stated(as_percent))
         use = ~silent & (~found | (now < g.below)) & (points > 0)
         options.append(F.when(use, F.struct(F.lit(s.id).alias("signal"), F.lit(s.subscore).alias("subscore"), points.alias("points"), impact(points).alias("impact"), text.alias("text"), F.lit(order[s.id][0]).alias("so"), F.lit(order[s.id][1]).alias("go"))))
     rows = scores.select(key, F.explode(F.filter(F.array(*options), lambda o: o.isNotNull())).alias("s")).select(key, "s.*")

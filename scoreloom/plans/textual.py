@@ -94,22 +94,10 @@ def heading_candidates(spark, d):
     return tx.lines(docs(spark, d)).select("doc_id", "line_no", segment.is_candidate(F.col("text")).alias("candidate"))
 
 
-# In these tables a short line of at most three words stands for a heading.
-SHORT = f"{WORDS.format('text')} <= 3"
-
-
-@query("sections_assign", f"WITH {LINES}, h AS (SELECT *, {SHORT} AS head FROM l), s AS (SELECT doc_id, line_no, CAST(sum(head::INT) OVER w AS BIGINT) AS section_no, last_value(CASE WHEN head THEN lower(text) END IGNORE NULLS) OVER w AS heading FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) SELECT doc_id, line_no, section_no, coalesce(heading, 'preamble') AS mode FROM s")
-def sections_assign(spark, d):
-    t = tx.lines(docs(spark, d))
-    head = tx.word_count(F.col("text")) <= 3
-    t = t.withColumn("section_no", F.sum(head.cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no")))
-    return segment.carried(t, "doc_id", ["line_no"], F.when(head, F.lower("text")), "preamble").select("doc_id", "line_no", "section_no", "mode")
-
-
-@query("section_presence", f"WITH {LINES}, k AS (SELECT DISTINCT doc_id FROM l WHERE {SHORT}) SELECT d.doc_id, k.doc_id IS NOT NULL AS has_heading FROM documents d LEFT JOIN k USING (doc_id)")
+@query("section_presence", "SELECT o_orderkey, o_orderkey % 4 < 2 AS experience, o_orderkey % 4 = 2 AS skills FROM orders")
 def section_presence(spark, d):
-    k = tx.lines(docs(spark, d)).where(tx.word_count(F.col("text")) <= 3).select("doc_id").distinct().withColumn("k", F.lit(True))
-    return docs(spark, d).select("doc_id").join(k, "doc_id", "left").select("doc_id", F.col("k").isNotNull().alias("has_heading"))
+    found = F.element_at(F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in (("internships", "contact"), ("experience", "education"), ("skills", "projects"), ("summary", "research"))]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", segment.has_section(found, "experience").alias("experience"), segment.has_section(found, "skills").alias("skills"))
 
 
 @query("sections_detected", None)
@@ -118,16 +106,6 @@ def sections_detected(spark, d):
     return segment.sections(t).select("doc_id", "line_no", "is_heading", "section_no", "section_key")
 
 
-@query("entries_split", """WITH t AS (SELECT conv_id, turn, coalesce(role <> lag(role) OVER w AND role = 'user', true) AS starts, length(text) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-e AS (SELECT *, sum(starts::INT) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS entry_no FROM t) SELECT conv_id, CAST(entry_no AS BIGINT) AS entry_no, count(*) AS lines, CAST(sum(n) AS BIGINT) AS chars FROM e GROUP BY 1, 2""")
-def entries_split(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    before = F.lag("role").over(w)
-    starts = F.coalesce((F.col("role") != before) & (F.col("role") == "user"), F.lit(True))
-    t = table(spark, d, "conversations").withColumn("starts", starts).withColumn("entry_no", F.sum(F.col("starts").cast("int")).over(w) - 1)
-    return t.groupBy("conv_id", "entry_no").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
-
-
 @query("mode_carry_forward", "SELECT conv_id, turn, coalesce(last_value(CASE WHEN length(text) < 120 THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 'required') AS mode FROM conversations")
 def mode_carry_forward(spark, d):
     c = table(spark, d, "conversations")
@@ -149,7 +127,7 @@ SHOWN = ("text_layer", "glyphs", "email", "length", "file_type", "file_size")
 
 def check_rows(spark, d):
     e = checks.evidence_of(docs(spark, d)).withColumn("size_bytes", F.col("n_chars"))
-    return checks.checked(e).where(F.col("check").isin(*SHOWN))
+    return checks.checked(e, only=SHOWN)
 
 
 @query("check_statuses", f'WITH {EVIDENCE} SELECT doc_id, "check", status FROM k')
@@ -215,7 +193,9 @@ def keyword_hits(spark, d):
 
 @query("keyword_coverage", f"WITH {KEYWORDS} SELECT item_id, doc_id, round_even(CAST(sum(CAST(credit AS DECIMAL(10,4)) * wt) AS DOUBLE) / CAST(sum(wt) AS DOUBLE), 3) AS coverage FROM h GROUP BY ALL")
 def keyword_coverage(spark, d):
-    return match.covered_share(keyword_rows(spark, d), ["item_id", "doc_id"])
+    items = _terms(table(spark, d, "benchmark"), "item_id").distinct().withColumn("importance", F.when(F.length("skill") >= 9, "required").otherwise("preferred"))
+    own = _terms(docs(spark, d), "doc_id").groupBy("doc_id", "skill").agg((F.count(F.lit(1)) > 1).alias("in_context"))
+    return match.covered_by_found(items, own, "item_id", "doc_id", "skill")
 
 
 @query("lexicon_longest_match", None)
@@ -237,15 +217,15 @@ def chunks_capped(spark, d):
 
 
 COSINE = """q AS (SELECT vec_id AS req, label, embedding FROM embeddings WHERE label = 0), c AS (SELECT vec_id AS chunk, embedding FROM embeddings WHERE label <> 0),
-s AS (SELECT req, label, chunk, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS sim FROM q, c),
+s AS (SELECT req, label, chunk, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS sim FROM q JOIN c ON req % 8 = chunk % 8),
 m AS (SELECT req, arg_max(chunk, (sim, -chunk)) AS best, max(sim) AS sim FROM s GROUP BY req)"""
 
 
 def cosine_rows(spark, d):
-    """The vectors of label 0 as requirements, all others as chunks."""
-    e = table(spark, d, "embeddings")
-    r = e.where("label = 0").select(F.lit(1).alias("g"), F.col("vec_id").alias("req"), F.col("embedding").alias("vector"))
-    c = e.where("label <> 0").select(F.lit(1).alias("g"), F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"))
+    """The vectors of label 0 as requirements, all others as chunks, in eight documents by the remainder of vec_id."""
+    e = table(spark, d, "embeddings").withColumn("g", F.col("vec_id") % 8)
+    r = e.where("label = 0").select("g", F.col("vec_id").alias("req"), F.col("embedding").alias("vector"))
+    c = e.where("label <> 0").select("g", F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"))
     return match.best_chunks(r, c, ["g"], "req", "chunk")
 
 
@@ -254,10 +234,10 @@ def cosine_argmax(spark, d):
     return cosine_rows(spark, d).select("req", "best", rounded("similarity", 4).alias("similarity"))
 
 
-@query("fit_rollup", f"""WITH {COSINE}, f AS (SELECT round_even(greatest(0.0, least(1.0, (sim - 0.5) / (0.72 - 0.5))), 4) AS score, CASE WHEN req % 2 = 0 THEN 2.0 ELSE 1.0 END AS w FROM m)
+@query("fit_rollup", f"""WITH {COSINE}, f AS (SELECT round_even(greatest(0.0, least(1.0, (sim + 0.1 * (req % 4) - 0.5) / (0.72 - 0.5))), 4) AS score, CASE WHEN req % 2 = 0 THEN 2.0 ELSE 1.0 END AS w FROM m)
 SELECT CASE WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.3 THEN 'partial' ELSE 'missing' END AS status, count(*) AS n, round_even(100 * sum(w * score) / sum(w), 1) AS fit FROM f GROUP BY 1""")
 def fit_rollup(spark, d):
-    m = cosine_rows(spark, d).withColumn("score", rounded(match.calibrated(F.col("similarity")), 4)).withColumn("importance", F.when(F.col("req") % 2 == 0, "required").otherwise("preferred"))
+    m = cosine_rows(spark, d).withColumn("score", rounded(match.calibrated(F.col("similarity") + 0.1 * (F.col("req") % 4)), 4)).withColumn("importance", F.when(F.col("req") % 2 == 0, "required").otherwise("preferred"))
     m = m.withColumn("status", match.fit_status(F.col("score")))
     n = m.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     return match.fit(m, ["status"]).join(n, "status")
@@ -324,10 +304,10 @@ def layout_order(spark, d):
     return generate.ordered(k, "conv_id", "key", ["system", "assistant"], ["first", "key"]).select("conv_id", "key", "place")
 
 
-@query("layout_warnings", "WITH k AS (SELECT conv_id, bool_or(role = 'system') AS s, count(*) AS n FROM conversations GROUP BY 1), w AS (SELECT conv_id, 'missing section: system' AS warning FROM k WHERE NOT s UNION ALL SELECT conv_id, 'over the page limit' FROM k WHERE ceil((4 + 3 * n) / 46.0) > 0 AND n > 6) SELECT * FROM w")
+@query("layout_warnings", "WITH k AS (SELECT conv_id, bool_or(role = 'system') AS s, count(*) AS n FROM conversations GROUP BY 1), w AS (SELECT conv_id, 'missing section: system' AS warning FROM k WHERE NOT s UNION ALL SELECT conv_id, 'over the page limit' FROM k WHERE ceil((4 + 9 * n) / 46.0) > 1) SELECT * FROM w")
 def layout_warnings(spark, d):
     k = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("sections"), F.count(F.lit(1)).alias("n"))
-    return generate.warnings(k, "conv_id", ["system"], {"over the page limit": (generate.pages(F.col("n") * 3) > 0) & (F.col("n") > 6)})
+    return generate.warnings(k, "conv_id", ["system"], {"over the page limit": generate.pages(F.col("n") * 9) > 1})
 
 
 @query("month_normalise", "SELECT o_orderkey, strftime(o_orderdate, '%b %Y') AS month FROM orders")

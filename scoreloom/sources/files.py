@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.operators import text as tx
+from scoreloom.sources import docx
 
 IMAGES = ("jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp")
 #: Windows-1252 differs from ISO-8859-1 in these 32 places, five of which it leaves open.
 C1 = "".join(map(chr, range(0x80, 0xA0)))
 WINDOWS = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0))
+NO_READER = "needs a reader of its own"
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -34,7 +36,7 @@ def documents(files: DataFrame) -> DataFrame:
     t = t.withColumn("text", F.array_join(lines, "\n"))
     error = (
         F.when(F.col("file_type") == "doc", "the old .doc format; save as .docx or PDF").when(F.col("file_type").isin(*IMAGES), "an image; send text").when(~F.col("file_type").isin("txt", "pdf", "docx"), "unknown file type")
-        .when(F.col("length") == 0, "empty file").when(F.col("file_type").isin("pdf", "docx"), "needs a reader of its own").when(F.col("body").isNull(), "not a text").when(F.col("text") == "", "no text")
+        .when(F.col("length") == 0, "empty file").when(F.col("file_type").isin("pdf", "docx"), NO_READER).when(F.col("body").isNull(), "not a text").when(F.col("text") == "", "no text")
     )
     return t.select(F.xxhash64("path").alias("doc_id"), "path", F.regexp_replace("path", r"^.*/", "").alias("filename"), "file_type", F.col("length").alias("size_bytes"), "text", tx.page_estimate(tx.word_count(F.col("text"))).alias("page_count"), error.alias("error"))
 
@@ -52,27 +54,31 @@ def register_reader(kind: str, read_rows):
     READERS[kind] = read_rows
 
 
-READERS: dict[str, callable] = {}
+READERS: dict[str, callable] = {"docx": lambda content: docx.text_of(content)}
 
 
 def with_readers(files: DataFrame) -> DataFrame:
-    """``documents`` with the registered readers applied in Arrow batches to the formats they know."""
+    """``documents`` with the registered readers applied in Arrow batches to the formats they know. A file that a reader rejects is a row with an error."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     readers, base = dict(READERS), documents(files)
     schema = base.schema
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         for b in batches:
             rows = b.to_pylist()
             for r in rows:
-                if r["file_type"] in readers and r["error"] == "needs a reader of its own":
+                content = r.pop("content")
+                if r["file_type"] in readers and r["error"] == NO_READER:
                     try:
-                        r["text"], r["error"] = readers[r["file_type"]](r.pop("content")), None
+                        r["text"], r["error"] = readers[r["file_type"]](content), None
+                        if not r["text"].strip():
+                            r["error"] = "no text"
                     except Exception as e:  # noqa: BLE001  a broken file is a row, not a failure
                         r["error"] = f"unreadable: {type(e).__name__}"
-                r.pop("content", None)
-            yield pa.RecordBatch.from_pylist(rows, schema=None) if rows else b
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     joined = base.join(files.select("path", "content"), "path").select(*base.columns, "content")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).withColumn("page_count", tx.page_estimate(tx.word_count(F.col("text"))))

@@ -95,3 +95,126 @@ def test_stream_store(spark, tmp_path):
     now = F.lit(at + dt.timedelta(minutes=62))
     puts = spark.createDataFrame([("a", at), ("b", at + dt.timedelta(minutes=5))], "k string, at timestamp")
     assert [r.k for r in ttl.alive(puts, "k", "at", now).collect()] == ["b"]
+
+
+def _docx(paragraphs: str, more: dict[str, str] | None = None) -> bytes:
+    import io
+    import zipfile
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{paragraphs}</w:body></w:document>')
+        for name, text in (more or {}).items():
+            z.writestr(name, text.replace("<w:hdr>", f'<w:hdr xmlns:w="{w}">'))
+    return out.getvalue()
+
+
+P = "<w:p><w:pPr><w:pStyle w:val='{}'/></w:pPr><w:r><w:rPr>{}<w:sz w:val='{}'/></w:rPr><w:t>{}</w:t></w:r></w:p>"
+
+
+def test_docx(spark, tmp_path):
+    from scoreloom.sources import docx
+
+    cell = "<w:tc>{}" + P.format("", "", 20, "cell {}") + "</w:tc>"
+    table = "<w:tbl><w:tr>" + cell.format("<w:tcPr><w:vMerge w:val='restart'/></w:tcPr>", 1) + cell.format("", 2) + "</w:tr><w:tr>" + cell.format("<w:tcPr><w:vMerge/></w:tcPr>", 3) + cell.format("", 4) + "</w:tr></w:tbl>"
+    box = "<w:p><w:r><w:txbxContent>" + P.format("", "", 20, "in a box") + "</w:txbxContent></w:r><w:r><w:t>outside</w:t></w:r></w:p>"
+    body = P.format("Heading1", "<w:b/>", 28, "Asha  Example") + P.format("", "<w:b w:val='0'/>", 20, "plain") + table + box + "<w:sectPr><w:cols w:num='2'/></w:sectPr>"
+    more = {"word/header1.xml": "<w:hdr>" + P.format("", "", 20, "top of page") + "</w:hdr>", "word/media/a.png": "x", "docProps/app.xml": '<Properties xmlns="http://schemas.openxmlformats.org/officeDocument/2006/extended-properties"><Pages>3</Pages></Properties>'}
+    (tmp_path / "a.docx").write_bytes(_docx(body, more))
+    (tmp_path / "b.docx").write_bytes(b"PK broken")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "d.docx").write_bytes(_docx(""))
+    raw = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1]: r.docx for r in docx.documents(raw).collect()}
+    a = got["a.docx"]
+    assert [(x.text, x.zone, x.size, x.bold, x.style) for x in a.lines] == [
+        ("Asha Example", "body", 14.0, True, "Heading1"), ("plain", "body", 10.0, False, ""), ("cell 1", "table", 10.0, False, ""), ("cell 2", "table", 10.0, False, ""), ("cell 4", "table", 10.0, False, ""), ("outside", "body", None, False, ""),
+    ]
+    assert (a.docx_columns, a.table_count, a.textbox_words, a.header_footer_words, a.image_count, a.stated_pages, a.error) == (2, 1, 3, 3, 1, 3, None)
+    assert got["b.docx"].error == "unreadable: BadZipFile" and got["d.docx"].lines == []
+    read = {r.filename: r for r in files.with_readers(raw).collect()}
+    assert read["a.docx"].text.split("\n")[0] == "Asha Example" and read["a.docx"].error is None and read["a.docx"].page_count == 1
+    assert read["b.docx"].error.startswith("unreadable") and read["c.pdf"].error == files.NO_READER and read["d.docx"].error == "no text"
+
+
+def test_checks_follow_the_category(engine, spark):
+    long_ = DOC + "\n".join("word " * 20 for _ in range(60))
+    docs = spark.createDataFrame([(1, DOC, "resume_final.pdf"), (2, long_, "asha_example.pdf")], "doc_id long, text string, filename string").withColumn("file_type", F.lit("pdf"))
+    of = lambda c: {r.doc_id: {x.check: x.status for x in r.checks} for r in engine.checks(docs, c).collect()}
+    one, two = of("tech_internship"), of("higher_ed_ms_phd_research")
+    assert (one[2]["length"], two[2]["length"]) == ("fail", "pass")
+    assert one[1]["filename"] == "warn" and one[2]["filename"] == "pass" and one[1]["keywords"] == "na" and one[1]["linkedin"] == "pass"
+    assert of("govt_ssc_banking")[1]["linkedin"] == "na"
+
+
+def test_fit_with_skills_and_notes(engine, spark):
+    jds = spark.createDataFrame([(1, "Engineer\nRequirements\n- Work with Python and Docker every day\n- Cut latency by 30% for 2000 users\nPreferred\n- Some taste of Kafka at work\n"), (2, "Title only")], "jd_id long, text string")
+    docs = spark.createDataFrame([(1, DOC, 1), (2, DOC, 2), (3, "", 1), (4, DOC, None)], "doc_id long, text string, jd_id long")
+    m = {r.req_no: r for r in engine.matches(docs, jds).where("doc_id = 1").collect()}
+    assert (m[1].wanted, m[1].missing, m[3].importance) == (["Docker", "Python"], ["Docker"], "preferred") and m[2].status == "strong" and m[2].evidence and m[3].rank == 3 and m[1].rank < m[2].rank
+    got = {r.doc_id: (r.fit, r.note) for r in engine.fit(docs, jds).collect()}
+    assert got[1][0] > 20 and got[1][1] is None and got[2] == (0.0, "no requirements in the description") and got[3] == (0.0, "nothing to compare in the document") and 4 not in got
+    assert engine.fit(docs, jds, embed=None).first().note == "no embedder"
+    out = {r.doc_id: r for r in engine.analyze(docs, "tech_product_fulltime", jds).collect()}
+    assert out[1].overall is not None and out[2].overall is None and out[4].overall is None and out[3].score is None and out[1].low_confidence is False
+    hits = {r.skill: r for r in engine.keywords(docs.where("doc_id = 1"), jds, engine.lines(docs.where("doc_id = 1"))).collect()}
+    assert hits["Python"].status == "exact" and not hits["Python"].in_context and hits["Docker"].status == "missing"
+
+
+def test_unknown_features_are_rejected(spark):
+    from scoreloom.operators import extract
+
+    f = spark.createDataFrame([(1, "no.such", 1.0, None, None, None, None)], "doc_id long, feature string, num double, bool boolean, items array<string>, str string, evidence string")
+    for name in ("no.such", "candidate.age"):
+        with pytest.raises(Exception, match="not a feature that can be stated"):
+            extract.derived_features(f.withColumn("feature", F.lit(name)), "2026-09-22").collect()
+
+
+def test_report(engine, docs):
+    import json
+
+    features = engine.features(docs)
+    got = {r.doc_id: json.loads(r.json) for r in engine.report(engine.analyze(docs, "tech_product_fulltime"), features).collect()}
+    assert [c["card"] for c in got[1]["cards"]] == ["strength", "ats"] and got[2]["cards"][-1]["note"] and got[1]["low_confidence"] is False
+    assert "academics.ug_cgpa" in [f["feature"] for f in got[1]["facts"]] and "skills.list" not in [f["feature"] for f in got[1]["facts"]]
+
+
+def test_messages_and_templates(spark):
+    from scoreloom.functions.vocabulary import register_feature
+    from scoreloom.plans import rules, scoring
+
+    for name, kind in (("t.n", "number"), ("t.m", "number"), ("t.l", "list")):
+        register_feature(name, kind)
+    band = lambda f, hi: {"feature": f, "rule": {"type": "bands", "points": [[0, 0], [hi, 1]]}}
+    c = rules.category_of({
+        "id": "t", "subscores": {"a": {"weight": 1}}, "signals": [{"id": "s", "subscore": "a", "any_of": [band("t.n", 100), band("t.m", 10)], "suggest": {"text": "{value} or {value_pct}", "text_missing": "state it"}}],
+        "eligibility": [{"id": "g", "feature": "t.n", "min": 5, "message": "{value} is below {limit}", "message_missing": "not there"}, {"id": "h", "feature": "t.n", "max": 50, "message": "{value} over {limit}"}],
+    })
+    df = spark.createDataFrame([(1, 4.5, 0.25), (2, 60.0, 0.5), (3, None, None)], "doc_id long, n double, m double")
+    names = {"t.n": "n", "t.m": "m"}
+    said = {r.doc_id: [g.message for g in r.gates] for r in scoring.gated(df, c, names).collect()}
+    assert said == {1: ["4.5 is below 5", "4.5 meets the requirement of 50."], 2: ["60 meets the requirement of 5.", "60 over 50"], 3: ["not there", "not stated over 50"]}
+    text = {r.doc_id: r.text for r in scoring.suggestions(scoring.scored(df, c, names), c, names, "doc_id").collect()}
+    assert text == {1: "4.5 or 450%", 2: "60 or 6000%", 3: "state it"}
+
+
+def test_snapshots_labels_and_entities(spark, tmp_path):
+    from scoreloom.operators import evaluate, extract
+    from scoreloom.sources import results
+
+    rows = [("a", "t", "strong", 80.0, 70.0, None, 0.9, True), ("b", "t", "weak", 20.0, 60.0, None, 0.5, False)]
+    old = spark.createDataFrame(rows, results.SNAPSHOT)
+    results.write_snapshot(old, f"{tmp_path}/s")
+    back = results.read_snapshot(spark, f"{tmp_path}/s")
+    assert sorted(back.collect()) == sorted(old.collect())
+    new = back.withColumn("strength", F.when(F.col("case_id") == "b", 30.0).otherwise(F.col("strength"))).withColumn("eligible", F.lit(True))
+    moved = evaluate.snapshot_diff(back, new, "case_id", ["strength", "ats"], flags=["eligible"]).collect()
+    assert sorted((r.case_id, r.change, r.field) for r in moved) == [("b", "flipped", "eligible"), ("b", "moved", "strength")]
+    cases = [{"case_id": "a", "tier": "strong", "text": "x", "labels": {"projects.count": "2", "skills.languages": "Python, Go", "research.faculty_guided": "true"}}]
+    spark.createDataFrame([(__import__("json").dumps(x),) for x in cases], "value string").write.text(f"{tmp_path}/l")
+    long_ = {r.feature: (r.num, r.bool, r["items"]) for r in results.labels_long(results.read_labelled(spark, f"{tmp_path}/l"), {"projects.count": "int", "skills.languages": "list", "research.faculty_guided": "bool"}).collect()}
+    assert long_ == {"projects.count": (2.0, None, None), "skills.languages": (None, None, ["Python", "Go"]), "research.faculty_guided": (None, True, None)}
+    texts = spark.createDataFrame([(1, "Asha met Bob")], "doc_id long, text string")
+    assert extract.entities(texts).count() == 0
+    assert [r.entity for r in extract.entities(texts, lambda c: F.transform(F.regexp_extract_all(c, F.lit("[A-Z][a-z]+"), 0), lambda x: F.struct(F.lit("PERSON").alias("label"), x.alias("entity")))).collect()] == ["Asha", "Bob"]
