@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed, lexicons
 from scoreloom.functions.numbers import rounded
-from scoreloom.functions.vocabulary import FEATURES
+from scoreloom.functions.vocabulary import FEATURES, register_feature
 from scoreloom.operators import checks, evaluate, extract, match, report, segment
 from scoreloom.operators import text as tx
 from scoreloom.plans import rules, scoring
@@ -21,6 +21,13 @@ class Engine:
         self.spark, self.today = spark, today
         self.categories = rules.load(rulesets) if rulesets else rules.load()
         self.lexicon = lexicon if lexicon is not None else lexicons.lexicon(spark)
+        self.extractors: list[Callable[[DataFrame], DataFrame]] = []
+
+    def register_extractor(self, kinds: Mapping[str, str], extractor: Callable[[DataFrame], DataFrame]) -> None:
+        """An extractor of the caller's own: from sectioned lines to long features, whose names and types go to the vocabulary."""
+        for name, kind in kinds.items():
+            register_feature(name, kind)
+        self.extractors.append(extractor)
 
     def lines(self, docs: DataFrame) -> DataFrame:
         """Sectioned lines of plain texts (doc_id, text), computed once: a dozen extractors read them."""
@@ -41,6 +48,7 @@ class Engine:
             extract.education(lines), extract.coursework(lines), extract.coding(lines), extract.gate_exam(lines), extract.exam_stages(lines), extract.faculty(lines), extract.spoken(lines), extract.personal(lines),
             extract.entry_features(entries, fixed.PRODUCT, fixed.CORE, fixed.ISSUERS), extract.skills(found, self.lexicon),
         ]
+        parts += [own(lines) for own in self.extractors]
         if statements is not None:
             parts.append(extract.statement(statements))
         every = parts[0]

@@ -12,7 +12,7 @@ LINES_PER_PAGE = 46
 
 def compact(items: Column) -> Column:
     """Trimmed items without the empty ones."""
-    return F.filter(F.transform(items, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def joined(separator: str, *parts: Column) -> Column:

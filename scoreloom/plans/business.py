@@ -387,3 +387,7 @@ def threshold_sweep(spark, d):
 SELECT event_type, max(value) FILTER (WHERE r = least(floor(0.1 * n), n - 1)) AS p10, max(value) FILTER (WHERE r = least(floor(0.5 * n), n - 1)) AS median, max(value) FILTER (WHERE r = least(floor(0.9 * n), n - 1)) AS p90 FROM r GROUP BY 1""")
 def index_quantiles(spark, d):
     return evaluate.index_quantile(table(spark, d, "events"), "event_type", "value", {"p10": 0.1, "median": 0.5, "p90": 0.9})
+
+
+def suggestion_texts_sql() -> str:
+    return f"WITH {SUGGEST_SQL} SELECT c_custkey, 'raise the balance of ' || CASE WHEN balance = floor(balance) THEN CAST(CAST(balance AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.2f', balance), '\\.?0+$', '') END AS text FROM r JOIN f USING (c_custkey) WHERE signal = 'balance'"

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import dates, fixed, lexicons
-from scoreloom.operators import evaluate, extract, layout, match, report, segment
+from scoreloom.operators import evaluate, extract, generate, layout, match, report, segment
 from scoreloom.operators import text as tx
+from scoreloom.plans import business
 from scoreloom.plans.business import query as _query
 from scoreloom.plans.business import table
 from scoreloom.plans.scratch import saved
@@ -514,3 +515,70 @@ def facts_table(spark, d):
     rows = F.array(row("education.has_master", flag=k % 3 == 0), row("academics.ug_cgpa", num=k % 100 / 10), row("skills.list", items=both), row("candidate.date_of_birth", said=F.lit("2001-05-12")), row("academics.coursework", items=F.when(k % 2 == 0, both).otherwise(F.array().cast("array<string>"))))
     f = table(spark, d, "customer").select(k.alias("doc_id"), F.explode(rows).alias("r")).select("doc_id", "r.*")
     return report.facts(f).select(F.col("doc_id").alias("c_custkey"), "place", "feature", "value")
+
+
+MENTIONED = [
+    ("Data Structures and Algorithms, C++ and Python 3", "Data Structures@0,C++@32,Python@40"), ("Languages: C, Go", "C@11,Go@14"), ("I go to C level", ""), ("used React and react", "React@5"), ("see https://python.example/x", ""),
+    ("Docker/Kubernetes (K8s)", "Docker@0,Kubernetes@7,Kubernetes@19"), ("ASP.NET Core on .NET", "ASP.NET@0,.NET@17"), ("sql and SQL", "SQL@8"),
+]
+
+
+@query("mention_spans", "SELECT o_orderkey, nullif(s, '') AS mentions FROM (" + picked_sql(MENTIONED, "s") + ")")
+def mention_spans(spark, d):
+    t, text = picked(spark, d, MENTIONED)
+    m = match.mentions(t.select("o_orderkey", text.alias("text")), lexicons.lexicon(spark).drop("category"), ["o_orderkey"])
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "skill"))), lambda x: F.concat(x["skill"], F.lit("@"), x["start"].cast("string"))), ",")
+    return t.join(m.groupBy("o_orderkey").agg(said.alias("mentions")), "o_orderkey", "left")
+
+
+@query("body_sizes", """WITH l AS (SELECT l_orderkey, 9 + l_suppkey % 3 AS size, greatest(1, CAST(l_quantity AS INTEGER) // 10) AS w, l_linenumber * 1000000 + l_partkey AS line_no FROM lineitem WHERE l_suppkey % 4 > 0), s AS (SELECT l_orderkey, size, sum(w) AS w, min(line_no) AS f FROM l GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY w DESC, f) AS r FROM s) SELECT l_orderkey, CAST(size AS DOUBLE) AS body FROM r WHERE r = 1""")
+def body_sizes(spark, d):
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("line_no"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("text"),
+        F.when(F.col("l_suppkey") % 4 > 0, (9 + F.col("l_suppkey") % 3).cast("double")).alias("size"),
+    )
+    return segment.body_size(lines).select(F.col("doc_id").alias("l_orderkey"), "body")
+
+
+STYLED = [("Asha Example", 18.0, True), ("Education", 14.0, True), ("B.Tech in Computing", 10.0, False), ("My Journey", 14.0, True), ("walked far and wide", 10.0, False), ("Projects", 10.0, False), ("Skills", 14.0, True), ("python and sql", 10.0, False)]
+
+
+@query("styled_sections", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'preamble:1,education:2,My Journey:3,skills:2' ELSE 'preamble:1,education:3,projects:1,skills:2' END AS sections FROM customer")
+def styled_sections(spark, d):
+    """Headings in a style of their own: for even keys an unknown one counts as a heading and a known word in the body's style doesn't; without styles exact names count."""
+    plain = (F.col("c_custkey") % 2 == 1)
+    rows = F.array(*[F.struct(F.lit(k).alias("line_no"), F.lit(t).alias("text"), F.when(~plain, z).alias("size"), (F.lit(b) & ~plain).alias("bold"), F.lit("").alias("style")) for k, (t, z, b) in enumerate(STYLED)])
+    lines = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), plain.alias("plain"), F.explode(rows).alias("r")).select("doc_id", "plain", "r.*").where(~(F.col("plain") & (F.col("text") == "My Journey"))).drop("plain")
+    s = segment.sections(lines).groupBy("doc_id", "section_no").agg(F.max(F.coalesce("section_key", "heading")).alias("k"), F.count(F.lit(1)).alias("n"))
+    return s.groupBy(F.col("doc_id").alias("c_custkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_no", "k", "n"))), lambda x: F.concat(x["k"], F.lit(":"), x["n"].cast("string"))), ",").alias("sections"))
+
+
+@query("suggestion_texts", business.suggestion_texts_sql())
+def suggestion_texts(spark, d):
+    return business.advice(spark, d).where("signal = 'balance'").select("c_custkey", "text")
+
+
+# --- generator ---------------------------------------------------------------------------
+
+
+@query("draft_lines", """WITH p AS (SELECT p_partkey AS k, p_name FROM part) SELECT k AS p_partkey, CASE k % 3 WHEN 0 THEN 'Dev | Works' WHEN 1 THEN 'Dev' ELSE 'Works' END AS line, CASE k % 4 WHEN 0 THEN '2020 - 2022' WHEN 1 THEN '2020' WHEN 2 THEN '2022' ELSE '' END AS period,
+CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS items, 'Asha_Rao_Resume' || CASE WHEN k % 2 = 0 THEN '_SDE' ELSE '' END || '.pdf' AS filename, CAST(ceil((4 + k % 100) / 46) AS BIGINT) AS pages, CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 18 ELSE 19 END AS place FROM p""")
+def draft_lines(spark, d):
+    k = F.col("p_partkey")
+    or_ = lambda cond, text: F.when(cond, text).otherwise(" ")
+    name = F.element_at(F.array(F.lit("summary"), F.lit("education"), F.lit("declaration"), F.lit("else")), (k % 4 + 1).cast("int"))
+    return table(spark, d, "part").select(
+        "p_partkey", generate.joined(" | ", or_(k % 3 < 2, " Dev "), or_(k % 3 != 1, "Works")).alias("line"), generate.period(or_(k % 4 < 2, "2020"), or_((k % 4 == 0) | (k % 4 == 2), "2022")).alias("period"),
+        F.size(generate.compact(F.array(F.lit("a "), F.lit(" "), F.lit(None).cast("string"), or_(k % 2 == 0, "b")))).alias("items"), generate.filename(F.lit(" Asha  Rao "), or_(k % 2 == 0, "SDE")).alias("filename"),
+        generate.pages(k % 100).cast("long").alias("pages"), generate.fallback_place(name).cast("int").alias("place"),
+    )
+
+
+@query("form_fields", "SELECT o_orderkey, 'role' AS prefix, CAST(n AS INTEGER) AS n, CASE WHEN (o_orderkey + n) % 3 = 0 THEN 'title=Dev' ELSE 'end=2020,title=Dev' END AS fields FROM orders, range(2) AS r(n)")
+def form_fields(spark, d):
+    k = F.col("o_orderkey")
+    fields = [F.struct(F.lit(f"role__{n}__{name}").alias("field"), value.alias("value")) for n in range(2) for name, value in (("title", F.lit(" Dev ")), ("end", F.when((k + n) % 3 > 0, "2020").otherwise(" ")))]
+    t = table(spark, d, "orders").select(k, F.explode(F.array(*fields, F.struct(F.lit("name").alias("field"), F.lit("x").alias("value")))).alias("f")).select("o_orderkey", "f.*")
+    said = F.array_join(F.array_sort(F.transform(F.map_entries("values"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return generate.form_rows(t, "o_orderkey", "field", "value").select("o_orderkey", "prefix", "n", said.alias("fields"))

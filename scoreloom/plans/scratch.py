@@ -18,4 +18,6 @@ def saved(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="scoreloom-")
     path = f"{folder}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # plans are lazy, so it is read until the session ends
     return spark.read.schema(df.schema).parquet(path)

@@ -64,16 +64,6 @@ def contact_email(spark, d):
     return docs(spark, d).select("doc_id", tx.email(F.col("text")).alias("email"))
 
 
-@query("contact_phone", None)
-def contact_phone(spark, d):
-    return docs(spark, d).select("doc_id", tx.phone(F.col("text")).alias("phone"))
-
-
-@query("date_styles", None)
-def date_styles(spark, d):
-    return docs(spark, d).select("doc_id", F.size(tx.date_styles(F.col("text"))).alias("styles"))
-
-
 @query("percent_numbers", r"""WITH p AS (SELECT doc_id, regexp_extract(text, '(\d{1,3}(?:\.\d{1,2})?)\s*%', 1) AS a, regexp_extract(text, '(?i)\b(?:percentage|aggregate|marks|scored)\s*(?:[:–-]|of\b)?\s*(\d{1,3}(?:\.\d+)?)', 1) AS b FROM documents),
 v AS (SELECT doc_id, CAST(coalesce(nullif(a, ''), nullif(b, '')) AS DOUBLE) AS v FROM p) SELECT doc_id, CASE WHEN v > 0 AND v <= 100 THEN v END AS percent FROM v""")
 def percent_numbers(spark, d):
@@ -100,12 +90,6 @@ def section_presence(spark, d):
     return table(spark, d, "orders").select("o_orderkey", segment.has_section(found, "experience").alias("experience"), segment.has_section(found, "skills").alias("skills"))
 
 
-@query("sections_detected", None)
-def sections_detected(spark, d):
-    t = tx.lines(docs(spark, d)).withColumns({"size": F.lit(None).cast("double"), "bold": F.lit(False), "style": F.lit("")})
-    return segment.sections(t).select("doc_id", "line_no", "is_heading", "section_no", "section_key")
-
-
 @query("mode_carry_forward", "SELECT conv_id, turn, coalesce(last_value(CASE WHEN length(text) < 120 THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 'required') AS mode FROM conversations")
 def mode_carry_forward(spark, d):
     c = table(spark, d, "conversations")
@@ -151,14 +135,57 @@ def check_group_rollup(spark, d):
     return rolled_up(check_rows(spark, d), "doc_id", "grp", "weight", "score", checks.group_weight(F.col("grp")))
 
 
-@query("check_fixes", None)
-def check_fixes(spark, d):
-    return checks.fixes(check_rows(spark, d))
+def file_evidence(spark, d):
+    """Orders as files: every piece of evidence follows from the key."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(F.lit("pdf"), F.lit("docx"), F.lit("txt")), (k % 3 + 1).cast("int"))
+    n = lambda m: (k % m).cast("int")
+    return table(spark, d, "orders").select(
+        "o_orderkey", kind.alias("file_type"), n(400).alias("word_count"), ((k % 400) * F.when(k % 7 == 0, 20).otherwise(5)).cast("int").alias("char_count"), F.when(k % 11 == 0, n(4) + 1).otherwise(F.when(k % 5 == 0, 1).otherwise(0)).alias("empty_pages"),
+        (n(4) + 1).alias("page_count"), n(2).alias("gutters"), (k % 10 / 10).alias("order_similarity"), (n(2) + 1).alias("docx_columns"), n(3).alias("table_count"), n(20).alias("textbox_words"), n(8).alias("header_footer_words"), n(2).alias("image_count"),
+        n(13).alias("garbled_content"), n(5).alias("garbled_symbols"), n(6).alias("headings_found"), n(3).alias("headings_odd"), (n(4) % 3).alias("sections_missing"), F.lit(4).alias("sections_expected"), F.lit(2).alias("max_pages"), ((k % 5) * 1048576).alias("size_bytes"),
+        (n(4) % 3).alias("date_styles"), (k % 7 == 0).alias("filename_generic"), (k % 6 == 0).alias("filename_draft"), (k % 5 > 0).alias("filename_named"), (k % 4 > 0).alias("linkedin_expected"), (k % 2 == 0).alias("has_email"), (k % 3 == 0).alias("has_phone"),
+        (k % 5 == 0).alias("has_linkedin"), (k % 2 == 1).alias("saw_linkedin"), n(6).alias("keyword_hits"), F.when(k % 9 > 0, k % 100 / 100).alias("keyword_coverage"),
+    )
+
+
+def three(fail: str, warn: str) -> str:
+    return f"CASE WHEN {fail} THEN 'fail' WHEN {warn} THEN 'warn' ELSE 'pass' END"
+
+
+FILE_CHECKS = {  # check: group, weight, status, score where it isn't that of the status
+    "text_layer": ("parseability", 3.0, "CASE WHEN (t = 0 AND empty > 0) OR words < 50 THEN 'fail' ELSE 'pass' END", ""),
+    "layout": ("parseability", 3.0, f"CASE t WHEN 2 THEN 'na' WHEN 1 THEN CASE WHEN k % 2 = 1 THEN 'warn' ELSE 'pass' END ELSE {three('k % 2 = 1 AND k % 10 < 7.5', 'k % 2 = 1 OR k % 10 < 7.5')} END", ""),
+    "tables": ("parseability", 1.5, "CASE WHEN t = 2 THEN 'na' WHEN k % 3 > 0 THEN 'warn' ELSE 'pass' END", ""), "hidden_text": ("parseability", 2.0, f"CASE WHEN t <> 1 THEN 'na' ELSE {three('k % 20 >= 15', 'k % 20 > 0 OR k % 8 >= 5')} END", ""),
+    "graphics": ("parseability", 1.0, "CASE WHEN t = 2 THEN 'na' WHEN k % 2 = 1 THEN 'warn' ELSE 'pass' END", ""), "glyphs": ("parseability", 1.0, three("k % 13 >= 10", "k % 13 > 0 OR k % 5 >= 3"), "CASE WHEN k % 13 = 0 AND k % 5 >= 3 THEN 0.8 END"),
+    "headings_found": ("sections", 1.0, "CASE WHEN k % 6 + k % 3 >= 3 THEN 'pass' WHEN k % 6 + k % 3 >= 1 THEN 'warn' ELSE 'fail' END", ""), "standard_headings": ("sections", 1.5, three("k % 3 = 2", "k % 3 = 1"), "CASE WHEN k % 6 + k % 3 > 0 THEN (k % 6) / (k % 6 + k % 3) END"),
+    "expected_sections": ("sections", 1.5, three("k % 4 % 3 = 2", "k % 4 % 3 = 1"), "1 - (k % 4 % 3) / 4"), "file_type": ("hygiene", 1.0, "CASE WHEN t < 2 THEN 'pass' ELSE 'warn' END", ""),
+    "length": ("hygiene", 1.0, "CASE WHEN words < 150 THEN 'warn' WHEN k % 4 <= 1 THEN 'pass' WHEN k % 4 = 2 THEN 'warn' ELSE 'fail' END", ""),
+    "filename": ("hygiene", 1.0, "CASE WHEN k % 7 = 0 OR k % 6 = 0 OR k % 5 = 0 THEN 'warn' ELSE 'pass' END", "CASE WHEN k % 7 = 0 THEN 0.5 WHEN k % 6 = 0 OR k % 5 = 0 THEN 0.75 END"),
+    "date_formats": ("hygiene", 1.0, "CASE WHEN k % 4 % 3 > 1 THEN 'warn' ELSE 'pass' END", ""), "file_size": ("hygiene", 0.5, "CASE WHEN k % 5 > 2 THEN 'warn' ELSE 'pass' END", ""),
+    "email": ("contact", 0.5, "CASE WHEN k % 2 = 0 THEN 'pass' ELSE 'fail' END", ""), "phone": ("contact", 0.35, "CASE WHEN k % 3 = 0 THEN 'pass' ELSE 'fail' END", ""),
+    "linkedin": ("contact", 0.15, "CASE WHEN k % 4 = 0 THEN 'na' WHEN k % 5 = 0 THEN 'pass' WHEN k % 2 = 1 THEN 'fail' ELSE 'warn' END", ""),
+    "keywords": ("keywords", 1.0, "CASE WHEN k % 9 = 0 THEN 'na' WHEN k % 6 < 3 THEN 'info' WHEN k % 100 >= 75 THEN 'pass' WHEN k % 100 >= 50 THEN 'warn' ELSE 'fail' END", "(k % 100) / 100"),
+}
+FILES_SQL = "e AS (SELECT o_orderkey AS k, o_orderkey % 3 AS t, o_orderkey % 400 AS words, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey % 4 + 1 WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS empty FROM orders),\nx AS (" + " UNION ALL ".join(
+    f"SELECT *, '{name}' AS name, '{grp}' AS grp, {w}::DOUBLE AS weight, {status} AS status, {f'CAST({score} AS DOUBLE)' if score else 'NULL::DOUBLE'} AS own FROM e" for name, (grp, w, status, score) in FILE_CHECKS.items()
+) + """),
+f AS (SELECT *, name = 'text_layer' AND status = 'fail' AND CASE WHEN t = 0 AND empty = k % 4 + 1 THEN true WHEN t = 0 AND empty > 0 THEN false WHEN words < 50 AND words * CASE WHEN k % 7 = 0 THEN 20 ELSE 5 END / greatest(words, 1) > 15 THEN true ELSE words < 10 END AS fatal FROM x),
+o AS (SELECT *, max(fatal::INT) OVER (PARTITION BY k) = 1 AS dead FROM f),
+c AS (SELECT k AS o_orderkey, name AS "check", grp, weight, fatal, CASE WHEN dead AND NOT fatal THEN 'na' ELSE status END AS status, CASE WHEN NOT dead AND status IN ('pass', 'warn', 'fail') THEN round_even(coalesce(own, CASE status WHEN 'pass' THEN 1.0 WHEN 'warn' THEN 0.5 ELSE 0.0 END), 4) END AS score FROM o)"""
+
+
+@query("checks_all", f'WITH {FILES_SQL} SELECT o_orderkey, "check", grp, status, score, weight, fatal FROM c')
+def checks_all(spark, d):
+    return checks.checked(file_evidence(spark, d), "o_orderkey")
 
 
-@query("checks_all", None)
-def checks_all(spark, d):
-    return checks.checked(checks.evidence_of(docs(spark, d)).withColumn("size_bytes", F.col("n_chars")))
+@query("check_fixes", f"""WITH {FILES_SQL}, w AS (SELECT *, CASE grp WHEN 'parseability' THEN 0.3 WHEN 'sections' THEN 0.2 WHEN 'contact' THEN 0.1 WHEN 'keywords' THEN 0.3 ELSE 0.1 END AS gw FROM c WHERE score IS NOT NULL),
+g AS (SELECT o_orderkey, grp, sum(weight) AS all_w, any_value(gw) AS gw FROM w GROUP BY ALL), a AS (SELECT o_orderkey, sum(gw) AS all_g FROM g GROUP BY 1),
+p AS (SELECT w.o_orderkey, "check", round_even(w.gw / all_g * (weight / all_w) * (1 - score) * 100, 1) AS points FROM w JOIN g USING (o_orderkey, grp) JOIN a USING (o_orderkey))
+SELECT o_orderkey, "check", points, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY points DESC, "check") AS INTEGER) AS rank FROM p WHERE points > 0""")
+def check_fixes(spark, d):
+    return checks.fixes(checks.checked(file_evidence(spark, d), "o_orderkey"), "o_orderkey")
 
 
 # --- lexicon, keywords, requirements ---------------------------------------------------
@@ -198,18 +225,6 @@ def keyword_coverage(spark, d):
     return match.covered_by_found(items, own, "item_id", "doc_id", "skill")
 
 
-@query("lexicon_longest_match", None)
-def lexicon_longest_match(spark, d):
-    forms = ["the", "of the", "and", "in the", "of", "and the", "to the"]
-    lex = spark.createDataFrame([(f, f, k, False, False, f) for k, f in enumerate(forms)], "form string, skill string, `order` int, exact_case boolean, list_only boolean, name string")
-    return match.mentions(docs(spark, d), lex, ["doc_id"], most_words=2).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("requirement_split", None)
-def requirement_split(spark, d):
-    return match.requirements(table(spark, d, "documents").select(F.col("doc_id").alias("jd_id"), "text"))
-
-
 @query("chunks_capped", f"WITH {LINES}, c AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS chunk_no, text FROM l WHERE {WORDS.format('text')} >= 3) SELECT doc_id, chunk_no, length(text) AS chars FROM c WHERE chunk_no <= 120")
 def chunks_capped(spark, d):
     t = tx.lines(docs(spark, d)).withColumn("section_key", F.lit(None).cast("string"))

@@ -1,13 +1,17 @@
 """A store whose entries expire, as a batch query and as a stream.
 
-Batch: what is alive at a moment, given puts and deletes with event times. Stream: the same rule kept as state per key
-with ``transformWithState`` time-outs where the state store allows it, else by ``foreachBatch`` over the batch rule.
+Batch: what is alive at a moment, given puts and deletes with event times. Stream: the same rule kept as state per key, which goes when the
+watermark passes an entry's expiry.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TTL_SECONDS, CAP = 3600, 200
 
@@ -25,15 +29,35 @@ def capped(entries: DataFrame, at: str, ties: list[str], cap: int = CAP) -> Data
     return entries.orderBy(F.col(at).desc(), *ties).limit(cap)
 
 
-def streamed(puts: DataFrame, key: str, at: str, value: str, ttl: int = TTL_SECONDS) -> DataFrame:
-    """(key, value, at, expires_at) with every put of a stream; a key's later put within the time to live replaces the earlier one.
+def streamed(puts: DataFrame, key: str, at: str, value: str, ttl: int = TTL_SECONDS, delay: str = "1 hour") -> DataFrame:
+    """(key, value, at, expires_at): an update of a key's entry for every micro-batch that puts a later one; use output mode ``update``.
 
-    The watermark bounds the state: a key is dropped when its entry can't be alive any more.
+    State per key is its latest put; one that isn't later is ignored. It is dropped when the watermark, ``delay`` behind the latest put of all, passes the expiry.
+    The store's cap is for whoever reads the updates: ``capped``.
     """
-    marked = puts.withWatermark(at, f"{ttl} seconds")
-    return marked.groupBy(F.window(at, f"{ttl} seconds"), F.col(key)).agg(F.max(F.struct(F.col(at).alias("at"), F.col(value).alias("value"))).alias("last")).select(
-        key, F.col("last.value").alias(value), F.col("last.at").alias(at), (F.col("last.at") + F.expr(f"interval {ttl} seconds")).alias("expires_at")
-    )
+    kinds = {f.name: f.dataType for f in puts.schema.fields}
+    out = T.StructType([T.StructField(key, kinds[key]), T.StructField(value, kinds[value]), T.StructField(at, T.TimestampType()), T.StructField("expires_at", T.TimestampType())])
+
+    def update(own: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = state.get[0] if state.exists else None
+        last = None
+        for f in frames:
+            row = f.sort_values(at, kind="stable").iloc[-1]
+            if last is None or row[at] >= last[at]:
+                last = row
+        micros = last[at].value // 1000
+        if known is None or micros > known:
+            state.update((micros,))
+            expires = last[at] + pd.Timedelta(seconds=ttl)
+            state.setTimeoutTimestamp(max(expires.value // 1_000_000, state.getCurrentWatermarkMs() + 1))
+            yield pd.DataFrame({key: [own[0]], value: [last[value]], at: [last[at]], "expires_at": [expires]})
+        else:
+            state.setTimeoutTimestamp(max(known // 1000 + ttl * 1000, state.getCurrentWatermarkMs() + 1))
+
+    return puts.select(key, value, at).withWatermark(at, delay).groupBy(key).applyInPandasWithState(update, out, "last long", "update", "EventTimeTimeout")
 
 
 def deduplicated(stream: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:

@@ -218,3 +218,76 @@ def test_snapshots_labels_and_entities(spark, tmp_path):
     texts = spark.createDataFrame([(1, "Asha met Bob")], "doc_id long, text string")
     assert extract.entities(texts).count() == 0
     assert [r.entity for r in extract.entities(texts, lambda c: F.transform(F.regexp_extract_all(c, F.lit("[A-Z][a-z]+"), 0), lambda x: F.struct(F.lit("PERSON").alias("label"), x.alias("entity")))).collect()] == ["Asha", "Bob"]
+
+
+def test_an_extractor_of_ones_own(spark, docs):
+    from scoreloom.operators import extract
+
+    engine = Engine(spark)
+    engine.register_extractor({"own.lines": "int"}, lambda lines: extract._long(lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "own.lines", num=F.col("n")))
+    assert {r.doc_id: r.num for r in engine.features(docs).where("feature = 'own.lines'").collect()} == {1: 13.0, 4: 1.0}
+
+
+def test_stream_store_keeps_later_puts_only(spark, tmp_path):
+    import datetime as dt
+
+    src, at = tmp_path / "in", dt.datetime(2026, 1, 1, 12)
+    put = lambda rows, n: spark.createDataFrame(rows, "k string, v string, at timestamp").write.parquet(str(src / str(n)))
+    put([("a", "1", at), ("a", "2", at + dt.timedelta(minutes=50))], 1)
+    seen = []
+
+    def run():
+        stream = spark.readStream.schema("k string, v string, at timestamp").option("recursiveFileLookup", "true").parquet(str(src))
+        ttl.run_once(ttl.streamed(stream, "k", "at", "v"), lambda b, i: seen.extend((r.k, r.v, r.expires_at) for r in b.collect()), str(tmp_path / "cp"), "update").awaitTermination(60)
+
+    run()
+    put([("a", "late", at + dt.timedelta(minutes=20)), ("b", "3", at + dt.timedelta(minutes=55))], 2)
+    run()
+    put([("a", "4", at + dt.timedelta(minutes=70))], 3)  # across the hour's border
+    run()
+    hour = dt.timedelta(hours=1)
+    assert seen == [("a", "2", at + dt.timedelta(minutes=50) + hour), ("b", "3", at + dt.timedelta(minutes=55) + hour), ("a", "4", at + dt.timedelta(minutes=70) + hour)]
+
+
+def test_files_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one  two")
+    (tmp_path / "in" / "b.doc").write_bytes(b"x")
+    seen = {}
+    ttl.run_once(files.stream(spark, str(tmp_path / "in")), lambda b, i: seen.update({r.filename: (r.text, r.error) for r in b.collect()}), str(tmp_path / "cp")).awaitTermination(60)
+    assert seen["a.txt"] == ("one two", None) and "old .doc" in seen["b.doc"][1]
+
+
+STRONG = DOC.replace("CGPA: 8.4/10", "CGPA: 9.6/10").replace("Languages: Python, C++, Go", "Languages: Python, C++, Go, Java, SQL\nReact, Docker, AWS, PostgreSQL, Data Structures, Operating Systems, DBMS, Computer Networks, System Design") + """
+PROJECTS
+Search: finds things
+- Serves 5000 users with 20 ms latency, live at https://search.example.app
+Tables: reads tables
+- Handles 900 req/s, deployed at https://tables.example.app
+
+ACHIEVEMENTS
+- Winner of the national Hackathon
+- Gold medal
+
+CODING PROFILES
+LeetCode: 650 problems solved, easy: 150, medium: 380, hard: 120
+Codeforces rating 1900
+"""
+WEAK = "Asha Example\nasha@example.com\n\nEDUCATION\nB.Tech in Computing, Some College, CGPA: 5.1/10\n\nSKILLS\nLanguages: C\n"
+
+
+def test_tiers_score_in_order(engine, spark):
+    """Fresh labelled documents through extraction and scoring: every feature as labelled, and strong above average above weak."""
+    from scoreloom.operators import evaluate
+
+    docs = spark.createDataFrame([(1, STRONG, "strong"), (2, DOC, "average"), (3, WEAK, "weak")], "doc_id long, text string, tier string")
+    features = engine.features(docs)
+    want = {1: {"projects.count": 3.0, "projects.deployed_count": 3.0, "projects.quantified_count": 2.0, "achievements.hackathon_wins": 1.0, "coding.leetcode.total": 650.0, "coding.leetcode.hard": 120.0, "coding.codeforces.rating": 1900.0, "academics.ug_cgpa": 9.6}, 2: {"projects.count": 1.0, "academics.ug_cgpa": 8.4}, 3: {"academics.ug_cgpa": 5.1}}
+    rows = [(i, {1: "strong", 2: "average", 3: "weak"}[i], f, v, None, None) for i, own in want.items() for f, v in own.items()]
+    labels = spark.createDataFrame(rows, "doc_id long, tier string, feature string, num double, bool boolean, items array<string>")
+    kinds = spark.createDataFrame([(f, "number") for f in sorted({r[2] for r in rows})], "feature string, kind string")
+    labelled = features.join(labels.select("doc_id", "feature"), ["doc_id", "feature"], "left_semi")
+    assert [(r.fields, r.right) for r in evaluate.accuracy(labels, labelled, kinds, "tier").where("level = 1").collect()] == [(len(rows), len(rows))]
+    scores = engine.score(features, "tech_product_fulltime").select("doc_id", "score").join(docs.select("doc_id", "tier"), "doc_id").withColumn("g", F.lit(1))
+    got = evaluate.tier_order(scores, "g", "tier", "score", ["strong", "average", "weak"]).first()
+    assert got.ordered and got.strong_min >= 70 and got.weak_max <= 35
