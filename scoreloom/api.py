@@ -46,7 +46,7 @@ class Engine:
         found = match.mentions(docs, self.lexicon.drop("category"), ["doc_id"])
         parts = [
             extract.education(lines), extract.coursework(lines), extract.coding(lines), extract.gate_exam(lines), extract.exam_stages(lines), extract.faculty(lines), extract.spoken(lines), extract.personal(lines),
-            extract.entry_features(entries, fixed.PRODUCT, fixed.CORE, fixed.ISSUERS), extract.skills(found, self.lexicon),
+            extract.entry_features(entries, fixed.PRODUCT, fixed.CORE, fixed.ISSUERS, lines), extract.skills(found, self.lexicon),
         ]
         parts += [own(lines) for own in self.extractors]
         if statements is not None:

@@ -16,8 +16,9 @@ def age(born: Column, today: Column) -> Column:
 
 
 def share(a: Column, b: Column, total: Column) -> Column:
-    """(a + b) / total, at most 1; null for a total of zero."""
-    return F.when(total > 0, F.least(F.lit(1.0), F.try_divide(a + b, total)))
+    """(a + b) / total, at most 1; null for a total of zero, or where neither or only one is stated."""
+    part = F.try_divide(a + b, total)
+    return F.when((total > 0) & part.isNotNull(), F.least(F.lit(1.0), part))
 
 
 def percent_estimate(percent: Column, cgpa: Column) -> Column:

@@ -25,11 +25,13 @@ def lexicon(spark: SparkSession, skills: dict[str, list[str]] | None = None, oth
     own = skills is None
     skills, others = skills or fixed.SKILLS, others if others is not None else fixed.OTHER_NAMES if own else {}
     exact, listed = set(exact_case if exact_case is not None else fixed.EXACT_CASE), set(list_only if list_only is not None else fixed.LIST_ONLY)
-    rows: dict[str, tuple] = {}
+    rows: dict[tuple[str, str], tuple] = {}
     for category, names in skills.items():
         for skill in names:
             for name in [skill, *others.get(skill, [])]:
                 form, written = form_of(name), name.lstrip(".")
-                if rows.setdefault(form, (form, skill, category, written, len(rows), name in exact or written != name, name in listed))[1] != skill:
-                    raise ValueError(f"{name!r} names both {rows[form][1]} and {skill}")
+                strict = name in exact or name in listed or written != name
+                key = (form, written if strict else "")
+                if rows.setdefault(key, (form, skill, category, written, len(rows), name in exact or written != name, name in listed))[1] != skill:
+                    raise ValueError(f"{name!r} names both {rows[key][1]} and {skill}")
     return spark.createDataFrame(list(rows.values()), "form string, skill string, category string, name string, `order` int, exact_case boolean, list_only boolean")

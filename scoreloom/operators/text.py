@@ -78,8 +78,9 @@ def evidence(c: Column) -> Column:
 
 
 def tidy_name(c: Column) -> Column:
-    """An upper-case name in title case; single letters stay."""
-    return F.when(F.upper(c) == c, F.array_join(F.transform(F.split(c, " "), lambda w: F.when(F.length(w) > 1, F.initcap(w)).otherwise(w)), " ")).otherwise(c)
+    """An upper-case name in title case, after an apostrophe or hyphen too; single letters stay."""
+    titled = lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(r"\p{L}+|[^\p{L}]+"), 0), lambda x: F.initcap(x)), "")
+    return F.when(F.upper(c) == c, F.array_join(F.transform(F.split(c, " "), lambda w: F.when(F.length(w) > 1, titled(w)).otherwise(w)), " ")).otherwise(c)
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
