@@ -402,13 +402,13 @@ def laid_out(spark: SparkSession, d: str) -> DataFrame:
     """Line items as lines of a page: an order is a block of a page of a thousand orders, its quantity says how far a line reaches."""
     q, k = F.col("l_quantity"), F.col("l_linenumber")
     return table(spark, d, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 1000).alias("page"), F.col("l_orderkey").alias("block"), (k * 1_000_000 + F.col("l_partkey")).alias("line_no"), F.element_at(F.array(F.lit("body"), F.lit("table"), F.lit("header")), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("zone"),
+        F.floor(F.col("l_orderkey") / 1000).alias("page"), F.col("l_orderkey").alias("block"), (k * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey") * 100 + q).cast("long").alias("line_no"), F.element_at(F.array(F.lit("body"), F.lit("table"), F.lit("header")), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("zone"),
         F.concat(F.when(q % 7 == 0, "• ").otherwise(""), F.lit("w"), q.cast("int").cast("string"), F.when(k % 3 == 0, ".").otherwise("")).alias("text"), F.when(q % 5 == 0, 40.0).otherwise(50.0).alias("x0"), (k * 12.0 + F.when(q % 11 == 0, 30.0).otherwise(0.0)).alias("top"),
         F.when(q > 20, 540.0 + q / 10).otherwise(300.0).alias("x1"), (k * 12.0 + 10.0 + F.when(q % 11 == 0, 30.0).otherwise(0.0)).alias("bottom"), F.lit(10.0).alias("size"), (F.col("l_partkey") % 4 == 0).alias("bold"),
     )
 
 
-LAID = """g AS (SELECT l_orderkey // 1000 AS page, l_orderkey AS block, l_linenumber AS k, l_linenumber * 1000000 + l_partkey AS line_no, CAST(l_quantity AS INTEGER) AS q, l_suppkey % 3 AS z, l_partkey % 4 = 0 AS bold,
+LAID = """g AS (SELECT l_orderkey // 1000 AS page, l_orderkey AS block, l_linenumber AS k, CAST(l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey * 100 + l_quantity AS BIGINT) AS line_no, CAST(l_quantity AS INTEGER) AS q, l_suppkey % 3 AS z, l_partkey % 4 = 0 AS bold,
   CASE WHEN q % 7 = 0 THEN '• ' ELSE '' END || 'w' || q || CASE WHEN k % 3 = 0 THEN '.' ELSE '' END AS text, CASE WHEN q % 5 = 0 THEN 40.0 ELSE 50.0 END AS x0, k * 12.0 + CASE WHEN q % 11 = 0 THEN 30.0 ELSE 0.0 END AS top, CASE WHEN q > 20 THEN 540.0 + q / 10.0 ELSE 300.0 END AS x1 FROM lineitem)"""
 
 
@@ -432,23 +432,22 @@ def descriptions(spark: SparkSession, d: str) -> DataFrame:
     """(jd_id, text): a description per part."""
     k = F.col("p_partkey")
     text = F.concat_ws(
-        "\n", F.lit("Backend Engineer"), F.lit("About us"), F.lit("We build things for many people"), F.lit("Requirements:"), F.lit("- Write services in Python or Go"), F.concat(F.lit("- Know "), F.when(k % 2 == 0, "Docker and Kubernetes").otherwise("PostgreSQL and Redis"), F.lit(" in depth")),
+        "\n", F.lit("Backend Engineer"), F.lit("About us"), F.lit("We build things for many people"), F.lit("Requirements:"), F.lit("- Write services in Python and Scala"), F.concat(F.lit("- Know "), F.when(k % 2 == 0, "Docker and Kubernetes").otherwise("PostgreSQL and Redis"), F.lit(" in depth")),
         F.when(k % 3 == 0, F.lit("- Short one")), F.lit("- We are looking for people who like to work"), F.lit("Nice to have"), F.lit("* Has seen Apache Kafka at work"), F.when(k % 5 == 0, F.lit("* Some years with Python behind them")),
     )
     return table(spark, d, "part").select(k.alias("jd_id"), text.alias("text"))
 
 
-@query("requirement_lines", """WITH p AS (SELECT p_partkey AS k FROM part), r AS (SELECT k AS jd_id, 1 AS req_no, 'Write services in Python or Go' AS requirement, 'required' AS importance FROM p
+@query("requirement_lines", """WITH p AS (SELECT p_partkey AS k FROM part), r AS (SELECT k AS jd_id, 1 AS req_no, 'Write services in Python and Scala' AS requirement, 'required' AS importance FROM p
 UNION ALL SELECT k, 2, 'Know ' || CASE WHEN k % 2 = 0 THEN 'Docker and Kubernetes' ELSE 'PostgreSQL and Redis' END || ' in depth', 'required' FROM p UNION ALL SELECT k, 3, 'Has seen Apache Kafka at work', 'preferred' FROM p
 UNION ALL SELECT k, 4, 'Some years with Python behind them', 'preferred' FROM p WHERE k % 5 = 0) SELECT * FROM r""")
 def requirement_lines(spark, d):
     return match.requirements(descriptions(spark, d))
 
 
-@query("wanted_keywords", """WITH p AS (SELECT p_partkey AS k FROM part), r AS (SELECT k AS jd_id, unnest(['Python', 'Go']) AS skill, 'required' AS importance FROM p UNION ALL SELECT k, unnest(['Docker', 'Kubernetes']), 'required' FROM p WHERE k % 2 = 0
-UNION ALL SELECT k, unnest(['PostgreSQL', 'Redis']), 'required' FROM p WHERE k % 2 = 1 UNION ALL SELECT k, 'Kafka', 'preferred' FROM p) SELECT jd_id, skill, importance, CASE skill WHEN 'Kafka' THEN 'Apache Kafka' ELSE skill END AS terms FROM r WHERE skill <> 'Go'""")
+@query("wanted_keywords", """WITH p AS (SELECT p_partkey AS k FROM part), r AS (SELECT k AS jd_id, unnest(['Python', 'Scala']) AS skill, 'required' AS importance FROM p UNION ALL SELECT k, unnest(['Docker', 'Kubernetes']), 'required' FROM p WHERE k % 2 = 0
+UNION ALL SELECT k, unnest(['PostgreSQL', 'Redis']), 'required' FROM p WHERE k % 2 = 1 UNION ALL SELECT k, 'Kafka', 'preferred' FROM p) SELECT jd_id, skill, importance, CASE skill WHEN 'Kafka' THEN 'Apache Kafka' ELSE skill END AS terms FROM r""")
 def wanted_keywords(spark, d):
-    """Go counts in lists only, so the sentence that names it doesn't ask for it."""
     w = match.wanted_skills(descriptions(spark, d), lexicons.lexicon(spark).drop("category"))
     return w.select("jd_id", "skill", "importance", F.array_join("terms", ",").alias("terms"))
 
