@@ -5,9 +5,14 @@ format's validator then walks the structure from there (chunk lengths and check
 its length, or rejects the place. A confirmed hit at offset 0 that spans the value gives the value's type and corrects the declared one;
 the other confirmed hits are carved as embedded media with offset, length and depth, the number of media they lie in. What is read back
 from a value is looked through in the same way. Automaton, validators and memory are
-per value: nothing grows with the table.
+per value: nothing grows with the table. What a validator needs from all of a value is gathered once, so a value full of magic numbers
+costs no more than about its length.
 
-A null value has no type, no correction and no embedded media; an empty value is ``application/octet-stream``.
+Texts are stored as media of several kinds (``stored``): 8-bit sound (WAV), 8-bit grey pictures (BMP, PNG), and sound within an archive
+(ZIP), which has to be carved to be read. The declared type is right for one half of them.
+
+A null value has no type, no correction and no embedded media; an empty value is ``application/octet-stream``. Equal values are treated alike, and so
+are repeated rows. An empty table gives an empty one. Other columns stay, but for those that a function sets.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +38,9 @@ UNIT = 192
 
 
 @lru_cache(maxsize=4)
-def _places(b: bytes, mark: bytes) -> list[int]:
+def _places(b: bytes, mark: bytes) -> np.ndarray:
     """Where a mark stands; kept, as every hit of a value asks for the same."""
-    return [m.start() for m in re.finditer(re.escape(mark), b)]
+    return np.array([m.start() for m in re.finditer(re.escape(mark), b)], np.int64)
 
 
 def _png(b: bytes, at: int) -> int:
@@ -125,38 +131,54 @@ def _bmp(b: bytes, at: int) -> int:
     return size if fits and not zero and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and w > 0 and h else 0
 
 
+@lru_cache(maxsize=2)
+def _trailers(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of PDF trailers with their startxref's place and number, and the places where a cross-reference may stand."""
+    out = []
+    for end in _places(b, b"%%EOF").tolist():
+        ref = b.rfind(b"startxref", max(0, end - 64), end)
+        said = b[ref + 9 : end].split() if ref >= 0 else []
+        if len(said) == 1 and said[0].isdigit() and len(said[0]) < 19:
+            out.append((end, ref, int(said[0])))
+    tables = np.zeros(len(b) + 1, bool)
+    tables[[m.start() for m in re.finditer(rb"xref|(?=[0-9]{1,10}\s+[0-9]{1,5}\s+obj)", b)]] = True
+    end, ref, number = np.array(out, np.int64).reshape(-1, 3).T
+    return end, ref, number, tables
+
+
 def _pdf(b: bytes, at: int) -> int:
     if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
         return 0
     # Its own trailers are those whose startxref leads to a cross-reference table or stream, counted from its own beginning.
-    ends = _places(b, b"%%EOF")
-    ends, last = ends[bisect_left(ends, at) :], 0
-    for end in ends:
-        ref = b.rfind(b"startxref", max(at, end - 64), end)
-        said = b[ref + 9 : end].split() if ref >= 0 else []
-        if len(said) == 1 and said[0].isdigit() and at < (to := at + int(said[0])) < ref and (b.startswith(b"xref", to) or _OBJECT.match(b, to)):
-            last = end + 5 - at
-    if last:
-        return last
+    end, ref, number, tables = _trailers(b)
+    to = at + number
+    own = end[(ref >= at) & (number > 0) & (to < ref) & tables[np.minimum(to, len(b))]]
+    if len(own):
+        return int(own[-1]) + 5 - at
     # Where no offset holds: the first end that isn't that of a PDF within.
-    ref, inner = b.find(b"startxref", at), _places(b, b"%PDF-")
-    ends = ends[bisect_left(ends, ref) :] if ref >= 0 else []
-    begun = bisect_left(inner, at + 1)
-    own = next((end for k, end in enumerate(ends) if bisect_left(inner, end) - begun <= k), ends[0] if ends else None)
-    return 0 if own is None else own + 5 - at
+    ref, ends, inner = b.find(b"startxref", at), _places(b, b"%%EOF"), _places(b, b"%PDF-")
+    ends = ends[bisect_left(ends, ref) :] if ref >= 0 else ends[:0]
+    if not len(ends):
+        return 0
+    balanced = np.searchsorted(inner, ends) - bisect_left(inner, at + 1) <= np.arange(len(ends))
+    return int(ends[balanced.argmax()]) + 5 - at
 
 
-_OBJECT = re.compile(rb"\d{1,10}\s+\d{1,5}\s+obj")
+@lru_cache(maxsize=2)
+def _archives(b: bytes) -> dict[int, int]:
+    """Where a ZIP archive begins and ends, from the records at their ends; of several the first."""
+    out: dict[int, int] = {}
+    for end in _places(b, b"PK\x05\x06").tolist():
+        if end + 22 <= len(b):
+            n, size, offset, comment = struct.unpack_from("<HIIH", b, end + 10)
+            at = end - size - offset
+            if at >= 0 and end + 22 + comment <= len(b) and (not n or b[at + offset : at + offset + 4] == b"PK\x01\x02"):
+                out.setdefault(at, end + 22 + comment)
+    return out
 
 
 def _zip(b: bytes, at: int) -> int:
-    ends = _places(b, b"PK\x05\x06")
-    for end in ends[bisect_left(ends, at + 1) :]:
-        if end + 22 <= len(b):
-            n, size, offset, comment = struct.unpack_from("<HIIH", b, end + 10)
-            if at + offset + size == end and end + 22 + comment <= len(b) and (not n or b[at + offset : at + offset + 4] == b"PK\x01\x02"):
-                return end + 22 + comment - at
-    return 0
+    return _archives(b).get(at, at) - at
 
 
 def _pages(b: bytes, at: int) -> list[tuple[int, int]]:
@@ -287,46 +309,108 @@ def wav_of(payload: bytes) -> bytes:
     return head + payload + b"\x00" * pad
 
 
-def samples_of(wav: bytes) -> bytes:
-    pos = 12
-    while pos + 8 <= len(wav):
-        n = struct.unpack_from("<I", wav, pos + 4)[0]
-        if wav[pos : pos + 4] == b"data":
-            return wav[pos + 8 : pos + 8 + n]
-        pos += 8 + n + (n & 1)
-    raise ValueError("no data chunk")
+def bmp_of(payload: bytes) -> bytes:
+    """The payload as a picture of 8-bit grey samples, ``UNIT`` to a row."""
+    rows = len(payload) // UNIT
+    head = struct.pack("<2sIIIIiiHHIIiiII", b"BM", 1078 + len(payload), 0, 1078, 40, UNIT, rows, 1, 8, 0, len(payload), 0, 0, 256, 0)
+    grey = bytes(x for k in range(256) for x in (k, k, k, 0))
+    return head + grey + np.frombuffer(payload, np.uint8).reshape(rows, UNIT)[::-1].tobytes()
+
+
+def png_of(payload: bytes) -> bytes:
+    """The payload as a picture of 8-bit grey samples, ``UNIT`` to a row, each after filter 0."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", UNIT, len(rows), 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(np.pad(rows, ((0, 0), (1, 0))).tobytes(), 1)) + chunk(b"IEND", b"")
+
+
+def zip_of(content: bytes, name: bytes = b"sound.wav") -> bytes:
+    """An archive with one member, not compressed."""
+    own = struct.pack("<HHHHHIIIHH", 20, 0, 0, 0, 33, zlib.crc32(content), len(content), len(content), len(name), 0)
+    local = b"PK\x03\x04" + own + name + content
+    central = b"PK\x01\x02" + struct.pack("<H", 20) + own + struct.pack("<HHHII", 0, 0, 0, 0, 0) + name
+    return local + central + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 1, 1, len(central), len(local), 0)
+
+
+def samples_of(content: bytes, kind: str) -> bytes | None:
+    """The 8-bit samples of a WAV file, or of a grey picture as it is written here; nothing of others."""
+    if kind == "audio/wav":
+        pos = 12
+        while pos + 8 <= len(content):
+            n = struct.unpack_from("<I", content, pos + 4)[0]
+            if content[pos : pos + 4] == b"data":
+                return content[pos + 8 : pos + 8 + n]
+            pos += 8 + n + (n & 1)
+    elif kind == "image/bmp":
+        offset, _, wide, high, _, bits, packed = struct.unpack_from("<IIiiHHI", content, 10)
+        if bits == 8 and not packed and wide > 0 and wide % 4 == 0 and high > 0 and offset + wide * high <= len(content):
+            return np.frombuffer(content, np.uint8, wide * high, offset).reshape(high, wide)[::-1].tobytes()
+    elif kind == "image/png":
+        pos, data, size = 8, [], None
+        while pos + 12 <= len(content):
+            (n,) = struct.unpack_from(">I", content, pos)
+            part = content[pos + 8 : pos + 8 + n]
+            if content[pos + 4 : pos + 8] == b"IHDR":
+                size = struct.unpack(">IIBBBBB", part)
+            elif content[pos + 4 : pos + 8] == b"IDAT":
+                data.append(part)
+            pos += 12 + n
+        if size and size[2:] == (8, 0, 0, 0, 0):
+            raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+            if len(raw) == size[1] * (size[0] + 1) and not (rows := raw.reshape(size[1], size[0] + 1))[:, 0].any():
+                return rows[:, 1:].tobytes()
+    return None
+
+
+#: How a text is stored, by its check sum: the stored type, and how its payload is written.
+FORMS: tuple[tuple[str, Callable[[bytes], bytes]], ...] = (("audio/wav", wav_of), ("image/bmp", bmp_of), ("image/png", png_of), ("application/zip", lambda payload: zip_of(wav_of(payload))))
 
 
 def stored(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_bytes, content (a WAV file of the text's bytes, padded with blanks) and declared (a type that is wrong on purpose)."""
+    """Adds n_bytes, content (a text's bytes, padded with blanks, as a medium of one of ``FORMS``) and declared (its type, or a wrong one)."""
     keep = docs.drop("n_bytes", "content", "declared")
     schema = T.StructType([*keep.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("declared", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [(x or "").encode() for x in b.column(text).to_pylist()]
-            wavs = [wav_of(x + b" " * (-len(x) % UNIT if x else UNIT)) for x in raw]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in raw], pa.int64()), pa.array(wavs, pa.binary()), pa.array(["application/octet-stream"] * len(raw))], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                raw = [(x.as_py() or "").encode() for x in b.column(text)]
+                contents, said = [], []
+                for x in raw:
+                    payload = x + b" " * (-len(x) % UNIT if x else UNIT)
+                    pick = zlib.crc32(payload)
+                    kind, write = FORMS[pick % len(FORMS)]
+                    contents.append(write(payload))
+                    said.append(kind if pick // len(FORMS) % 2 else "image/jpeg")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in raw], pa.int64()), pa.array(contents, pa.binary()), pa.array(said, pa.string())], names=schema.names)
 
     return keep.mapInArrow(run, schema)
 
 
 def read_back(media: DataFrame, content: str = "content") -> DataFrame:
-    """Adds payload: the samples of the values that were found to be WAV files, of others null; and what those are and hold themselves
-    (payload_detected, payload_embedded), without the padding if there is n_bytes."""
-    keep = media.drop("payload", "payload_detected", "payload_embedded")
+    """Adds payload: the samples of the values that hold some, else of the first medium in them that does, else null; what the payload is and holds itself
+    (payload_detected, payload_embedded), without the padding if there is n_bytes; and payload_mean, the mean of its samples."""
+    keep = media.drop("payload", "payload_detected", "payload_embedded", "payload_mean")
     sized = "n_bytes" in keep.columns
-    schema = T.StructType([*keep.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("payload_detected", T.StringType()), T.StructField("payload_embedded", EMBEDDED)])
+    more = [T.StructField("payload", T.BinaryType()), T.StructField("payload_detected", T.StringType()), T.StructField("payload_embedded", EMBEDDED), T.StructField("payload_mean", T.DoubleType())]
+    schema = T.StructType([*keep.schema.fields, *more])
+
+    def samples(value: bytes, kind: str | None, inside: list[dict] | None) -> bytes | None:
+        parts = [(value, kind), *((x["bytes"], x["kind"]) for x in inside or ())]
+        return next((got for part, own in parts if own and (got := samples_of(part, own)) is not None), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                out = [samples_of(v.as_py()) if k == "audio/wav" else None for v, k in zip(b.column(content), b.column("detected").to_pylist(), strict=True)]
+                out = [samples(v.as_py(), k.as_py(), e.as_py()) for v, k, e in zip(b.column(content), b.column("detected"), b.column("embedded"), strict=True)]
                 sizes = b.column("n_bytes").to_pylist() if sized else [None] * len(out)
                 kinds, carved = zip(*[looked(found, p if p is None or n is None else p[:n]) for p, n in zip(out, sizes, strict=True)], strict=True)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary()), pa.array(kinds, pa.string()), pa.array(carved, _CARVED)], names=schema.names)
+                mean = [float(np.frombuffer(p, np.uint8).mean()) if p else None for p in out]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary()), pa.array(kinds, pa.string()), pa.array(carved, _CARVED), pa.array(mean, pa.float64())], names=schema.names)
 
     return keep.mapInArrow(run, schema)
 
@@ -345,5 +429,5 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(tail).alias("tail_crc32"),
         F.length("content").cast("long").alias("media_bytes"),
         F.sha2("content", 256).alias("media_sha256"),
-        F.concat_ws(";", F.col("detected"), F.when(F.col("corrected"), "corrected").otherwise("as declared"), F.concat(F.lit("embedded="), kinds), F.concat(F.lit("payload="), F.col("payload_detected"))).alias("feature"),
+        F.concat_ws(";", F.col("detected"), F.when(F.col("corrected"), "corrected").otherwise("as declared"), F.concat(F.lit("embedded="), kinds), F.concat(F.lit("payload="), F.col("payload_detected")), F.concat(F.lit("mean="), F.format_number("payload_mean", 3))).alias("feature"),
     )
