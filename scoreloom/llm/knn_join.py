@@ -1,17 +1,19 @@
 """Exact top-k by inner product as a Voronoi join of queries with all vectors.
 
-Pivots (at most ``PIVOTS`` query vectors, by hash of vec_id) split the queries into cells. Of every cell the driver gets
-a summary: number of queries and radius r, the largest distance of a query from its pivot p. For any query q of the cell
-and any vector v, ``p.v - r|v| <= q.v <= p.v + r|v|``. One pass over the data takes, per cell, the k+1 highest lower
-bounds of different vec_ids (one may be the query's own, however often it is there); the last of them is a score that k
-vectors of other ids are certain to reach. A second pass sends v to
-a cell only if its upper bound reaches that score. Cells are then solved locally, split into blocks of at most about
-``BLOCK`` vectors and ``QUERIES`` queries by hash of vec_id, so neither a hot cell nor copies of one vector end in one task, and
-the blocks' best k are merged per query. Exact for any data; where cells are wide (as for unclustered vectors) more is sent.
+Pivots (at most ``PIVOTS`` query vectors, by hash of vec_id) split queries and data into cells. Of every cell the driver gets
+a summary: of queries their number and radius r, the largest distance from the pivot p; of data their number, radius and largest length.
+For any query q of a cell and any vector v, ``p.v - r|v| <= q.v <= p.v + r|v|``. The pass over the data that makes the summaries takes, per cell of queries,
+the k+1 highest lower bounds of different vec_ids (one may be the query's own, however often it is there); the last of them is a score that k
+vectors of other ids are certain to reach. From the summaries alone follows which cells of data no query of a cell can need; of the others a second
+pass sends v to a cell only if its own upper bound reaches that score. Data are dealt by their cells into blocks of about ``BLOCK`` vectors: small
+cells share a block, a large one is spread over several, row by row, so neither a hot cell nor copies of one vector or one vec_id end in one task; cells of
+over ``QUERIES`` queries are split by hash. Blocks are solved locally, and their best k are merged per query. Exact for any data; where cells are wide (as
+for unclustered vectors) more is sent.
 
 Components are floor(1024 * x), x as double. Rows with a null vec_id or vector, or with null or non-finite components,
 take no part; a shorter vector counts as padded with zeros. Repeated rows are separate candidates; a query is asked once per
-distinct row. Scores must fit in 64 bits.
+distinct row. Scores must fit in 64 bits. Vectors may be of any length; a task holds one batch of them, or one block. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -100,10 +102,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         reach = np.sqrt((x * x).sum(1))[:, None] * radius
         return _bounded(x @ centre.T + (reach if up else -reach), up)
 
-    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nearest(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per vector its cell (as a place in ``own``), its distance from the pivot, and its length."""
+        x = m.astype(np.float64)
+        squares = (x * x).sum(1)
+        d = np.sqrt(np.maximum(0, squares[:, None] + (centre * centre).sum(1) - 2 * x @ centre.T))
+        cell = d.argmin(1) if len(d) else np.empty(0, np.int64)
+        return cell, d[np.arange(len(d)), cell], np.sqrt(squares)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of two kinds: the highest lower bounds per cell of queries (vec_id is given), and number, radius and length per cell of data."""
         best = [(np.empty(0, np.int64), np.empty(0)) for _ in own]
+        count, reach, length = np.zeros(len(own), np.int64), np.zeros(len(own)), np.zeros(len(own))
         for b in batches:
-            ids, low = b.column("vec_id").to_numpy(), bounds(_matrix(b.column("v"), dim), False)
+            m = _matrix(b.column("v"), dim)
+            at, d, size = nearest(m)
+            count += np.bincount(at, minlength=len(own))
+            np.maximum.at(reach, at, d)
+            np.maximum.at(length, at, size)
+            ids, low = b.column("vec_id").to_numpy(), bounds(m, False)
             order = np.argsort(ids, kind="stable")
             ids, first = np.unique(ids[order], return_index=True)
             low = np.maximum.reduceat(low[order], first) if len(ids) else low
@@ -112,23 +129,46 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 at = np.argsort(-x, kind="stable")[: 2 * (k + 1)]  # an id is there twice at most
                 at = at[np.sort(np.unique(i[at], return_index=True)[1])][: k + 1]
                 best[c] = (i[at], x[at])
-        cell = np.repeat(own, [len(i) for i, _ in best]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([x for _, x in best]))], names=["cell", "vec_id", "low"])
+        cell = np.concatenate([np.repeat(own, [len(i) for i, _ in best]), own]).astype(np.int32)
+        n, none = len(cell) - len(own), lambda t: pa.nulls(len(own), t)
+        join = lambda x, y: pa.chunked_array([x, y]).combine_chunks()
+        yield pa.RecordBatch.from_arrays([
+            pa.array(cell), join(pa.array(np.concatenate([i for i, _ in best])), none(pa.int64())), join(pa.array(np.concatenate([x for _, x in best])), none(pa.float64())),
+            join(pa.nulls(n, pa.int64()), pa.array(count)), join(pa.nulls(n, pa.float64()), pa.array(reach)), join(pa.nulls(n, pa.float64()), pa.array(length)),
+        ], names=["cell", "vec_id", "low", "n", "reach", "length"])
 
     by_cell = Window.partitionBy("cell").orderBy(F.col("low").desc())
-    low = vectors.select("vec_id", "v").mapInArrow(lowest, "cell int, vec_id long, low double").groupBy("cell", "vec_id").agg(F.max("low").alias("low"))
+    seen = materialised(vectors.select("vec_id", "v").mapInArrow(summed, "cell int, vec_id long, low double, n long, reach double, length double"))
+    low = seen.where("vec_id is not null").groupBy("cell", "vec_id").agg(F.max("low").alias("low"))
     low = low.withColumn("at", F.row_number().over(by_cell)).where(F.col("at") == k + 1)
     sure = {r.cell: r.low for r in low.select("cell", "low").collect()}
+    summary = {r.cell: r for r in seen.where("vec_id is null").groupBy("cell").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"), F.max("length").alias("length")).collect()}  # at most PIVOTS rows
+    held, reach, length = (np.array([getattr(summary[c], name) for c in own]) for name in ("n", "reach", "length"))
     least = np.array([sure.get(c, -np.inf) for c in own])
-    blocks = max(1, math.ceil(n / BLOCK))
+    # needed[i, j]: whether a query of cell i may need a vector of data cell j.
+    highest = centre @ centre.T + np.sqrt((centre * centre).sum(1))[:, None] * reach + radius[:, None] * length
+    needed = (_bounded(highest, True) >= least[:, None]) & (held > 0)
+    spread = np.maximum(1, np.ceil(held / BLOCK).astype(np.int64))  # blocks of a data cell
+    first, room, blocks = np.zeros(len(own), np.int64), 0, 0
+    for j in np.flatnonzero(held):
+        if spread[j] > 1 or room < held[j]:
+            first[j], blocks = blocks, blocks + int(spread[j])
+            room = 0 if spread[j] > 1 else BLOCK - held[j]
+        else:
+            first[j], room = blocks - 1, room - held[j]
+    blocks = max(1, blocks)
+    wanted = [sorted({int(first[j] + t) for j in np.flatnonzero(needed[i]) for t in range(spread[j])}) for i in range(len(own))]
     parts = np.array([max(1, math.ceil(cells[c][1] / QUERIES)) for c in own])
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for b in batches:
             m = _matrix(b.column("v"), dim)
             raw, ids = np.array([r.tobytes() for r in m.astype(width)], dtype=object), b.column("vec_id").to_numpy()
-            rows, at = np.nonzero(bounds(m, True) >= least)
-            block = b.column("block").to_numpy()
+            own_cell = nearest(m)[0]
+            block = first[own_cell] + (done + np.arange(len(m))) % spread[own_cell]
+            done += len(m)
+            rows, at = np.nonzero((bounds(m, True) >= least) & needed[:, own_cell].T)
             for lo in range(0, len(rows), 20_000):
                 r, c = rows[lo : lo + 20_000], at[lo : lo + 20_000]
                 times = parts[c]
@@ -136,9 +176,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 r, c = np.repeat(r, times), np.repeat(c, times)
                 yield pa.RecordBatch.from_arrays([pa.array(own[c].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(block[r].astype(np.int32)), pa.array(ids[r]), pa.array(raw[r], pa.binary())], names=["cell", "part", "block", "vec_id", "raw"])
 
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int")).mapInArrow(sent, "cell int, part int, block int, vec_id long, raw binary")
-    count = F.element_at(F.create_map(*[x for c, t in zip(own, parts, strict=True) for x in (F.lit(int(c)), F.lit(int(t)))]), F.col("cell"))
-    asking = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), count).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("cell", "part", "block", "vec_id", "raw")
+    dealt = vectors.mapInArrow(sent, "cell int, part int, block int, vec_id long, raw binary")
+    by_own = lambda values: F.element_at(F.create_map(*[x for c, v in zip(own, values, strict=True) for x in (F.lit(int(c)), v)]), F.col("cell"))
+    to = by_own([F.array(*[F.lit(t) for t in w]).cast("array<int>") for w in wanted])
+    asking = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), by_own([F.lit(int(t)) for t in parts])).cast("int")).withColumn("block", F.explode(to)).select("cell", "part", "block", "vec_id", "raw")
 
     def solved(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
