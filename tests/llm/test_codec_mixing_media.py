@@ -25,13 +25,37 @@ def test_codec_is_the_library(spark, odd):
         assert list(r.piece_ids) == want and r.decoded == sp.decode(want) and r.size == "clash"
 
 
+@pytest.mark.parametrize("corpus", [False, True])
+@pytest.mark.parametrize("size", [1, 200, 8_000_000])
+def test_codec_of_a_table_is_the_library(spark, sf, monkeypatch, size, corpus):
+    monkeypatch.setattr(codec, "BLOCK_BYTES", size)
+    sp = sentencepiece.SentencePieceProcessor(model_file=codec.default_model_path())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40 if size == 1 else 1000)
+    extra = spark.createDataFrame([(-1, "a " * 300_000), (-2, " lead"), (-3, "trail "), (-4, "two  blanks"), (-5, "line\n"), (-6, "line\n "), (-7, None), (-7, None), (-8, "x\ty\u00a0z ▁ ")], "doc_id long, text string")
+    both = docs.union(extra)
+    texts = sorted((r.doc_id, r.text or "") for r in both.collect())
+    got = sorted(tuple(r) for r in codec.digests(codec.encode_decode(both, codec.default_model_path(), keep_text=False, corpus_table=corpus)).collect())
+    want = []
+    for i, t in texts:
+        ids = sp.encode(t)
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_codec_table_is_bounded(monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=codec.default_model_path())
     monkeypatch.setattr(codec, "TABLE_ENTRIES", 3)
-    table = codec.ChunkTable(sp)
-    texts = ["a b c d e f", "g h i", "a b"]
-    counts, blob, back = table.codec(texts)
-    assert np.frombuffer(blob, np.int32).tolist() == sum(sp.encode(texts), []) and back == texts
+    with open(codec.default_model_path(), "rb") as f:
+        by = codec.Segmenter(f.read())
+    for words in (["a", "b", "c"], ["c", "d"], ["e", "f", "g", "h"], ["h"]):
+        assert [np.frombuffer(x, np.int32).tolist() for x, _ in by.known(words)] == [sp.encode(w) for w in words] and len(by.table) <= 4
+
+
+def test_codec_by_whole_texts(spark, odd, monkeypatch):
+    monkeypatch.setattr(codec, "separable", lambda *_: False)
+    sp = sentencepiece.SentencePieceProcessor(model_file=codec.default_model_path())
+    for r in codec.encode_decode(odd, codec.default_model_path()).collect():
+        assert list(r.piece_ids) == sp.encode(r.text or "") and r.decoded == sp.decode(sp.encode(r.text or ""))
 
 
 def test_codec_and_mixing_of_nothing(spark, odd):
@@ -53,15 +77,52 @@ def test_mixing_meets_targets(spark):
     assert {r.doc_id: r.taken for r in out.collect()} == {r.doc_id: r.taken for r in mixing.mix(docs.repartition(7)).collect()}
 
 
+def test_mixing_of_ties_and_clashing_columns(spark):
+    rows = [(1, "w " * 9, "x", "é"), (1, "w " * 9, "x", "é"), (1, "w " * 9, "x", "é"), (2, "", "x", "z"), (3, "w" * 100_000, "x", "𝄞"), (4, "w " * 30_000, "x", "日")]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as _total", "2 as _h", "3 as _target", "4 as _source", "5 as times", "6 as below", "7 as source_size")
+    got = mixing.mix(df).collect()
+    assert len(got) == 6 and all((r._total, r._h, r._target, r._source, r.times, r.below) == (1, 2, 3, 4, 5, 6) for r in got)
+    assert len({(r.taken, r.target) for r in got if r.doc_id == 1}) == 1 and {r.source: r.source_size for r in got} == {"é": 27, "z": 0, "𝄞": 1, "日": 30_000}
+    order = [r.source for r in mixing.targets(spark.createDataFrame([("é", 1), ("𝄞", 1), ("日", 1), (None, 1), ("a", 1)], "source string, source_size long")).collect() if r.weight == 5]
+    assert set(order) == {"a", "𝄞"}
+
+
 def test_mixing_sql(spark, sf):
     parity.same(mixing.op2_mixing(spark, sf), parity.connect(sf), mixing.mixing_sql())
 
 
 def test_media_round_trip(spark, odd):
-    for r in media.read_back(media.inspect(media.stored(odd))).collect():
+    kinds = set()
+    more = spark.createDataFrame([(100 + k, f"text {k} " * k, "x", "y") for k in range(40)], DOCS)
+    for r in media.read_back(media.inspect(media.stored(odd.union(more)))).collect():
         raw = (r.text or "").encode()
         payload = raw + b" " * (-len(raw) % 192 if raw else 192)
-        assert bytes(r.payload) == payload and r.n_bytes == len(raw) and r.detected == "audio/wav" and r.corrected and not r.embedded
+        assert bytes(r.payload) == payload and r.n_bytes == len(raw) and r.payload_mean == np.frombuffer(payload, np.uint8).mean() and r.size in ("clash", "x")
+        assert [e.kind for e in r.embedded] == (["audio/wav"] if r.detected == "application/zip" else [])
+        kinds.add((r.detected, r.corrected))
+    assert kinds == {(k, c) for k, _ in media.FORMS for c in (True, False)}
+    assert media.read_back(media.inspect(media.stored(odd.limit(0)))).count() == 0
+
+
+def test_media_are_those_of_other_libraries():
+    import io
+    import wave
+    import zipfile
+
+    payload = bytes(range(192)) * 3
+    with wave.open(io.BytesIO(media.wav_of(payload))) as w:
+        assert w.readframes(10**6) == payload and w.getsampwidth() == 1
+    with zipfile.ZipFile(io.BytesIO(media.zip_of(b"abc"))) as z:
+        assert z.testzip() is None and z.read("sound.wav") == b"abc"
+
+
+def test_media_of_many_magic_numbers():
+    import time
+
+    found, began = media.automaton(), time.process_time()
+    for value in (b"PK\x03\x04" * 20_000 + b"PK\x05\x06" * 20_000, b"%PDF-1.4\n" * 15_000 + b"startxref\n9\n%%EOF\n" * 15_000, b"RIFF" * 50_000, b"BM" * 50_000, b"%PDF-1.4 1 0 obj" * 9_000):
+        media.sniff(found, value)
+    assert time.process_time() - began < 25
 
 
 def _png() -> bytes:
@@ -116,7 +177,8 @@ def test_media_within_media(spark):
 
 def test_media_read_back_is_looked_through(spark):
     text = _pdf(b"RIFF").decode()
-    (r,) = media.read_back(media.inspect(media.stored(spark.createDataFrame([(1, text)], "doc_id long, text string")))).collect()
+    wav = media.wav_of(text.encode())
+    (r,) = media.read_back(media.inspect(spark.createDataFrame([(wav, "x")], "content binary, declared string"))).collect()
     assert r.detected == "audio/wav" and [(e.kind, e.depth) for e in r.embedded] == [("application/pdf", 1)] and r.payload_detected == "application/pdf" and r.payload_embedded == []
 
 
@@ -126,3 +188,5 @@ def test_media_digests(spark, sf):
         raw = texts[r.doc_id].encode()
         payload = raw + b" " * (-len(raw) % 192)
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:]) and r.payload_bytes == len(payload)
+        form = media.FORMS[zlib.crc32(payload) % 4]
+        assert r.media_sha256 == hashlib.sha256(form[1](payload)).hexdigest() and r.media_bytes == len(form[1](payload)) and r.feature.startswith(form[0] + ";") and r.feature.endswith(f"mean={np.frombuffer(payload, np.uint8).mean():.3f}")

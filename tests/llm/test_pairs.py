@@ -44,10 +44,8 @@ def brute_lines(rows):
 
 @pytest.mark.parametrize("hot", [lines.HOT, 1])
 def test_line_dedup_is_exact(spark, monkeypatch, hot):
-    """Also if every word counts as frequent and every line as long."""
-    if hot == 1:
-        monkeypatch.setattr(lines, "HOT", hot)
-        monkeypatch.setattr(lines, "LONG", 2)
+    """Also if every word counts as frequent."""
+    monkeypatch.setattr(lines, "HOT", hot)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "clash", len(t or "")) for i, t in rows], "doc_id long, text string, h string, n_chars long")
     want = brute_lines(rows)
@@ -117,6 +115,31 @@ def test_near_duplicates_of_a_large_loose_group(spark):
     assert got == {i: first[x] for (i, _), x in zip(rows, label, strict=True)}
 
 
+def test_classes_of_a_table_are_those_of_brute_force(spark, sf):
+    """Every pair of texts that share a shingle, by an inverted index: recall is complete, and nothing else is merged."""
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    hashes = bag.WordHashes()
+    bags = [bag.shingles(t, hashes) for _, t in rows]
+    holds, label, pairs = collections.defaultdict(list), list(range(len(rows))), 0
+    for i, (keys, times) in enumerate(bags):
+        near = {j for k in keys.tolist() for j in holds[k]}
+        for j in near:
+            n, m = int(times.sum()), int(bags[j][1].sum())
+            if min(n, m) >= bag.SIMILAR * max(n, m) and bag.similarity(bags[i], bags[j]) >= bag.SIMILAR:
+                pairs += rows[i][1] != rows[j][1]
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+        for k in keys.tolist():
+            if len(holds[k]) < 100:
+                holds[k].append(i)
+    got = {r.doc_id: r.class_id for r in bag.near_duplicates(docs).collect()}
+    first = {}
+    for (i, _), x in zip(rows, label, strict=True):
+        first.setdefault(x, i)
+    assert pairs > 5 and got == {i: first[x] for (i, _), x in zip(rows, label, strict=True)}
+
+
 def test_near_duplicates_are_those_of_brute_force(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
@@ -219,6 +242,25 @@ def test_knn_with_repeated_rows_of_a_query(spark):
         assert got[q] == want
 
 
+@pytest.mark.parametrize("block", [40, 100_000])
+def test_knn_in_cells_of_uneven_size(spark, monkeypatch, block):
+    """Clusters of which one holds a third of the rows, of copies of one id: far cells of data are not sent."""
+    monkeypatch.setattr(knn_join, "BLOCK", block)
+    monkeypatch.setattr(knn_join, "QUERIES", 2)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8)) * 4
+    rows = [(k, (centres[k % 6] + rng.normal(size=8) / 50).tolist()) for k in range(400)] + [(7, centres[1].tolist())] * 200 + [(50, [])]
+    v = knn_join.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = collections.defaultdict(list)
+    for r in knn_join.top_k(v, v.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ints = [(i, np.floor(np.array(x or [0.0] * 8) * 1024).astype(np.int64)) for i, x in rows]
+    assert set(got) == set(range(0, 400, 20))
+    for q in got:
+        y = dict(ints[:400])[q]
+        assert got[q] == sorted(((i, int(y @ x)) for i, x in ints if i != q), key=lambda s: (-s[1], s[0]))[:10]
+
+
 @pytest.mark.parametrize("text", ["", None])
 def test_no_shingles(text):
     assert len(bag.shingles(text, bag.WordHashes())[0]) == 0
