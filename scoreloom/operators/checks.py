@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions.numbers import rounded
 from scoreloom.operators import text as tx
 
+# Fixed values, as are the checks' weights and limits below.
 GROUPS = {"parseability": 0.30, "sections": 0.20, "contact": 0.10, "keywords": 0.30, "hygiene": 0.10}
 STATUS = {"pass": 1.0, "warn": 0.5, "fail": 0.0}
 MB = 1 << 20

@@ -16,6 +16,7 @@ from typing import Any
 
 from scoreloom.functions.vocabulary import FEATURES
 
+# Points and weights in these files are fixed values.
 RULESETS = Path(__file__).resolve().parent.parent / "rulesets"
 NUMERIC, TOLERANCE = ("number", "int"), 1e-3
 

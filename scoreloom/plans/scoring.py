@@ -16,6 +16,7 @@ from scoreloom.functions.numbers import rounded
 from scoreloom.functions.vocabulary import FEATURES
 from scoreloom.plans.rules import Category, Gate, Rule, RuleError, Signal
 
+# Fixed values.
 LEVELS = ((85.0, "Excellent"), (70.0, "Strong"), (55.0, "Fair"), (35.0, "Weak"), (0.0, "Very weak"))
 HIGH, MEDIUM = 6.0, 2.5
 BLEND = {"strength": 0.5, "fit": 0.3, "ats": 0.2}
