@@ -10,31 +10,40 @@ length; blank lines always stay. A line without blanks is one word.
    order's quality, not the result.
 2. Lines of equal sets (128 bits of hash) are one set with its earliest line; copies cost nothing further on. Sets of fewer
    than ``JOINED`` words are similar to none but their equals, so they need no more; four words and those with one more have 0.8.
-3. Two sets with similarity t share a word among the first ``n - ceil(t n) + 1`` of each, so these prefixes meet by word.
+   Sets are numbered in the order of their earliest lines, so the smaller number is the earlier one.
+3. Two sets with similarity t share a word among the first ``n - ceil(t n) + 1`` of each, so these prefixes meet by word. A frequent
+   word (class ``HOT`` or more) doesn't do alone: if it is the first word shared, another one follows among one word more of each, so
+   it is paired with each of its followers there, and no word's list grows with the whole corpus.
    The sizes may differ by the factor t at most; the positions of a shared word bound the overlap still possible, and a parity
-   sketch of 64 bits bounds the symmetric difference from below. What passes is compared word by word.
+   sketch of 256 bits bounds the symmetric difference from below. What passes is compared word by word.
    The words are worked off in ``SLICES`` parts, so that only a part of the prefixes is in a shuffle at a time.
-4. First every word's sets meet only its earliest one: nearly all of a group of near copies is decided there, so a group
-   makes as many rows as it has lines. Then undecided sets meet those that aren't later.
+4. First every word's sets meet only ``LEADERS`` early ones of it, found by map-side minima, and each set is compared with the closest of all
+   these by sketch: nearly all of a group of near copies is decided there, with one comparison a line. Then undecided sets meet all earlier ones.
 
 Rows equal in doc_id and text are decided alike. A document that loses all its lines goes, one that had no lines to lose (null or empty
-text) stays; n_chars, if there, follows the text. Null doc_ids come last. An empty table gives an empty one.
+text) stays; n_chars, if there, follows the text. Null doc_ids come last; ties in doc_id and text are repeated rows. Texts of any length
+are read whole, and only keys of words are shuffled for the join. Other columns stay, whatever their names, but for n_lines and n_removed, which
+are set anew. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import discard, lean_shuffles, table, written
+from scoreloom.llm.common import discard, lean_shuffles, spare, table, written
 
 SIMILAR = 0.8
 LEAST = 1
 JOINED = math.ceil(SIMILAR / (1 - SIMILAR) - 1e-9)
-CLASSES = 1 << 16
+CLASSES = 1 << 18
+CHUNK = 1 << 12
+HOT = 31  # the class of about 1,000 occurrences
+LEADERS = 8
 SLICES = 4
 BLANKS = r"[ \t\n\x0B\f\r]+"
 
@@ -50,12 +59,15 @@ def is_blank(line: Column) -> Column:
 
 
 def _class_table(docs: DataFrame) -> bytes:
-    """For each hash bucket 1 + the rounded logarithm of its words' count; 64 KB whatever the input's size."""
+    """For each hash bucket 1 + three times the logarithm of its words' count, rounded; 256 KB whatever the input's size."""
     words = docs.select(F.explode(F.split(F.lower("text"), BLANKS)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).cast("int").alias("b")).count().collect()  # at most CLASSES rows
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).cast("int").alias("b")).count()
+    packed = F.col("b") * 128 + F.least(F.lit(127), 1 + F.round(3 * F.log2("count"))).cast("int")
+    chunks = counts.groupBy(F.shiftright("b", int(math.log2(CHUNK)))).agg(F.array_join(F.transform(F.collect_list(packed), lambda x: F.lpad(F.hex(x), 8, "0")), "").alias("hex"))
     out = bytearray(b"\x01" * CLASSES)
-    for r in counts:
-        out[r.b] = min(127, 1 + round(3 * math.log2(r["count"])))
+    for r in chunks.collect():  # CLASSES / CHUNK rows of at most CHUNK numbers
+        for (x,) in struct.iter_unpack(">I", bytes.fromhex(r.hex)):
+            out[x >> 7] = x & 127
     return bytes(out)
 
 
@@ -65,9 +77,19 @@ def _key(hashed: Column, classes: bytes) -> Column:
     return F.shiftleft(rarity.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
 
 
-def _sketch(keys: Column) -> Column:
-    """Parity of the keys in 64 places: each bit that differs between two sets stands for a word that only one of them has."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+SKETCH = [f"s{q}" for q in range(4)]
+
+
+def _sketch(keys: Column) -> list[Column]:
+    """Parity of the keys in four times 64 places: each bit that differs between two sets stands for a word that only one of them has."""
+    parity = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    quarter = lambda q: F.filter(keys, lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == q)
+    return [parity(quarter(q)).alias(s) for q, s in enumerate(SKETCH)]
+
+
+def _differing(x, y) -> Column:
+    """Number of bits that differ between two sketches."""
+    return reduce(lambda a, b: a + b, [F.bit_count(x(s).bitwiseXOR(y(s))) for s in SKETCH])
 
 
 def _least_overlap(n: Column, m: Column) -> Column:
@@ -81,7 +103,7 @@ def _passes(x, y) -> Column:
     return (
         (F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * SIMILAR - 1e-9)
         & (F.least(x("n") - x("pos"), y("n") - y("pos")) >= need)
-        & (F.bit_count(x("sketch").bitwiseXOR(y("sketch"))) <= x("n") + y("n") - 2 * need)
+        & (_differing(x, y) <= x("n") + y("n") - 2 * need)
     )
 
 
@@ -90,34 +112,50 @@ def _keyed_text(text: str = "text") -> Column:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """One row per distinct word set: id, at (its earliest line), n, sketch and prefix."""
+    """One row per distinct word set: id in the order of at (its earliest line), n, sketch and prefix with one word more."""
     classes = _class_table(docs)
     lines = docs.where(F.length("text") > 0).select("doc_id", _keyed_text().alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     keyed = lines.withColumn("keys", F.sort_array(F.transform(words_of(F.col("line")), lambda w: _key(w, classes)))).where(F.size("keys") >= LEAST)
     n = F.size("keys")
     keyed = keyed.select(
         F.xxhash64("keys").alias("i"), F.xxhash64(F.lit(1), "keys").alias("j"),
-        F.struct(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "line_no").alias("at"), n.alias("n"), _sketch(F.col("keys")).alias("sketch"),
-                 F.slice("keys", F.lit(1), F.when(n >= JOINED, n - F.ceil(n * SIMILAR - 1e-9).cast("int") + 1).otherwise(0)).alias("prefix")).alias("s"),
+        F.struct(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "line_no").alias("at"), n.alias("n"), *_sketch(F.col("keys")),
+                 F.slice("keys", F.lit(1), F.when(n >= JOINED, n - F.ceil(n * SIMILAR - 1e-9).cast("int") + 2).otherwise(0)).alias("prefix")).alias("s"),
     )
-    return written(keyed.groupBy("i", "j").agg(F.min("s").alias("s")).select(F.monotonically_increasing_id().alias("id"), "s.*"))
+    found = written(keyed.groupBy("i", "j").agg(F.min("s").alias("s")).select("s.*"))
+    sets = written(found.repartitionByRange("at").sortWithinPartitions("at").select(F.monotonically_increasing_id().alias("id"), "*"))
+    discard(found)
+    return sets
+
+
+def _entries(sets: DataFrame, part: int, *more: str) -> DataFrame:
+    """A row (key, id, n, pos, sketch) for every word or pair of words by which a set may meet others, of one slice."""
+    prefix, last = F.col("prefix"), F.size("prefix") - 1
+
+    def keys(word: Column, pos: Column) -> Column:
+        alone = F.array(F.struct(pos.alias("pos"), word.alias("key")))
+        pairs = F.transform(F.slice(prefix, pos + 2, last - pos), lambda next_: F.struct(pos.alias("pos"), F.xxhash64(word, next_).alias("key")))
+        return F.when(F.shiftright(word, 56) < HOT, alone).otherwise(pairs)
+
+    all_ = F.filter(F.flatten(F.transform(F.slice(prefix, F.lit(1), last), keys)), lambda x: F.pmod(x["key"], F.lit(SLICES)) == part)
+    return sets.where(F.size("prefix") > 0).select("id", "n", *SKETCH, *more, F.inline(all_))
 
 
 def _later(parts: list[DataFrame], sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of set ids, compared word by word, the ids of the later ones of those that are similar."""
+    """Of the pairs (a, b) of set ids, a earlier, compared word by word, the b that are similar."""
     pairs = written(reduce(DataFrame.union, parts).distinct())
     discard(*parts)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     places = written(sets.select("id", "at").join(wanted, "id"))
-    by_text = places.groupBy(F.col("at.doc_id").alias("d"), F.col("at.h").alias("h")).agg(F.collect_list(F.struct("id", "at")).alias("all"))
-    read = docs.select("doc_id", "text", _keyed_text().alias("_key")).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_key") == F.col("h")))
+    by_text = places.groupBy(F.col("at.doc_id").alias("d"), F.col("at.h").alias("h")).agg(F.collect_list(F.struct("id", "at.line_no")).alias("all"))
+    read = docs.select("doc_id", "text", _keyed_text().alias("key")).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("h")))
     split = F.split("text", "\n")
-    lines = read.select(F.explode(F.transform("all", lambda x: F.struct(x["id"].alias("id"), x["at"].alias("at"), F.get(split, x["at"]["line_no"]).alias("line")))).alias("x"))
-    lines = written(lines.select("x.id", "x.at", words_of(F.col("x.line")).alias("words")))
-    two = pairs.join(lines.select(F.col("id").alias("a"), F.col("at").alias("ta"), F.col("words").alias("wa")), "a")
-    two = two.join(lines.select(F.col("id").alias("b"), F.col("at").alias("tb"), F.col("words").alias("wb")), "b")
+    lines = read.select(F.explode(F.transform("all", lambda x: F.struct(x["id"].alias("id"), F.get(split, x["line_no"]).alias("line")))).alias("x"))
+    lines = written(lines.select("x.id", words_of(F.col("x.line")).alias("words")))
+    two = pairs.join(lines.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    two = two.join(lines.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     two = two.where(F.size(F.array_intersect("wa", "wb")) >= _least_overlap(F.size("wa"), F.size("wb")))
-    out = written(two.select(F.when(F.col("ta") < F.col("tb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    out = written(two.select(F.col("b").alias("id")).distinct())
     discard(pairs, places, lines)
     return out
 
@@ -125,25 +163,23 @@ def _later(parts: list[DataFrame], sets: DataFrame, docs: DataFrame) -> DataFram
 def earliest(docs: DataFrame) -> DataFrame:
     """(doc_id, h, line_no) of the lines with words that stay; h is the text's MD5."""
     sets = _sets(docs)
-    slices = [F.pmod("key", F.lit(SLICES)) == k for k in range(SLICES)]
-    doc = F.when(F.col("at.z"), (1 << 63) - 1).otherwise(F.col("at.doc_id"))
-    entries = sets.select("id", doc.alias("doc"), "n", "sketch", F.posexplode("prefix").alias("pos", "key"))
-    by_word = Window.partitionBy("key").orderBy("doc", "id")
-    head = F.first(F.struct("id", "n", "pos", "sketch")).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    of = lambda t: lambda c: F.col(f"{t}.{c}")
     parts = []
-    for part in slices:
-        near = entries.where(part).withColumn("head", head).where(F.col("id") != F.col("head.id"))
-        near = near.where(_passes(F.col, lambda c: F.col(f"head.{c}")))
-        parts.append(written(near.select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()))
-    gone = _later(parts, sets, docs)
-    flags = written(sets.select("id", doc.alias("doc"), "n", "sketch", "prefix").join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.col("decided").isNotNull()))
+    for k in range(SLICES):
+        first = lambda r: F.min(F.when(F.pmod("id", F.lit(LEADERS)) == r, F.struct("id", "n", "pos", *SKETCH)))
+        heads = _entries(sets, k).groupBy("key").agg(*[first(r).alias(f"h{r}") for r in range(LEADERS)], F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+        found = [F.when((F.col(f"h{r}.id") < F.col("id")) & _passes(of(f"h{r}"), F.col), F.struct(_differing(of(f"h{r}"), F.col).alias("far"), F.col(f"h{r}.id").alias("a"))) for r in range(LEADERS)]
+        near = _entries(sets, k).join(heads, "key").select(F.col("id").alias("b"), F.array_min(F.array(*found)).alias("x")).where("x is not null")
+        parts.append(written(near.groupBy("b").agg(F.min("x").alias("x"))))
+    best = reduce(DataFrame.union, parts).groupBy("b").agg(F.min("x")["a"].alias("a")).select("a", "b")
+    best = written(best)
+    discard(*parts)
+    gone = _later([best], sets, docs)
+    flags = written(sets.drop("at").join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.col("decided").isNotNull()))
     parts = []
-    for part in slices:
-        flagged = flags.select("id", "doc", "n", "sketch", "decided", F.posexplode("prefix").alias("pos", "key")).where(part)
-        x, y = flagged.alias("x"), flagged.alias("y")
-        of = lambda t: lambda c: F.col(f"{t}.{c}")
-        open_ = (F.col("x.id") < F.col("y.id")) & ((~F.col("x.decided") & (F.col("y.doc") <= F.col("x.doc"))) | (~F.col("y.decided") & (F.col("x.doc") <= F.col("y.doc"))))
-        rest = x.join(y, (F.col("x.key") == F.col("y.key")) & open_ & _passes(of("x"), of("y")))
+    for k in range(SLICES):
+        x, y = (_entries(flags, k, "decided").alias(t) for t in "xy")
+        rest = x.join(y, (F.col("x.key") == F.col("y.key")) & ~F.col("y.decided") & (F.col("x.id") < F.col("y.id")) & _passes(of("x"), of("y")))
         parts.append(written(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
     discard(flags)
     more = _later(parts, sets, docs)
@@ -154,23 +190,22 @@ def earliest(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with later matches removed from their texts; adds n_lines and n_removed."""
+    keep = docs.drop("n_lines", "n_removed")
+    id_, h, key, kept, stays, text = spare(keep, "id", "h", "key", "kept", "stays", "text")
     with lean_shuffles(docs.sparkSession):
         stay = earliest(docs.select("doc_id", "text"))
-        kept = stay.groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("_kept"))
-        kept = written(kept.withColumnsRenamed({"doc_id": "_id", "h": "_h"}))
+        left_in = written(stay.groupBy(F.col("doc_id").alias(id_), F.col("h").alias(h)).agg(F.collect_set("line_no").alias(kept)))
         discard(stay)
-    keep = docs.drop("n_lines", "n_removed")
-    all_ = keep.withColumn("_key", _keyed_text()).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left")
+    all_ = keep.withColumn(key, _keyed_text()).join(left_in, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(h)), "left")
     lines = F.split("text", "\n")
-    stays = F.filter(lines, lambda line, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i) | is_blank(line))
-    all_ = all_.withColumn("_stays", F.when(F.length("text") > 0, stays))
-    left = F.when(F.size("_stays") == F.size(lines), F.col("text")).otherwise(F.array_join("_stays", "\n"))
+    all_ = all_.withColumn(stays, F.when(F.length("text") > 0, F.filter(lines, lambda line, i: F.array_contains(F.coalesce(kept, F.array().cast("array<int>")), i) | is_blank(line))))
+    left = F.when(F.size(stays) == F.size(lines), F.col("text")).otherwise(F.array_join(stays, "\n"))
     out = all_.withColumns({
         "n_lines": F.when(F.length("text") > 0, F.size(lines)).otherwise(0),
-        "n_removed": F.when(F.length("text") > 0, F.size(lines) - F.size("_stays")).otherwise(0),
-        "_text": F.when(F.length("text") > 0, left).otherwise(F.col("text")),
+        "n_removed": F.when(F.length("text") > 0, F.size(lines) - F.size(stays)).otherwise(0),
+        text: F.when(F.length("text") > 0, left).otherwise(F.col("text")),
     })
-    out = out.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in keep.columns], "n_lines", "n_removed")
+    out = out.select(*[F.col(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in keep.columns], "n_lines", "n_removed")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in keep.columns else out
 
 
