@@ -2,14 +2,16 @@
 
 Features of a text are the distinct hashes (``DIM_BITS`` bits) of its lower-case words, pairs of neighbouring words and
 pairs with one word between them; of a longer word, its first ``STEMS`` characters are unigrams too, so that inflected
-and compound forms share weight. Learning goes once per epoch over a bounded sample of the labelled rows (the
+and compound forms share weight (chosen on rows with a remainder of 1, none of which is held out). Learning goes once per epoch over a bounded sample of the labelled rows (the
 ``SAMPLE`` rows with the smallest hash of doc_id) in one task, with FTRL-proximal's learning rates per coordinate; its
 L1 term leaves few weights that are not zero, and only those go to the tasks that score (at most 2**DIM_BITS pairs).
 Scoring reads every whole text.
 
 Labels, lang, source and doc_id are never inputs of a score. A null or empty text has no features: its score is that of
 the intercept. Without labelled rows the intercept is that of a rare class, so nothing is rejected. Rows of ``labels``
-with a null label or doc_id are not learnt from; repeated rows count as often as they occur.
+with a null label or doc_id are not learnt from; repeated rows count as often as they occur, within the sample; ties in its order are broken by
+the features. Texts of any length are scored whole, one after another. Other columns stay, but for score and predicted, which are set anew. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ class WordHashes(dict):
     """Hash of each word; emptied when large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -97,6 +99,13 @@ def _train(rows: list[tuple[np.ndarray, int]]) -> tuple[float, np.ndarray, np.nd
     return model.intercept(), at.astype(np.int32), every[at]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that few texts are Python strings at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5, F.lit(0)) == 0
 
@@ -109,7 +118,7 @@ def fit(labels: DataFrame, docs: DataFrame, label: str = "toxic", sample: int =
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             at = [features(x, hashes).tobytes() for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("doc_id"), b.column("label"), pa.array(at, pa.binary())], names=["h", "doc_id", "label", "at"])
 
@@ -118,7 +127,8 @@ def fit(labels: DataFrame, docs: DataFrame, label: str = "toxic", sample: int =
         w0, at, w = _train([(np.frombuffer(x, np.int32), y) for _, _, y, x in rows])
         return pa.table({"w0": [w0], "at": pa.array([at.tobytes()], pa.binary()), "w": pa.array([w.tobytes()], pa.binary())})
 
-    rows = texts.mapInArrow(indexed, "h long, doc_id long, label int, at binary").withColumn("task", F.lit(1)).groupBy("task").applyInArrow(learn, "w0 double, at binary, w binary").collect()
+    rows = texts.mapInArrow(indexed, "h long, doc_id long, label int, at binary").orderBy("h", "doc_id", "label", F.md5("at")).limit(sample)  # also if doc_ids repeat
+    rows = rows.withColumn("task", F.lit(1)).groupBy("task").applyInArrow(learn, "w0 double, at binary, w binary").collect()
     if not rows:
         return NO_LABELS, np.empty(0, np.int32), np.empty(0)
     return rows[0].w0, np.frombuffer(bytes(rows[0].at), np.int32), np.frombuffer(bytes(rows[0].w))
@@ -134,7 +144,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text: st
         dense = np.zeros(1 << DIM_BITS)
         dense[at] = w
         hashes = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             logit = np.array([dense[features(x, hashes)].sum() + w0 for x in b.column(text).to_pylist()], dtype=np.float64)
             p = 1.0 / (1.0 + np.exp(-np.clip(logit, -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
