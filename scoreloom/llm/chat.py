@@ -8,7 +8,8 @@ Only DataFrame functions are used. Distinct hashes are formed before the shuffle
 conversations share is one row per task.
 
 Turns are ordered by turn, then role and text; a null turn comes first, null roles and texts count as empty ones; rows with a null conv_id form one
-conversation. Repeated rows are repeated turns. An empty table gives an empty result.
+conversation. Repeated rows are repeated turns. Texts of any length are hashed and rendered whole. Columns besides these four play no part, and are not
+in the result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def collapse(turns: DataFrame) -> DataFrame:
     full = t.where("k = 1").groupBy(*same).agg(F.min("conv_id").alias("keep"), F.count(F.lit(1)).alias("logged"))
     prefixes = t.where("k < n").select(F.col("k").cast("long").alias("n"), F.col("p1").alias("f1"), F.col("p2").alias("f2")).distinct()
     longest = full.join(prefixes, same, "left_anti")
-    return t.join(longest, same).where(F.col("conv_id").eqNullSafe(F.col("keep"))).select("conv_id", "k", "n", "role", "text", "logged")
+    kept = longest.select("keep", "logged")  # one row per conversation that stays; copies of it never meet
+    return t.join(kept, F.col("conv_id").eqNullSafe(F.col("keep"))).select("conv_id", "k", "n", "role", "text", "logged")
 
 
 def formatted(turns: DataFrame) -> DataFrame:

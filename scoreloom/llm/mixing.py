@@ -9,7 +9,7 @@ the last, smallest bucket is taken if that brings the source nearer to its targe
 
 Rows of equal doc_id fall on the same side of a threshold, so reruns agree and repeated rows are treated alike. A null
 doc_id hashes as an empty string; a null text has size 0; a source without words has target 0. An empty table gives an
-empty result. All columns of the input stay, but for those that the operator sets.
+empty result. Texts of any length are counted whole. All columns of the input stay, whatever their names, but for those that the operator sets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import materialised, table
+from scoreloom.llm.common import materialised, spare, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -68,14 +68,15 @@ def _joined(left: DataFrame, per_source: DataFrame, small: bool) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Adds size, source_size, target and taken (words that the mix takes, repeats counted) to every row of ``docs``."""
     keep = docs.drop("size", "source_size", "target", "taken")
+    size_, h_, source_, total_, target_, times_, below_ = spare(keep, "size", "h", "source", "total", "target", "times", "below")
     sized = keep.select(F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), size_of(F.col(text)).alias("size"), hash_of(F.col(doc_id)).alias("h"))
     rules = thresholds(materialised(sized), weights, most)
     small = rules.count() <= SMALL_SOURCES
-    out = keep.withColumns({"_size": size_of(F.col(text)), "_h": hash_of(F.col(doc_id))})
-    rules = rules.select(F.col("source").alias("_source"), F.col("source_size").alias("_total"), F.col("target").alias("_target"), "times", "below")
-    out = out.join(F.broadcast(rules) if small else rules, F.col(source).eqNullSafe(F.col("_source")))
-    taken = F.col("_size") * (F.col("times") + (F.shiftright("_h", 28 - BITS * LEVELS) < F.col("below")).cast("long"))
-    return out.select(*keep.columns, F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+    out = keep.withColumns({size_: size_of(F.col(text)), h_: hash_of(F.col(doc_id))})
+    rules = rules.select(F.col("source").alias(source_), F.col("source_size").alias(total_), F.col("target").alias(target_), F.col("times").alias(times_), F.col("below").alias(below_))
+    out = out.join(F.broadcast(rules) if small else rules, F.col(source).eqNullSafe(F.col(source_)))
+    taken = F.col(size_) * (F.col(times_) + (F.shiftright(h_, 28 - BITS * LEVELS) < F.col(below_)).cast("long"))
+    return out.select(*[F.col(f"`{c}`") for c in keep.columns], F.col(size_).alias("size"), F.col(total_).alias("source_size"), F.col(target_).alias("target"), taken.alias("taken"))
 
 
 def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
