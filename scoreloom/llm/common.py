@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +48,14 @@ def written(df: DataFrame) -> DataFrame:
     at.getFileSystem(conf).deleteOnExit(at)  # at the latest; discard and scratch are earlier
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    if _scopes:
-        _scopes[-1].append(out)
+    scopes = _scopes.get()
+    if scopes:
+        scopes[-1].append(out)
     return out
 
 
-_scopes: list[list[DataFrame]] = []
+#: Open scopes, innermost last. Each thread has its own, so runs side by side in one driver leave each other's tables alone.
+_scopes: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 @contextlib.contextmanager
@@ -62,14 +67,16 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df)
         return df
 
-    _scopes.append([])
+    own: list[DataFrame] = []
+    outer = _scopes.get()
+    _scopes.set((*outer, own))
     try:
         yield keep
     finally:
-        own = _scopes.pop()
+        _scopes.set(outer)
         discard(*[t for t in own if not any(t is k for k in kept)])
-        if _scopes:
-            _scopes[-1].extend(kept)
+        if outer:
+            outer[-1].extend(kept)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -98,3 +105,23 @@ def lean_shuffles(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def floored(vector: Column, scale: int) -> Column:
+    """Components as floor(scale * x), x as double."""
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector and all its components are there and finite; false, never null."""
+    return F.coalesce(vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
+
+
+def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact squared Euclidean distances of integer rows: in floating point while no partial sum can reach 2**53, else in Python's integers."""
+    most = max(int(np.abs(x).max(initial=0)), int(np.abs(c).max(initial=0)))
+    if 4 * most * most * max(1, x.shape[1]) < 2**53:
+        a, b = x.astype(np.float64), c.astype(np.float64)
+        return np.rint((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T)).astype(np.int64)
+    a, b = x.astype(object), c.astype(object)
+    return np.stack([((a - row) ** 2).sum(1) for row in b], axis=1)

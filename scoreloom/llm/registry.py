@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import bagminhash, chat, html_text, knn_join, line_dedup, media, mixing, sentencepiece_codec, surrogates, toxicity
+from scoreloom.llm import bagminhash, ball_tree, chat, decision_lists, html_text, knn_join, line_dedup, media, mixing, sentencepiece_codec, surrogates, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_knn": knn_join.op8_knn,
         "op9_surrogates": surrogates.op9_surrogates,
         "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
+        "op11_decision_lists": decision_lists.op11_decision_lists,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_ball_tree": ball_tree.op13_ball_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.mixing_sql(), "op8_knn": knn_join.KNN_SQL}
+    return {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.mixing_sql(), "op8_knn": knn_join.KNN_SQL, "op12_vector_codes": vector_codes.codes_sql(), "op13_ball_tree": ball_tree.ball_sql()}
