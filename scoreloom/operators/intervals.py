@@ -23,13 +23,15 @@ def longest_clear(rows: DataFrame, keys: list[str], start: str, end: str, low: C
     return t.groupBy(*keys).agg(F.greatest(F.lit(0), F.max("gap"), high - F.max("e")).alias("clear"))
 
 
-def gutters(words: DataFrame, pages: DataFrame, step: float = 2.0, least_words: int = 10, least_clear: float = 0.5, least_cover: float = 0.3) -> DataFrame:
+def gutters(words: DataFrame, pages: DataFrame, step: float = 2.0, least_words: int = 10, least_clear: float = 0.5, least_cover: float = 0.3, tried: DataFrame | None = None) -> DataFrame:
     """(page_id, x, clear_share): the best vertical gutter of pages (page_id, width, height) with words (page_id, x0, x1, top, bottom).
 
-    x is tried every ``step`` from 20 % to 75 % of the width; of the places with enough words and coverage on both sides
+    x is tried every ``step`` from 20 % to 75 % of the width, or at the places ``tried`` (page_id, x); of the places with enough words and coverage on both sides
     the one with the longest run that no word crosses wins.
     """
     xs = pages.select("page_id", "height", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.col("width") * 0.55 / step).cast("int")), lambda i: F.col("width") * 0.2 + i * step)).alias("x"))
+    if tried is not None:
+        xs = pages.select("page_id", "height").join(tried, "page_id")
     w = words.join(xs, "page_id")
     sides = w.groupBy("page_id", "x").agg(F.count_if(F.col("x1") <= F.col("x")).alias("left"), F.count_if(F.col("x0") >= F.col("x")).alias("right"), F.first("height").alias("height"))
     crossing = w.where((F.col("x0") < F.col("x")) & (F.col("x1") > F.col("x")))

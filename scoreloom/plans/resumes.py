@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import dates, fixed, lexicons
-from scoreloom.operators import evaluate, extract, generate, layout, match, report, segment
+from scoreloom.operators import evaluate, extract, generate, layout, match, reading, report, segment
 from scoreloom.operators import text as tx
 from scoreloom.plans import business
 from scoreloom.plans.business import query as _query
@@ -582,3 +582,39 @@ def form_fields(spark, d):
     t = table(spark, d, "orders").select(k, F.explode(F.array(*fields, F.struct(F.lit("name").alias("field"), F.lit("x").alias("value")))).alias("f")).select("o_orderkey", "f.*")
     said = F.array_join(F.array_sort(F.transform(F.map_entries("values"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
     return generate.form_rows(t, "o_orderkey", "field", "value").select("o_orderkey", "prefix", "n", said.alias("fields"))
+
+
+# --- reading order --------------------------------------------------------------------------
+
+
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    """A page per part: its line items as word boxes, set in one, two or three columns, or under two lines across the page. Only places say which."""
+    item = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey")
+    t = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+    t = t.withColumns({"i": F.row_number().over(item) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("l_partkey"))})
+    kind = F.when(F.col("n") < 12, 0).otherwise(F.col("l_partkey") % 4)
+    t = t.withColumn("kind", kind).withColumn("head", F.when(F.col("kind") == 2, 2).otherwise(0)).withColumn("columns", F.greatest(F.lit(1), F.when(F.col("kind") == 2, 2).otherwise(F.col("kind")) + (F.col("kind") == 1).cast("int")))
+    t = t.withColumn("deep", F.ceil((F.col("n") - F.col("head")) / F.col("columns")).cast("int"))
+    above, body = F.col("i") < F.col("head"), F.col("i") - F.col("head")
+    t = t.withColumns({"at": F.when(above, F.col("i")).otherwise(F.col("head") + body % F.col("deep")), "c": F.when(above, 0).otherwise(F.floor(body / F.col("deep")))})
+    said = F.array(F.concat(F.lit("o"), F.col("l_orderkey")), F.concat(F.lit("n"), F.col("l_linenumber")), F.concat(F.lit("s"), F.col("l_suppkey")))
+    t = t.select("*", above.alias("above"), F.posexplode(said).alias("j", "text"))
+    wide = F.when(F.col("above"), 165.0).when(F.col("columns") == 3, 40.0).otherwise(50.0)
+    x0 = 50.0 + F.col("c") * F.when(F.col("columns") == 3, 180.0).otherwise(260.0) + F.col("j") * (wide + F.when(F.col("above"), 5.0).otherwise(10.0))
+    top = 40.0 + 12 * F.col("at") + 14 * F.floor(F.col("at") / 5) + F.col("j") % 2
+    return t.select("l_partkey", "text", x0.alias("x0"), (x0 + wide).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
+
+
+BOXES = """b AS (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) - 1 AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem),
+k AS (SELECT *, CASE WHEN n < 12 THEN 0 ELSE l_partkey % 4 END AS kind FROM b), h AS (SELECT *, CASE WHEN kind = 2 THEN 2 ELSE 0 END AS head, CASE kind WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS columns FROM k),
+p AS (SELECT *, CASE WHEN i < head THEN i ELSE head + (i - head) % CAST(ceil((n - head) / columns) AS BIGINT) END AS line, CASE WHEN i < head THEN 0 ELSE (i - head) // CAST(ceil((n - head) / columns) AS BIGINT) END AS c, i >= head AS band,
+  'o' || l_orderkey || ' n' || l_linenumber || ' s' || l_suppkey AS said FROM h)"""
+
+
+@query("reading_order", f"""WITH {BOXES}, r AS (SELECT l_partkey, line, string_agg(said, ' ' ORDER BY c) AS said FROM p GROUP BY 1, 2),
+x AS (SELECT l_partkey, md5(string_agg(said, chr(10) ORDER BY band, c, line)) AS read, any_value(columns) AS columns, count(DISTINCT CASE WHEN band THEN 1000 * c + 500 + line // 5 ELSE line // 5 END) AS blocks FROM p GROUP BY 1),
+y AS (SELECT l_partkey, md5(string_agg(said, chr(10) ORDER BY line)) AS naive FROM r GROUP BY 1)
+SELECT l_partkey, naive, read, CAST(columns AS BIGINT) AS columns, blocks FROM x JOIN y USING (l_partkey)""")
+def reading_order(spark, d):
+    t = reading.two_readings(saved(boxes(spark, d)), ["l_partkey"])
+    return t.select("l_partkey", F.md5(F.col("naive").cast("binary")).alias("naive"), F.md5(F.col("read").cast("binary")).alias("read"), F.col("columns").cast("long").alias("columns"), "blocks")

@@ -29,8 +29,8 @@ def decoded(content: Column) -> Column:
     return F.when(~F.contains(body, F.lit("\x00")), body)
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """(doc_id, path, filename, file_type, size_bytes, text, page_count, error) from the ``binaryFile`` format."""
+def documents(files: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, path, filename, file_type, size_bytes, text, page_count, error) from the ``binaryFile`` format, and the columns ``more`` of it."""
     t = files.withColumn("file_type", extension(F.col("path"))).withColumn("body", F.when(F.col("file_type") == "txt", decoded(F.col("content"))))
     lines = F.filter(F.transform(F.split("body", r"\r\n|\r|\n"), tx.normal), lambda x: x != "")
     t = t.withColumn("text", F.array_join(lines, "\n"))
@@ -38,11 +38,12 @@ def documents(files: DataFrame) -> DataFrame:
         F.when(F.col("file_type") == "doc", "the old .doc format; save as .docx or PDF").when(F.col("file_type").isin(*IMAGES), "an image; send text").when(~F.col("file_type").isin("txt", "pdf", "docx"), "unknown file type")
         .when(F.col("length") == 0, "empty file").when(F.col("file_type").isin("pdf", "docx"), NO_READER).when(F.col("body").isNull(), "not a text").when(F.col("text") == "", "no text")
     )
-    return t.select(F.xxhash64("path").alias("doc_id"), "path", F.regexp_replace("path", r"^.*/", "").alias("filename"), "file_type", F.col("length").alias("size_bytes"), "text", tx.page_estimate(tx.word_count(F.col("text"))).alias("page_count"), error.alias("error"))
+    return t.select(F.xxhash64("path").alias("doc_id"), "path", F.regexp_replace("path", r"^.*/", "").alias("filename"), "file_type", F.col("length").alias("size_bytes"), "text", tx.page_estimate(tx.word_count(F.col("text"))).alias("page_count"), error.alias("error"), *more)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    return documents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+    """Every file under a folder, each by the reader of its kind; a kind without one is a row with an error."""
+    return with_readers(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
 
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,8 +63,8 @@ def with_readers(files: DataFrame) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    readers, base = dict(READERS), documents(files)
-    schema = base.schema
+    readers, base = dict(READERS), documents(files, "content")
+    schema = base.drop("content").schema
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -80,5 +81,4 @@ def with_readers(files: DataFrame) -> DataFrame:
                         r["error"] = f"unreadable: {type(e).__name__}"
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    joined = base.join(files.select("path", "content"), "path").select(*base.columns, "content")
-    return joined.mapInArrow(run, schema).withColumn("page_count", tx.page_estimate(tx.word_count(F.col("text"))))
+    return base.mapInArrow(run, schema).withColumn("page_count", tx.page_estimate(tx.word_count(F.col("text"))))

@@ -47,3 +47,24 @@ def test_headings_of_every_alias_with_words_around(spark):
         words = r.t.lower().split(" ")
         want = brute(words, segment.ALIASES, 2) if len(words) <= 6 else None
         assert (r.key, r.exact) == (want and segment.ALIASES[want], r.t.lower() in segment.ALIASES), r.t
+
+
+def test_suggested_names_are_the_closest_matches(spark):
+    import difflib
+
+    rnd = random.Random(6)
+    rows = [(n,) for n in segment.NAMES]
+    for _ in range(250):
+        name = list(rnd.choice(list(segment.NAMES)))
+        for _ in range(rnd.randint(1, 5)):
+            at = rnd.randrange(len(name)) if name else 0
+            name[at : at + 1] = rnd.choice([[], [rnd.choice("abcdeginorst ")], name[at : at + 1] * 2])
+        rows.append((" ".join("".join(name).split()),))
+    hints = {w for words in segment.HINTS.values() for w in words}
+    n = 0
+    for r in spark.createDataFrame(rows, "t string").select("t", segment.suggest_standard(F.col("t")).alias("key")).collect():
+        if not any(w in r.t for w in hints):
+            close = difflib.get_close_matches(r.t, list(segment.NAMES), n=1, cutoff=segment.CLOSE)
+            assert r.key == (segment.NAMES[close[0]] if close else None), r.t
+            n += 1
+    assert n > 60
