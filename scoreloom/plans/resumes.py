@@ -53,6 +53,25 @@ def date_points(spark, d):
     return spans(spark, d).select("l_orderkey", "l_linenumber", F.array_join(said, " ").alias("points"))
 
 
+@query("date_points_near_and_far", """WITH t AS (SELECT l_orderkey, l_linenumber, l_suppkey, (l_orderkey + l_linenumber) % 7 AS k, o_orderdate AS a, l_shipdate AS b, CAST(l_quantity AS INTEGER) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+n AS (SELECT *, strftime(a, '%Y-') || month(a) AS am, strftime(b, '%Y-') || month(b) AS bm, strftime(b, '%Y') AS y, length(strftime(a, '%b %Y')) AS w FROM t)
+SELECT l_orderkey, l_linenumber, l_suppkey, q, CASE k WHEN 0 THEN '0 ' || am || CASE WHEN w + q > 20 THEN ', ' || CAST(w + q AS VARCHAR) || ' ' || y ELSE '' END WHEN 1 THEN '0 ' || am || CASE WHEN 7 + q > 20 THEN ', ' || CAST(7 + q AS VARCHAR) || ' ' || y ELSE '' END
+WHEN 2 THEN CAST(q AS VARCHAR) || ' ' || y || ', ' || CAST(q + 5 AS VARCHAR) || ' ' || am WHEN 3 THEN '0 ' || strftime(a, '%Y') || ', ' || CAST(4 + q AS VARCHAR) || ' ' || y WHEN 4 THEN '0 20' || strftime(b, '%m') || '-' || month(a) || ', 4 ' || bm
+WHEN 5 THEN '' WHEN 6 THEN CASE WHEN q % 2 = 0 THEN '' ELSE CAST(q AS VARCHAR) || ' ' || strftime(a, '%Y-') || month(a) END END AS points FROM n""")
+def date_points_near_and_far(spark, d):
+    """Two dates of an order with as many characters between them as it has pieces: a bare year counts only if it stands far enough from a month, a month's name only if it starts a word."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("a"))
+    t = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "a", F.col("l_shipdate").alias("b"))
+    on, gap = lambda c, form: F.date_format(c, form), F.rpad(F.lit(" "), F.col("q"), "x ")
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % 7
+    text = (
+        F.when(k == 0, F.concat(on("a", "MMM yyyy"), gap, on("b", "yyyy"))).when(k == 1, F.concat(on("a", "MM/yyyy"), gap, on("b", "yyyy"))).when(k == 2, F.concat(gap, on("b", "yyyy"), F.lit(" "), on("a", "MM-yyyy")))
+        .when(k == 3, F.concat(on("a", "yyyy"), gap, on("b", "yyyy"))).when(k == 4, F.concat(on("a", "MMM"), F.lit(" "), on("b", "MM/yyyy"))).when(k == 5, F.concat(F.lit("5/"), on("a", "MM/yyyy"), F.lit(" /"), on("b", "yyyy"))).otherwise(F.concat(gap, on("a", "MMM"), F.lit("'"), on("a", "yy")))
+    )
+    said = F.transform(dates.points(F.col("text")), lambda p: F.concat(p["at"].cast("string"), F.lit(" "), F.concat_ws("-", p["year"].cast("string"), p["month"].cast("string"))))
+    return t.withColumn("text", text).select("l_orderkey", "l_linenumber", "l_suppkey", "q", F.array_join(said, ", ").alias("points"))
+
+
 @query("date_of_birth", """WITH t AS (SELECT o_orderkey, o_orderkey % 5 AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
 SELECT o_orderkey, CASE WHEN k < 3 THEN d WHEN k = 3 AND day(d) > 12 THEN d WHEN k = 3 THEN make_date(year(d), day(d), month(d)) END AS born, CAST(CASE WHEN o_orderkey % 100 < 70 THEN 2000 + o_orderkey % 100 ELSE 1900 + o_orderkey % 100 END AS INTEGER) AS full_year FROM t""")
 def date_of_birth(spark, d):

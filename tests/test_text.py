@@ -83,3 +83,19 @@ def test_word_order_similarity_reads_whole_texts(spark, tmp_path):
     rows = [(1, first + " " + " ".join(f"left{k}" for k in range(1500))), (2, first + " " + " ".join(f"right{k}" for k in range(1500)))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.similarity for r in textual.word_order_similarity(spark, str(tmp_path)).collect()] == [0.5]
+
+
+DATED = [
+    ("Jun 2023 - 2024", [(0, 2023, 6)]), ("Jun 2023 and, a good while later, 2024", [(0, 2023, 6), (34, 2024, None)]), ("06/2023 2024", [(0, 2023, 6)]), ("2020-2024", [(0, 2020, None), (5, 2024, None)]),
+    ("Sept. 21, then 7-1999", [(0, 2021, 9), (15, 1999, 7)]), ("June '98", [(0, 1998, 6)]), ("20234 1/12/2020 a1999", [(17, 1999, None)]), ("Summary 12, Marching 2001", [(12, 2001, 3)]), ("13/2020 00/2021", []), ("", []), ("no digits in May", []), ("é May 2020", [(2, 2020, 5)]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), DATED)
+def test_points_by_their_places(spark, text, want):
+    assert [tuple(p) for p in one(spark, dates.points, text)] == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("from 10 - 15 months", 15.0), ("2.5 weeks, then 3 years", 0.62), ("for 6-month terms", 6.0), ("4 weekly", None), ("1 Years", 12.0), ("in 3.monthly", None)])
+def test_durations_with_units(spark, text, want):
+    assert one(spark, lambda c: dates.months(c, TODAY), text) == want
