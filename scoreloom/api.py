@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from scoreloom.functions import fixed, lexicons
 from scoreloom.functions.numbers import rounded
 from scoreloom.functions.vocabulary import FEATURES, register_feature
-from scoreloom.operators import checks, evaluate, extract, match, report, segment
+from scoreloom.operators import checks, drafts, embedding, evaluate, extract, match, report, segment
 from scoreloom.operators import text as tx
+from scoreloom.plans import inputs as forms_of
 from scoreloom.plans import rules, scoring
 from scoreloom.plans.scratch import saved
 
@@ -75,6 +76,14 @@ class Engine:
         s = scoring.scored(wide, c, names)
         return scoring.gated(s, c, names, {i: F.col(col) for i, col in given.items()})
 
+    def score_forms(self, features: DataFrame, category: str, forms: DataFrame, given: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+        """(scores, errors): like ``score`` with inputs that users typed. A document whose form has an input that can't be read isn't scored but has a row per error."""
+        c = rules.lookup(self.categories, category)
+        checked = saved(forms_of.checked(forms.select("doc_id", *dict.fromkeys(given.values())), c, dict(given)))
+        good, errors = forms_of.split(checked, "doc_id")
+        rejected = checked.where(F.size("input_errors") > 0).select("doc_id")
+        return self.score(features.join(rejected, "doc_id", "left_anti"), category, good, given), errors
+
     def suggestions(self, scores: DataFrame, category: str) -> DataFrame:
         return scoring.suggestions(scores, rules.lookup(self.categories, category), {n: n for n in FEATURES}, "doc_id")
 
@@ -109,14 +118,16 @@ class Engine:
         total = evaluate.rolled_up(rows, "doc_id", "grp", "weight", "score", checks.group_weight(F.col("grp"))).withColumnRenamed("score", "ats")
         return total.join(rows.groupBy("doc_id").agg(F.max("fatal").alias("fatal"), F.array_sort(F.collect_list(F.struct("check", "status", "score"))).alias("checks")), "doc_id")
 
-    def matches(self, docs: DataFrame, jds: DataFrame, embed=match.hashed_embedding, lines: DataFrame | None = None) -> DataFrame:
-        """(doc_id, jd_id, req_no, requirement, importance, similarity, wanted, missing, score, status, evidence, rank) of every requirement that a document meets text for."""
+    def matches(self, docs: DataFrame, jds: DataFrame, embed=match.hashed_embedding, lines: DataFrame | None = None, cache: embedding.Cache | None = None) -> DataFrame:
+        """Every text is embedded once, with a ``cache`` once for all runs. (doc_id, jd_id, req_no, requirement, importance, similarity, wanted, missing, score, status, evidence, rank) of every requirement that a document meets text for."""
         lines = self.lines(docs) if lines is None else lines
         reqs = saved(match.requirements(jds))
-        pieces = match.chunks(lines).join(docs.select("doc_id", "jd_id"), "doc_id").withColumn("vector", embed(F.col("text")))
+        embedded = (lambda t, text: cache.vectors(t, text, embed)) if cache else (lambda t, text: t.withColumn("vector", embed(F.col(text)))) if embed is match.hashed_embedding else (lambda t, text: embedding.distinct_vectors(t, text, embed))
+        pieces = embedded(match.chunks(lines), "text").join(docs.select("doc_id", "jd_id"), "doc_id")
+        asked = embedded(reqs, "requirement").select("jd_id", "req_no", "vector")
         pairs = docs.select("doc_id", "jd_id").join(reqs, "jd_id")
         keys = ["doc_id", "jd_id"]
-        best = match.best_chunks(pairs.select(*keys, "req_no", embed(F.col("requirement")).alias("vector")), pieces.select(*keys, "chunk_no", "vector"), keys, "req_no", "chunk_no")
+        best = match.best_chunks(pairs.select(*keys, "req_no").join(asked, ["jd_id", "req_no"]), pieces.select(*keys, "chunk_no", "vector"), keys, "req_no", "chunk_no")
         lex = self.lexicon.drop("category")
         named = match.mentions(reqs, lex, ["jd_id", "req_no"], "requirement").groupBy("jd_id", "req_no").agg(F.array_sort(F.collect_set("skill")).alias("wanted"))
         shown = match.mentions(docs.select("doc_id", "text"), lex, ["doc_id"]).groupBy("doc_id").agg(F.collect_set("skill").alias("shown"))
@@ -128,18 +139,22 @@ class Engine:
         m = m.join(said, ["doc_id", "best"], "left").withColumn("evidence", F.when(F.col("score") >= match.PARTIAL, F.col("said")))
         return match.ranked_matches(m, keys, "req_no").select(*keys, "req_no", "requirement", "importance", rounded("similarity", 3).alias("similarity"), "wanted", "missing", "score", "status", "evidence", "rank")
 
-    def fit(self, docs: DataFrame, jds: DataFrame, embed=match.hashed_embedding, lines: DataFrame | None = None) -> DataFrame:
+    def fit(self, docs: DataFrame, jds: DataFrame, embed=match.hashed_embedding, lines: DataFrame | None = None, cache: embedding.Cache | None = None) -> DataFrame:
         """(doc_id, jd_id, fit, note): every document against the description it names in jd_id; 0 and a note where there is nothing to compare."""
         lines = self.lines(docs) if lines is None else lines
         if embed is None:
             return docs.where("jd_id is not null").select("doc_id", "jd_id", F.lit(0.0).alias("fit"), match.fit_note(F.lit(1), F.lit(1), F.lit(False)).alias("note"))
-        got = match.fit(self.matches(docs, jds, embed, lines), ["doc_id", "jd_id"])
+        got = match.fit(self.matches(docs, jds, embed, lines, cache), ["doc_id", "jd_id"])
         asked = match.requirements(jds).groupBy("jd_id").agg(F.count(F.lit(1)).alias("n"))
         has = match.chunks(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
         t = docs.where("jd_id is not null").select("doc_id", "jd_id").join(asked, "jd_id", "left").join(has, "doc_id", "left").join(got, ["doc_id", "jd_id"], "left")
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
         return t.select("doc_id", "jd_id", F.coalesce("fit", F.lit(0.0)).alias("fit"), match.fit_note(zero("n"), zero("m"), F.lit(True)).alias("note"))
 
+    def layouts(self, given: DataFrame, category: str) -> DataFrame:
+        """(doc_id, sections, pages, warnings) of nested drafts for a category."""
+        return drafts.layouts(given, rules.lookup(self.categories, category))
+
     def analyze(self, docs: DataFrame, category: str, jds: DataFrame | None = None, statements: DataFrame | None = None) -> DataFrame:
         """One row per document: score, confidence, eligible, ats, fatal, fit, overall and their levels. Without a comparable description there is no overall score."""
         lines = self.lines(docs)

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import dates, fixed, lexicons
-from scoreloom.operators import evaluate, extract, generate, layout, match, reading, report, segment
+from scoreloom.operators import drafts, embedding, evaluate, extract, generate, layout, match, reading, report, segment
 from scoreloom.operators import text as tx
-from scoreloom.plans import business
+from scoreloom.plans import business, inputs, rules
 from scoreloom.plans.business import query as _query
 from scoreloom.plans.business import table
 from scoreloom.plans.scratch import saved
@@ -637,3 +637,87 @@ SELECT l_partkey, naive, read, CAST(columns AS BIGINT) AS columns, blocks FROM x
 def reading_order(spark, d):
     t = reading.two_readings(saved(boxes(spark, d)), ["l_partkey"])
     return t.select("l_partkey", F.md5(F.col("naive").cast("binary")).alias("naive"), F.md5(F.col("read").cast("binary")).alias("read"), F.col("columns").cast("long").alias("columns"), "blocks")
+
+
+# --- drafts, inputs, vectors of distinct texts ----------------------------------------------
+
+
+def draft_rules(order: list[str]) -> rules.Category:
+    return rules.category_of({
+        "id": "drafts", "label": "Order", "subscores": {"a": {"weight": 1}}, "signals": [{"id": "b", "subscore": "a", "feature": "customer.balance", "rule": {"type": "bands", "points": [[0, 0], [1, 1]]}}],
+        "ats": {"sections": ["education", "internships", "skills"], "max_pages": 1}, "generator": {"order": order},
+    })
+
+
+def order_drafts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as drafts: urgent orders are roles, the others projects, their line items bullets; a returned item states a result."""
+    said = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("cut returns by "), F.col("l_linenumber").cast("string"), F.lit("%"))).otherwise("sent things")
+    items = table(spark, d, "lineitem").where("l_linestatus = 'F'").groupBy("l_orderkey").agg(F.collect_list(said).alias("bullets"))
+    none, text = F.array().cast("array<string>"), lambda c: F.col(c).cast("string")
+    o = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("bullets", F.coalesce("bullets", none)).withColumn("role", F.col("o_orderpriority").startswith("1"))
+    blank = F.lit("").alias
+    one = F.struct(F.concat(F.lit("o"), text("o_orderkey")).alias("title"), blank("organisation"), blank("location"), F.date_format("o_orderdate", "MM/yyyy").alias("start"), blank("end"), "bullets", blank("stack"), blank("link"))
+    kept = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, one)))
+    o = o.groupBy("o_custkey").agg(kept(True).alias("roles"), kept(False).alias("projects"))
+    c = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    k = F.col("c_custkey")
+    some = lambda cond, value: F.when(cond, F.array(value)).otherwise(none)
+    contact = F.struct(F.lit("n").alias("name"), F.when(k % 4 > 0, "a@b.c").alias("email"), F.lit("1").alias("phone"), *[F.lit("").alias(x) for x in ("location", "linkedin", "github", "portfolio")])
+    return c.select(
+        k.alias("doc_id"), contact.alias("contact"), F.when(k % 3 == 0, "about").alias("summary"), F.col("roles").alias("experience"), "projects",
+        some(k % 5 == 0, F.lit("GATE 2026")).alias("exams"), some(k % 2 == 0, F.lit("Tamil")).alias("languages"), F.when(k % 7 > 0, F.array(F.struct(F.lit("L").alias("label"), F.array(F.lit("C")).alias("items")))).alias("skills"),
+    )
+
+
+NESTED = """b AS (SELECT l_orderkey, count(*) AS n, bool_or(l_returnflag = 'R') AS result FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
+o AS (SELECT o_custkey, o_orderkey, coalesce(n, 0) AS n, coalesce(result, false) AS result, o_orderpriority LIKE '1%' AS role FROM orders LEFT JOIN b ON l_orderkey = o_orderkey),
+g AS (SELECT o_custkey, count(*) FILTER (role) AS roles, count(*) FILTER (NOT role) AS projects, coalesce(sum(1 + n) FILTER (role), 0) AS rl, coalesce(sum(1 + n) FILTER (NOT role), 0) AS pl,
+  count(*) FILTER (role AND n = 0) AS silent, count(*) FILTER (role AND n > 0 AND NOT result) AS vague, count(*) FILTER (NOT role AND n > 0 AND NOT result) AS flat,
+  string_agg('o' || o_orderkey, ',' ORDER BY 'o' || o_orderkey) FILTER (NOT role AND n > 0 AND NOT result) AS named FROM o GROUP BY 1),
+c AS (SELECT c_custkey AS doc_id, coalesce(roles, 0) AS roles, coalesce(projects, 0) AS projects, coalesce(rl, 0) AS rl, coalesce(pl, 0) AS pl, coalesce(silent, 0) AS silent, coalesce(vague, 0) AS vague, coalesce(flat, 0) AS flat, coalesce(named, '') AS named FROM customer LEFT JOIN g ON o_custkey = c_custkey),
+s AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN ['summary'] ELSE [] END || CASE WHEN projects > 0 THEN ['projects'] ELSE [] END || CASE WHEN doc_id % 5 = 0 THEN ['exams'] ELSE [] END || CASE WHEN roles > 0 THEN ['experience'] ELSE [] END
+  || CASE WHEN doc_id % 7 > 0 THEN ['skills'] ELSE [] END || CASE WHEN doc_id % 2 = 0 THEN ['languages'] ELSE [] END AS keys, CAST(greatest(1, ceil((4 + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN projects > 0 THEN 1 + pl ELSE 0 END
+  + CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN roles > 0 THEN 1 + rl ELSE 0 END + CASE WHEN doc_id % 7 > 0 THEN 2 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END) / 46.0)) AS INTEGER) AS pages FROM c)"""
+
+
+@query("nested_layout", f"""WITH {NESTED} SELECT doc_id, array_to_string(keys, ',') AS sections, pages, CAST(1 + CASE WHEN roles > 0 THEN 0 ELSE 1 END + CASE WHEN doc_id % 7 > 0 THEN 0 ELSE 1 END AS BIGINT) AS absent, doc_id % 4 = 0 AS contact, silent, vague, flat, named, pages > 1 AS long FROM s""")
+def nested_layout(spark, d):
+    """Order and all kinds of warning of nested drafts; of projects without a result also their names, in the order of the draft."""
+    t = drafts.layouts(order_drafts(spark, d), draft_rules(["header", "projects", "gate_scorecard", "experience"]))
+    of = lambda pattern: F.filter("warnings", lambda w: w.rlike(pattern))
+    n = lambda pattern: F.size(of(pattern)).cast("long")
+    named = F.array_join(F.transform(of("because it exists"), lambda w: F.regexp_extract(w, "'(.*?)'", 1)), ",")
+    return t.select("doc_id", F.array_join(F.transform("sections", lambda s: s["key"]), ",").alias("sections"), "pages", n("^No .* section").alias("absent"), (n("^Add both") == 1).alias("contact"), n("no bullet points").alias("silent"), n("you can defend").alias("vague"), n("because it exists").alias("flat"), named.alias("named"), (n("^The draft is about") == 1).alias("long"))
+
+
+INPUT_RULES = {
+    "id": "typed", "subscores": {"a": {"weight": 1}}, "signals": [{"id": "b", "subscore": "a", "feature": "customer.balance", "rule": {"type": "bands", "points": [[0, 0], [1, 1]]}}],
+    "inputs": [
+        {"id": "funds", "type": "number", "feature": "customer.balance"}, {"id": "orders", "type": "number", "feature": "customer.orders"}, {"id": "urgent", "type": "bool"}, {"id": "since", "type": "date"}, {"id": "state", "type": "choice", "options": ["F", "O"]},
+    ],
+}
+
+
+@query("inputs_typed", """WITH t AS (SELECT o_orderkey AS k, o_orderkey % 4 AS a, o_orderkey % 5 AS b, o_orderkey % 6 AS c, o_orderkey % 7 AS e, o_orderstatus AS s, o_totalprice AS p, o_custkey AS u, CAST(o_orderdate AS DATE) AS day FROM orders),
+v AS (SELECT k, CASE WHEN a < 2 THEN CAST(floor(p + 0.5) AS DOUBLE) END AS funds, a = 2 AS bad_funds, CASE WHEN b < 3 THEN u END AS orders, b = 3 AS bad_orders, CASE WHEN c < 2 THEN true WHEN c < 4 THEN false END AS urgent, c = 4 AS bad_urgent,
+  CASE WHEN e < 3 THEN CAST(day AS VARCHAR) END AS since, e IN (3, 4) AS bad_since, CASE WHEN s IN ('F', 'O') THEN s END AS state, s NOT IN ('F', 'O') AS bad_state FROM t)
+SELECT k AS o_orderkey, funds, orders, urgent, since, state, array_to_string(list_filter([CASE WHEN bad_funds THEN 'funds' END, CASE WHEN bad_orders THEN 'orders' END, CASE WHEN bad_urgent THEN 'urgent' END, CASE WHEN bad_since THEN 'since' END, CASE WHEN bad_state THEN 'state' END], lambda x: x IS NOT NULL), ',') AS errors FROM v""")
+def inputs_typed(spark, d):
+    """Orders as forms that were filled in well or badly: numbers, whole numbers, yes or no, dates and choices as texts."""
+    k = F.col("o_orderkey")
+    of = lambda m, *values: F.element_at(F.array(*[v.cast("string") if isinstance(v, Column) else F.lit(v) for v in values]), (k % m + 1).cast("int"))
+    price, user = F.floor(F.col("o_totalprice") + 0.5), F.col("o_custkey")
+    t = table(spark, d, "orders").select(
+        "o_orderkey", of(4, price, F.concat(F.lit(" "), price.cast("string"), F.lit(".0 ")), "much", "").alias("funds"), of(5, user, F.concat(user.cast("string"), F.lit(".00")), F.concat(F.lit("+"), user.cast("string")), "1.5", " ").alias("orders"),
+        of(6, "Yes", "1", "no", "FALSE", "maybe", None).alias("urgent"), of(7, F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.date_format("o_orderdate", "d MMMM yyyy"), "2020-13-40", "soon", "", None).alias("since"), F.col("o_orderstatus").alias("state"),
+    )
+    t = inputs.checked(t, rules.category_of(INPUT_RULES), {c: c for c in ("funds", "orders", "urgent", "since", "state")})
+    return t.select("o_orderkey", "funds", "orders", "urgent", "since", "state", F.array_join(F.transform("input_errors", lambda e: e["input"]), ",").alias("errors"))
+
+
+@query("vectors_of_distinct_texts", "SELECT conv_id, turn, CAST(length(text) AS DOUBLE) AS chars, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS es FROM conversations")
+def vectors_of_distinct_texts(spark, d):
+    """Turns with a vector of their text, which is made once however often it was said."""
+    embed = lambda c: F.array(F.length(c).cast("double"), (F.length(c) - F.length(F.replace(c, F.lit("e"), F.lit("")))).cast("double"))
+    t = embedding.distinct_vectors(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text", embed)
+    return t.select("conv_id", "turn", F.get("vector", F.lit(0)).alias("chars"), F.get("vector", F.lit(1)).alias("es"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import closing
@@ -72,6 +73,8 @@ class FilesWriter(DataSourceArrowWriter):
         fs, root = self._at()
         self.staged, self.final = f"{root}/_staged/{self.batch}-{uuid.uuid4().hex}", f"{root}/{self.batch}"
         self.done = fs.get_file_info(self.final).type != pafs.FileType.NotFound
+        if not self.done:
+            fs.create_dir(self.staged)  # here and not by tasks: one that is still running when the job is aborted can't make it again
 
     def _at(self) -> tuple[pafs.FileSystem, str]:
         fs, root = pafs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
@@ -79,9 +82,10 @@ class FilesWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         if self.done:
+            for _ in iterator:  # what is observed of the rows counts them all the same
+                pass
             return Written((), 0)
         fs, _ = self._at()
-        fs.create_dir(self.staged)
         attempt, files, rows = _attempt(), [], 0
         try:
             if self.layout == "files":
@@ -101,7 +105,7 @@ class FilesWriter(DataSourceArrowWriter):
                             out.write(json.dumps(r, default=str, ensure_ascii=False).encode() + b"\n")
                         rows += b.num_rows
         except BaseException:
-            for f in files:
+            for f in files:  # what an abort didn't take before
                 if fs.get_file_info(f"{self.staged}/{f}").type != pafs.FileType.NotFound:
                     fs.delete_file(f"{self.staged}/{f}")
             raise
@@ -111,7 +115,6 @@ class FilesWriter(DataSourceArrowWriter):
         if self.done:
             return
         fs, _ = self._at()
-        fs.create_dir(self.staged)
         kept = {f for m in messages if m for f in m.files}
         for info in fs.get_file_info(pafs.FileSelector(self.staged)):
             if info.base_name not in kept:
@@ -126,8 +129,15 @@ class FilesWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, _ = self._at()
-        if fs.get_file_info(self.staged).type != pafs.FileType.NotFound:
-            fs.delete_dir(self.staged)
+        for wait in (0.1, 1, 5, None):  # other tasks may still be writing
+            try:
+                if fs.get_file_info(self.staged).type != pafs.FileType.NotFound:
+                    fs.delete_dir(self.staged)
+                return
+            except OSError:
+                if wait is None:
+                    raise
+                time.sleep(wait)
 
 
 # --- databases --------------------------------------------------------------------------
