@@ -13,7 +13,7 @@ from scoreloom.functions.vocabulary import FEATURES, register_feature
 from scoreloom.operators import checks, drafts, embedding, evaluate, extract, match, report, segment
 from scoreloom.operators import text as tx
 from scoreloom.plans import inputs as forms_of
-from scoreloom.plans import rules, scoring
+from scoreloom.plans import rules, scoring, scratch
 from scoreloom.plans.scratch import saved
 
 
@@ -24,6 +24,15 @@ class Engine:
         self.lexicon = lexicon if lexicon is not None else lexicons.lexicon(spark)
         self.extractors: list[Callable[[DataFrame], DataFrame]] = []
 
+    def __enter__(self) -> Engine:
+        """Within ``with``, tables that plans keep are deleted at the end; take what is lazy out before."""
+        self._scope = scratch.scope()
+        self._scope.__enter__()
+        return self
+
+    def __exit__(self, *error) -> None:
+        self._scope.__exit__(*error)
+
     def register_extractor(self, kinds: Mapping[str, str], extractor: Callable[[DataFrame], DataFrame]) -> None:
         """An extractor of the caller's own: from sectioned lines to long features, whose names and types go to the vocabulary."""
         for name, kind in kinds.items():
@@ -114,9 +123,9 @@ class Engine:
             hits = self.keywords(docs, jds, lines)
             share = match.covered_share(hits, ["doc_id"]).join(hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("keyword_hits")), "doc_id")
             e = e.join(share.withColumnRenamed("coverage", "keyword_coverage"), "doc_id", "left").withColumn("keyword_hits", F.coalesce("keyword_hits", F.lit(0)))
-        rows = saved(checks.checked(e))
-        total = evaluate.rolled_up(rows, "doc_id", "grp", "weight", "score", checks.group_weight(F.col("grp"))).withColumnRenamed("score", "ats")
-        return total.join(rows.groupBy("doc_id").agg(F.max("fatal").alias("fatal"), F.array_sort(F.collect_list(F.struct("check", "status", "score"))).alias("checks")), "doc_id")
+        found = checks.checks_of(e)
+        said = F.array_sort(F.transform("checks", lambda x: F.struct(x["check"].alias("check"), x["status"].alias("status"), x["score"].alias("score"))))
+        return found.select("doc_id", checks.total(F.col("checks")).alias("ats"), F.exists("checks", lambda x: x["fatal"]).alias("fatal"), said.alias("checks"))
 
     def matches(self, docs: DataFrame, jds: DataFrame, embed=match.hashed_embedding, lines: DataFrame | None = None, cache: embedding.Cache | None = None) -> DataFrame:
         """Every text is embedded once, with a ``cache`` once for all runs. (doc_id, jd_id, req_no, requirement, importance, similarity, wanted, missing, score, status, evidence, rank) of every requirement that a document meets text for."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions.lookup import let
 from scoreloom.functions.numbers import rounded
 from scoreloom.operators import text as tx
 
@@ -102,8 +103,8 @@ def with_defaults(docs: DataFrame) -> DataFrame:
     return out
 
 
-def checked(docs: DataFrame, key: str = "doc_id", only: tuple[str, ...] | None = None) -> DataFrame:
-    """(key, check, grp, status, score, weight, fatal), after the override: a fatal failure makes every other check ``na``.
+def checks_of(docs: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` with checks: an array of (check, grp, status, score, weight, fatal), after the override: a fatal failure makes every other check ``na``.
 
     ``only`` names checks; the others are as if they weren't there, but for the one that can be fatal. The evidence is computed once.
     """
@@ -119,9 +120,36 @@ def checked(docs: DataFrame, key: str = "doc_id", only: tuple[str, ...] | None =
         fatal = F.exists(rows, lambda x: x["fatal"])
         return F.transform(rows, lambda x: F.struct(x["check"].alias("check"), x["grp"].alias("grp"), F.when(fatal & ~x["fatal"], "na").otherwise(x["status"]).alias("status"), rounded(F.when(~fatal, x["score"]), 4).alias("score"), x["weight"].alias("weight"), x["fatal"].alias("fatal")))
 
-    once = F.get(F.transform(F.transform(F.array(evidence), all_of), override), 0)
-    out = known.select(key, F.inline(once))
-    return out if only is None or "text_layer" in only else out.where("check <> 'text_layer'")
+    once = let(let(evidence, all_of), override)
+    return known.withColumn("checks", once if only is None or "text_layer" in only else F.filter(once, lambda x: x["check"] != "text_layer"))
+
+
+def checked(docs: DataFrame, key: str = "doc_id", only: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, check, grp, status, score, weight, fatal): ``checks_of`` as rows."""
+    return checks_of(docs, only).select(key, F.inline("checks"))
+
+
+EXACT = 10_000  # scores and weights have four decimals at most, so their sums are exact as whole numbers
+
+
+def total(checks: Column) -> Column:
+    """The score of an array of checks: weighted means within groups, then over the groups that have one, one decimal each. A fold over the row's own array, no shuffle."""
+    whole = lambda c: F.round(c * EXACT).cast("long")
+    add = lambda of: lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda n, x: n + of(x))
+    weights, weighted = add(lambda x: whole(x["weight"])), add(lambda x: whole(x["score"]) * whole(x["weight"]))
+
+    def mean(rows: Column) -> Column:
+        return F.try_divide(weighted(rows) / float(EXACT * EXACT), weights(rows) / float(EXACT))
+
+    def of(live: Column) -> Column:
+        def group(name: str, weight: float) -> Column:
+            scored = lambda rows: F.struct(rounded(100 * mean(rows), 1).alias("score"), F.lit(weight).alias("weight"))
+            return let(F.filter(live, lambda x: x["grp"] == name), scored)
+
+        groups = F.filter(F.array(*[group(name, weight) for name, weight in GROUPS.items()]), lambda g: g["score"].isNotNull())
+        return let(groups, lambda rows: F.coalesce(rounded(mean(rows), 1), F.lit(0.0)))
+
+    return let(F.filter(checks, lambda x: x["score"].isNotNull()), of)
 
 
 def group_weight(g: Column) -> Column:

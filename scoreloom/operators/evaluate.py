@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.numbers import rounded
-from scoreloom.plans.scratch import saved
+from scoreloom.plans.scratch import broadcast_if_small, saved
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, values: list[str], tolerance: float = 2.0, flags: list[str] | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def accuracy(labels: DataFrame, features: DataFrame, kinds: DataFrame, group: st
     value = F.struct("num", "bool", "items")
     e = labels.select("doc_id", group, "feature", value.alias("e"))
     g = features.select("doc_id", "feature", value.alias("g"))
-    every = e.join(g, ["doc_id", "feature"], "full_outer").join(F.broadcast(kinds), "feature")  # kinds: the fixed vocabulary
+    every = e.join(g, ["doc_id", "feature"], "full_outer").join(broadcast_if_small(kinds), "feature")
     default = F.struct(F.when(F.col("kind") == "int", 0.0).alias("num"), F.when(F.col("kind") == "bool", F.lit(False)).alias("bool"), F.lit(None).cast("array<string>").alias("items"))
     blank = F.struct(F.lit(None).cast("double").alias("num"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("array<string>").alias("items"))
     expected = F.coalesce("e", default if counts_default_zero else blank)
@@ -63,6 +63,14 @@ def outside_bands(cases: DataFrame, keys: list[str], tier: str, value: str, band
     return cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("cases"), F.count_if(out).alias("outside"))
 
 
+def spread(cases: DataFrame, tier: str, value: str, best: str, worst: str, band: float = 5.0) -> DataFrame:
+    """(lowest, highest, range, bands, gap): how much of the scale is used: distinct bands of ``band`` points, and the gap between the worst of the best tier and the best of the worst."""
+    v = F.col(value).cast("double")
+    of = lambda name, f: f(F.when(F.col(tier) == name, v))
+    t = cases.agg(F.min(v).alias("lowest"), F.max(v).alias("highest"), F.count_distinct(F.bround(v / band, 0)).alias("bands"), (of(best, F.min) - of(worst, F.max)).alias("gap"))
+    return t.select("lowest", "highest", (F.col("highest") - F.col("lowest")).alias("range"), "bands", "gap")
+
+
 def index_quantile(values: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Per group the element of the sorted values at index floor(share * n), which is a value that occurs.
 

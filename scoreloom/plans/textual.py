@@ -130,9 +130,8 @@ ROLL = f"""{EVIDENCE}, g AS (SELECT doc_id, grp, round_even(100 * CAST(sum(CAST(
 
 @query("check_group_rollup", f"WITH {ROLL} SELECT doc_id, coalesce(round_even(CAST(sum(CAST(s AS DECIMAL(18,4)) * CAST(gw AS DECIMAL(18,4))) AS DOUBLE) / CAST(sum(CASE WHEN s IS NOT NULL THEN CAST(gw AS DECIMAL(18,4)) END) AS DOUBLE), 1), 0.0) AS score FROM g GROUP BY 1")
 def check_group_rollup(spark, d):
-    from scoreloom.operators.evaluate import rolled_up
-
-    return rolled_up(check_rows(spark, d), "doc_id", "grp", "weight", "score", checks.group_weight(F.col("grp")))
+    e = checks.evidence_of(docs(spark, d)).withColumn("size_bytes", F.col("n_chars"))
+    return checks.checks_of(e, only=SHOWN).select("doc_id", checks.total(F.col("checks")).alias("score"))
 
 
 def file_evidence(spark, d):
