@@ -16,10 +16,15 @@ def form_of(name: str) -> str:
     return " ".join(re.findall(TOKEN, name.lower()))
 
 
+def signs_of(name: str) -> str:
+    """What stands between the words of a name besides blanks and hyphens."""
+    return re.sub(rf"{TOKEN}|[\s-]", "", name)
+
+
 def lexicon(spark: SparkSession, skills: dict[str, list[str]] | None = None, others: dict[str, list[str]] | None = None, exact_case: list[str] | None = None, list_only: list[str] | None = None) -> DataFrame:
     """(form, skill, category, name, order, exact_case, list_only); a form that two skills share is an error.
 
-    A name in ``exact_case`` counts only as it is written, one in ``list_only`` in a list as well. A name that begins with a full stop
+    Names that differ in what stands between their words, like a slash, are rows of their own. A name in ``exact_case`` counts only as it is written, one in ``list_only`` in a list as well. A name that begins with a full stop
     counts in its own case, as the stop isn't part of a token.
     """
     own = skills is None
@@ -31,7 +36,7 @@ def lexicon(spark: SparkSession, skills: dict[str, list[str]] | None = None, oth
             for name in [skill, *others.get(skill, [])]:
                 form, written = form_of(name), name.lstrip(".")
                 strict = name in exact or name in listed or written != name
-                key = (form, written if strict else "")
+                key = (form, written if strict else signs_of(written))
                 if rows.setdefault(key, (form, skill, category, written, len(rows), name in exact or written != name, name in listed))[1] != skill:
                     raise ValueError(f"{name!r} names both {rows[key][1]} and {skill}")
     return spark.createDataFrame(list(rows.values()), "form string, skill string, category string, name string, `order` int, exact_case boolean, list_only boolean")
