@@ -8,7 +8,7 @@ pixels, where a later or more specific one of them, or the element's own style,
 visibility is seen. The renderer emits
 all visible text: white space collapsed outside ``pre``, blocks on lines of their own with a blank line around
 paragraphs, headings, lists and tables, list items with their marker and indent, and table cells with the lines of their blocks, padded to their
-column's width. Elements nested deeper than ``DEPTH`` are attached at that depth, as browsers do, so no page exhausts the stack.
+column's width, cells that span rows or columns holding theirs. Of a closed details element only the summary is visible. Elements nested deeper than ``DEPTH`` are attached at that depth, as browsers do, so no page exhausts the stack.
 
 A null or empty page gives an empty text; any other string gives what it says, well-formed or not. The time for a page grows with its length,
 however long and deep it is, and memory is that of one page. All other columns of a row stay, but for the one that takes the text;
@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from scoreloom.llm.common import table
 
 DEPTH = 200
+MOST_COLUMNS, MOST_ROWS = 1000, 65534  # that a cell spans, by the standard
+MOST_PADDING = 50  # blanks for each character of a table's text
 SCREEN = (1280, 800)
 # Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +40,7 @@ HEAD = set("title meta link base basefont bgsound style script noscript noframes
 UNSEEN = set("head script style template noscript title meta link datalist object audio video canvas iframe map defs desc symbol metadata".split())
 BLOCK = set("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr caption thead tbody tfoot".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
+CONTROLS = {"option", "button", "textarea", "select", "output", "meter", "progress"}
 CLOSES_P = BLOCK - {"tr", "caption", "thead", "tbody", "tfoot", "li", "dd", "dt", "body", "html", "legend"}
 #: Tag that begins: open tags that it ends, and where the search for them stops.
 IMPLIED = {
@@ -257,6 +260,26 @@ def hiding(css: list[str]) -> dict[tuple[str, str], dict[str, tuple[bool, int, b
     return found
 
 
+def numeral(n: int, kind: str) -> str:
+    """A list item's number as digits, letters or Roman numerals, as far as they go."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n > 0:
+            n, rest = divmod(n - 1, 26)
+            out = chr(ord(kind) + rest) + out
+        return out
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out += sign * (n // value)
+            n %= value
+        return out if kind == "i" else out.upper()
+    return str(n)
+
+
+NOTHING = Node("#nothing", {})
+
+
 class Renderer:
     def __init__(self, hidden: dict[tuple[str, str], dict[str, tuple[bool, int, bool]]]):
         self.hidden, self.lines, self.line, self.gap, self.indent, self.marker = hidden, [], [], False, 0, ""
@@ -311,14 +334,19 @@ class Renderer:
 
     def render(self, n: Node, pre: bool = False, kind: str = "", seen: bool = True, first: int | None = None) -> None:
         """``kind``: the list that ``n`` is; ``seen``: whether it is visible; ``first``: the number of its first item."""
-        number = (1 if first is None else first) - 1
+        step_by = -1 if kind == "ol" and "reversed" in n.attrs else 1
+        if first is None:
+            first = sum(isinstance(k, Node) and k.tag == "li" and self.look(k)[0] for k in n.kids) if step_by < 0 else 1
+        number = first - step_by
+        # Of a closed details element only its first summary is shown.
+        closed = next((k for k in n.kids if isinstance(k, Node) and k.tag == "summary"), NOTHING) if n.tag == "details" and "open" not in n.attrs else None
         for kid in n.kids:
             if isinstance(kid, str):
-                if seen:
+                if seen and not closed:
                     self.text(kid, pre)
                 continue
             displayed, visible = self.look(kid)
-            if not displayed:
+            if not displayed or (closed and kid is not closed):
                 continue
             tag, shown = kid.tag, seen if visible is None else visible
             if tag == "br":
@@ -335,11 +363,11 @@ class Renderer:
                 self.gap |= tag in SPACED and not (tag in ("ul", "ol") and kind)
                 step = 0
                 if tag == "li":
-                    number += 1
+                    number += step_by
                     if kind == "ol":
                         said = whole(kid.attrs.get("value"))
                         number = number if said is None else said
-                    self.marker = "" if not shown else f"{number}. " if kind == "ol" else "- "
+                    self.marker = "" if not shown else f"{numeral(number, kid.attrs.get('type') or n.attrs.get('type') or '1')}. " if kind == "ol" else "- "
                     step = len(self.marker)
                 elif tag in ("dd", "blockquote"):
                     step = 2
@@ -353,13 +381,19 @@ class Renderer:
                 self.indent -= step
                 self.marker = "" if tag == "li" else self.marker
                 self.gap |= tag in SPACED and not (tag in ("ul", "ol") and kind)
-            else:
+            elif tag in CONTROLS:  # a control stands apart from what is around it
+                if self.line and not self.line[-1].endswith(" "):
+                    self.line.append(" ")
                 self.render(kid, pre or tag == "textarea", kind, shown)
+                if self.line and not self.line[-1].endswith(" "):
+                    self.line.append(" ")
+            else:
+                self.render(kid, pre, kind, shown)
 
     def table(self, n: Node, seen: bool) -> None:
         self.flush()
         self.gap = True
-        rows: list[list[tuple[list[str], int]]] = []
+        groups: list[list[list[tuple[list[str], int, int | None]]]] = [[]]  # rows by group, which ends the cells that span rows
 
         def walk(x: Node, seen: bool) -> None:
             cells = []
@@ -376,40 +410,72 @@ class Renderer:
                     own = Renderer(self.hidden)
                     own.render(kid, seen=shown)
                     own.flush()
-                    cells.append((own.lines, min(50, max(1, whole(kid.attrs.get("colspan")) or 1))))
-                elif kid.tag in ("tr", "thead", "tbody", "tfoot"):
+                    down = whole(kid.attrs.get("rowspan"))
+                    across = whole(kid.attrs.get("colspan")) or 1
+                    cells.append((own.lines, across if 1 <= across <= MOST_COLUMNS else 1 if across < 1 else MOST_COLUMNS, 1 if down is None or down < 0 else min(down, MOST_ROWS) or None))
+                elif kid.tag == "tr":
+                    walk(kid, shown)
+                elif kid.tag in ("thead", "tbody", "tfoot"):
+                    groups.append([])
                     walk(kid, shown)
+                    groups.append([])
                 else:
                     self.render(_wrap(kid), seen=seen)
                     self.flush()
-            if cells:
-                rows.append(cells)
+            if cells or x.tag == "tr":
+                groups[-1].append(cells)
 
         walk(n, seen)
         self.flush()
-        widths: list[int] = []
+        rows = [row for group in groups for row in placed(group)]
+        widths: dict[int, int] = {}
         for cells in rows:
-            at = 0
-            for lines, span in cells:
-                widths += [0] * (at + span - len(widths))
+            for at, span, lines in cells:
                 if span == 1:
-                    widths[at] = max([widths[at], *map(cell_width, lines)])
-                at += span
+                    widths[at] = max(widths.get(at, 0), *map(cell_width, lines), 0)
+        used = sorted({at for cells in rows for at, _, _ in cells} | set(widths))
+        place, left = {}, 0
+        for at in used:  # columns in which no cell begins take no room
+            place[at] = left
+            left += widths.get(at, 0) + 2
+        # Padding that would outgrow the text (stairs of cells that span rows) is left out: cells then stand two blanks apart.
+        said = sum(cell_width(x) for cells in rows for _, _, lines in cells for x in lines)
+        padding = sum(place[cells[-1][0]] * max(len(lines) for _, _, lines in cells) for cells in rows if cells)
+        if padding > MOST_PADDING * (said + 1000):
+            place = dict.fromkeys(place, 0)
         for cells in rows:
-            high = max(len(lines) for lines, _ in cells)
-            for k in range(high):
-                at, parts = 0, []
-                for lines, span in cells:
+            for k in range(max((len(lines) for _, _, lines in cells), default=0)):
+                line, full = "", 0
+                for at, _, lines in cells:
                     text = lines[k] if k < len(lines) else ""
-                    room = sum(widths[at : at + span]) + 2 * (span - 1)
-                    parts.append(text + " " * (room - cell_width(text)))
-                    at += span
-                line = "  ".join(parts).rstrip(" ")
-                if line or high > 1:
+                    if text:
+                        gap = max(place[at] - full, 2 if full else 0)
+                        line, full = line + " " * gap + text, full + gap + cell_width(text)
+                if line or len(cells) and max(len(lines) for _, _, lines in cells) > 1:
                     self.put(line)
         self.gap = True
 
 
+def placed(group: list[list[tuple[list[str], int, int | None]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Rows of (column, columns spanned, lines): every cell in the first free column, a cell that spans rows keeping its columns below, to the end of the group at most,
+    unless it begins beyond ``MOST_COLUMNS``."""
+    out, held = [], []  # held: (first column, columns, rows still to come) of cells that span rows, by column
+    for k, cells in enumerate(group):
+        row, at, busy = [], 0, sorted(held)
+        n, fresh = 0, []
+        for lines, span, down in cells:
+            while n < len(busy) and busy[n][0] <= at:
+                at = max(at, busy[n][0] + busy[n][1])
+                n += 1
+            row.append((at, span, lines))
+            if (down is None or down > 1) and at < MOST_COLUMNS:
+                fresh.append((at, span, len(group) - k - 1 if down is None else down - 1))
+            at += span
+        held = [(c, w, r - 1) for c, w, r in held if r > 1] + fresh
+        out.append(row)
+    return out
+
+
 def _wrap(n: Node) -> Node:
     box = Node("#box", {})
     box.kids.append(n)
@@ -423,11 +489,28 @@ def cell_width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+_RAW = re.compile(r"<(/?)(script|style|textarea|title)\b", re.I)
+
+
+def without_open_comment(html: str) -> str:
+    """A page up to a comment that nothing ends, which takes all that follows; not within script, style and the like, where it is text."""
+    at = html.find("<!--", html.rfind("-->") + 1)
+    if at < 0:
+        return html
+    last = None
+    for m in _RAW.finditer(html, 0, at):
+        if last is None and not m[1]:
+            last = m[2].lower()
+        elif m[1] and last == m[2].lower():
+            last = None
+    return html if last else html[:at]
+
+
 def text_of(html: str | None) -> str:
     if not html:
         return ""
     builder = Builder()
-    builder.feed(html)
+    builder.feed(without_open_comment(html))
     builder.close()
     out = Renderer(hiding(builder.css))
     out.render(builder.root)

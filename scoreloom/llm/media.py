@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -35,9 +35,10 @@ from scoreloom.llm.common import table
 UNKNOWN = "application/octet-stream"
 RATE = 8000
 UNIT = 192
+CARVED_DEPTH = 16  # media of one depth don't overlap, so what is carved of a value is at most so many times its length
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _places(b: bytes, mark: bytes) -> np.ndarray:
     """Where a mark stands; kept, as every hit of a value asks for the same."""
     return np.array([m.start() for m in re.finditer(re.escape(mark), b)], np.int64)
@@ -56,30 +57,48 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
+@lru_cache(maxsize=2)
+def _gif_ends(b: bytes) -> tuple[dict[int, int], dict[int, int]]:
+    """Of places in a value, where a chain of sub-blocks and where a picture's blocks end from there (0: nowhere). Filled as hits ask; walks that meet share
+    what is known, so all hits together read each place once."""
+    return {}, {}
+
+
 def _gif(b: bytes, at: int) -> int:
     if at + 13 > len(b):
         return 0
     flags = b[at + 10]
     pos = at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0)
+    chains, ends = _gif_ends(b)
 
     def blocks(p: int) -> int:
-        while p < len(b):
+        walked = []
+        while p < len(b) and p not in chains:
+            walked.append(p)
             if not b[p]:
-                return p + 1
+                chains[p] = p + 1
+                break
             p += 1 + b[p]
-        return len(b) + 1
+        end = chains.get(p, len(b) + 1)
+        chains.update(dict.fromkeys(walked, end))
+        return end
 
-    while pos < len(b):
+    walked, end = [], 0
+    while pos < len(b) and pos not in ends:
+        walked.append(pos)
         if b[pos] == 0x3B:
-            return pos + 1 - at
+            end = pos + 1
+            break
         if b[pos] == 0x21:
             pos = blocks(pos + 2)
         elif b[pos] == 0x2C and pos + 10 < len(b):
             local = b[pos + 9]
             pos = blocks(pos + 11 + (3 << (local & 7) + 1 if local & 128 else 0))
         else:
-            return 0
-    return 0
+            break
+    end = ends.get(pos, end)
+    ends.update(dict.fromkeys(walked, end))
+    return end - at if end else 0
 
 
 def _jpeg(b: bytes, at: int) -> int:
@@ -146,22 +165,58 @@ def _trailers(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return end, ref, number, tables
 
 
+@lru_cache(maxsize=2)
+def _last_trailers(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """End, place and number of the last trailer of each number, the last first."""
+    end, ref, number, _ = _trailers(b)
+    _, last = np.unique(number[::-1], return_index=True)
+    keep = np.sort(len(number) - 1 - last)[::-1]
+    keep = keep[number[keep] > 0]
+    return end[keep], ref[keep], number[keep]
+
+
+CHUNK = 512
+
+
+@lru_cache(maxsize=2)
+def _surplus(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of every end of a PDF how many more PDFs begin than end before it, and the least of each ``CHUNK`` of them."""
+    ends, inner = _places(b, b"%%EOF"), _places(b, b"%PDF-")
+    more = np.searchsorted(inner, ends) - np.arange(len(ends))
+    return more, np.minimum.reduceat(more, np.arange(0, len(more), CHUNK)) if len(more) else more
+
+
+def _first_at_most(b: bytes, start: int, most: int) -> int:
+    """The first end from ``start`` on with a surplus of at most ``most``; ``start`` if there is none."""
+    more, least = _surplus(b)
+    part = (start // CHUNK + 1) * CHUNK
+    near = np.flatnonzero(more[start:part] <= most)
+    if len(near):
+        return start + int(near[0])
+    far = np.flatnonzero(least[part // CHUNK :] <= most)
+    if not len(far):
+        return start
+    part += int(far[0]) * CHUNK
+    return part + int(np.flatnonzero(more[part : part + CHUNK] <= most)[0])
+
+
 def _pdf(b: bytes, at: int) -> int:
     if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
         return 0
     # Its own trailers are those whose startxref leads to a cross-reference table or stream, counted from its own beginning.
-    end, ref, number, tables = _trailers(b)
+    tables = _trailers(b)[3]
+    end, ref, number = _last_trailers(b)
     to = at + number
-    own = end[(ref >= at) & (number > 0) & (to < ref) & tables[np.minimum(to, len(b))]]
+    own = np.flatnonzero((ref >= at) & (to < ref) & tables[np.minimum(to, len(b))])
     if len(own):
-        return int(own[-1]) + 5 - at
+        return int(end[own[0]]) + 5 - at
     # Where no offset holds: the first end that isn't that of a PDF within.
-    ref, ends, inner = b.find(b"startxref", at), _places(b, b"%%EOF"), _places(b, b"%PDF-")
-    ends = ends[bisect_left(ends, ref) :] if ref >= 0 else ends[:0]
-    if not len(ends):
+    refs, ends, inner = _places(b, b"startxref"), _places(b, b"%%EOF"), _places(b, b"%PDF-")
+    k = bisect_left(refs, at)
+    first = bisect_left(ends, refs[k]) if k < len(refs) else len(ends)
+    if first == len(ends):
         return 0
-    balanced = np.searchsorted(inner, ends) - bisect_left(inner, at + 1) <= np.arange(len(ends))
-    return int(ends[balanced.argmax()]) + 5 - at
+    return int(ends[_first_at_most(b, first, bisect_left(inner, at + 1) - first)]) + 5 - at
 
 
 @lru_cache(maxsize=2)
@@ -246,7 +301,7 @@ def automaton():
 
 
 def sniff(found, value: bytes) -> list[tuple[int, int, str, int]]:
-    """Offset, length, type and depth (how many others it begins in) of every confirmed medium, in order of offset."""
+    """Offset, length, type and depth (how many others it begins in) of every confirmed medium, in order of offset. Of those of one type with one end only the first counts."""
     hits: list[tuple[int, int, str]] = []
     pages: set[int] = set()
     for last, magic in found.iter(value.decode("latin-1")):
@@ -259,21 +314,25 @@ def sniff(found, value: bytes) -> list[tuple[int, int, str, int]]:
                 if kind == "audio/ogg":
                     pages.update(p for p, _ in _pages(value, at))
                 break
-    out, ends = [], []
+    out, ends, seen = [], [], set()
     for at, n, kind in sorted(hits, key=lambda h: (h[0], -h[1])):
-        ends = [e for e in ends if e > at]
+        if (kind, at + n) in seen:
+            continue  # the tail of a medium that began before
+        seen.add((kind, at + n))
+        while ends and ends[-1] <= at:
+            ends.pop()
         out.append((at, n, kind, len(ends)))
-        ends.append(at + n)
+        insort(ends, at + n, key=lambda e: -e)  # the next to end stands last
     return out
 
 
 def looked(found, value: bytes | None) -> tuple[str | None, list[dict] | None]:
-    """Type of a value and what is embedded in it."""
+    """Type of a value and what is embedded in it. Media deeper than ``CARVED_DEPTH`` others have no bytes of their own, as those are within theirs."""
     if value is None:
         return None, None
     hits = sniff(found, value)
     top = hits[0] if hits and hits[0][:2] == (0, len(value)) else None
-    return top[2] if top else UNKNOWN, [{"offset": o, "length": n, "kind": k, "bytes": value[o : o + n], "depth": d} for o, n, k, d in hits if (o, n, k, d) != top]
+    return top[2] if top else UNKNOWN, [{"offset": o, "length": n, "kind": k, "bytes": value[o : o + n] if d < CARVED_DEPTH else None, "depth": d} for o, n, k, d in hits if (o, n, k, d) != top]
 
 
 EMBEDDED = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("bytes", T.BinaryType()), T.StructField("depth", T.IntegerType())]))
@@ -398,7 +457,7 @@ def read_back(media: DataFrame, content: str = "content") -> DataFrame:
     schema = T.StructType([*keep.schema.fields, *more])
 
     def samples(value: bytes, kind: str | None, inside: list[dict] | None) -> bytes | None:
-        parts = [(value, kind), *((x["bytes"], x["kind"]) for x in inside or ())]
+        parts = [(value, kind), *((x["bytes"], x["kind"]) for x in inside or () if x["bytes"] is not None)]
         return next((got for part, own in parts if own and (got := samples_of(part, own)) is not None), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

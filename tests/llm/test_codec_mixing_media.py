@@ -190,3 +190,40 @@ def test_media_digests(spark, sf):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:]) and r.payload_bytes == len(payload)
         form = media.FORMS[zlib.crc32(payload) % 4]
         assert r.media_sha256 == hashlib.sha256(form[1](payload)).hexdigest() and r.media_bytes == len(form[1](payload)) and r.feature.startswith(form[0] + ";") and r.feature.endswith(f"mean={np.frombuffer(payload, np.uint8).mean():.3f}")
+
+
+def full_of_gifs(n):
+    return b"GIF89a" + bytes(7) + b"".join(b"\x21\xff\x0bGIF89a\x01\x02\x03\x04\x05\x00" for _ in range(n)) + b";"
+
+
+@pytest.mark.parametrize("value", [full_of_gifs, lambda n: b"%PDF-1.4\nx\n%%EOF\n" * n, lambda n: b"%PDF-1.4\nstartxref\n0\n%%EOF\n" * n, lambda n: b"%PDF-1.4\nxref\nstartxref\n9\n%%EOF\n" * n, lambda n: b"%PDF-1.4\n" * n + b"startxref\n%%EOF\n" * n])
+def test_media_time_grows_with_the_value(value):
+    import time
+
+    found = media.automaton()
+
+    def seconds(n):
+        best = 1e9
+        for k in range(3):
+            v = value(n) + bytes([k])  # nothing is known of it before
+            began = time.perf_counter()
+            media.looked(found, v)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    seconds(100)
+    assert seconds(40_000) < 2.5 * seconds(20_000) + 0.3
+    assert seconds(20_000) < 1.5
+
+
+def test_media_of_nested_gifs_and_pdfs():
+    found = media.automaton()
+    gif = full_of_gifs(3)
+    assert media.sniff(found, gif) == [(0, len(gif), "image/gif", 0)]
+    one, two = b"%PDF-1.4\nxref\nstartxref\n9\n%%EOF", b"%PDF-1.7\nstartxref\n99\n%%EOF"
+    assert [x[:3] for x in media.sniff(found, two + b"--" + two)] == [(0, len(two), "application/pdf"), (len(two) + 2, len(two), "application/pdf")]
+    inner = b"%PDF-1.7\n" + two + b"\nstartxref\n77\n%%EOF"
+    assert [x for x in media.sniff(found, inner)] == [(0, len(inner), "application/pdf", 0), (9, len(two), "application/pdf", 1)]
+    assert media.sniff(found, one)[0][:2] == (0, len(one))
+    deep = media.looked(found, b"%PDF-1.4\n" * 40 + b"startxref\n%%EOF\n" * 40)[1]
+    assert [x["depth"] for x in deep] == list(range(40)) and [x["bytes"] is None for x in deep] == [d >= media.CARVED_DEPTH for d in range(40)]

@@ -1,7 +1,9 @@
 import collections
+import random
 import re
 
 import numpy as np
+import pytest
 
 from scoreloom.llm import chat, html_text, surrogates, toxicity
 from tests import parity
@@ -237,3 +239,68 @@ def test_surrogates_over_a_table(spark, sf):
         assert after[k].n_entities > 0 or after[k].text == text
         rest = [w for w in text.split() if w.isalpha() and w.islower()]
         assert sum((collections.Counter(rest) - collections.Counter(after[k].text.split())).values()) <= 3 * after[k].n_entities
+
+
+def grid(group):
+    """Where cells stand, by the standard's own way: a map of taken slots, filled one by one."""
+    taken, out = set(), []
+    for y, cells in enumerate(group):
+        row, x = [], 0
+        for text, across, down in cells:
+            while (x, y) in taken:
+                x += 1
+            row.append((x, text))
+            high = len(group) - y if down == 0 else min(down, len(group) - y)
+            taken |= {(x + i, y + j) for i in range(across) for j in range(high)}
+            x += across
+        out.append(row)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_html_cells_stand_in_their_grid(seed):
+    rnd = random.Random(seed)
+    group = [[(f"c{y}{x}", rnd.choice([1, 1, 1, 2, 3]), rnd.choice([1, 1, 1, 2, 3, 0])) for x in range(rnd.randint(0, 4))] for y in range(6)]
+    want = grid(group)
+    got = html_text.placed([[([t], a, d or None) for t, a, d in cells] for cells in group])
+    # A cell across columns that are held overlaps them in both; only where cells begin matters.
+    assert [[(x, lines[0]) for x, _, lines in row] for row in got] == want
+    html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}" for t, a, d in cells) for cells in group) + "</table>"
+    text = html_text.text_of(html)
+    lines = [x for x in text.split("\n") if x]
+    assert [x.split() for x in lines] == [[t for _, t in row] for row in want if row]
+    starts = {}
+    for line, row in zip(lines, [r for r in want if r], strict=True):
+        for x, t in row:
+            starts.setdefault(x, set()).add(line.index(t))
+    spans = any(a > 1 for cells in group for _, a, _ in cells)
+    assert spans or all(len(s) == 1 for s in starts.values())  # cells of one column begin in one place
+
+
+def test_html_layout_of_spans_lists_details_and_controls():
+    of = html_text.text_of
+    assert of("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A  B\n   C"
+    assert of("<table><tr><td>a<td>b<td>c<tr><td colspan=80>wide<td>z<tr><td>d<td>e<td>f</table>").split("\n")[0] == "a  b  c"
+    assert of("<table><tr><td colspan=1000>x<td>y</table>") == "x  y"
+    assert of("<details><summary>more</summary>hidden <p>too</details>after") == "more\nafter" and "seen" in of("<details open><summary>s</summary>seen</details>") and of("<details>x</details>y") == "y"
+    assert of("<ol type=a start=26><li>x<li>y</ol>") == "z. x\naa. y" and of("<ol type=I><li value=4>x<li>y</ol>") == "IV. x\nV. y" and of("<ol reversed><li>a<li hidden>n<li>b</ol>") == "2. a\n1. b" and of("<ol type=i start=0><li>x</ol>") == "0. x"
+    assert of("<select><option>a<option>b</select>end") == "a b end" and of("go<button>in</button>out") == "go in out" and of("x<textarea>y</textarea>") == "x y"
+    assert of("a<!-- b <p>c") == "a" and of("a<!-- b -->c<!-- d") == "ac" and "kept" in of("<style><!-- p{display:none}</style><p>gone</p><div>kept")
+
+
+def seconds(f):
+    import time
+
+    best = 1e9
+    for _ in range(3):
+        began = time.perf_counter()
+        f()
+        best = min(best, time.perf_counter() - began)
+    return best
+
+
+@pytest.mark.parametrize("page", [lambda n: "<p>a" + "<!--" * n, lambda n: "<table>" + "<tr><td rowspan=0>x" * (n // 10) + "</table>", lambda n: "<table><tr>" + "<td colspan=1000>x" * n + "</table>", lambda n: "<ol reversed>" + "<li>x" * n + "</ol>", lambda n: "<details><p>" * (n // 4)])
+def test_html_time_grows_with_the_page(page):
+    html_text.text_of(page(100))
+    assert seconds(lambda: html_text.text_of(page(40_000))) < 2.5 * seconds(lambda: html_text.text_of(page(20_000))) + 0.2
+    assert seconds(lambda: html_text.text_of(page(20_000))) < 2
