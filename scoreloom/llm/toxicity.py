@@ -1,8 +1,9 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the distinct hashes (``DIM_BITS`` bits) of its lower-case words, pairs of neighbouring words and
-pairs with one word between them; of a longer word, its first ``STEMS`` characters are unigrams too, so that inflected
-and compound forms share weight (chosen on rows with a remainder of 1, none of which is held out). Learning goes once per epoch over a bounded sample of the labelled rows (the
+pairs with one word between them; of longer words, the first ``STEMS`` characters are unigrams too, so that inflected
+and compound forms share weight, and a stem that ``SEVERAL`` different words of the text have is one more (both chosen on rows with a remainder of 1,
+none of which is held out). Learning goes once per epoch over a bounded sample of the labelled rows (the
 ``SAMPLE`` rows with the smallest hash of doc_id) in one task, with FTRL-proximal's learning rates per coordinate; its
 L1 term leaves few weights that are not zero, and only those go to the tasks that score (at most 2**DIM_BITS pairs).
 Scoring reads every whole text.
@@ -33,10 +34,11 @@ SAMPLE = 8192
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
 STEMS = (4, 5)  # leading characters of a longer word that count as a further unigram
+SEVERAL = 2
 NO_LABELS = -4.0  # the intercept without labelled rows
 _WORDS = re.compile(r"\w+")
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_MIX = np.uint64(0xFF51AFD7ED558CCD)
+_MIX, _MANY = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xD6E8FEB86659FD93)
 
 
 class WordHashes(dict):
@@ -56,7 +58,10 @@ def features(text: str | None, hashes: WordHashes) -> np.ndarray:
         return np.empty(0, np.int32)
     one = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
     grams = [one, (one[:-1] * _PAIR) ^ one[1:], (one[:-2] * _SKIP) ^ (one[2:] + _PAIR)]
-    grams += [np.fromiter((hashes["^" + w[:k]] for w in words if len(w) > k), np.uint64) for k in STEMS]
+    different = set(words)
+    for k in STEMS:
+        stems, times = np.unique(np.fromiter((hashes["^" + w[:k]] for w in different if len(w) > k), np.uint64), return_counts=True)
+        grams += [stems, stems[times >= SEVERAL] * _MANY]
     every = np.concatenate(grams) * _MIX
     return np.unique((every >> np.uint64(64 - DIM_BITS)).astype(np.int32))
 
