@@ -13,7 +13,7 @@ from scoreloom.functions import fixed
 from scoreloom.functions.lookup import let
 from scoreloom.operators import text as tx
 from scoreloom.operators.extract import METRIC
-from scoreloom.operators.generate import LINES_PER_PAGE, compact, joined
+from scoreloom.operators.generate import LINES_PER_PAGE, compact, filename, joined
 from scoreloom.plans.rules import Category
 
 ROLE = "array<struct<title:string,organisation:string,location:string,start:string,end:string,bullets:array<string>>>"
@@ -131,3 +131,12 @@ def layouts(drafts: DataFrame, category: Category, key: str = "doc_id") -> DataF
     height = F.aggregate("sections", F.lit(4), lambda n, s: n + 1 + F.aggregate(s["blocks"], F.lit(0), lambda m, b: m + 1 + F.size(b["bullets"])))
     rows = rows.withColumn("pages", F.greatest(F.lit(1), F.ceil(height / LINES_PER_PAGE).cast("int")))
     return rows.select(key, "sections", "pages", let(F.col("sections"), lambda s: warnings(category, s, F.col("pages"))).alias("warnings"))
+
+
+def to_render(drafts: DataFrame, laid: DataFrame, category: Category, key: str = "doc_id") -> DataFrame:
+    """(name, title, contact, sections) of drafts and their ``layouts``: what ``sources.docx.of_layouts`` writes files from."""
+    c = F.col("contact")
+    line = joined(" | ", *[c[x] for x in ("email", "phone", "location", "linkedin", "github", "portfolio")])
+    name = F.coalesce(F.nullif(F.trim(c["name"]), F.lit("")), F.concat(F.lit("Draft "), F.col(key).cast("string")))
+    rows = complete(drafts).select(key, filename(name, F.lit(category.role), "docx").alias("name"), name.alias("title"), line.alias("contact"))
+    return rows.join(laid.select(key, "sections"), key)

@@ -721,3 +721,22 @@ def vectors_of_distinct_texts(spark, d):
     embed = lambda c: F.array(F.length(c).cast("double"), (F.length(c) - F.length(F.replace(c, F.lit("e"), F.lit("")))).cast("double"))
     t = embedding.distinct_vectors(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text", embed)
     return t.select("conv_id", "turn", F.get("vector", F.lit(0)).alias("chars"), F.get("vector", F.lit(1)).alias("es"))
+
+
+# --- phrases of one given table in the texts of another ---------------------------------------
+
+PHRASE = r"[\p{L}\p{N}+#]+(?:\.[\p{L}\p{N}+#]+)*"
+
+
+@query("phrases_in_documents", f"""WITH f AS (SELECT DISTINCT lower(array_to_string(list_slice(t, 3, 6), ' ')) AS form FROM (SELECT regexp_extract_all(text, '{PHRASE}') AS t FROM benchmark) WHERE len(t) >= 6),
+k AS (SELECT doc_id, line, regexp_extract_all(line, '{PHRASE}') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+w AS (SELECT doc_id, line, lower(array_to_string(list_slice(t, i, i + 3), ' ')) AS form FROM k, unnest(range(1, len(t) - 2)) AS u(i))
+SELECT doc_id, form AS phrase, count(*) AS times FROM w JOIN f USING (form) WHERE contains(lower(line), form) GROUP BY ALL""")
+def phrases_in_documents(spark, d):
+    """Mentions of phrases of four words, one of each benchmark item, in the lines of all documents."""
+    words = F.regexp_extract_all("text", F.lit(match.TOKEN), 0)
+    phrases = table(spark, d, "benchmark").where(F.size(words) >= 6).select(F.lower(F.array_join(F.slice(words, 3, 4), " ")).alias("form")).distinct()
+    no = F.lit(False)
+    lexicon = phrases.select("form", F.col("form").alias("skill"), F.col("form").alias("name"), F.lit(0).alias("order"), no.alias("exact_case"), no.alias("list_only"))
+    found = match.mentions(table(spark, d, "documents").select("doc_id", "text"), lexicon, ["doc_id"])
+    return found.groupBy("doc_id", F.col("skill").alias("phrase")).agg(F.count(F.lit(1)).alias("times"))

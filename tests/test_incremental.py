@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.api import Engine
-from scoreloom.operators import drafts, embedding
+from scoreloom.operators import drafts, embedding, extract, match
 from scoreloom.plans import inputs, rules
-from scoreloom.sources import files, results
+from scoreloom.sources import docx, files, results, sinks
 from scoreloom.streaming import scoring
 
 TEXT = "Some Person\nEducation\nB.Tech, Some College, CGPA: 8.4/10, {0}\nExperience\nIntern, Some Company, May 2025 - Jul 2025\n- Did work\nSkills\nPython, Go, C++\n"
@@ -98,6 +98,29 @@ def test_drafts_with_other_and_missing_fields(spark, engine):
     assert len(own) == len(set(own)) and set(drafts.fixed.DRAFT_ORDER) <= set(own)
 
 
+def test_drafts_as_word_files(spark, engine, tmp_path):
+    """Laid out, written in one batch and read again by the package's own reader."""
+    rows = spark.sql("""SELECT 1 AS doc_id, named_struct('name', 'Asha <Ex> & Co', 'email', 'a@b.c', 'phone', '1') AS contact, 'About é' AS summary, array('Gold medal') AS achievements,
+        array(named_struct('title', 'Tool', 'bullets', array('cut time by 5%', 'x < y'))) AS projects UNION ALL SELECT 2, null, null, null, null""")
+    category = rules.lookup(engine.categories, "tech_internship")
+    files_ = docx.of_layouts(drafts.to_render(rows, engine.layouts(rows, "tech_internship"), category))
+    sinks.write_files(files_, str(tmp_path), "drafts", "files")
+    got = {r.filename: r for r in files.read(spark, str(tmp_path / "drafts")).collect()}
+    assert sorted(got) == ["Asha_Ex_Co_Resume_" + category.role + ".docx", "Draft_2_Resume_" + category.role + ".docx"] and all(r.error is None for r in got.values())
+    assert got[min(got)].text.split("\n") == ["Asha <Ex> & Co", "a@b.c | 1", "SUMMARY", "About é", "PROJECTS", "Tool", "cut time by 5%", "x < y", "ACHIEVEMENTS", "Gold medal"]
+    raw = (tmp_path / "drafts" / min(got)).read_bytes()
+    read = docx.read(raw)
+    assert [(x["style"], x["bold"], x["size"]) for x in read["lines"]][2:4] == [("Heading1", True, 12.0), ("", False, 10.5)] and read["table_count"] == 0
+    assert docx.rendered("a\x00b", "", []) == docx.rendered("ab", "", [])
+
+
+def test_skills_of_all_categories(spark, engine):
+    docs = spark.createDataFrame([(1, "Docker and Python, Excel\nJava, Python"), (2, "nothing")], "doc_id long, text string")
+    found = match.mentions(docs, engine.lexicon.drop("category"), ["doc_id"])
+    got = {r.category: r.skills for r in extract.skills_by_category(found, engine.lexicon).collect()}
+    assert got == {"languages": ["Python", "Java"], "cloud_devops": ["Docker"], "office": ["Excel"]}
+
+
 def test_results_as_json_and_in_a_database(spark, tmp_path):
     df = spark.createDataFrame([(1, [1, 2], 0.5), (2, None, None)], "doc_id long, items array<long>, score double")
     results.write_json(df, str(tmp_path / "json"))
