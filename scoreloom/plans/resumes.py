@@ -740,3 +740,20 @@ def phrases_in_documents(spark, d):
     lexicon = phrases.select("form", F.col("form").alias("skill"), F.col("form").alias("name"), F.lit(0).alias("order"), no.alias("exact_case"), no.alias("list_only"))
     found = match.mentions(table(spark, d, "documents").select("doc_id", "text"), lexicon, ["doc_id"])
     return found.groupBy("doc_id", F.col("skill").alias("phrase")).agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("conversation_sections", """WITH t AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS no, text FROM conversations WHERE role IS NOT NULL),
+l AS (SELECT conv_id, no, role, pos, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS line FROM (SELECT conv_id, no, role, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t)),
+g AS (SELECT conv_id, no, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY pos)) AS said FROM l WHERE line <> '' GROUP BY 1, 2)
+SELECT t.conv_id, t.no AS section, t.role AS key, upper(t.role) AS heading, coalesce(n, 0) AS lines, coalesce(said, md5('')) AS said FROM t LEFT JOIN g USING (conv_id, no)""")
+def conversation_sections(spark, d):
+    """Whole conversations as documents, the speakers' names in capitals as headings: sections must be the turns, and every other line of the given texts must not be a heading."""
+    turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    t = table(spark, d, "conversations").where("role is not null").withColumn("no", turn)
+    said = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), tx.normal), lambda x: x != "")
+    rows = t.select("conv_id", "no", F.posexplode(F.concat(F.array(F.upper("role")), said)).alias("at", "text"))
+    rows = rows.select(F.col("conv_id").alias("doc_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("no", "at")).alias("line_no"), "text", F.lit(None).cast("double").alias("size"), F.lit(False).alias("bold"), F.lit("").alias("style"))
+    s = segment.sections(rows, {"user": "user", "assistant": "assistant", "system": "system", "tool": "tool"})
+    text = F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("line_no", "text")))), lambda x: x["text"])
+    g = s.groupBy("doc_id", "section_no").agg(F.first("section_key").alias("key"), F.first("heading").alias("heading"), F.count_if(~F.col("is_heading")).alias("lines"), F.md5(F.array_join(text, "\n").cast("binary")).alias("said"))
+    return g.select(F.col("doc_id").alias("conv_id"), F.col("section_no").cast("long").alias("section"), "key", "heading", "lines", "said")

@@ -68,3 +68,25 @@ def test_suggested_names_are_the_closest_matches(spark):
             assert r.key == (segment.NAMES[close[0]] if close else None), r.t
             n += 1
     assert n > 60
+
+
+def test_mentions_are_the_same_whether_the_lexicon_is_small_or_not(spark, sf):
+    """In given texts, with phrases that overlap, against a search by regular expressions for the longest first."""
+    import re
+
+    from scoreloom.functions import lexicons
+    from scoreloom.operators import match
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select("doc_id", "text").limit(60)
+    names = {"one": ["the", "of the", "in"], "two": ["and the", "is", "C++"], "three": ["on/of"]}
+    lexicon = spark.createDataFrame(
+        [(lexicons.form_of(n), s, n, k, False, False) for k, (s, n) in enumerate((s, n) for s, own in names.items() for n in own)], "form string, skill string, name string, `order` int, exact_case boolean, list_only boolean"
+    )
+    extra = spark.createDataFrame([(-1, "the C++, of the on/of on of\nin of, the"), (-2, None), (-3, "")], "doc_id long, text string")
+    texts = docs.unionByName(extra)
+    both = [sorted(map(tuple, match.mentions(texts, lexicon, ["doc_id"], small=n).collect())) for n in (5000, 0)]
+    assert both[0] == both[1] and len(both[0]) > 200
+    every = sorted([n for own in names.values() for n in own], key=lambda n: -len(n))
+    pattern = re.compile("|".join(rf"(?<![^\W_+#])(?<![+#.]){re.escape(n)}(?![\w+#]|\.\w)" for n in every), re.I)
+    got = sorted((line, start, surface) for d, line, _, surface, start, _ in both[0] if d == -1)
+    assert got == [(k, m.start(), m[0]) for k, x in enumerate(extra.first().text.split("\n")) for m in pattern.finditer(x)]
