@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import dates, fixed, lexicons
+from scoreloom.functions.numbers import rounded
 from scoreloom.operators import drafts, embedding, evaluate, extract, generate, layout, match, reading, report, segment
 from scoreloom.operators import text as tx
 from scoreloom.plans import business, inputs, rules
@@ -757,3 +758,27 @@ def conversation_sections(spark, d):
     text = F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("line_no", "text")))), lambda x: x["text"])
     g = s.groupBy("doc_id", "section_no").agg(F.first("section_key").alias("key"), F.first("heading").alias("heading"), F.count_if(~F.col("is_heading")).alias("lines"), F.md5(F.array_join(text, "\n").cast("binary")).alias("said"))
     return g.select(F.col("doc_id").alias("conv_id"), F.col("section_no").cast("long").alias("section"), "key", "heading", "lines", "said")
+
+
+@query("entry_durations", """WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderdate AS a, min(l_shipdate) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT o_orderkey, CASE WHEN k = 0 THEN 'Order ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || ', ' || strftime(a, '%b %Y') || ' - ' || strftime(b, '%b %Y') ELSE 'Order ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') END AS header, 2 AS lines,
+  CASE WHEN k < 3 THEN CASE WHEN (year(b) - year(a)) * 12 + month(b) - month(a) + 1 > 0 THEN CAST((year(b) - year(a)) * 12 + month(b) - month(a) + 1 AS DOUBLE) END END AS months FROM o""")
+def entry_durations(spark, d):
+    """Orders as entries whose period stands in the header, in the first or second line below it, or nowhere."""
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("b"))
+    o = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    k, on = F.col("o_orderkey") % 4, lambda c: F.date_format(c, "MMM yyyy")
+    name = F.concat(F.lit("Order "), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))  # a number that is no year
+    below = lambda at: F.when(k == at, F.concat(F.lit("- from "), on("o_orderdate"), F.lit(" to "), on("b"))).otherwise(F.lit("- looked after it"))
+    text = F.array(F.when(k == 0, F.concat(name, F.lit(", "), on("o_orderdate"), F.lit(" - "), on("b"))).otherwise(name), below(1), below(2))
+    rows = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("section_no"), F.posexplode(text).alias("line_no", "text"), F.lit(False).alias("bold"), F.lit("").alias("style"))
+    e = segment.entries(rows, TODAY)
+    return e.select(F.col("doc_id").alias("o_orderkey"), "header", F.size("body").alias("lines"), "months")
+
+
+@query("scale_spread", """WITH c AS (SELECT c_mktsegment AS tier, round_even((c_acctbal + 999) / 110, 1) AS score FROM customer)
+SELECT min(score) AS lowest, max(score) AS highest, max(score) - min(score) AS range, count(DISTINCT round_even(score / 5, 0)) AS bands, min(score) FILTER (tier = 'BUILDING') - max(score) FILTER (tier = 'MACHINERY') AS gap FROM c""")
+def scale_spread(spark, d):
+    """How much of a scale customers' balances use, and how far two segments are apart."""
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("tier"), rounded((F.col("c_acctbal") + 999) / 110, 1).alias("score"))
+    return evaluate.spread(c, "tier", "score", "BUILDING", "MACHINERY")

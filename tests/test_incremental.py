@@ -132,3 +132,20 @@ def test_results_as_json_and_in_a_database(spark, tmp_path):
         pytest.skip(f"no such driver here: {type(e).__name__}")
     back = spark.read.jdbc(url, "scores", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"}).collect()
     assert {r[0]: r[1] for r in back} == {1: "[1,2]", 2: None}
+
+
+def test_what_plans_keep_goes_with_the_engine(spark, tmp_path):
+    from scoreloom.plans import scratch
+
+    docs = spark.createDataFrame([(1, TEXT.format(2024))], "doc_id long, text string")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    held = lambda: {x for x in os.listdir(folder) if x.endswith(".parquet")}
+    before = held()
+    with Engine(spark) as own:
+        assert own.analyze(docs, "tech_internship").count() == 1 and len(held()) > len(before)
+    assert held() == before
+    kept = scratch.saved(spark.range(3))
+    with scratch.scope():
+        inner = scratch.saved(spark.range(2))
+        assert inner.count() == 2
+    assert kept.count() == 3 and len(held()) == len(before) + 1
