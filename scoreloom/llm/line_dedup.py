@@ -115,7 +115,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     """One row per distinct word set: id in the order of at (its earliest line), n, sketch and prefix with one word more."""
     classes = _class_table(docs)
     lines = docs.where(F.length("text") > 0).select("doc_id", _keyed_text().alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    keyed = lines.withColumn("keys", F.sort_array(F.transform(words_of(F.col("line")), lambda w: _key(w, classes)))).where(F.size("keys") >= LEAST)
+    # Blank lines go before there are keys: a filter on keys would be pushed below them, and all words hashed and sorted twice.
+    keyed = lines.where(~is_blank(F.col("line"))).withColumn("keys", F.sort_array(F.transform(words_of(F.col("line")), lambda w: _key(w, classes))))
     n = F.size("keys")
     keyed = keyed.select(
         F.xxhash64("keys").alias("i"), F.xxhash64(F.lit(1), "keys").alias("j"),
