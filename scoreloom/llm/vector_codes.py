@@ -20,8 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.llm.common import finite, floored, scratch, squared_distances, table, written
 
@@ -38,17 +40,45 @@ def numbered(vectors: DataFrame, column: str = "embedding", scale: int = SCALE)
 
 
 def parts_of(rows: DataFrame, width: int) -> DataFrame:
-    """One row per vector and position: the row's other columns, pos, part."""
-    zeros = F.array_repeat(F.lit(0).cast("long"), F.lit(width * PARTS) - F.size("v"))
-    full = F.when(F.size("v") < width * PARTS, F.concat("v", zeros)).otherwise(F.col("v"))
-    cut = F.array(*[F.slice("_v", p * width + 1, width) for p in range(PARTS)])
-    return rows.withColumn("_v", full).select(*[c for c in rows.columns if c != "v"], F.posexplode(cut).alias(*KEY))
+    """One row per vector and position: the row's other columns, pos, part. A part is packed into 2 bytes a component if they all fit, else 8, so
+    equal parts have equal bytes and little is shuffled."""
+    others = [c for c in rows.columns if c != "v"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                v, sizes = b.column("v").flatten().to_numpy(zero_copy_only=False), b.column("v").value_lengths().to_numpy(zero_copy_only=False)
+                x = np.zeros((b.num_rows, PARTS * width), np.int64)
+                x[np.arange(PARTS * width) < sizes[:, None]] = v
+                x = x.reshape(-1, width)
+                short = np.abs(x).max(axis=1) < 2**15
+                packed = [r.tobytes() for r in x.astype(np.int16)]
+                for k in np.flatnonzero(~short):
+                    packed[k] = x[k].tobytes()
+                again = pa.array(np.repeat(np.arange(b.num_rows), PARTS))
+                pos = pa.array(np.tile(np.arange(PARTS, dtype=np.int32), b.num_rows))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(again) for c in others), pos, pa.array(packed, pa.binary())], names=[*others, *KEY])
+
+    schema = T.StructType([*[rows.schema[c] for c in others], T.StructField("pos", T.IntegerType()), T.StructField("part", T.BinaryType())])
+    return rows.select(*others, "v").mapInArrow(cut, schema)
+
+
+def _unpacked(parts: pa.Array, width: int) -> np.ndarray:
+    """Packed parts as rows of integers."""
+    size = pa.compute.binary_length(parts).to_numpy(zero_copy_only=False)
+    out = np.empty((len(parts), width), np.int64)
+    for n in (2, 8):
+        at = np.flatnonzero(size == n * width)
+        if len(at):
+            out[at] = np.frombuffer(b"".join(parts.take(pa.array(at)).to_pylist()), f"i{n}").reshape(-1, width)
+    return out
 
 
 def _nearest(b: pa.RecordBatch, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows of (pos, part): positions, parts, nearest entries and squared distances."""
     pos, width = b.column("pos").to_numpy(), books.shape[2]
-    x = b.column("part").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(pos), width)
+    x = _unpacked(b.column("part"), width)
     entry, error = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
     for p in np.unique(pos):
         at = np.flatnonzero(pos == p)
@@ -90,7 +120,7 @@ def coded(distinct: DataFrame, books: np.ndarray) -> DataFrame:
             _, _, entry, error = _nearest(b, books)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*KEY, "n")), pa.array(entry), pa.array(error)], names=[*KEY, "n", "entry", "error"])
 
-    return distinct.mapInArrow(run, "pos int, part array<long>, n long, entry long, error long")
+    return distinct.mapInArrow(run, "pos int, part binary, n long, entry long, error long")
 
 
 def _hex(half: str) -> Column:

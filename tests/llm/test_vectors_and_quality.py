@@ -37,7 +37,7 @@ def test_vector_codes_are_those_of_sql(spark, tmp_path, monkeypatch, hot):
 
 
 def test_vector_codes_of_uneven_short_and_few_vectors(spark, tmp_path):
-    rows = [(3, [0.5, -0.25, 1.0]), (1, [0.1]), (2, []), (2, [0.5] * 11), (None, [0.5] * 11), (9, [1e-9] * 8), (9, [-1e-9] * 8)]
+    rows = [(3, [0.5, -0.25, 1.0]), (1, [0.1]), (2, []), (2, [0.5] * 11), (None, [0.5] * 11), (9, [1e-9] * 8), (9, [-1e-9] * 8), (4, [9.5] * 11), (5, [-9.5, 9.5] * 5)]
     spark.createDataFrame([(*r, None) for r in rows], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = vector_codes.op12_vector_codes(spark, str(tmp_path))
     con = parity.duckdb.connect()
