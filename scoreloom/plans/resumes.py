@@ -11,7 +11,7 @@ from scoreloom.operators import drafts, embedding, evaluate, extract, generate,
 from scoreloom.operators import text as tx
 from scoreloom.plans import business, inputs, rules
 from scoreloom.plans.business import query as _query
-from scoreloom.plans.business import table
+from scoreloom.plans.business import spread, table
 from scoreloom.plans.scratch import saved
 
 Q: dict = {}
@@ -246,7 +246,7 @@ def written(spark: SparkSession, d: str) -> DataFrame:
         F.lit("EXAMS"), say("GATE 2024: score ", k % 600 + 300, ", AIR ", k % 9000 + 10, ", 95.5 percentile"), if_(k % 4 == 0, "Cleared UPSC mains"), if_(k % 5 == 0, "Qualified SSC CGL tier 1"),
         F.lit("PERSONAL DETAILS"), F.lit("Date of birth: 12/05/2001"), F.when(k % 3 == 0, F.lit("No active backlogs")).otherwise(say(k % 3, " backlogs")), if_(k % 2 == 0, "github.com/asha"),
     )
-    return table(spark, d, "customer").select(k.alias("doc_id"), text.alias("text"))
+    return spread(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(k.alias("doc_id"), text.alias("text"))
 
 
 def written_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -90,3 +90,9 @@ def test_mentions_are_the_same_whether_the_lexicon_is_small_or_not(spark, sf):
     pattern = re.compile("|".join(rf"(?<![^\W_+#])(?<![+#.]){re.escape(n)}(?![\w+#]|\.\w)" for n in every), re.I)
     got = sorted((line, start, surface) for d, line, _, surface, start, _ in both[0] if d == -1)
     assert got == [(k, m.start(), m[0]) for k, x in enumerate(extra.first().text.split("\n")) for m in pattern.finditer(x)]
+
+
+def test_phrases_within_a_conditional_build_no_table_per_row(spark):
+    df = spark.createDataFrame([("Education", True)], "t string, c boolean").select(F.when(F.col("c"), segment.heading(F.col("t"))).alias("h"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.first().h.key == "education" and plan.count("named_struct") + plan.count("struct(") < 20 and "INSET" in plan
