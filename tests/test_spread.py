@@ -6,3 +6,10 @@ def test_documents_of_a_file_with_one_row_group_are_written_by_many_tasks(spark,
     docs = resumes.written(spark, sf)
     assert business.table(spark, sf, "customer").rdd.getNumPartitions() == 1
     assert docs.rdd.getNumPartitions() >= 4 and tx.lines(docs).rdd.getNumPartitions() >= 4
+
+
+def test_education_reads_its_blocks_once(spark, sf):
+    from scoreloom.operators import extract
+
+    lines = resumes.written_lines(spark, sf)
+    assert "Union" not in extract.education(lines)._jdf.queryExecution().optimizedPlan().toString()
