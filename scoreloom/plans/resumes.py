@@ -498,7 +498,7 @@ def order_similarity_rotated(spark, d):
     """Texts of which the second begins with word k of the first and ends with what stood before; below 20 words there is no value."""
     k, n = (F.col("p_partkey") % 15).cast("int"), F.when(F.col("p_partkey") % 11 == 0, 19).otherwise(F.col("p_size") + 20).cast("int")
     words = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("word"), i.cast("string")))
-    t = table(spark, d, "part").select("p_partkey", words.alias("w"), k.alias("k"))
+    t = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", words.alias("w"), k.alias("k"))
     t = t.select("p_partkey", F.array_join("w", " ").alias("a"), F.array_join(F.concat(F.slice("w", F.col("k") + 1, F.size("w")), F.slice("w", F.lit(1), F.col("k"))), " ").alias("b"))
     return match.order_similarity(t, "a", "b", most=None).select("p_partkey", "similarity")
 

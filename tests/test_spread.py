@@ -8,6 +8,10 @@ def test_documents_of_a_file_with_one_row_group_are_written_by_many_tasks(spark,
     assert docs.rdd.getNumPartitions() >= 4 and tx.lines(docs).rdd.getNumPartitions() >= 4
 
 
+def test_pairs_made_from_a_file_with_one_row_group_are_compared_by_many_tasks(spark, sf):
+    assert resumes.order_similarity_rotated(spark, sf).rdd.getNumPartitions() >= 4
+
+
 def test_education_reads_its_blocks_once(spark, sf):
     from scoreloom.operators import extract
 
