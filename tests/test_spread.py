@@ -17,3 +17,17 @@ def test_education_reads_its_blocks_once(spark, sf):
 
     lines = resumes.written_lines(spark, sf)
     assert "Union" not in extract.education(lines)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_checks_are_dealt_over_many_tasks(spark, sf):
+    from scoreloom.plans import textual
+
+    checks = textual.checks_all(spark, sf)
+    assert checks.rdd.getNumPartitions() >= 4
+
+
+def test_fixes_sort_once_by_group_and_once_by_points(spark, sf):
+    from scoreloom.plans import textual
+
+    plan = textual.check_fixes(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Sort [") == 2
