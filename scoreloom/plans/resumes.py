@@ -555,7 +555,7 @@ def mention_spans(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY w DESC, f) AS r FROM s) SELECT l_orderkey, CAST(size AS DOUBLE) AS body FROM r WHERE r = 1""")
 def body_sizes(spark, d):
     lines = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("line_no"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("text"),
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("line_no"), F.repeat(F.lit("x"), F.rint("l_quantity").cast("int")).alias("text"),
         F.when(F.col("l_suppkey") % 4 > 0, (9 + F.col("l_suppkey") % 3).cast("double")).alias("size"),
     )
     return segment.body_size(lines).select(F.col("doc_id").alias("l_orderkey"), "body")
