@@ -23,24 +23,25 @@ def longest_clear(rows: DataFrame, keys: list[str], start: str, end: str, low: C
     return t.groupBy(*keys).agg(F.greatest(F.lit(0), F.max("gap"), high - F.max("e")).alias("clear"))
 
 
-def gutters(words: DataFrame, pages: DataFrame, step: float = 2.0, least_words: int = 10, least_clear: float = 0.5, least_cover: float = 0.3, tried: DataFrame | None = None) -> DataFrame:
-    """(page_id, x, clear_share): the best vertical gutter of pages (page_id, width, height) with words (page_id, x0, x1, top, bottom).
+def gutters(words: DataFrame, pages: DataFrame, step: float = 2.0, least_words: int = 10, least_clear: float = 0.5, least_cover: float = 0.3, tried: DataFrame | None = None, page: list[str] | None = None) -> DataFrame:
+    """(page_id, x, clear_share): the best vertical gutter of pages (page_id, width, height) with words (page_id, x0, x1, top, bottom). ``page`` names other columns than page_id.
 
     x is tried every ``step`` from 20 % to 75 % of the width, or at the places ``tried`` (page_id, x); of the places with enough words and coverage on both sides
     the one with the longest run that no word crosses wins.
     """
-    xs = pages.select("page_id", "height", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.col("width") * 0.55 / step).cast("int")), lambda i: F.col("width") * 0.2 + i * step)).alias("x"))
+    page = page or ["page_id"]
+    xs = pages.select(*page, "height", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.col("width") * 0.55 / step).cast("int")), lambda i: F.col("width") * 0.2 + i * step)).alias("x"))
     if tried is not None:
-        xs = pages.select("page_id", "height").join(tried, "page_id")
-    w = words.join(xs, "page_id")
-    sides = w.groupBy("page_id", "x").agg(F.count_if(F.col("x1") <= F.col("x")).alias("left"), F.count_if(F.col("x0") >= F.col("x")).alias("right"), F.first("height").alias("height"))
+        xs = pages.select(*page, "height").join(tried, page)
+    w = words.join(xs, page)
+    sides = w.groupBy(*page, "x").agg(F.count_if(F.col("x1") <= F.col("x")).alias("left"), F.count_if(F.col("x0") >= F.col("x")).alias("right"), F.first("height").alias("height"))
     crossing = w.where((F.col("x0") < F.col("x")) & (F.col("x1") > F.col("x")))
-    ends = pages.select("page_id", F.lit(0.0).alias("top0"), F.col("height").alias("h0"))
-    clear = longest_clear(crossing.join(ends, "page_id"), ["page_id", "x", "h0"], "top", "bottom", F.lit(0.0), F.col("h0")).drop("h0")
-    covers = [union_length(w.where(c), ["page_id", "x"], "top", "bottom").select("page_id", "x", F.col("covered").alias(n)) for c, n in ((F.col("x1") <= F.col("x"), "cl"), (F.col("x0") >= F.col("x"), "cr"))]
-    t = sides.join(clear, ["page_id", "x"], "left")
+    ends = pages.select(*page, F.lit(0.0).alias("top0"), F.col("height").alias("h0"))
+    clear = longest_clear(crossing.join(ends, page), [*page, "x", "h0"], "top", "bottom", F.lit(0.0), F.col("h0")).drop("h0")
+    covers = [union_length(w.where(c), [*page, "x"], "top", "bottom").select(*page, "x", F.col("covered").alias(n)) for c, n in ((F.col("x1") <= F.col("x"), "cl"), (F.col("x0") >= F.col("x"), "cr"))]
+    t = sides.join(clear, [*page, "x"], "left")
     for c in covers:
-        t = t.join(c, ["page_id", "x"], "left")
+        t = t.join(c, [*page, "x"], "left")
     share = F.coalesce("clear", F.col("height")) / F.col("height")
     good = t.where((F.col("left") >= least_words) & (F.col("right") >= least_words) & (share >= least_clear) & (F.col("cl") >= least_cover * F.col("height")) & (F.col("cr") >= least_cover * F.col("height")))
-    return good.groupBy("page_id").agg(F.max_by("x", F.struct(share, (-F.col("x")).alias("n"))).alias("x"), F.max(share).alias("clear_share"))
+    return good.groupBy(*page).agg(F.max_by("x", F.struct(share, (-F.col("x")).alias("n"))).alias("x"), F.max(share).alias("clear_share"))

@@ -47,26 +47,23 @@ def gutter(rows: DataFrame, page: list[str]) -> DataFrame:
     w = Window.partitionBy(*page, "row").orderBy("x0", "x1")
     wide = F.col("x0") - F.lag("x1").over(w)
     size = rows.groupBy(*page).agg(F.max("x1").alias("width"), F.min("top").alias("first"), F.max("bottom").alias("last"))
-    size = size.select(F.struct(*page).alias("page_id"), *page, "width", "first", (F.col("last") - F.col("first")).alias("height"))
+    size = size.select(*page, "width", "first", (F.col("last") - F.col("first")).alias("height"))
     edges = rows.withColumn("_wide", wide).join(size, page).where((F.coalesce("_wide", F.col("x0")) >= GUTTER) & F.col("x0").between(0.2 * F.col("width"), 0.75 * F.col("width")))
-    tried = edges.select("page_id", (F.round("x0") - 2.0).alias("x")).distinct()
-    boxes = rows.join(size.select(*page, "page_id", "first"), page).select("page_id", "x0", "x1", (F.col("top") - F.col("first")).alias("top"), (F.col("bottom") - F.col("first")).alias("bottom"))
-    return intervals.gutters(boxes, size.select("page_id", "width", "height"), tried=tried).select("page_id.*", F.col("x").alias("gutter"), "clear_share")
+    tried = edges.select(*page, (F.round("x0") - 2.0).alias("x")).distinct()
+    boxes = rows.join(size.select(*page, "first"), page).select(*page, "x0", "x1", (F.col("top") - F.col("first")).alias("top"), (F.col("bottom") - F.col("first")).alias("bottom"))
+    return intervals.gutters(boxes, size.select(*page, "width", "height"), tried=tried, page=page).select(*page, F.col("x").alias("gutter"), "clear_share")
 
 
 def structured(words: DataFrame, page: list[str]) -> DataFrame:
     """Words with row, band, col, block and line, each numbered from 0 within what comes before it."""
     rows = page_lines(words, page)
     rows = rows.join(gutter(rows, page).drop("clear_share"), page, "left")
-    x = F.col("gutter")
-    per_row = rows.groupBy(*page, "row").agg(
-        F.max(F.when(F.col("x1") <= x, F.col("x1"))).alias("l"), F.min(F.when(F.col("x0") >= x, F.col("x0"))).alias("r"), F.coalesce(F.bool_or((F.col("x0") < x) & (F.col("x1") > x)), F.lit(False)).alias("crossed"),
-    )
-    full = F.col("crossed") | F.coalesce(F.col("r") - F.col("l") < GUTTER, F.lit(False))
-    down = Window.partitionBy(*page).orderBy("row")
-    per_row = per_row.withColumn("full", full).withColumn("_turn", F.coalesce(F.col("full") != F.lag("full").over(down), F.lit(False)).cast("int"))
-    per_row = per_row.select(*page, "row", "full", F.sum("_turn").over(down).alias("band"))
-    t = rows.drop("gutter").join(per_row, [*page, "row"])
+    x, row, down = F.col("gutter"), Window.partitionBy(*page, "row"), Window.partitionBy(*page).orderBy("row")
+    left, right = F.max(F.when(F.col("x1") <= x, F.col("x1"))).over(row), F.min(F.when(F.col("x0") >= x, F.col("x0"))).over(row)
+    crossed = F.coalesce(F.bool_or((F.col("x0") < x) & (F.col("x1") > x)).over(row), F.lit(False))
+    t = rows.withColumn("full", crossed | F.coalesce(right - left < GUTTER, F.lit(False))).drop("gutter")
+    turn = (F.col("row") != F.lag("row").over(down)) & (F.col("full") != F.lag("full").over(down))  # at a row's first word: all of a row agree
+    t = t.withColumn("_turn", F.coalesce(turn, F.lit(False)).cast("int")).withColumn("band", F.sum("_turn").over(down)).drop("_turn")
     t = islands(t, [*page, "band"], F.col("x0"), F.col("x1"), GUTTER - 1e-6, "col").withColumn("col", F.when(F.col("full"), 0).otherwise(F.col("col")))
     t = islands(t, [*page, "band", "col"], F.col("top"), F.col("bottom"), BLOCK, "block")
     return islands(t, [*page, "band", "col"], middle(), middle(), LINE, "line").drop("full")

@@ -636,7 +636,7 @@ x AS (SELECT l_partkey, md5(string_agg(said, chr(10) ORDER BY band, c, line)) AS
 y AS (SELECT l_partkey, md5(string_agg(said, chr(10) ORDER BY line)) AS naive FROM r GROUP BY 1)
 SELECT l_partkey, naive, read, CAST(columns AS BIGINT) AS columns, blocks FROM x JOIN y USING (l_partkey)""")
 def reading_order(spark, d):
-    t = reading.two_readings(saved(boxes(spark, d)), ["l_partkey"])
+    t = reading.two_readings(saved(boxes(spark, d), ["l_partkey"]), ["l_partkey"])
     return t.select("l_partkey", F.md5(F.col("naive").cast("binary")).alias("naive"), F.md5(F.col("read").cast("binary")).alias("read"), F.col("columns").cast("long").alias("columns"), "blocks")
 
 

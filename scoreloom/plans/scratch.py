@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 _scopes: contextvars.ContextVar[tuple[list[tuple], ...]] = contextvars.ContextVar("saved", default=())
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``df`` as a Parquet table that all executors can read; a local session without a shared folder uses a temporary one.
 
+    With ``by`` its rows stand in buckets of those columns, so whatever groups, joins or windows by them reads it without another shuffle.
     It goes when the innermost ``scope`` ends, or without one when the session's JVM does, as plans are lazy.
     """
     spark = df.sparkSession
@@ -27,13 +28,19 @@ def saved(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="scoreloom-")
     path = f"{folder}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    if by:
+        name = f"saved_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).option("path", path).saveAsTable(name)
+        out = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")  # of the catalogue only: the files are where they were, and go as those of any other
+    else:
+        df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.deleteOnExit(at)
     if _scopes.get():
         _scopes.get()[-1].append((fs, at))
-    return spark.read.schema(df.schema).parquet(path)
+    return out if by else spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
