@@ -4,21 +4,20 @@ A line is the set of its lower-case words. A line goes if an earlier one (by doc
 a Jaccard similarity of ``SIMILAR`` or more with it; equal sets have 1. Every line that isn't blank takes part, whatever its
 length; blank lines always stay. A line without blanks is one word.
 
-1. Words are counted over all lines, in ``CLASSES`` hash buckets. That fixed-size table gives every word a rarity class
-   of 7 bits, the leading bits of a 64-bit key whose rest is the word's hash; sorting a line's keys orders its words from
-   rare to frequent, the same way in every line. Words that share a bucket share a class, which changes only the
-   order's quality, not the result.
-2. Lines of equal sets (128 bits of hash) are one set with its earliest line; copies cost nothing further on. Sets of fewer
-   than ``JOINED`` words are similar to none but their equals, so they need no more; four words and those with one more have 0.8.
-   Sets are numbered in the order of their earliest lines, so the smaller number is the earlier one.
-3. Two sets with similarity t share a word among the first ``n - ceil(t n) + 1`` of each, so these prefixes meet by word. A frequent
-   word (class ``HOT`` or more) doesn't do alone: if it is the first word shared, another one follows among one word more of each, so
-   it is paired with each of its followers there, and no word's list grows with the whole corpus.
-   The sizes may differ by the factor t at most; the positions of a shared word bound the overlap still possible, and a parity
-   sketch of 256 bits bounds the symmetric difference from below. What passes is compared word by word.
-   The words are worked off in ``SLICES`` parts, so that only a part of the prefixes is in a shuffle at a time.
-4. First every word's sets meet only ``LEADERS`` early ones of it, found by map-side minima, and each set is compared with the closest of all
-   these by sketch: nearly all of a group of near copies is decided there, with one comparison a line. Then undecided sets meet all earlier ones.
+1. A word is 57 bits of its hash and 6 bits of its length in bytes. Lines of equal sets (128 bits of hash) are one set with its earliest
+   line; copies cost nothing further on. Sets of fewer than ``JOINED`` words are similar to none but their equals, so they need no more; four
+   words and those with one more have 0.8. Sets are numbered in the order of their earliest lines, so the smaller number is the earlier one.
+2. Two similar sets of n and m words differ in at most d words, a ninth of n + m. The range of hashes is cut into more than d equal parts, four times two to the
+   power of g in the group g: sizes up to ``FEW`` times that. Each word that only one set has spoils one part, so of a set's parts that hold words all but d are the same
+   in both, word for word. Hence both have one of them among their d + 1 strongest (of most letters, which are the rarest), two among one more,
+   and so on: sets meet by the hash of a strong part. A set takes part in the group of its size, and in the one below if it may be similar to a set of that.
+3. Sets of up to ``FEW`` words, those as near to them, and the rare ones whose words fall into too few parts meet by two words instead: they share two of the first
+   ``n - ceil(t n) + 2`` of each by length and hash, three among one more, and so on.
+4. Most of these keys belong to one set only and go at once; of those left, a key of more than ``HOT`` sets doesn't do alone, but together with each
+   part (or word) that follows it in the set, as there is a second (third) one in common. So no list grows with the whole corpus unless its sets share several parts.
+5. The sizes may differ by the factor t at most; a parity sketch of 128 bits bounds the symmetric difference from below. What passes is compared word by word.
+   First each set meets all earlier ones of its keys but for those of more than ``HOT`` sets, of which the ``EARLIEST`` and ``NEAREST`` preceding ones do, and is compared with the ``CLOSEST`` of all these by
+   sketch: nearly all of a group of near copies is decided there. Then undecided sets meet all earlier ones.
 
 Rows equal in doc_id and text are decided alike. A document that loses all its lines goes, one that had no lines to lose (null or empty
 text) stays; n_chars, if there, follows the text. Null doc_ids come last; ties in doc_id and text are repeated rows. Texts of any length
@@ -29,22 +28,23 @@ are set anew. An empty table gives an empty one.
 from __future__ import annotations
 
 import math
-import struct
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions.lookup import let
 from scoreloom.llm.common import discard, lean_shuffles, spare, table, written
 
 SIMILAR = 0.8
 LEAST = 1
 JOINED = math.ceil(SIMILAR / (1 - SIMILAR) - 1e-9)
-CLASSES = 1 << 18
-CHUNK = 1 << 12
-HOT = 31  # the class of about 1,000 occurrences
-LEADERS = 8
-SLICES = 4
+FEW = 9  # words of sets that meet by two words
+HOT = 24  # sets of a key that does alone
+EARLIEST = 8
+NEAREST = 4
+CLOSEST = 4
+LENGTH = 63  # the bits of a word's key that hold its length
 BLANKS = r"[ \t\n\x0B\f\r]+"
 
 
@@ -58,33 +58,25 @@ def is_blank(line: Column) -> Column:
     return ~line.rlike(r"[^ \t\n\x0B\f\r]")
 
 
-def _class_table(docs: DataFrame) -> bytes:
-    """For each hash bucket 1 + three times the logarithm of its words' count, rounded; 256 KB whatever the input's size."""
-    words = docs.select(F.explode(F.split(F.lower("text"), BLANKS)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).cast("int").alias("b")).count()
-    packed = F.col("b") * 128 + F.least(F.lit(127), 1 + F.round(3 * F.log2("count"))).cast("int")
-    chunks = counts.groupBy(F.shiftright("b", int(math.log2(CHUNK)))).agg(F.array_join(F.transform(F.collect_list(packed), lambda x: F.lpad(F.hex(x), 8, "0")), "").alias("hex"))
-    out = bytearray(b"\x01" * CLASSES)
-    for r in chunks.collect():  # CLASSES / CHUNK rows of at most CHUNK numbers
-        for (x,) in struct.iter_unpack(">I", bytes.fromhex(r.hex)):
-            out[x >> 7] = x & 127
-    return bytes(out)
+def _word(w: Column) -> Column:
+    """57 bits of the word's hash, then its length; never negative."""
+    return F.shiftrightunsigned(F.xxhash64(w), 1).bitwiseAND(F.lit(~LENGTH)).bitwiseOR(F.least(F.octet_length(w), F.lit(LENGTH)).cast("long"))
 
 
-def _key(hashed: Column, classes: bytes) -> Column:
-    """Rarity class in bits 56 to 62, the leading 56 bits of the word's hash below."""
-    rarity = F.ascii(F.substring(F.lit(classes), (F.pmod(hashed, F.lit(CLASSES)) + 1).cast("int"), F.lit(1)).cast("string"))
-    return F.shiftleft(rarity.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
+def _keys(line: Column) -> Column:
+    """Sorted keys of the distinct lower-case words of a line."""
+    plain = F.when(line.rlike("[\t\x0B\f\r]"), F.regexp_replace(line, BLANKS, " ")).otherwise(line)
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(F.lower(plain), " "), _word)), _word(F.lit(""))))
 
 
-SKETCH = [f"s{q}" for q in range(4)]
+SKETCH = ["s0", "s1"]
 
 
 def _sketch(keys: Column) -> list[Column]:
-    """Parity of the keys in four times 64 places: each bit that differs between two sets stands for a word that only one of them has."""
-    parity = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    quarter = lambda q: F.filter(keys, lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == q)
-    return [parity(quarter(q)).alias(s) for q, s in enumerate(SKETCH)]
+    """Parity of the keys in two times 64 places: each bit that differs between two sets stands for a word that only one of them has."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 7).bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
+    return [parity(F.filter(keys, lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)) == q)).alias(s) for q, s in enumerate(SKETCH)]
 
 
 def _differing(x, y) -> Column:
@@ -92,54 +84,143 @@ def _differing(x, y) -> Column:
     return reduce(lambda a, b: a + b, [F.bit_count(x(s).bitwiseXOR(y(s))) for s in SKETCH])
 
 
+def _most_different(n: Column, m: Column) -> Column:
+    """Words that only one of two similar sets has, at most; grows with n and m."""
+    return F.floor((n + m) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-9).cast("int")
+
+
 def _least_overlap(n: Column, m: Column) -> Column:
     """ceil(t / (1 + t) * (n + m)) with t = SIMILAR."""
     return F.ceil((n + m) * (SIMILAR / (1 + SIMILAR)) - 1e-9)
 
 
 def _passes(x, y) -> Column:
-    """Length, positional and sketch filters of two entries of one word."""
+    """Length and sketch filters of two sets."""
     need = _least_overlap(x("n"), y("n"))
-    return (
-        (F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * SIMILAR - 1e-9)
-        & (F.least(x("n") - x("pos"), y("n") - y("pos")) >= need)
-        & (_differing(x, y) <= x("n") + y("n") - 2 * need)
-    )
+    return (F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * SIMILAR - 1e-9) & (_differing(x, y) <= x("n") + y("n") - 2 * need)
 
 
 def _keyed_text(text: str = "text") -> Column:
     return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
+def _group(n: Column) -> Column:
+    """The smallest g for which a set of n words has at most ``FEW`` times two to the power of g."""
+    return F.when(n <= FEW, 0).otherwise(F.length(F.bin(F.floor((n - 1) / FEW).cast("long"))))
+
+
+def _largest(g: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(FEW), g)
+
+
+def _smallest_similar(n: Column) -> Column:
+    return F.ceil(n * SIMILAR - 1e-9).cast("int")
+
+
+def _strong(n: Column, below: bool) -> Column:
+    """How many of a set's strongest parts meet others in its own group, or in the one below, where it is the larger one of a pair."""
+    return 1 + (_most_different(n, _largest(_group(n) - 1)) if below else _most_different(n, F.floor(n / SIMILAR + 1e-9)))
+
+
+def _parts(keys: Column, g: Column, most: Column) -> Column:
+    """The strongest of the four times two to the power of g parts of sorted keys, strongest first: letters in the upper bits, then a hash of the words."""
+
+    def of(v: Column) -> Column:
+        keys, g, size = v["keys"], v["g"], F.size(v["keys"])
+        part = lambda x: F.call_function("shiftright", x, 61 - g)  # noqa: E731 - the leading bits of 63
+
+        def marked(run: Column) -> Column:
+            letters = F.aggregate(run, F.lit(0).cast("long"), lambda n, k: n + k.bitwiseAND(F.lit(LENGTH)))
+            return F.shiftleft(F.least(letters, F.lit((1 << 14) - 1)), 49).bitwiseOR(F.shiftrightunsigned(F.xxhash64(run, g), 15))
+
+        def runs(starts: Column) -> Column:
+            return F.transform(starts, lambda s, j: let(F.slice(keys, s + 1, F.coalesce(F.get(starts, j + 1), size) - s), marked))
+
+        later = F.filter(F.sequence(F.lit(1), size - 1), lambda i: part(F.get(keys, i).bitwiseXOR(F.get(keys, i - 1))) != 0)
+        return F.slice(F.sort_array(let(F.concat(F.array(F.lit(0)), later), runs), False), F.lit(1), v["most"])
+
+    return let(F.struct(F.transform(keys, lambda k: k).alias("keys"), g.alias("g"), most.alias("most")), of)  # an array that slices don't copy whole
+
+
+def _meeting(keyed: DataFrame) -> DataFrame:
+    """Adds what a set meets others by: its strongest parts in its own group and the one below, or its longest words, in each case one more than needed."""
+    none, n, g = F.array().cast("array<bigint>"), F.col("n"), F.col("g")
+    out = keyed.withColumn("n", F.size("keys")).withColumn("g", _group(n)).withColumns({
+        "own": F.when(n > FEW, _parts(F.col("keys"), g, _strong(n, False) + 1)).otherwise(none),
+        "below": F.when((g > 1) & (_smallest_similar(n) <= _largest(g - 1)), _parts(F.col("keys"), g - 1, _strong(n, True) + 1)).otherwise(none),
+    })
+    long_first = F.transform("keys", lambda k: F.shiftleft(k.bitwiseAND(F.lit(LENGTH)), 57).bitwiseOR(F.shiftright(k, 6)))
+    lacks = lambda c, below: F.size(c) < _strong(n, below) + 1
+    wanted = (_smallest_similar(n) <= FEW) | lacks("own", False) | ((F.size("below") > 0) & lacks("below", True))
+    words = F.slice(F.sort_array(long_first, False), F.lit(1), n - _smallest_similar(n) + 3)
+    return out.withColumn("words", F.when((n >= JOINED) & wanted, words).otherwise(none))
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """One row per distinct word set: id in the order of at (its earliest line), n, sketch and prefix with one word more."""
-    classes = _class_table(docs)
+    """One row per distinct word set: id in the order of at (its earliest line), n, sketch and what it meets others by."""
     lines = docs.where(F.length("text") > 0).select("doc_id", _keyed_text().alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
     # Blank lines go before there are keys: a filter on keys would be pushed below them, and all words hashed and sorted twice.
-    keyed = lines.where(~is_blank(F.col("line"))).withColumn("keys", F.sort_array(F.transform(words_of(F.col("line")), lambda w: _key(w, classes))))
-    n = F.size("keys")
-    keyed = keyed.select(
-        F.xxhash64("keys").alias("i"), F.xxhash64(F.lit(1), "keys").alias("j"),
-        F.struct(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "line_no").alias("at"), n.alias("n"), *_sketch(F.col("keys")),
-                 F.slice("keys", F.lit(1), F.when(n >= JOINED, n - F.ceil(n * SIMILAR - 1e-9).cast("int") + 2).otherwise(0)).alias("prefix")).alias("s"),
-    )
+    keyed = _meeting(lines.where(~is_blank(F.col("line"))).withColumn("keys", _keys(F.col("line"))))
+    at = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "line_no").alias("at")
+    keyed = keyed.select(F.xxhash64("keys").alias("i"), F.xxhash64(F.lit(1), "keys").alias("j"), F.struct(at, "n", *_sketch(F.col("keys")), "own", "below", "words").alias("s"))
     found = written(keyed.groupBy("i", "j").agg(F.min("s").alias("s")).select("s.*"))
     sets = written(found.repartitionByRange("at").sortWithinPartitions("at").select(F.monotonically_increasing_id().alias("id"), "*"))
     discard(found)
     return sets
 
 
-def _entries(sets: DataFrame, part: int, *more: str) -> DataFrame:
-    """A row (key, id, n, pos, sketch) for every word or pair of words by which a set may meet others, of one slice."""
-    prefix, last = F.col("prefix"), F.size("prefix") - 1
+def _entries(sets: DataFrame) -> DataFrame:
+    """A row (id, key, kind, pos) for every part or two words by which a set meets others; pos is the place of the last one of them."""
+    entry = lambda key, kind, pos: F.struct(key.alias("key"), F.lit(kind).alias("kind"), pos.alias("pos"))
+    parts = lambda c, kind, most: F.transform(F.slice(c, F.lit(1), most), lambda k, i: entry(k, kind, i))
+    first = F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0)))
+    two = F.flatten(F.transform(first, lambda y, j: F.transform(F.slice("words", F.lit(1), j), lambda x: entry(F.xxhash64(x, y), 2, j))))
+    all_ = F.concat(parts("own", 0, _strong(F.col("n"), False)), F.when(F.size("below") > 0, parts("below", 1, _strong(F.col("n"), True))).otherwise(F.array()), two)
+    return sets.where(F.col("n") >= JOINED).select("id", F.inline(all_))
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """The entries whose key is not one set's alone, with the size and sketch of the set and the number of entries of the key."""
+    by = Window.partitionBy("key")
+    some = _entries(sets).withColumns({"before": F.lag("id").over(by.orderBy("id")), "after": F.lead("id").over(by.orderBy("id"))}).where("before is not null or after is not null")
+    some = some.withColumn("many", F.count(F.lit(1)).over(by)).drop("before", "after")
+    return written(some.join(sets.select("id", "n", *SKETCH), "id"))
+
 
-    def keys(word: Column, pos: Column) -> Column:
-        alone = F.array(F.struct(pos.alias("pos"), word.alias("key")))
-        pairs = F.transform(F.slice(prefix, pos + 2, last - pos), lambda next_: F.struct(pos.alias("pos"), F.xxhash64(word, next_).alias("key")))
-        return F.when(F.shiftright(word, 56) < HOT, alone).otherwise(pairs)
+def _of(t: str):
+    return lambda c: F.col(f"{t}.{c}")
 
-    all_ = F.filter(F.flatten(F.transform(F.slice(prefix, F.lit(1), last), keys)), lambda x: F.pmod(x["key"], F.lit(SLICES)) == part)
-    return sets.where(F.size("prefix") > 0).select("id", "n", *SKETCH, *more, F.inline(all_))
+
+def _pairs(x: DataFrame, y: DataFrame, also: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of set ids, a earlier, with a key in common that pass the filters, and by how much they differ at least."""
+    x, y = x.alias("x"), y.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _passes(_of("x"), _of("y"))
+    both = x.join(y, meet if also is None else meet & also)
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), _differing(_of("x"), _of("y")).alias("far")).distinct()
+
+
+def _first_common() -> Column:
+    """Whether the key is made of the first that two sets share, so that a pair of near copies meets once and not by every two of their parts."""
+    common = F.array_intersect("x.of", "y.of")
+    two = F.when(F.col("x.kind") < 2, F.get(common, F.lit(0))).otherwise(F.xxhash64(F.get(common, F.lit(0)), F.get(common, F.lit(1))))
+    return F.col("x.key") == F.xxhash64(two, F.get(common, F.when(F.col("x.kind") < 2, 1).otherwise(2)))
+
+
+def _leaders(hot: DataFrame) -> DataFrame:
+    """For each set b the closest, x, by sketch, of the ``EARLIEST`` sets of each of its keys and the ``NEAREST`` preceding ones."""
+    by = Window.partitionBy("key").orderBy("id")
+    own, before = F.struct("id", "n", *SKETCH), by.rowsBetween(Window.unboundedPreceding, 0)
+    some = {f"e{k}": F.nth_value(own, k).over(before) for k in range(1, EARLIEST + 1)} | {f"l{k}": F.lag(own, k).over(by) for k in range(1, NEAREST + 1)}
+    found = [F.when((F.col(f"{e}.id") < F.col("id")) & _passes(_of(e), F.col), F.struct(_differing(_of(e), F.col).alias("far"), F.col(f"{e}.id").alias("a"))) for e in some]
+    return hot.withColumns(some).select(F.col("id").alias("b"), F.array_min(F.array(*found)).alias("x")).where("x is not null")
+
+
+def _followed(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Entries of keys together with each part or word that follows."""
+    of = F.when(F.col("kind") == 0, F.col("own")).when(F.col("kind") == 1, F.col("below")).otherwise(F.col("words"))
+    follow = F.slice(of, F.col("pos") + 2, F.size(of))
+    return hot.join(sets.select("id", "own", "below", "words"), "id").select("id", "n", *SKETCH, "kind", of.alias("of"), F.explode(F.transform(follow, lambda x: F.xxhash64("key", x))).alias("key"))
 
 
 def _later(parts: list[DataFrame], sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -164,25 +245,17 @@ def _later(parts: list[DataFrame], sets: DataFrame, docs: DataFrame) -> DataFram
 def earliest(docs: DataFrame) -> DataFrame:
     """(doc_id, h, line_no) of the lines with words that stay; h is the text's MD5."""
     sets = _sets(docs)
-    of = lambda t: lambda c: F.col(f"{t}.{c}")
-    parts = []
-    for k in range(SLICES):
-        first = lambda r: F.min(F.when(F.pmod("id", F.lit(LEADERS)) == r, F.struct("id", "n", "pos", *SKETCH)))
-        heads = _entries(sets, k).groupBy("key").agg(*[first(r).alias(f"h{r}") for r in range(LEADERS)], F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-        found = [F.when((F.col(f"h{r}.id") < F.col("id")) & _passes(of(f"h{r}"), F.col), F.struct(_differing(of(f"h{r}"), F.col).alias("far"), F.col(f"h{r}.id").alias("a"))) for r in range(LEADERS)]
-        near = _entries(sets, k).join(heads, "key").select(F.col("id").alias("b"), F.array_min(F.array(*found)).alias("x")).where("x is not null")
-        parts.append(written(near.groupBy("b").agg(F.min("x").alias("x"))))
-    best = reduce(DataFrame.union, parts).groupBy("b").agg(F.min("x")["a"].alias("a")).select("a", "b")
-    best = written(best)
-    discard(*parts)
+    shared = _shared(sets)
+    cold, hot = shared.where(F.col("many") <= HOT), shared.where(F.col("many") > HOT)
+    near = written(_pairs(cold, cold))
+    best = near.select("b", F.struct("far", "a").alias("x")).union(_leaders(hot))
+    closest = F.slice(F.sort_array(F.collect_set("x")), 1, CLOSEST)  # of few, as every key gives a bounded number
+    best = written(best.groupBy("b").agg(closest.alias("x")).select(F.explode("x.a").alias("a"), "b"))
     gone = _later([best], sets, docs)
-    flags = written(sets.drop("at").join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.col("decided").isNotNull()))
-    parts = []
-    for k in range(SLICES):
-        x, y = (_entries(flags, k, "decided").alias(t) for t in "xy")
-        rest = x.join(y, (F.col("x.key") == F.col("y.key")) & ~F.col("y.decided") & (F.col("x.id") < F.col("y.id")) & _passes(of("x"), of("y")))
-        parts.append(written(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
-    discard(flags)
+    lists = written(_followed(hot, sets).join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.col("decided").isNotNull()))
+    discard(shared)
+    parts = [written(_pairs(lists, lists.where(~F.col("decided")), _first_common()).select("a", "b")), written(near.select("a", F.col("b").alias("id")).join(gone, "id", "left_anti").select("a", F.col("id").alias("b")))]
+    discard(lists, near)
     more = _later(parts, sets, docs)
     stay = written(sets.select("id", "at").join(gone, "id", "left_anti").join(more, "id", "left_anti").select("at.doc_id", "at.h", "at.line_no"))
     discard(sets, gone, more)
