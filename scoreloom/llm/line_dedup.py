@@ -4,8 +4,8 @@ A line is the set of its lower-case words. A line goes if an earlier one (by doc
 a Jaccard similarity of ``SIMILAR`` or more with it; equal sets have 1. Every line that isn't blank takes part, whatever its
 length; blank lines always stay. A line without blanks is one word.
 
-1. A word is 57 bits of its hash and 6 bits of its length in bytes. Lines of equal sets (128 bits of hash) are one set with its earliest
-   line; copies cost nothing further on. Sets of fewer than ``JOINED`` words are similar to none but their equals, so they need no more; four
+1. Lines whose sorted distinct words are equal (128 bits of hash) are one set with its earliest
+   line; copies cost nothing further on. Parts are sums over rows of words, made where the set is. Sets of fewer than ``JOINED`` words are similar to none but their equals, so they need no more; four
    words and those with one more have 0.8. Sets are numbered in the order of their earliest lines, so the smaller number is the earlier one.
 2. Two similar sets of n and m words differ in at most d words, a ninth of n + m. The range of hashes is cut into more than d equal parts, four times two to the
    power of g in the group g: sizes up to ``FEW`` times that. Each word that only one set has spoils one part, so of a set's parts that hold words all but d are the same
@@ -14,7 +14,8 @@ length; blank lines always stay. A line without blanks is one word.
 3. Sets of up to ``FEW`` words, those as near to them, and the rare ones whose words fall into too few parts meet by two words instead: they share two of the first
    ``n - ceil(t n) + 2`` of each by length and hash, three among one more, and so on.
 4. Most of these keys belong to one set only and go at once; of those left, a key of more than ``HOT`` sets doesn't do alone, but together with each
-   part (or word) that follows it in the set, as there is a second (third) one in common. So no list grows with the whole corpus unless its sets share several parts.
+   part (or word) that follows it in the set, as there is a second (third) one in common, if an undecided set meets an earlier one by them. So no list grows with
+   the whole corpus unless its sets share several parts.
 5. The sizes may differ by the factor t at most; a parity sketch of 128 bits bounds the symmetric difference from below. What passes is compared word by word.
    First each set meets all earlier ones of its keys but for those of more than ``HOT`` sets, of which the ``EARLIEST`` and ``NEAREST`` preceding ones do, and is compared with the ``CLOSEST`` of all these by
    sketch: nearly all of a group of near copies is decided there. Then undecided sets meet all earlier ones.
@@ -44,7 +45,7 @@ HOT = 24  # sets of a key that does alone
 EARLIEST = 8
 NEAREST = 4
 CLOSEST = 4
-LENGTH = 63  # the bits of a word's key that hold its length
+LENGTH = 63  # a longer word counts as one of so many bytes
 BLANKS = r"[ \t\n\x0B\f\r]+"
 
 
@@ -58,25 +59,23 @@ def is_blank(line: Column) -> Column:
     return ~line.rlike(r"[^ \t\n\x0B\f\r]")
 
 
-def _word(w: Column) -> Column:
-    """57 bits of the word's hash, then its length; never negative."""
-    return F.shiftrightunsigned(F.xxhash64(w), 1).bitwiseAND(F.lit(~LENGTH)).bitwiseOR(F.least(F.octet_length(w), F.lit(LENGTH)).cast("long"))
+def _spelt(line: Column, odd: Column) -> Column:
+    """The distinct lower-case words of a line, sorted, with a blank between: equal for equal sets. odd: whether there may be blanks of other kinds."""
+    plain = F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line)
+    return F.array_join(F.sort_array(F.array_distinct(F.array_remove(F.split(F.lower(plain), " "), ""))), " ")
 
 
-def _keys(line: Column) -> Column:
-    """Sorted keys of the distinct lower-case words of a line."""
-    plain = F.when(line.rlike("[\t\x0B\f\r]"), F.regexp_replace(line, BLANKS, " ")).otherwise(line)
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(F.lower(plain), " "), _word)), _word(F.lit(""))))
+def _right(x: Column, by: Column) -> Column:
+    return F.call_function("shiftrightunsigned", x, by)
 
 
 SKETCH = ["s0", "s1"]
 
 
-def _sketch(keys: Column) -> list[Column]:
-    """Parity of the keys in two times 64 places: each bit that differs between two sets stands for a word that only one of them has."""
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 7).bitwiseAND(F.lit(63)).cast("int"))
-    parity = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
-    return [parity(F.filter(keys, lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)) == q)).alias(s) for q, s in enumerate(SKETCH)]
+def _sketch(word: Column) -> list[Column]:
+    """Parity of the words' hashes in two times 64 places: each bit that differs between two sets stands for a word that only one of them has."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(word, 1).bitwiseAND(F.lit(63)).cast("int"))
+    return [F.bit_xor(F.when(word.bitwiseAND(F.lit(1)) == q, bit).otherwise(F.lit(0).cast("long"))).alias(s) for q, s in enumerate(SKETCH)]
 
 
 def _differing(x, y) -> Column:
@@ -122,49 +121,56 @@ def _strong(n: Column, below: bool) -> Column:
     return 1 + (_most_different(n, _largest(_group(n) - 1)) if below else _most_different(n, F.floor(n / SIMILAR + 1e-9)))
 
 
-def _parts(keys: Column, g: Column, most: Column) -> Column:
-    """The strongest of the four times two to the power of g parts of sorted keys, strongest first: letters in the upper bits, then a hash of the words."""
-
-    def of(v: Column) -> Column:
-        keys, g, size = v["keys"], v["g"], F.size(v["keys"])
-        part = lambda x: F.call_function("shiftright", x, 61 - g)  # noqa: E731 - the leading bits of 63
-
-        def marked(run: Column) -> Column:
-            letters = F.aggregate(run, F.lit(0).cast("long"), lambda n, k: n + k.bitwiseAND(F.lit(LENGTH)))
-            return F.shiftleft(F.least(letters, F.lit((1 << 14) - 1)), 49).bitwiseOR(F.shiftrightunsigned(F.xxhash64(run, g), 15))
-
-        def runs(starts: Column) -> Column:
-            return F.transform(starts, lambda s, j: let(F.slice(keys, s + 1, F.coalesce(F.get(starts, j + 1), size) - s), marked))
-
-        later = F.filter(F.sequence(F.lit(1), size - 1), lambda i: part(F.get(keys, i).bitwiseXOR(F.get(keys, i - 1))) != 0)
-        return F.slice(F.sort_array(let(F.concat(F.array(F.lit(0)), later), runs), False), F.lit(1), v["most"])
-
-    return let(F.struct(F.transform(keys, lambda k: k).alias("keys"), g.alias("g"), most.alias("most")), of)  # an array that slices don't copy whole
-
-
-def _meeting(keyed: DataFrame) -> DataFrame:
-    """Adds what a set meets others by: its strongest parts in its own group and the one below, or its longest words, in each case one more than needed."""
-    none, n, g = F.array().cast("array<bigint>"), F.col("n"), F.col("g")
-    out = keyed.withColumn("n", F.size("keys")).withColumn("g", _group(n)).withColumns({
-        "own": F.when(n > FEW, _parts(F.col("keys"), g, _strong(n, False) + 1)).otherwise(none),
-        "below": F.when((g > 1) & (_smallest_similar(n) <= _largest(g - 1)), _parts(F.col("keys"), g - 1, _strong(n, True) + 1)).otherwise(none),
-    })
-    long_first = F.transform("keys", lambda k: F.shiftleft(k.bitwiseAND(F.lit(LENGTH)), 57).bitwiseOR(F.shiftright(k, 6)))
-    lacks = lambda c, below: F.size(c) < _strong(n, below) + 1
-    wanted = (_smallest_similar(n) <= FEW) | lacks("own", False) | ((F.size("below") > 0) & lacks("below", True))
-    words = F.slice(F.sort_array(long_first, False), F.lit(1), n - _smallest_similar(n) + 3)
-    return out.withColumn("words", F.when((n >= JOINED) & wanted, words).otherwise(none))
+def _marked(letters: Column, words: Column, g: Column) -> Column:
+    """What a part meets others by: its letters in the upper bits, then a hash of its words, which are summed by exclusive or; null if it has none."""
+    return F.when(letters > 0, F.shiftleft(F.least(letters, F.lit((1 << 14) - 1)), 49).bitwiseOR(F.shiftrightunsigned(F.xxhash64(words, g), 15)))
+
+
+def _longest(words: Column, most: Column) -> Column:
+    """The longest words as hashes with their length in the upper bits, longest first."""
+    of = lambda w: F.shiftleft(F.least(F.octet_length(w), F.lit(LENGTH)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
+    return F.slice(F.sort_array(F.transform(words, of), False), F.lit(1), most)
+
+
+def _meeting(found: DataFrame) -> DataFrame:
+    """Rows (i, j, at, spelt), one a set and dealt by i and j, with what a set meets others by: its strongest parts in its own group and the one
+    below, or its longest words, in each case one more than needed. Parts are summed over rows of words where they are, in compiled code: of the
+    four times two to the power of g parts of the hashes, two that are one in the group below are summed side by side."""
+    none, n, g, split = F.array().cast("array<bigint>"), F.col("n"), F.col("g"), F.col("split")
+    out = found.select("i", "j", "at.*", F.split("spelt", " ").alias("split")).withColumn("n", F.size("split")).withColumn("g", _group(n))
+    out = out.withColumn("lower", (g > 1) & (_smallest_similar(n) <= _largest(g - 1)))
+    out = out.withColumn("parts", F.array_distinct(F.transform("split", lambda w: _right(F.xxhash64(w), 62 - g))))
+    halves = F.size(F.array_distinct(F.transform("parts", lambda p: F.shiftright(p, 1))))
+    lacks = (F.size("parts") < _strong(n, False) + 1) | (F.col("lower") & (halves < _strong(n, True) + 1))
+    wanted = (n >= JOINED) & ((_smallest_similar(n) <= FEW) | lacks)
+    out = out.withColumn("words", F.when(wanted, _longest(split, n - _smallest_similar(n) + 3)).otherwise(none))
+    of = ["i", "j", "z", "doc_id", "h", "line_no", "n", "g", "lower", "words"]
+    each = out.select(*of, F.explode("split").alias("w")).select(*of, F.xxhash64("w").alias("x"), F.octet_length("w").alias("letters"))
+    left, x = _right(F.col("x"), 62 - g).bitwiseAND(F.lit(1)) == 0, F.col("x")
+    sums = [f(F.when(c, v)).alias(a) for c, k in ((left, "a"), (~left, "b")) for f, v, a in ((F.bit_xor, x, f"x{k}"), (F.sum, F.col("letters"), f"l{k}"))]
+    two = each.groupBy(*of, F.when(n > FEW, _right(x, 63 - g)).otherwise(0).alias("half")).agg(*sums, *_sketch(x))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    both = _marked(zero(F.col("la")) + zero(F.col("lb")), zero(F.col("xa")).bitwiseXOR(zero(F.col("xb"))), g - 1)
+    lists = {"a": F.when(n > FEW, _marked(F.col("la"), F.col("xa"), g)), "b": F.when(n > FEW, _marked(F.col("lb"), F.col("xb"), g)), "c": F.when(F.col("lower"), both)}
+    two = two.select(*of, *SKETCH, *[v.alias(k) for k, v in lists.items()])
+    out = two.groupBy(*of).agg(*[F.collect_list(k).alias(k) for k in lists], *[F.bit_xor(s).alias(s) for s in SKETCH])
+    strongest = lambda c, below: F.slice(F.sort_array(c, False), F.lit(1), _strong(n, below) + 1)
+    at = F.struct("z", "doc_id", "h", "line_no").alias("at")
+    return out.select(at, "n", *SKETCH, strongest(F.concat("a", "b"), False).alias("own"), F.when(F.col("lower"), strongest(F.col("c"), True)).otherwise(none).alias("below"), "words")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
     """One row per distinct word set: id in the order of at (its earliest line), n, sketch and what it meets others by."""
-    lines = docs.where(F.length("text") > 0).select("doc_id", _keyed_text().alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-    # Blank lines go before there are keys: a filter on keys would be pushed below them, and all words hashed and sorted twice.
-    keyed = _meeting(lines.where(~is_blank(F.col("line"))).withColumn("keys", _keys(F.col("line"))))
+    # What holds for a text is found before there are lines, else it is found again for each of them.
+    odd = F.lit(False)
+    for blank in "\t\x0b\f\r":
+        odd = odd | F.contains("text", F.lit(blank))
+    texts = docs.where("text <> ''").select("doc_id", _keyed_text().alias("h"), odd.alias("odd"), F.split("text", "\n").alias("lines"))
+    lines = texts.select("doc_id", "h", "odd", F.posexplode("lines").alias("line_no", "line"))
     at = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "line_no").alias("at")
-    keyed = keyed.select(F.xxhash64("keys").alias("i"), F.xxhash64(F.lit(1), "keys").alias("j"), F.struct(at, "n", *_sketch(F.col("keys")), "own", "below", "words").alias("s"))
-    found = written(keyed.groupBy("i", "j").agg(F.min("s").alias("s")).select("s.*"))
+    spelt = lines.where(~is_blank(F.col("line"))).select(at, _spelt(F.col("line"), F.col("odd")).alias("spelt"))
+    first = spelt.groupBy(F.xxhash64("spelt").alias("i"), F.xxhash64(F.lit(1), "spelt").alias("j")).agg(F.min(F.struct("at", "spelt")).alias("s"))
+    found = written(_meeting(first.select("i", "j", "s.*")))
     sets = written(found.repartitionByRange("at").sortWithinPartitions("at").select(F.monotonically_increasing_id().alias("id"), "*"))
     discard(found)
     return sets
@@ -173,18 +179,16 @@ def _sets(docs: DataFrame) -> DataFrame:
 def _entries(sets: DataFrame) -> DataFrame:
     """A row (id, key, kind, pos) for every part or two words by which a set meets others; pos is the place of the last one of them."""
     entry = lambda key, kind, pos: F.struct(key.alias("key"), F.lit(kind).alias("kind"), pos.alias("pos"))
-    parts = lambda c, kind, most: F.transform(F.slice(c, F.lit(1), most), lambda k, i: entry(k, kind, i))
+    parts = lambda c, kind, most: sets.where(F.size(c) > 0).select("id", F.lit(kind).alias("kind"), F.posexplode(F.slice(c, F.lit(1), most)).alias("pos", "key")).select("id", "key", "kind", "pos")
     first = F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0)))
     two = F.flatten(F.transform(first, lambda y, j: F.transform(F.slice("words", F.lit(1), j), lambda x: entry(F.xxhash64(x, y), 2, j))))
-    all_ = F.concat(parts("own", 0, _strong(F.col("n"), False)), F.when(F.size("below") > 0, parts("below", 1, _strong(F.col("n"), True))).otherwise(F.array()), two)
-    return sets.where(F.col("n") >= JOINED).select("id", F.inline(all_))
+    return parts("own", 0, _strong(F.col("n"), False)).union(parts("below", 1, _strong(F.col("n"), True))).union(sets.where(F.size("words") > 0).select("id", F.inline(two)))
 
 
 def _shared(sets: DataFrame) -> DataFrame:
     """The entries whose key is not one set's alone, with the size and sketch of the set and the number of entries of the key."""
     by = Window.partitionBy("key")
-    some = _entries(sets).withColumns({"before": F.lag("id").over(by.orderBy("id")), "after": F.lead("id").over(by.orderBy("id"))}).where("before is not null or after is not null")
-    some = some.withColumn("many", F.count(F.lit(1)).over(by)).drop("before", "after")
+    some = _entries(sets).withColumn("many", F.count(F.lit(1)).over(by)).where("many > 1")
     return written(some.join(sets.select("id", "n", *SKETCH), "id"))
 
 
@@ -217,10 +221,15 @@ def _leaders(hot: DataFrame) -> DataFrame:
 
 
 def _followed(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """Entries of keys together with each part or word that follows."""
-    of = F.when(F.col("kind") == 0, F.col("own")).when(F.col("kind") == 1, F.col("below")).otherwise(F.col("words"))
-    follow = F.slice(of, F.col("pos") + 2, F.size(of))
-    return hot.join(sets.select("id", "own", "below", "words"), "id").select("id", "n", *SKETCH, "kind", of.alias("of"), F.explode(F.transform(follow, lambda x: F.xxhash64("key", x))).alias("key"))
+    """Entries of keys together with each part or word that follows, of those keys by which a set that isn't decided meets an earlier one."""
+    of, by = F.when(F.col("kind") == 0, F.col("own")).when(F.col("kind") == 1, F.col("below")).otherwise(F.col("words")), Window.partitionBy("key")
+    each = hot.join(sets.select("id", "own", "below", "words"), "id").select("id", "kind", "decided", "key", F.explode(F.slice(of, F.col("pos") + 2, F.size(of))).alias("x"))
+    each = each.select("id", "kind", "decided", F.xxhash64("key", "x").alias("key"))
+    met = {"first": F.min("id").over(by), "last": F.max(F.when(~F.col("decided"), F.col("id"))).over(by)}
+    some = written(each.withColumns(met).where("last > first").drop(*met))
+    out = written(some.join(sets.select("id", "n", *SKETCH, "own", "below", "words"), "id").select("id", "n", *SKETCH, "kind", of.alias("of"), "key", "decided"))
+    discard(some)
+    return out
 
 
 def _later(parts: list[DataFrame], sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -251,9 +260,11 @@ def earliest(docs: DataFrame) -> DataFrame:
     best = near.select("b", F.struct("far", "a").alias("x")).union(_leaders(hot))
     closest = F.slice(F.sort_array(F.collect_set("x")), 1, CLOSEST)  # of few, as every key gives a bounded number
     best = written(best.groupBy("b").agg(closest.alias("x")).select(F.explode("x.a").alias("a"), "b"))
-    gone = _later([best], sets, docs)
-    lists = written(_followed(hot, sets).join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.col("decided").isNotNull()))
+    hot = written(hot.select("id", "key", "kind", "pos"))
     discard(shared)
+    gone = _later([best], sets, docs)
+    lists = _followed(hot.join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.col("decided").isNotNull()), sets)
+    discard(hot)
     parts = [written(_pairs(lists, lists.where(~F.col("decided")), _first_common()).select("a", "b")), written(near.select("a", F.col("b").alias("id")).join(gone, "id", "left_anti").select("a", F.col("id").alias("b")))]
     discard(lists, near)
     more = _later(parts, sets, docs)
