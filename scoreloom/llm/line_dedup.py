@@ -263,7 +263,8 @@ def earliest(docs: DataFrame) -> DataFrame:
     hot = written(hot.select("id", "key", "kind", "pos"))
     discard(shared)
     gone = _later([best], sets, docs)
-    lists = _followed(hot.join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("decided", F.col("decided").isNotNull()), sets)
+    decided = sets.select("id").join(gone.withColumn("gone", F.lit(True)), "id", "left").select("id", F.col("gone").isNotNull().alias("decided"))  # a set once, not once a key
+    lists = _followed(hot.join(decided, "id"), sets)
     discard(hot)
     parts = [written(_pairs(lists, lists.where(~F.col("decided")), _first_common()).select("a", "b")), written(near.select("a", F.col("b").alias("id")).join(gone, "id", "left_anti").select("a", F.col("id").alias("b")))]
     discard(lists, near)
